@@ -1,4 +1,8 @@
-"""Quality rules on tokeniser fertility: characters per token, byte-fallback share and token entropy, with bands per script."""
+"""Quality rules on tokeniser fertility: characters per token, byte-fallback share and token entropy.
+
+A text is rejected when a measure leaves its band. Fixed bands hold per script. Finer bands come from the corpus: the quartiles of
+each measure over all texts of one language and length class (entropy grows with length) give the middle and the spread.
+"""
 
 from __future__ import annotations
 
@@ -10,8 +14,10 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import sentencepiece
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from intervale.llm import words as W
+from intervale.llm.store import written
 
 #: Characters that count as symbols.
 SYMBOLS = "#*$%&|<>"
@@ -25,10 +31,15 @@ BANDS = {
 }
 SCRIPTS = list(BANDS)
 
+#: Spreads that a text may lie below its group's middle, and texts that a group's own band needs.
+SPREADS, GROUP = 4.0, 30
+#: Groups that are sent to all executors; more of them are joined by a shuffle.
+BROADCAST_GROUPS = 100_000
+
 #: Words whose pieces a task keeps; it starts anew beyond that.
 CACHE_WORDS = 400_000
 
-RESULT = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, script string, n_tokens long, chars_per_token double, byte_share double, entropy double, kept boolean"
+MEASURED = "doc_id long, lang string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, script string, n_tokens long, chars_per_token double, byte_share double, entropy double, kept boolean"
 
 
 @lru_cache(maxsize=2)
@@ -110,7 +121,7 @@ def entropies(text: np.ndarray, token: np.ndarray, n: int, size: int) -> np.ndar
 
 
 def measured(texts: pa.Array, vocabulary: WordPieces, bands: dict) -> list[np.ndarray]:
-    """The columns of RESULT after doc_id."""
+    """The columns of MEASURED after lang."""
     n = len(texts)
     codes, ends, distinct = W.split(texts)
     text = np.repeat(np.arange(n), np.diff(ends))
@@ -144,27 +155,41 @@ def measured(texts: pa.Array, vocabulary: WordPieces, bands: dict) -> list[np.nd
     return [n_words, word_chars, n_symbols, dup_lines, repeats, failed, np.array(SCRIPTS)[script], n_tokens, per_token, byte_share, entropy, kept]
 
 
+def measures(docs: DataFrame, model_path: str, bands: dict) -> DataFrame:
+    """The base counts and the three measures of every row, and its verdict by the bands of its script."""
+
+    def rate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vocabulary = WordPieces(model_path)
+        names = [c.split()[0] for c in MEASURED.split(", ")]
+        for batch in batches:
+            for some in W.slices(batch, most=4 << 20):
+                columns = [pa.array(c) for c in measured(some.column("text"), vocabulary, bands)]
+                yield pa.RecordBatch.from_arrays([some.column("doc_id").cast(pa.int64()), some.column("lang"), *columns], names=names)
+
+    lang = F.col("lang").cast("string") if "lang" in docs.columns else F.lit(None).cast("string")
+    return docs.select("doc_id", lang.alias("lang"), "text").mapInArrow(rate, MEASURED)
+
+
 def fertility_rules(docs: DataFrame, model_path: str, bands: dict | None = None) -> DataFrame:
     """Base counts and the verdict on tokeniser fertility of every row of ``docs``.
 
     Columns: doc_id, n_words (between ASCII white space), word_chars, n_symbols, n_dup_lines (lines with a word that equal an
     earlier line), n_repeat_words (words in three-word windows that the text has twice or more), base_failed (fewer than 50
     words, or over half of them repeated), script, n_tokens, chars_per_token, byte_share (tokens that stand for a single byte the
-    vocabulary has no piece for), entropy (bits of a text's token distribution) and kept: not base_failed, and all three measures
-    inside the script's band.
+    vocabulary has no piece for), entropy (bits of a text's token distribution) and kept: not base_failed, all measures inside the
+    script's bands, and neither characters per token nor entropy more than SPREADS below the middle of the texts of the same
+    language and length class. The language is the column lang; without it, or where it is null, the script stands for it. A group
+    of fewer than GROUP texts has the script's bands alone.
 
     Null and empty texts have zeros everywhere and fail. Repeated rows and rows without a doc_id are measured as any other. An
-    empty table gives an empty one; other columns are not read. Very long texts are taken whole.
+    empty table gives an empty one; columns other than doc_id, text and lang are not read. Very long texts are taken whole.
     """
-    bands = bands or BANDS
-
-    def rate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary = WordPieces(model_path)
-        names = [c.split()[0] for c in RESULT.split(", ")]
-        for batch in batches:
-            for some in W.slices(batch, most=4 << 20):
-                columns = measured(some.column("text"), vocabulary, bands)
-                arrays = [pa.array(c) if c.dtype != np.int64 else pa.array(c, pa.int64()) for c in columns]
-                yield pa.RecordBatch.from_arrays([some.column("doc_id").cast(pa.int64()), *arrays], names=names)
-
-    return docs.select("doc_id", "text").mapInArrow(rate, RESULT)
+    found = written(measures(docs, model_path, bands or BANDS), "fertility")
+    found = found.withColumns({"tongue": F.coalesce("lang", "script"), "class": F.floor(2 * F.log2(F.greatest("n_words", F.lit(1)))).cast("int")})
+    quartiles = [F.percentile_approx(c, [0.25, 0.5, 0.75], 2000).alias(c) for c in ("chars_per_token", "entropy")]
+    low = [(F.get(c, 1) - SPREADS * (F.get(c, 2) - F.get(c, 0)) / 1.349).alias(f"low_{c}") for c in ("chars_per_token", "entropy")]
+    groups = written(found.where("NOT base_failed").groupBy("tongue", "class").agg(*quartiles, F.count(F.lit(1)).alias("n")).where(F.col("n") >= GROUP).select("tongue", "class", *low), "groups")
+    placed = found.join(F.broadcast(groups) if groups.count() <= BROADCAST_GROUPS else groups, ["tongue", "class"], "left")
+    inside = [F.coalesce(F.col(c) >= F.col(f"low_{c}"), F.lit(True)) for c in ("chars_per_token", "entropy")]
+    names = [c.split()[0] for c in MEASURED.split(", ") if not c.startswith(("lang", "kept"))]
+    return placed.select(*names, (F.col("kept") & inside[0] & inside[1]).alias("kept"))

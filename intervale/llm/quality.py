@@ -24,6 +24,8 @@ BUCKETS, SIZE = 1 << 17, 8
 #: Lengths of character n-grams.
 GRAMS = (2, 3, 4)
 EPOCHS, RATE = 4, 0.6
+#: Features that the prior weighs as much as: texts of a few words give little evidence of their own.
+PRIOR_WEIGHT = 20
 
 
 def _gram_features(distinct: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -123,8 +125,8 @@ def trained(docs: DataFrame, labels: DataFrame, usable: Column, sample: int = SA
     return fit([bag for b in batches for bag in bags(b.column("text"))], np.concatenate([np.asarray(b.column("quality")) for b in batches]))
 
 
-def scored(docs: DataFrame, model: Model) -> DataFrame:
-    """doc_id and score of each row; a text without words gets the prior."""
+def scored(docs: DataFrame, model: Model, column: str = "score") -> DataFrame:
+    """Each row of ``docs`` with its score in ``column``, a new name: the model's odds, drawn to the prior in texts of few features."""
     gains = docs.sparkSession.sparkContext.broadcast((model.gains, float(model.bias[1] - model.bias[0]), model.prior))
     columns = docs.columns
 
@@ -143,11 +145,13 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
                     within = np.concatenate([text[1:] == text[:-1], [False]])
                     total = np.bincount(text, weights=sums[codes] + np.where(within, gain[pairs], 0), minlength=n)
                     count = np.bincount(text, weights=np.diff(cuts)[codes] + within, minlength=n)
-                odds = total / np.maximum(count, 1) + bias
-                p = np.where(count > 0, 1 / (1 + np.exp(-np.clip(odds, -50, 50))), prior)
-                yield pa.RecordBatch.from_arrays([*(some.column(c) for c in columns), pa.array(p)], names=[*columns, "score"])
+                prior_odds = np.log(max(prior, 1e-6) / max(1 - prior, 1e-6))
+                own = count / (count + PRIOR_WEIGHT)
+                odds = own * (total / np.maximum(count, 1) + bias) + (1 - own) * prior_odds
+                p = 1 / (1 + np.exp(-np.clip(odds, -50, 50)))
+                yield pa.RecordBatch.from_arrays([*(some.column(c) for c in columns), pa.array(p)], names=[*columns, column])
 
-    return docs.mapInArrow(score, docs.withColumn("score", F.lit(0.0)).schema)
+    return docs.mapInArrow(score, docs.withColumn(column, F.lit(0.0)).schema)
 
 
 def held_out(doc_id: Column) -> Column:
@@ -155,6 +159,19 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % 5 == 0, F.lit(False))
 
 
+def fold_model(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
+    """The model of the labelled documents outside the held-out fold."""
+    return trained(docs, labels, ~held_out(F.col("doc_id")) & F.col("doc_id").isNotNull(), sample)
+
+
+def accepted(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, sample: int = SAMPLE) -> DataFrame:
+    """The rows of ``docs`` that score ``threshold`` at least, with all their columns; cases as in ``quality_scores``."""
+    column = "_score"
+    while column in docs.columns:
+        column += "_"
+    return scored(docs, fold_model(docs, labels, sample), column).where(F.col(column) >= threshold).drop(column)
+
+
 def quality_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, sample: int = SAMPLE) -> DataFrame:
     """doc_id, held_out, score (0 to 1, likelier of quality 1) and predicted (score >= threshold) of every row of ``docs``.
 
@@ -164,6 +181,6 @@ def quality_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, s
     rows score alike; a null doc_id is scored and never held out. Labels other than 0 and 1 are left out; where a document has
     several, the highest counts. An empty table gives an empty one; other columns are not read. Texts are scored whole.
     """
-    model = trained(docs, labels, ~held_out(F.col("doc_id")) & F.col("doc_id").isNotNull(), sample)
+    model = fold_model(docs, labels, sample)
     found = scored(docs.select("doc_id", "text"), model)
     return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
