@@ -1,4 +1,53 @@
-STAGES = []
+"""A corpus pipeline of five stages. Each takes all that the stage before it kept and gives the documents that it keeps itself.
+
+The last stage gives the pieces of packed sequences. SQL cannot express a trained classifier or a tokeniser, so ORACLE_SQL is None;
+the tests hold the stages against brute-force versions.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from intervale.llm import decontaminate, linedup, neardup, quality
+from intervale.llm.queries import packed, table
+from intervale.llm.store import written
+
+
+def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier accepts. All rows with a null or empty text score as the prior."""
+    return quality.accepted(docs, table(spark, sf_dir, "labels"))
+
+
+def cut_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, without later copies of repeated multi-line chunks; emptied ones stay, as rows with an empty text."""
+    return linedup.remove_repeated_chunks(docs).select(*docs.columns)
+
+
+def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document with the smallest doc_id of each group of near duplicates; rows without a doc_id or any word stay."""
+    found = neardup.near_duplicates(docs, percent=80)
+    return docs.join(found.where("NOT kept").select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
+
+
+def keep_uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that share no phrase of ten words, and no whole shorter item, with the benchmark."""
+    found = decontaminate.contamination(docs, table(spark, sf_dir, "benchmark"))
+    return docs.join(found.where("contaminated").select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents, packed."""
+    return packed(docs)
+
+
+STAGES = [("quality_classifier", keep_good), ("line_dedup", cut_repeated_lines), ("near_dedup", keep_one_of_each), ("decontamination", keep_uncontaminated), ("packing", pack_sequences)]
+
 ORACLE_SQL = None
-def run(spark, sf_dir):
-    raise NotImplementedError
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages on documents, each written before the next one reads it."""
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)
