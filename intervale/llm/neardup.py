@@ -144,7 +144,8 @@ def confirmed(docs: DataFrame, clusters: DataFrame, size: int, percent: int, blo
                 yield pa.RecordBatch.from_arrays([*(some.column(c) for c in ("id", "root", "n_blocks", "own")), sets], names=["id", "root", "n_blocks", "own", "shingles"])
 
     texts = docs.select(F.col("doc_id").alias("id"), "text")
-    rows = texts.join(placed, "id").mapInArrow(sets_of, "id long, root long, n_blocks int, own int, shingles binary").dropDuplicates(["id"])
+    # a sort-merge join at every size: the plan, and what it shuffles, grows evenly
+    rows = texts.join(placed.hint("merge"), "id").mapInArrow(sets_of, "id long, root long, n_blocks int, own int, shingles binary").dropDuplicates(["id"])
     other = F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)).alias("other")
     pairs = rows.select("*", other).select("id", "root", "n_blocks", "own", "shingles", F.least("own", "other").alias("one"), F.greatest("own", "other").alias("two"))
     ordered = pairs.repartition("root", "one", "two").sortWithinPartitions("root", "one", "two", "own", "id")
