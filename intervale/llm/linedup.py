@@ -15,23 +15,28 @@ from pyspark.sql import functions as F
 CUT_BELOW = "4"
 
 
-def line_chunks(lines: Column, cut_below: str = CUT_BELOW) -> Column:
-    """The array ``lines`` as an array of chunks, each an array of lines."""
-    hashes = F.transform(lines, F.md5)
-    rolled = F.transform(hashes, lambda h, i: F.md5(F.concat(F.when(i > 0, F.get(hashes, i - 1)).otherwise(F.lit("")), h)))
-    size = F.size(lines)
-    ends = F.filter(F.transform(rolled, lambda r, i: F.when((i + 1 == size) | (F.substring(r, 1, 1) < cut_below), i + 1)), lambda e: e.isNotNull())
-    return F.transform(ends, lambda e, k: F.slice(lines, F.when(k > 0, F.get(ends, k - 1)).otherwise(F.lit(0)) + 1, e - F.when(k > 0, F.get(ends, k - 1)).otherwise(F.lit(0))))
+#: In a joined text each line starts with LINE; a line of CUT alone ends a chunk. No line holds a \n, so both stay apart from the text.
+LINE, CUT = "a", "b"
 
 
-def chunked(docs: DataFrame, cut_below: str) -> DataFrame:
-    """doc_id, lines and chunks of every row, one step after another so that each is computed once."""
-    return docs.select("doc_id", F.split(F.coalesce("text", F.lit("")), "\n", -1).alias("lines")).select("doc_id", line_chunks(F.col("lines"), cut_below).alias("chunks"))
+def chunked(df: DataFrame, text: Column, cut_below: str = CUT_BELOW) -> DataFrame:
+    """``df`` with _lines, and with _chunks: the chunks of ``text``, each one string of lines that start with LINE.
+
+    Lines, hashes and chunks come step by step, and functions of elements see no other array, so each is computed once.
+    """
+    lines = df.withColumn("_lines", F.split(text, "\n", -1))
+    hashed = lines.withColumn("_hashes", F.transform("_lines", F.md5))
+    before = F.slice(F.concat(F.array(F.lit("")), F.col("_hashes")), 1, F.size("_lines"))
+    ends = F.zip_with(before, "_hashes", lambda b, h: F.substring(F.md5(F.concat(b, h)), 1, 1) < cut_below)
+    marked = F.zip_with("_lines", ends, lambda line, end: F.concat(F.lit(LINE), line, F.when(end, "\n" + CUT).otherwise("")))
+    pieces = F.split(F.array_join(marked, "\n"), rf"\n{CUT}(?:\n|\z)", -1)
+    return hashed.withColumn("_chunks", F.filter(pieces, lambda piece: piece != "")).drop("_hashes")
 
 
 def repeated_chunks(docs: DataFrame, cut_below: str = CUT_BELOW) -> DataFrame:
     """(doc_id, gone): of each document that has any, the numbers of its chunks that occur earlier."""
-    each = chunked(docs.where("doc_id IS NOT NULL"), cut_below).select("doc_id", F.posexplode("chunks").alias("number", "chunk")).where("size(chunk) > 1").select("doc_id", "number", F.array_join("chunk", "\n").alias("chunk"))
+    text = docs.where("doc_id IS NOT NULL").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    each = chunked(text, F.col("text"), cut_below).select("doc_id", F.posexplode("_chunks").alias("number", "chunk")).where(F.col("chunk").contains("\n"))
     keyed = each.select(F.xxhash64("chunk").alias("key"), "chunk", "doc_id", "number")
     place = F.struct("doc_id", "number")
     by_bytes = keyed.groupBy("key", "chunk").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n"))
@@ -51,14 +56,15 @@ def remove_repeated_chunks(docs: DataFrame, cut_below: str = CUT_BELOW) -> DataF
     count as that document and get a row each. Blank lines are lines. An empty table gives an empty one.
     """
     gone = repeated_chunks(docs, cut_below).withColumnRenamed("doc_id", "_gone_doc")
-    parts = line_chunks(F.col("_lines"), cut_below)
-    kept = F.filter(F.col("_chunks"), lambda c, i: ~F.coalesce(F.array_contains("_gone", i), F.lit(False)))
-    left = F.flatten(kept)
-    text = F.when(F.col("_gone").isNull(), F.col("text")).otherwise(F.array_join("_left", "\n"))
     joined = docs.join(gone.withColumnRenamed("gone", "_gone"), F.col("doc_id") == F.col("_gone_doc"), "left")
-    cut = joined.withColumn("_lines", F.split(F.coalesce("text", F.lit("")), "\n", -1)).withColumn("_chunks", F.when(F.col("_gone").isNotNull(), parts)).withColumn("_left", left)
-    n_lines = F.when(F.col("text").isNull(), 0).otherwise(F.size("_lines")).cast("long")
-    n_removed = F.when(F.col("_gone").isNull(), 0).otherwise(F.size("_lines") - F.size("_left")).cast("long")
+    touched = F.when(F.col("_gone").isNotNull(), F.coalesce("text", F.lit("")))
+    cut = chunked(joined, touched, cut_below).withColumn("_left", F.filter("_chunks", lambda c, i: ~F.array_contains("_gone", i)))
+    left = F.array_join("_left", "\n")
+    plain = F.substr(F.replace(F.concat(F.lit("\n"), left), F.lit("\n" + LINE), F.lit("\n")), F.lit(2))
+    text = F.when(F.col("_gone").isNull(), F.col("text")).otherwise(plain)
+    n_lines = F.when(F.col("text").isNull(), 0).otherwise(F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1).cast("long")
+    n_left = F.when(F.size("_left") > 0, F.length(left) - F.length(F.replace(left, F.lit("\n"), F.lit(""))) + 1).otherwise(0)
+    n_removed = F.when(F.col("_gone").isNull(), 0).otherwise(F.size("_lines") - n_left).cast("long")
     new = {"text": text} | ({"n_chars": F.length(text).cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {})
     same = [new.get(c, F.col(c)).alias(c) for c in docs.columns if c not in ("n_lines", "n_removed")]
     return cut.select(*same, n_lines.alias("n_lines"), n_removed.alias("n_removed"))
