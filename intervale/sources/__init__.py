@@ -1 +1 @@
-""""""
+"""Tables in, results out."""
