@@ -1,6 +1,6 @@
 """All queries of the library."""
 
-from intervale.plans import events, relations
+from intervale.plans import events, nulls, relations, segments
 from intervale.plans.registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "events", "relations"]
+__all__ = ["ORACLES", "QUERIES", "events", "nulls", "relations", "segments"]
