@@ -1,6 +1,6 @@
 """All queries of the library."""
 
-from intervale.plans import events, models, nulls, relations, segments, signals
+from intervale.plans import events, models, nulls, relations, segments, signals, streams
 from intervale.plans.registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "events", "models", "nulls", "relations", "segments", "signals"]
+__all__ = ["ORACLES", "QUERIES", "events", "models", "nulls", "relations", "segments", "signals", "streams"]

@@ -1 +1 @@
-""""""
+"""Structured Streaming versions of the event operators."""
