@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from intervale.llm import decontaminate, extract, fertility, language, linedup, neardup, packing, quality, secrets, substrings
+from intervale.llm import decontaminate, extract, fertility, language, linedup, neardup, oracles, packing, quality, secrets, substrings
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -62,4 +62,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_html_extract, op2_substring_dedup, op3_quality_rules, op4_line_dedup, op5_quality_classifier, op6_packing, op7_decontamination, op8_language_id, op9_near_dedup, op10_secret_scan)
 }
 
-ORACLES: dict[str, str] = {"op4_line_dedup": linedup.CHUNK_SQL}
+ORACLES: dict[str, str] = {
+    "op2_substring_dedup": oracles.SUBSTRINGS,
+    "op4_line_dedup": linedup.CHUNK_SQL,
+    "op7_decontamination": oracles.CONTAMINATION,
+    "op9_near_dedup": oracles.NEAR_DUPLICATES,
+    "op10_secret_scan": oracles.secrets_sql(secrets.BASE, secrets.WIDER),
+}
