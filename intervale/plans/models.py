@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from intervale.operators import graph as G
 from intervale.operators import models as M
-from intervale.plans.events import EV, r6
+from intervale.plans.events import _acg, r6
 from intervale.plans.registry import query
 from intervale.plans.segments import SG, _phases, _widths
 from intervale.sources.scratch import saved
@@ -121,8 +121,6 @@ def lme_beta(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def acg_fit(spark: SparkSession, d: str) -> DataFrame:
     """Rise and decay times of each unit's autocorrelogram after lag 0, in hours."""
-    from intervale.plans.events import _acg
-
     right = _acg(spark, d).where("bin >= 24").groupBy("unit").agg(F.transform(F.array_sort(F.collect_list(F.struct("bin", "n"))), lambda s: s["n"].cast("double")).alias("y"))
 
     def fit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
