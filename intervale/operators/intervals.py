@@ -1,7 +1,7 @@
 """Joins of points with windows: range, first-match, as-of and interpolating, without pairing a unit's points with each other.
 
 Range joins go by (unit, time bucket): a window meets only the points of the few buckets that it covers, so work grows with the
-matches and a unit with most of the points is spread over its buckets. As-of joins are one sort per unit.
+matches and a unit with most of the points is spread over its buckets. As-of joins sort inside those buckets and carry the last mark from bucket to bucket.
 """
 
 from __future__ import annotations
@@ -41,25 +41,40 @@ def rates(counted: DataFrame, unit_us: int) -> DataFrame:
     return counted.withColumn("rate", F.when(span > 0, F.col("n") / span))
 
 
-def as_of(points: DataFrame, marks: DataFrame, key: str, columns: list[str]) -> DataFrame:
+def carried(rows: DataFrame, key: str, order: list[str], value: Column, bucket: int, name: str) -> DataFrame:
+    """``rows`` (key, t, more) with ``name``: the last non-null ``value`` at or before each row in the order (t, *order).
+
+    Rows are sorted inside (key, bucket) only; between buckets, each one's last value is carried on, one row a bucket. A key with most
+    of the rows is thus spread over its buckets.
+    """
+    placed = rows.withColumns({"_v": value, "_b": F.floor(F.col("t") / bucket)})
+    inside = F.last("_v", ignorenulls=True).over(Window.partitionBy(key, "_b").orderBy("t", *order).rowsBetween(Window.unboundedPreceding, 0))
+    lasts = placed.groupBy(key, "_b").agg(F.max_by("_v", F.when(F.col("_v").isNotNull(), F.struct("t", *order))).alias("_l"))
+    earlier = F.last("_l", ignorenulls=True).over(Window.partitionBy(key).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1))
+    found = placed.withColumn("_inside", inside).join(lasts.select(key, "_b", earlier.alias("_earlier")), [key, "_b"], "left")
+    return found.withColumn(name, F.coalesce("_inside", "_earlier")).drop("_v", "_b", "_inside", "_earlier")
+
+
+def as_of(points: DataFrame, marks: DataFrame, key: str, columns: list[str], bucket: int = 7 * 86_400_000_000) -> DataFrame:
     """Each point with the ``columns`` of the latest of ``marks`` at or before it (null before the first); both have (key, t)."""
-    carried = F.struct(F.col("t").alias("_at"), *columns)
-    both = points.withColumns({"_mark": F.lit(None).cast(marks.select(carried.alias("x")).schema["x"].dataType), "_order": F.lit(1)}).unionByName(marks.select(key, "t", carried.alias("_mark"), F.lit(0).alias("_order")), allowMissingColumns=True)
-    latest = F.last("_mark", ignorenulls=True).over(Window.partitionBy(key).orderBy("t", "_order").rowsBetween(Window.unboundedPreceding, 0))
-    return both.withColumn("_last", latest).where("_order = 1").select(*points.columns, F.col("_last._at").alias("mark_t"), *[F.col(f"_last.{c}").alias(c) for c in columns])
-
-
-def interpolated(points: DataFrame, samples: DataFrame, key: str) -> DataFrame:
-    """Each point with the linear interpolation of ``samples`` (key, t, value) at its time; null outside their range."""
-    sample = F.when(F.col("_order") == 0, F.struct("t", "value"))
-    both = points.select(key, "t", "point_id", F.lit(None).cast("double").alias("value"), F.lit(1).alias("_order")).unionByName(samples.select(key, "t", F.lit(None).cast("long").alias("point_id"), "value", F.lit(0).alias("_order")))
-    by = Window.partitionBy(key).orderBy("t", "_order", "point_id")
-    before = F.last(sample, ignorenulls=True).over(by.rowsBetween(Window.unboundedPreceding, 0))
-    after = F.first(sample, ignorenulls=True).over(by.rowsBetween(0, Window.unboundedFollowing))
-    near = both.withColumns({"a": before, "b": after}).where("_order = 1")
-    share = (F.col("t") - F.col("a.t")) / (F.col("b.t") - F.col("a.t")).cast("double")
-    value = F.when(F.col("a.t") == F.col("t"), F.col("a.value")).otherwise(F.col("a.value") + share * (F.col("b.value") - F.col("a.value")))
-    return near.select(key, "point_id", "t", value.alias("value"))
+    mark = F.struct(F.col("t").alias("_at"), *columns)
+    kind = marks.select(mark.alias("x")).schema["x"].dataType
+    both = points.withColumns({"_mark": F.lit(None).cast(kind), "_order": F.lit(1)}).unionByName(marks.select(key, "t", mark.alias("_mark"), F.lit(0).alias("_order")), allowMissingColumns=True)
+    found = carried(both, key, ["_order"], F.col("_mark"), bucket, "_last").where("_order = 1")
+    return found.select(*points.columns, F.col("_last._at").alias("mark_t"), *[F.col(f"_last.{c}").alias(c) for c in columns])
+
+
+def interpolated(points: DataFrame, samples: DataFrame, key: str, bucket: int = 7 * 86_400_000_000) -> DataFrame:
+    """Each point with the linear interpolation of ``samples`` (key, t, value) at its time; null outside their range.
+
+    The sample after a point is the one before it in reversed time.
+    """
+    at = points.select(key, "point_id", "t")
+    before = as_of(at, samples.select(key, "t", "value"), key, ["value"], bucket).select(key, "point_id", "t", F.col("mark_t").alias("t0"), F.col("value").alias("v0"))
+    turned = as_of(before.withColumn("t", -F.col("t")), samples.select(key, (-F.col("t")).alias("t"), "value"), key, ["value"], bucket)
+    share = (-F.col("t") - F.col("t0")) / (-F.col("mark_t") - F.col("t0")).cast("double")
+    value = F.when(F.col("t0") == -F.col("t"), F.col("v0")).otherwise(F.col("v0") + share * (F.col("value") - F.col("v0")))
+    return turned.select(key, "point_id", (-F.col("t")).alias("t"), value.alias("value"))
 
 
 def consecutive(marks: DataFrame, key: str) -> DataFrame:
