@@ -7,6 +7,7 @@ whose size is the number of samples squared and does not depend on the rows. Cro
 from __future__ import annotations
 
 from collections.abc import Iterator
+from math import lgamma
 
 import numpy as np
 import pyarrow as pa
@@ -249,3 +250,21 @@ def fitted_shape(t: np.ndarray, y: np.ndarray, rounds: int = 80) -> tuple[np.nda
         p, cost, damp = (trial, new, damp / 3) if new < cost else (p, cost, min(damp * 4, 1e9))
     spread = ((y - y.mean()) ** 2).sum()
     return p, float(1 - cost / spread) if spread > 0 else float("nan")
+
+
+def split_spaces(w: np.ndarray, tolerance: float = 1e-3) -> tuple[np.ndarray, np.ndarray]:
+    """Orthonormal bases (as columns) of what a map x W lets through and of what it does not; at least one direction is let through."""
+    left, value, _ = np.linalg.svd(w, full_matrices=True)
+    rank = max(1, int((value > tolerance * value[0]).sum()))
+    return left[:, :rank], left[:, rank:]
+
+
+def fisher_exact(a: int, b: int, c: int, d: int) -> float:
+    """Two-sided p of a 2 x 2 table: the chance of all tables that are no likelier."""
+    n, row, column = a + b + c + d, a + b, a + c
+    log = lambda x: lgamma(x + 1)
+    fixed = log(row) + log(n - row) + log(column) + log(n - column) - log(n)
+    chance = lambda x: fixed - log(x) - log(row - x) - log(column - x) - log(n - row - column + x)
+    low, high = max(0, row + column - n), min(row, column)
+    p = np.exp([chance(x) for x in range(low, high + 1)])
+    return float(min(1.0, p[p <= p[a - low] * (1 + 1e-7)].sum()))

@@ -15,7 +15,7 @@ from intervale.plans.events import _acg, r6
 from intervale.plans.registry import query
 from intervale.plans.segments import SG, _phases, _widths
 from intervale.sources.scratch import saved
-from intervale.sources.tables import points, segments
+from intervale.sources.tables import points, segments, table
 
 FOLDS = 5
 
@@ -195,3 +195,28 @@ def louvain_labels(spark: SparkSession, d: str) -> DataFrame:
 def spectral_split(spark: SparkSession, d: str) -> DataFrame:
     """Two sides of the weighted graph by the second eigenvector."""
     return G.bisected(G.symmetric(G.fuzzy_weights(_graph(spark, d), K)), 8, saved)
+
+
+@query()
+def null_space_split(spark: SparkSession, d: str) -> DataFrame:
+    """Variance of the first half of the segments in the directions that a rank-3 map to the second half uses, and in the others, by group."""
+    by_group = M.matrices(M.moments(segments(spark, d), "grp"))
+    potent, null = M.split_spaces(M.reduced_rank(sum(by_group.values()), 32, 10.0, 3))
+    rows = []
+    for g, m in by_group.items():
+        cov = M.covariance(m)[1][:32, :32]
+        energy = [float(np.trace(b.T @ cov @ b)) for b in (potent, null)]
+        rows.append((g, potent.shape[1], *energy, energy[1] / energy[0] / (null.shape[1] / potent.shape[1]) if energy[0] > 0 else None))
+    return spark.createDataFrame(rows, "grp long, rank long, potent double, outside double, ratio double")
+
+
+@query()
+def fisher_labels(spark: SparkSession, d: str) -> DataFrame:
+    """Exact test of the two labels' independence: four counts, then a sum over the tables with the same margins."""
+    cells = table(spark, d, "labels").where("quality IN (0, 1) AND toxic IN (0, 1)").groupBy().agg(*[F.count_if((F.col("quality") == a) & (F.col("toxic") == b)).alias(f"n{a}{b}") for a in (0, 1) for b in (0, 1)])
+
+    def test(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            yield pdf.assign(p=[M.fisher_exact(*map(int, r)) for r in pdf[["n00", "n01", "n10", "n11"]].to_numpy()])
+
+    return cells.mapInPandas(test, "n00 long, n01 long, n10 long, n11 long, p double")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from intervale.operators import relational as R
+from intervale.operators.resampling import lot
 from intervale.plans.events import EV, r6
 from intervale.plans.registry import query
 from intervale.sources.tables import points, table
@@ -123,13 +124,14 @@ def knee_argmin(spark: SparkSession, d: str) -> DataFrame:
     return r6(found.orderBy(F.desc(F.round("gap", 9)), "size").limit(1), "share", "gap")
 
 
-@query("""WITH r AS (SELECT c_mktsegment AS segment, c_custkey, c_acctbal, row_number() OVER (PARTITION BY c_mktsegment ORDER BY c_acctbal, c_custkey) - 1 AS i, count(*) OVER (PARTITION BY c_mktsegment) AS n FROM customer)
-SELECT segment, (i * 10 // n)::BIGINT AS decile, count(*)::BIGINT AS n, min(c_acctbal) AS low, max(c_acctbal) AS high FROM r GROUP BY 1, 2""")
+@query("""WITH r AS (SELECT c_mktsegment AS segment, c_custkey, c_acctbal, row_number() OVER (PARTITION BY c_mktsegment ORDER BY c_acctbal, c_custkey) AS r, count(*) OVER (PARTITION BY c_mktsegment) AS n FROM customer)
+SELECT segment, greatest(ceil((r - 1) * 10 / nullif(n - 1, 0)::DOUBLE)::BIGINT - 1, 0)::BIGINT AS decile, count(*)::BIGINT AS n, min(c_acctbal) AS low, max(c_acctbal) AS high FROM r GROUP BY 1, 2""")
 def decile_strata(spark: SparkSession, d: str) -> DataFrame:
-    """Deciles of balances inside each market segment."""
+    """Deciles of balances inside each market segment, by rank, with edges closed on the right."""
     by = Window.partitionBy("c_mktsegment").orderBy("c_acctbal", "c_custkey")
-    ranked = table(spark, d, "customer").select(F.col("c_mktsegment").alias("segment"), "c_acctbal", (F.row_number().over(by) - 1).alias("i"), F.count(F.lit(1)).over(Window.partitionBy("c_mktsegment")).alias("n"))
-    return ranked.groupBy("segment", F.floor(F.col("i") * 10 / F.col("n")).alias("decile")).agg(F.count(F.lit(1)).alias("n"), F.min("c_acctbal").alias("low"), F.max("c_acctbal").alias("high"))
+    ranked = table(spark, d, "customer").select(F.col("c_mktsegment").alias("segment"), "c_acctbal", F.row_number().over(by).alias("r"), F.count(F.lit(1)).over(Window.partitionBy("c_mktsegment")).alias("n"))
+    share = F.when(F.col("n") > 1, (F.col("r") - 1) * 10 / (F.col("n") - 1).cast("double"))
+    return ranked.groupBy("segment", F.greatest(F.ceil(share) - 1, F.lit(0)).alias("decile")).agg(F.count(F.lit(1)).alias("n"), F.min("c_acctbal").alias("low"), F.max("c_acctbal").alias("high"))
 
 
 @query("""WITH c AS (SELECT lang, source, count(*) AS n FROM documents GROUP BY 1, 2) SELECT a.lang, b.source, coalesce(n, 0)::BIGINT AS n FROM (SELECT DISTINCT lang FROM c) a CROSS JOIN (SELECT DISTINCT source FROM c) b LEFT JOIN c ON c.lang = a.lang AND c.source = b.source""")
@@ -305,3 +307,42 @@ def turn_sequences(spark: SparkSession, d: str) -> DataFrame:
     by = Window.partitionBy("conv_id").orderBy("turn", "role")
     growth = F.length("text") - F.coalesce(F.length(F.lag("text").over(by)), F.lit(0))
     return table(spark, d, "conversations").select("conv_id", "turn", "role", F.lag("role").over(by).alias("before_role"), growth.cast("long").alias("growth"), F.sum((F.col("role") == "user").cast("long")).over(by).alias("user_turns"))
+
+
+@query(f"WITH {EV} SELECT mark, round(quantile_cont(value, 0.05), 6) AS p5, round(quantile_cont(value, 0.25), 6) AS p25, round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.75), 6) AS p75, round(quantile_cont(value, 0.95), 6) AS p95 FROM e GROUP BY 1")
+def quantile_summary(spark: SparkSession, d: str) -> DataFrame:
+    """Five percentiles of each mark's values."""
+    shares = {"p5": 0.05, "p25": 0.25, "p50": 0.5, "p75": 0.75, "p95": 0.95}
+    return r6(points(spark, d).groupBy("mark").agg(*[F.percentile("value", q).alias(n) for n, q in shares.items()]), *shares)
+
+
+@query("WITH m AS (SELECT c_mktsegment AS segment, c_custkey AS custkey, CASE WHEN c_acctbal >= 0 THEN c_acctbal END AS v FROM customer), q AS (SELECT segment, median(v) AS md FROM m GROUP BY 1) SELECT custkey, round(coalesce(v, md), 6) AS balance, v IS NULL AS imputed FROM m JOIN q ON q.segment = m.segment")
+def median_imputation(spark: SparkSession, d: str) -> DataFrame:
+    """Balances, where negative ones count as missing and take their segment's median."""
+    c = table(spark, d, "customer").select(F.col("c_mktsegment").alias("segment"), F.col("c_custkey").alias("custkey"), F.when(F.col("c_acctbal") >= 0, F.col("c_acctbal")).alias("v"))
+    medians = c.groupBy("segment").agg(F.median("v").alias("md"))
+    return c.join(F.broadcast(medians), "segment").select("custkey", F.round(F.coalesce("v", "md"), 6).alias("balance"), F.col("v").isNull().alias("imputed"))
+
+
+@query("""WITH l AS (SELECT quality, doc_id, row_number() OVER (PARTITION BY quality ORDER BY md5(concat_ws(':', '1', doc_id::VARCHAR)), doc_id) AS k, count(*) OVER (PARTITION BY quality) AS n FROM labels WHERE quality IS NOT NULL) SELECT quality, doc_id FROM l WHERE k <= (SELECT min(n) FROM l)""")
+def matched_sample(spark: SparkSession, d: str) -> DataFrame:
+    """As many documents of each quality as the rarer one has, drawn by hash."""
+    l = table(spark, d, "labels").where("quality IS NOT NULL").select("quality", "doc_id")
+    least = l.groupBy("quality").agg(F.count(F.lit(1)).alias("n")).agg(F.min("n").alias("least"))
+    place = F.row_number().over(Window.partitionBy("quality").orderBy(lot(F.lit(1), F.col("doc_id")), "doc_id"))
+    return l.withColumn("k", place).crossJoin(F.broadcast(least)).where("k <= least").select("quality", "doc_id")
+
+
+@query("SELECT o_custkey AS custkey, o_orderkey AS orderkey, round(sum(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey ROWS UNBOUNDED PRECEDING) - o_totalprice, 4) AS offset_before FROM orders")
+def running_offsets(spark: SparkSession, d: str) -> DataFrame:
+    """The sum of a customer's earlier orders before each one."""
+    by = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey").rowsBetween(Window.unboundedPreceding, 0)
+    return table(spark, d, "orders").select(F.col("o_custkey").alias("custkey"), F.col("o_orderkey").alias("orderkey"), F.round(F.sum("o_totalprice").over(by) - F.col("o_totalprice"), 4).alias("offset_before"))
+
+
+@query("SELECT vec_id AS unit, round(embedding[1]::DOUBLE, 6) AS w0, round(embedding[2]::DOUBLE, 6) AS w1, round(embedding[3]::DOUBLE, 6) AS w2, round(embedding[4]::DOUBLE, 6) AS w3, len(embedding)::INTEGER AS n FROM embeddings WHERE len(embedding) = (SELECT mode(len(embedding)) FROM embeddings)")
+def wide_export(spark: SparkSession, d: str) -> DataFrame:
+    """Segments of the commonest length, with their first samples as columns."""
+    e = table(spark, d, "embeddings").select(F.col("vec_id").alias("unit"), "embedding", F.size("embedding").alias("n"))
+    usual = e.groupBy("n").agg(F.count(F.lit(1)).alias("c")).agg(F.max(F.struct("c", "n")).alias("m")).select(F.col("m.n").alias("n"))
+    return e.join(F.broadcast(usual), "n").select("unit", *[F.round(F.col("embedding")[i].cast("double"), 6).alias(f"w{i}") for i in range(4)], "n")

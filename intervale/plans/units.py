@@ -10,6 +10,7 @@ from intervale.operators import intervals as I
 from intervale.operators import pointprocess as P
 from intervale.operators import relational as R
 from intervale.operators import resampling as S
+from intervale.operators import sampled as D
 from intervale.plans.events import CY, EV, ON, H, _in_cycles, onsets, r6
 from intervale.plans.nulls import LOT, N, REPS
 from intervale.plans.registry import query
@@ -161,3 +162,35 @@ def cross_correlogram(spark: SparkSession, d: str) -> DataFrame:
 def bca_interval(spark: SparkSession, d: str) -> DataFrame:
     """Bias-corrected and accelerated bootstrap interval of the mean reach, by group: means of resamples by Poisson weights, jackknife by sums."""
     return S.bca(_widths(spark, d).select("grp", F.col("unit").alias("key"), F.col("w").alias("x")), "grp", range(1, 201))
+
+
+SR = f"""{EV}, sr AS (SELECT mark, (t // {H})::BIGINT AS i, sum(value) AS v FROM e GROUP BY 1, 2), lim AS (SELECT mark, min(i // 24) AS lo, max(i // 24) AS hi FROM sr GROUP BY 1)"""
+
+
+@query(f"""WITH {SR}, o AS (SELECT DISTINCT (t // {DAY})::BIGINT AS day FROM e WHERE mark = 'signup'), g AS (SELECT s.mark, o.day, k.k, day * 24 + 18 + k.k AS i FROM o CROSS JOIN range(12) k(k) CROSS JOIN (SELECT DISTINCT mark FROM sr) s),
+x AS (SELECT g.mark, g.day, g.k, sr.v, count(h.c) OVER (PARTITION BY g.mark, g.day) AS n FROM g LEFT JOIN sr ON sr.mark = g.mark AND sr.i = g.i LEFT JOIN (SELECT DISTINCT mark, i // 24 AS c FROM sr) h ON h.mark = g.mark AND h.c = g.i // 24)
+SELECT mark, day AS onset, count(v)::BIGINT AS n, round(sum(v), 6) AS total, round(max(v), 6) AS top FROM x WHERE n = 12 GROUP BY 1, 2""")
+def signal_epochs(spark: SparkSession, d: str) -> DataFrame:
+    """Hourly sums of each mark as a chunked signal, cut from 18 h of each day with a sign-up to 6 h of the next; windows over the ends drop out."""
+    p = points(spark, d)
+    series = p.groupBy("mark", F.floor(F.col("t") / H).alias("i")).agg(F.sum("value").alias("value"))
+    chunks = D.chunked(series, ["mark"], 24)
+    days = p.where("mark = 'signup'").select(F.floor(F.col("t") / DAY).alias("onset")).distinct().select("onset", (F.col("onset") * 24).alias("at"))
+    everywhere = days.crossJoin(F.broadcast(p.select("mark").distinct()))
+    found = D.aligned(chunks, everywhere, ["mark"], 24, 18, 30)
+    known = F.filter("samples", lambda v: v.isNotNull())
+    return r6(found.select("mark", "onset", F.size(known).cast("long").alias("n"), F.aggregate(known, F.lit(0.0), lambda a, v: a + v).alias("total"), F.array_max(known).alias("top")).withColumn("total", F.when(F.col("n") > 0, F.col("total"))), "total", "top")
+
+
+@query(f"WITH {SG}, r AS (SELECT grp, unit, list_max(x) - list_min(x) > 0.75::DOUBLE AS bad FROM s) SELECT grp, count(*)::BIGINT AS n, count(*) FILTER (bad)::BIGINT AS rejected, bool_or(bad) AS any_rejected FROM r GROUP BY 1")
+def p2p_reject(spark: SparkSession, d: str) -> DataFrame:
+    """Segments of each group whose reach is over a threshold."""
+    bad = _widths(spark, d).withColumn("bad", F.col("w") > 0.75)
+    return bad.groupBy("grp").agg(F.count(F.lit(1)).alias("n"), F.count_if("bad").alias("rejected"), F.bool_or("bad").alias("any_rejected"))
+
+
+@query(f"""WITH {SG}, v AS (SELECT grp, unnest(x) AS v, unnest(range(64)) AS i FROM s), g AS (SELECT grp, i, var_pop(v) AS q FROM v GROUP BY 1, 2), a AS (SELECT grp, sum(q) AS variance FROM g GROUP BY 1) SELECT grp, round(variance, 6) AS variance, round(variance / sum(variance) OVER (), 6) AS share FROM a""")
+def variance_by_condition(spark: SparkSession, d: str) -> DataFrame:
+    """Variance across a group's segments, summed over samples, and its share of all groups'."""
+    long = segments(spark, d).select("grp", F.posexplode("samples").alias("i", "v"))
+    return r6(D.variance_by(long, "grp", "i", "v"), "variance", "share")
