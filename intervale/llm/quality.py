@@ -24,6 +24,8 @@ BUCKETS, SIZE = 1 << 17, 8
 #: Lengths of character n-grams.
 GRAMS = (2, 3, 4)
 EPOCHS, RATE = 4, 0.6
+#: Bytes of text that a task scores at once; a byte gives about three features.
+SCORED_BYTES = 2 << 20
 #: Features that the prior weighs as much as: texts of a few words give little evidence of their own.
 PRIOR_WEIGHT = 20
 
@@ -35,39 +37,41 @@ def _gram_features(distinct: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     data = np.frombuffer("".join(f"<{w}>" for w in words).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
     length = np.array([len(w) + 2 for w in words], dtype=np.int64)
     end = np.cumsum(length)
-    owner = np.repeat(np.arange(n), length)
-    hashed, owners = [W.mix(W.hashes(distinct))], [np.arange(n)]
+    owner = np.repeat(np.arange(n, dtype=np.int32), length)
+    bucket = lambda h: (h % np.uint64(BUCKETS)).astype(np.int32)
+    buckets, owners = [bucket(W.mix(W.hashes(distinct)))], [np.arange(n, dtype=np.int32)]
     base = W.mix(data + np.uint64(0x1F3))
     for size in GRAMS:
         rolled = W.windows(base, size)
         if len(rolled):
             fits = np.arange(len(rolled)) + size <= end[owner[: len(rolled)]]
-            hashed.append(rolled[fits] ^ np.uint64(size << 8))
+            buckets.append(bucket(rolled[fits] ^ np.uint64(size << 8)))
             owners.append(owner[: len(rolled)][fits])
     owner = np.concatenate(owners)
     order = np.argsort(owner, kind="stable")
-    return (np.concatenate(hashed)[order] % np.uint64(BUCKETS)).astype(np.int64), np.searchsorted(owner[order], np.arange(n + 1))
+    return np.concatenate(buckets)[order], np.searchsorted(owner[order], np.arange(n + 1))
 
 
 def _pair_features(codes: np.ndarray, hashed: np.ndarray) -> np.ndarray:
     """The bucket of each pair of neighbouring words; a word that follows itself gives one bucket of its own."""
     if len(codes) < 2:
-        return np.zeros(0, np.int64)
+        return np.zeros(0, np.int32)
     pair = W.joined(hashed[codes[:-1]], hashed[codes[1:]])
-    return np.where(codes[:-1] == codes[1:], 0, 1 + (pair % np.uint64(BUCKETS - 1)).astype(np.int64))
+    return np.where(codes[:-1] == codes[1:], np.int32(0), 1 + (pair % np.uint64(BUCKETS - 1)).astype(np.int32))
 
 
 def bags(texts: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
     """(buckets, counts) of each text."""
     codes, ends, distinct = W.split(texts)
     hashed = W.hashes(distinct) if len(distinct) else np.zeros(0, np.uint64)
-    flat, cuts = _gram_features(distinct) if len(distinct) else (np.zeros(0, np.int64), np.zeros(1, np.int64))
+    flat, cuts = _gram_features(distinct) if len(distinct) else (np.zeros(0, np.int32), np.zeros(1, np.int64))
     out = []
     for a, b in zip(ends[:-1], ends[1:], strict=True):
         mine = codes[a:b]
         n = cuts[mine + 1] - cuts[mine]
         grams = flat[np.repeat(cuts[mine] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())] if len(mine) else flat[:0]
-        out.append(np.unique(np.concatenate([grams, _pair_features(mine, hashed)]), return_counts=True))
+        bucket, count = np.unique(np.concatenate([grams, _pair_features(mine, hashed)]), return_counts=True)
+        out.append((bucket, count.astype(np.float32)))
     return out
 
 
@@ -98,7 +102,7 @@ def fit(documents: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, epoc
     for _ in range(epochs):
         for i in dice.permutation(usable):
             bucket, count = documents[i]
-            part = (count / count.sum()).astype(np.float32)
+            part = count / count.sum()
             mean = part @ vectors[bucket]
             score = mean @ layer + bias
             p = np.exp(score - score.max())
@@ -133,7 +137,7 @@ def scored(docs: DataFrame, model: Model, column: str = "score") -> DataFrame:
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         gain, bias, prior = gains.value
         for batch in batches:
-            for some in W.slices(batch):
+            for some in W.slices(batch, most=SCORED_BYTES):
                 n = some.num_rows
                 codes, ends, distinct = W.split(some.column("text"))
                 total, count = np.zeros(n), np.zeros(n)
