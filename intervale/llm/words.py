@@ -10,7 +10,7 @@ import pyarrow.compute as pc
 import xxhash
 
 #: Bytes of text that a task turns into words at once.
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 4 << 20
 
 KEEP = np.arange(256, dtype=np.uint8)
 #: A-Z to a-z, all else as it is.
