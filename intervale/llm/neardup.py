@@ -127,15 +127,11 @@ def forest(ids: np.ndarray, sets: list[np.ndarray], blocks: np.ndarray, percent:
     return [(int(ids[i]), int(ids[root[i]])) for i in range(n) if root[i] != i]
 
 
-def confirmed(docs: DataFrame, clusters: DataFrame, size: int, percent: int, block: int = BLOCK) -> DataFrame:
-    """(a, b, whole): links between the documents of each cluster (id, root) on full sets, as forests of bounded blocks.
-
-    ``whole`` tells that the cluster was one block, so that b is the smallest document of a's component.
-    """
+def sets_of_clusters(docs: DataFrame, clusters: DataFrame, size: int, block: int) -> DataFrame:
+    """(id, root, n_blocks, own, shingles): the full set of each document of a cluster, and its block there."""
     sizes = clusters.groupBy("root").agg(F.count(F.lit(1)).alias("n"))
-    blocks = F.ceil(F.col("n") / F.lit(block)).cast("int")
     own = F.pmod(F.xxhash64("id"), F.col("n_blocks")).cast("int")
-    placed = clusters.join(sizes, "root").select("id", "root", blocks.alias("n_blocks")).withColumn("own", own)
+    placed = clusters.join(sizes, "root").select("id", "root", F.ceil(F.col("n") / F.lit(block)).cast("int").alias("n_blocks")).withColumn("own", own)
 
     def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -145,18 +141,23 @@ def confirmed(docs: DataFrame, clusters: DataFrame, size: int, percent: int, blo
 
     texts = docs.select(F.col("doc_id").alias("id"), "text")
     # a sort-merge join at every size: the plan, and what it shuffles, grows evenly
-    rows = texts.join(placed.hint("merge"), "id").mapInArrow(sets_of, "id long, root long, n_blocks int, own int, shingles binary").dropDuplicates(["id"])
-    other = F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)).alias("other")
-    pairs = rows.select("*", other).select("id", "root", "n_blocks", "own", "shingles", F.least("own", "other").alias("one"), F.greatest("own", "other").alias("two"))
-    ordered = pairs.repartition("root", "one", "two").sortWithinPartitions("root", "one", "two", "own", "id")
+    return texts.join(placed.hint("merge"), "id").mapInArrow(sets_of, "id long, root long, n_blocks int, own int, shingles binary").dropDuplicates(["id"])
+
+
+def compared(rows: DataFrame, percent: int) -> DataFrame:
+    """(a, b, whole): forests of the links in each group (root, one, two) of rows (those, side, id, shingles, whole).
+
+    Rows of side 0 meet those of side 1; a group with one side is compared with itself. A group holds two blocks at most.
+    """
+    ordered = rows.repartition("root", "one", "two").sortWithinPartitions("root", "one", "two", "side", "id")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, ids, own, sets, whole = None, [], [], [], False
+        key, ids, sides, sets, is_whole = None, [], [], [], False
         found: list[tuple[int, int, bool]] = []
 
         def settle() -> None:
             if len(ids) > 1:
-                found.extend((*edge, whole) for edge in forest(np.array(ids), sets, np.array(own), percent))
+                found.extend((a, b, is_whole) for a, b in forest(np.array(ids), sets, np.array(sides), percent) if a != b)
 
         def out() -> pa.RecordBatch:
             a, b, w = zip(*found, strict=True) if found else ((), (), ())
@@ -164,19 +165,47 @@ def confirmed(docs: DataFrame, clusters: DataFrame, size: int, percent: int, blo
             return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(w, pa.bool_())], names=["a", "b", "whole"])
 
         for batch in batches:
-            columns = [batch.column(c).to_pylist() for c in ("id", "root", "one", "two", "own", "n_blocks", "shingles")]
-            for i, root, one, two, o, n_blocks, shingles in zip(*columns, strict=True):
+            columns = [batch.column(c).to_pylist() for c in ("root", "one", "two", "id", "side", "whole", "shingles")]
+            for root, one, two, i, side, whole, shingles in zip(*columns, strict=True):
                 if (root, one, two) != key:
                     settle()
-                    key, ids, own, sets, whole = (root, one, two), [], [], [], n_blocks == 1
+                    key, ids, sides, sets, is_whole = (root, one, two), [], [], [], whole
                 ids.append(i)
-                own.append(o)
+                sides.append(side)
                 sets.append(np.frombuffer(shingles, np.uint64))
             yield out()
         settle()
         yield out()
 
-    return ordered.mapInArrow(compare, "a long, b long, whole boolean")
+    return ordered.select("root", "one", "two", "id", "side", "whole", "shingles").mapInArrow(compare, "a long, b long, whole boolean")
+
+
+def confirmed(docs: DataFrame, clusters: DataFrame, size: int, percent: int, block: int = BLOCK) -> DataFrame:
+    """(a, b, whole): links between the documents of each cluster (id, root) on full sets, as forests of bounded blocks.
+
+    ``whole`` tells that the cluster was one block, so that b is the smallest document of a's component.
+
+    A cluster of several blocks is compared block by block first, with its root in each. What is linked with the root then is one
+    component already; only the documents outside it meet the other blocks. So a large group of true copies costs its own size,
+    and the square is left to groups whose members share bands but not links.
+    """
+    rows = written(sets_of_clusters(docs, clusters, size, block), "sets")
+    whole = F.col("n_blocks") == 1
+    all_blocks = F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1))
+    own = rows.select("root", F.col("own").alias("one"), F.lit(0).alias("two"), F.lit(0).alias("side"), "id", whole.alias("whole"), "shingles")
+    roots = rows.where("id = root AND n_blocks > 1").select("*", all_blocks.alias("one")).where("one <> own")
+    first = written(compared(own.unionByName(roots.select("root", "one", F.lit(0).alias("two"), F.lit(0).alias("side"), "id", F.lit(False).alias("whole"), "shingles")), percent), "links")
+    several = rows.where("n_blocks > 1")
+    if several.isEmpty():
+        return first
+    parts = connected_components(first.where("NOT whole").select("a", "b")).withColumnRenamed("root", "part")
+    outside = several.join(parts, "id", "left").where(F.coalesce("part", "id") != F.col("root")).drop("part")
+    n_out = outside.groupBy("root").agg(F.ceil(F.count(F.lit(1)) / F.lit(block)).cast("int").alias("n_out"))
+    strays = outside.join(n_out, "root").withColumn("one", F.pmod(F.xxhash64("id", F.lit(1)), F.col("n_out")).cast("int"))
+    columns = ["root", "one", "two", "side", "id", "whole", "shingles"]
+    left = strays.select("*", all_blocks.alias("two"), F.lit(0).alias("side"), F.lit(False).alias("whole")).select(columns)
+    right = several.join(n_out, "root").select("*", F.explode(F.sequence(F.lit(0), F.col("n_out") - 1)).alias("one"), F.col("own").alias("two"), F.lit(1).alias("side"), F.lit(False).alias("whole")).select(columns)
+    return first.unionByName(compared(left.unionByName(right), percent))
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 85, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
