@@ -25,6 +25,9 @@ from intervale.llm.store import written
 #: Bytes of test items that one broadcast block may hold; more items are searched block after block.
 BLOCK_BYTES = 32 << 20
 
+#: Documents whose postings a task searches at once, and words that they have at most (one document may have more).
+SEARCHED_ROWS, SEARCHED_WORDS = 1000, 400_000
+
 INDEX = "doc_id long, n_words long, terms array<int>, positions array<int>"
 MATCHES = "doc_id long, n_words long, first array<int>, last array<int>, items array<string>"
 
@@ -53,13 +56,24 @@ def phrases_of(items: list[tuple[str, str]], size: int) -> Phrases:
     return Phrases(distinct.to_pylist(), terms, (terms >= 0).sum(axis=1), [list(x) for x in found.values()])
 
 
+def pieces(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch of postings with a bounded number of words."""
+    at = 0
+    total = np.cumsum(np.asarray(batch.column("n_words"), dtype=np.int64))
+    while at < batch.num_rows:
+        before = total[at - 1] if at else 0
+        upto = min(max(int(np.searchsorted(total, before + SEARCHED_WORDS, side="right")), at + 1), at + SEARCHED_ROWS)
+        yield batch.slice(at, upto - at)
+        at = upto
+
+
 def index(docs: DataFrame, vocabulary: list[str]) -> DataFrame:
     """Positional postings of ``vocabulary`` in each document; positions count all words of the text."""
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = pa.array(vocabulary, pa.large_string())
         for batch in batches:
-            for some in W.slices(batch):
+            for some in W.slices(batch, most=2 << 20):
                 codes, ends, distinct = W.split(some.column("text"), W.WORDY)
                 term = np.asarray(pc.fill_null(pc.index_in(distinct, known), -1), dtype=np.int32)[codes] if len(codes) else np.zeros(0, np.int32)
                 text = np.repeat(np.arange(some.num_rows), np.diff(ends))
@@ -78,7 +92,7 @@ def document_frequencies(postings: DataFrame) -> DataFrame:
     """(term, n_docs) over the whole index; each task sums its own documents first."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (piece for whole in batches for piece in pieces(whole)):
             lists = batch.column("terms")
             term = np.asarray(lists.flatten(), dtype=np.int64)
             row = np.repeat(np.arange(len(lists)), np.asarray(pc.fill_null(pc.list_value_length(lists), 0)))
@@ -88,7 +102,7 @@ def document_frequencies(postings: DataFrame) -> DataFrame:
             used = np.flatnonzero(n)
             yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(n[used], pa.int64())], names=["term", "n"])
 
-    return postings.select("terms").mapInArrow(count, "term int, n long").groupBy("term").agg(F.sum("n").alias("n_docs"))
+    return postings.select("n_words", "terms").mapInArrow(count, "term int, n long").groupBy("term").agg(F.sum("n").alias("n_docs"))
 
 
 def _search(term: np.ndarray, at: np.ndarray, total: int, phrases: Phrases, by_rarity: np.ndarray, anchors: tuple, slop: int, share: float) -> tuple[np.ndarray, np.ndarray]:
@@ -139,7 +153,7 @@ def search(postings: DataFrame, phrases: Phrases, n_docs: dict[int, int], slop:
     def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         phrases, by_rarity, anchors = shared.value
         gap = phrases.terms.shape[1] + slop
-        for batch in batches:
+        for batch in (piece for whole in batches for piece in pieces(whole)):
             n_words = np.asarray(batch.column("n_words"))
             base = np.concatenate([[0], np.cumsum(n_words + gap)])
             lists = batch.column("terms")

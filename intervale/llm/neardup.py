@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from intervale.llm import words as W
 from intervale.llm.components import connected_components
-from intervale.llm.store import dropped, written
+from intervale.llm.store import written
 
 #: Bands, and values of a band. At similarity 0.85 a link is missed with probability (1 - 0.85 ** 6) ** 40 < 1e-8.
 BANDS, ROWS = 40, 6
@@ -83,7 +83,7 @@ def signatures(docs: DataFrame, size: int, bands: int, rows: int) -> DataFrame:
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for some in W.slices(batch):
+            for some in W.slices(batch, most=2 << 20):
                 sets = shingle_sets(some.column("text"), size)
                 full = [s for s in sets if len(s)]
                 keys = band_keys(full, bands, rows) if full else np.zeros((0, bands), np.uint64)
@@ -135,7 +135,7 @@ def sets_of_clusters(docs: DataFrame, clusters: DataFrame, size: int, block: int
 
     def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for some in W.slices(batch):
+            for some in W.slices(batch, most=2 << 20):
                 sets = pa.array([s.tobytes() for s in shingle_sets(some.column("text"), size)], pa.binary())
                 yield pa.RecordBatch.from_arrays([*(some.column(c) for c in ("id", "root", "n_blocks", "own")), sets], names=["id", "root", "n_blocks", "own", "shingles"])
 
@@ -227,7 +227,6 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 85, bands: in
     candidates = keyed.join(buckets, "key").where("id <> least").select(F.col("id").alias("a"), F.col("least").alias("b")).distinct()
     clusters = connected_components(candidates)
     links = written(confirmed(docs, clusters, size, percent), "links")
-    dropped(clusters)
     single = links.where("whole").select(F.col("a").alias("id"), F.col("b").alias("root"))
     several = links.where("NOT whole").select("a", "b")
     roots = single if several.isEmpty() else single.unionByName(connected_components(several))

@@ -25,7 +25,7 @@ BUCKETS, SIZE = 1 << 17, 8
 GRAMS = (2, 3, 4)
 EPOCHS, RATE = 4, 0.6
 #: Bytes of text that a task scores at once; a byte gives about three features.
-SCORED_BYTES = 2 << 20
+SCORED_BYTES = 1 << 20
 #: Features that the prior weighs as much as: texts of a few words give little evidence of their own.
 PRIOR_WEIGHT = 20
 

@@ -30,6 +30,7 @@ def slices(batch: pa.RecordBatch, column: str = "text", most: int = SLICE_BYTES)
     for i, n in enumerate(sizes):
         if total and total + n > most:
             yield batch.slice(start, i - start)
+            pa.default_memory_pool().release_unused()  # what the last piece took goes back before the next one
             start, total = i, 0
         total += n
     if start < batch.num_rows:
