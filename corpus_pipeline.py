@@ -19,8 +19,8 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def cut_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without later copies of repeated multi-line chunks; emptied ones stay, as rows with an empty text."""
-    return linedup.remove_repeated_chunks(docs).select(*docs.columns)
+    """All documents, without later copies of repeated multi-line passages; emptied ones stay, as rows with an empty text."""
+    return linedup.remove_repeated_passages(docs).select(*docs.columns)
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -4,6 +4,9 @@ A chunk ends after a line if the rolling hash of that line's and the previous li
 depends on these two lines only, so insertions elsewhere do not move it. Chunks of two or more lines that occur again anywhere in
 the corpus are removed except where they come first. Equal keys lead to a comparison of the bytes themselves: chunks are grouped
 by key and text, summed in each task before the shuffle, and a key whose texts differ removes nothing.
+
+A repeated passage that holds no whole chunk keeps its lines then. ``remove_repeated_passages``, which the pipeline uses, finds
+these too, by the pairs of neighbouring lines.
 """
 
 from __future__ import annotations
@@ -70,6 +73,60 @@ def remove_repeated_chunks(docs: DataFrame, cut_below: str = CUT_BELOW) -> DataF
     return cut.select(*same, n_lines.alias("n_lines"), n_removed.alias("n_removed"))
 
 
+def _spans(df: DataFrame, cut_below: str) -> DataFrame:
+    """``df`` with _lines and _chunks of its text, exploded to key, chunk, start and end: its chunks and its pairs.
+
+    A pair is two neighbouring non-blank lines with the blank ones between them. Any run of non-blank lines that occurs twice has
+    all its pairs twice, wherever the chunks' boundaries lie. Keys are SHA-256 of the text; pairs and chunks start with other letters.
+    """
+    both = chunked(df, F.coalesce("text", F.lit("")), cut_below)
+    full = F.filter(F.transform("_lines", lambda line, i: F.struct(line.alias("line"), i.alias("at"))), lambda x: F.trim(x["line"], F.lit(" \t\r")) != "")
+    both = both.withColumn("_full", full).withColumn("_many", F.greatest(F.size("_full") - 1, F.lit(0)))
+    pair = lambda a, b: F.struct(F.unhex(F.sha2(F.concat(F.lit("p"), a["line"], F.repeat(F.lit("\n"), b["at"] - a["at"]), b["line"]), 256)).alias("key"), F.lit(False).alias("chunk"), a["at"].alias("start"), b["at"].alias("end"))
+    pairs = F.zip_with(F.slice("_full", 1, F.col("_many")), F.slice("_full", 2, F.col("_many")), pair)
+    numbered = F.filter(F.transform("_chunks", lambda c, i: F.struct(c.alias("text"), i.alias("at"))), lambda x: F.contains(x["text"], F.lit("\n")))
+    chunks = F.transform(numbered, lambda x: F.struct(F.unhex(F.sha2(x["text"], 256)).alias("key"), F.lit(True).alias("chunk"), x["at"].alias("start"), x["at"].alias("end")))
+    return both.select("doc_id", "_twin", F.inline(F.concat(pairs, chunks)))
+
+
+def _flags(numbers: Column) -> Column:
+    """An array that is true at ``numbers`` (sorted) and ends with the last of them; linear in its length."""
+    before = F.slice(F.concat(F.array(F.lit(-1)), numbers), 1, F.size(numbers))
+    return F.flatten(F.zip_with(before, numbers, lambda b, n: F.concat(F.array_repeat(F.lit(False), n - b - 1), F.array(F.lit(True)))))
+
+
+def remove_repeated_passages(docs: DataFrame, cut_below: str = CUT_BELOW) -> DataFrame:
+    """``docs`` with every passage of two or more non-blank lines that occurs earlier cut from ``text``, and the repeated chunks too.
+
+    The lines that ``remove_repeated_chunks`` finds go, and also all lines of runs that no chunk fits into. Earlier is a smaller
+    doc_id, or an earlier line of the same document; a line goes only if an equal line stays at an earlier place. A document that
+    repeats a passage which is whole nowhere else, but in overlapping parts, loses it. Columns and cases as in
+    ``remove_repeated_chunks``, but rows that repeat a doc_id with another text are judged by their own text.
+    """
+    twin = F.xxhash64(F.coalesce("text", F.lit("")))
+    named = docs.withColumn("_twin", twin)
+    each = _spans(named.where("doc_id IS NOT NULL").select("doc_id", "text", "_twin"), cut_below)
+    place = F.struct("doc_id", "_twin", "start")
+    repeated = each.groupBy("key").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("key", "first")
+    later = each.join(repeated, "key").where(place != F.col("first"))
+    lines = F.flatten(F.collect_list(F.when(~F.col("chunk"), F.sequence("start", "end"))))
+    gone = later.groupBy(F.col("doc_id").alias("_gone_doc"), F.col("_twin").alias("_gone_twin")).agg(
+        F.array_sort(F.collect_set(F.when(F.col("chunk"), F.col("start")))).alias("_gone_chunks"), F.array_sort(F.array_distinct(lines)).alias("_gone_lines"))
+    joined = named.join(gone, (F.col("doc_id") == F.col("_gone_doc")) & (F.col("_twin") == F.col("_gone_twin")), "left")
+    touched = F.when(F.col("_gone_doc").isNotNull(), F.coalesce("text", F.lit("")))
+    cut = chunked(joined, touched, cut_below).withColumn("_flag_chunks", _flags(F.col("_gone_chunks"))).withColumn("_flag_lines", _flags(F.col("_gone_lines")))
+    of_chunk = lambda c, f: F.transform(F.split(c, "\n", -1), lambda line: F.struct(F.substr(line, F.lit(2)).alias("line"), F.coalesce(f, F.lit(False)).alias("gone")))
+    by_chunk = F.flatten(F.zip_with("_chunks", "_flag_chunks", of_chunk))
+    by_line = F.zip_with(by_chunk, "_flag_lines", lambda x, f: F.struct(x["line"].alias("line"), (x["gone"] | F.coalesce(f, F.lit(False))).alias("gone")))
+    cut = cut.withColumn("_left", F.transform(F.filter(by_line, lambda x: ~x["gone"]), lambda x: x["line"]))
+    text = F.when(F.col("_gone_doc").isNull(), F.col("text")).otherwise(F.array_join("_left", "\n"))
+    n_lines = F.when(F.col("text").isNull(), 0).otherwise(F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1).cast("long")
+    n_removed = F.when(F.col("_gone_doc").isNull(), 0).otherwise(F.size("_lines") - F.size("_left")).cast("long")
+    new = {"text": text} | ({"n_chars": F.length(text).cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {})
+    same = [new.get(c, F.col(c)).alias(c) for c in docs.columns if c not in ("n_lines", "n_removed")]
+    return cut.select(*same, n_lines.alias("n_lines"), n_removed.alias("n_removed"))
+
+
 def chunk_report(docs: DataFrame) -> DataFrame:
     """doc_id, n_lines, n_removed, n_chars_kept and kept_sha256 (of the text left, a null as empty) of each row."""
     found = remove_repeated_chunks(docs.select("doc_id", "text"))
