@@ -7,10 +7,11 @@ the tests hold the stages against brute-force versions.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from intervale.llm import decontaminate, linedup, neardup, quality
 from intervale.llm.queries import packed, table
-from intervale.llm.store import written
+from intervale.llm.store import numbered, written
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -24,15 +25,24 @@ def cut_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest doc_id of each group of near duplicates; rows without a doc_id or any word stay."""
-    found = neardup.near_duplicates(docs, percent=80)
-    return docs.join(found.where("NOT kept").select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
+    """The rows with the smallest doc_id of each group of near duplicates; rows without a doc_id or any word stay.
+
+    Rows are compared each on their own, so one that repeats a doc_id with another text is not judged by its twin.
+    """
+    rows = numbered(docs)
+    own = rows.select(F.when(F.col("doc_id").isNotNull(), F.col("_row")).alias("doc_id"), "text")
+    found = neardup.near_duplicates(own, percent=80).where("doc_id IS NOT NULL").select(F.col("doc_id").alias("_row"), "component_id")
+    named = found.join(rows.select("_row", "doc_id"), "_row")
+    least = named.groupBy("component_id").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").select("component_id", "least")
+    gone = named.join(least, "component_id").where("doc_id > least").select("_row")
+    return rows.join(gone, "_row", "left_anti").select(*docs.columns)
 
 
 def keep_uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that share no phrase of ten words, and no whole shorter item, with the benchmark."""
-    found = decontaminate.contamination(docs, table(spark, sf_dir, "benchmark"))
-    return docs.join(found.where("contaminated").select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
+    """Rows that share no phrase of ten words, and no whole shorter item, with the benchmark, whatever their doc_id."""
+    rows = numbered(docs)
+    found = decontaminate.contamination(rows.select(F.col("_row").alias("doc_id"), "text"), table(spark, sf_dir, "benchmark"))
+    return rows.join(found.where("contaminated").select(F.col("doc_id").alias("_row")), "_row", "left_anti").select(*docs.columns)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from intervale.llm import words as W
-from intervale.llm.store import written
+from intervale.llm.store import dropped, numbered, written
 
 #: Bytes of test items that one broadcast block may hold; more items are searched block after block.
 BLOCK_BYTES = 32 << 20
@@ -174,12 +174,18 @@ def search(postings: DataFrame, phrases: Phrases, n_docs: dict[int, int], slop:
     return postings.mapInArrow(match, MATCHES)
 
 
-def item_blocks(items: DataFrame) -> list[list[tuple[str, str]]]:
-    """The test items as (id, text), in blocks of bounded size; one block is held at a time."""
+def block_count(items: DataFrame) -> int:
+    """How many blocks of about BLOCK_BYTES the test items make."""
+    named = items.where("item_id IS NOT NULL")
+    return 1 + (named.agg(F.sum(F.octet_length(F.coalesce("text", F.lit(""))))).first()[0] or 0) // BLOCK_BYTES
+
+
+def item_blocks(items: DataFrame, n: int) -> Iterator[list[tuple[str, str]]]:
+    """The test items as (id, text), in ``n`` blocks, read one after another: the driver holds one at a time."""
     rows = items.select(F.col("item_id").cast("string").alias("item"), F.coalesce("text", F.lit("")).alias("text")).where("item IS NOT NULL")
-    n = 1 + (rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // BLOCK_BYTES
     block = F.pmod(F.xxhash64("item", "text"), F.lit(n))
-    return [[tuple(r) for r in rows.where(block == b).orderBy("item", "text").toLocalIterator()] for b in range(n)] if n > 1 else [[tuple(r) for r in rows.orderBy("item", "text").collect()]]
+    for b in range(n):
+        yield [tuple(r) for r in (rows.where(block == b) if n > 1 else rows).orderBy("item", "text").toLocalIterator()]
 
 
 def phrase_matches(docs: DataFrame, items: DataFrame, size: int = 10, slop: int = 0, share: float = 1.0) -> DataFrame:
@@ -190,20 +196,26 @@ def phrase_matches(docs: DataFrame, items: DataFrame, size: int = 10, slop: int
 
     Null and empty texts have no words, null and empty items no phrases; items without an id are not searched. Repeated items
     count once per id. A repeated document, or one without a doc_id, has its row as any other. An empty table of documents gives
-    an empty result, an empty table of items one without spans. Extra columns are not read.
+    an empty result, an empty table of items one without spans. Extra columns are not read. Where the items make several blocks,
+    rows are numbered and written first, and each row's matches of all blocks are put together by that number.
     """
+    n = block_count(items)
+    rows = numbered(docs.select("doc_id", "text")) if n > 1 else None
     out = None
-    for block in item_blocks(items):
+    for block in item_blocks(items, n):
         phrases = phrases_of(block, size)
-        postings = written(index(docs, phrases.vocabulary), "postings")
+        postings = written(index(docs if rows is None else rows.select(F.col("_row").alias("doc_id"), "text"), phrases.vocabulary), "postings")
         n_docs = {r["term"]: r["n_docs"] for r in document_frequencies(postings).toLocalIterator()}
         found = search(postings, phrases, n_docs, slop, share)
+        if rows is None:
+            return found
+        found = written(found, "matches")
+        dropped(postings)
         out = found if out is None else out.unionByName(found)
-        several = out is not found
-    if not several:
-        return out
-    flat = [F.flatten(F.collect_list(c)).alias(c) for c in ("first", "last", "items")]
-    return out.groupBy("doc_id").agg(F.max("n_words").alias("n_words"), *flat)
+    flat = [F.flatten(F.collect_list(c)).alias(c) for c in ("first", "last")]
+    names = F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items")
+    by_row = out.groupBy(F.col("doc_id").alias("_row")).agg(F.max("n_words").alias("n_words"), *flat, names)
+    return rows.select("_row", F.col("doc_id").cast("long").alias("doc_id")).join(by_row, "_row").drop("_row")
 
 
 def contamination(docs: DataFrame, items: DataFrame, size: int = 10) -> DataFrame:

@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 SETTING = "spark.checkpoint.dir"
 
@@ -29,6 +30,11 @@ def written(df: DataFrame, name: str, **options: str) -> DataFrame:
     return out
 
 
+def numbered(df: DataFrame) -> DataFrame:
+    """``df`` written once with _row, a number of its own for each row, null and repeated ids or not."""
+    return written(df.withColumn("_row", F.monotonically_increasing_id()), "rows", compression="zstd")
+
+
 def dropped(df: DataFrame | None) -> None:
     """Delete a table of ``written`` that nothing reads any more."""
     path = getattr(df, "_intervale_path", None)
