@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from intervale.llm import decontaminate, linedup, neardup, quality
-from intervale.llm.queries import packed, table
+from intervale.llm.queries import ADDED, packed, table
 from intervale.llm.store import numbered, written
 
 
@@ -47,7 +47,7 @@ def keep_uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all documents, packed."""
-    return packed(docs)
+    return packed(docs, ADDED)
 
 
 STAGES = [("quality_classifier", keep_good), ("line_dedup", cut_repeated_lines), ("near_dedup", keep_one_of_each), ("decontamination", keep_uncontaminated), ("packing", pack_sequences)]

@@ -9,6 +9,7 @@ but the last is full, whatever the documents' lengths, so padding is below one s
 from __future__ import annotations
 
 import base64
+import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -31,7 +32,7 @@ PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long,
 
 @lru_cache(maxsize=2)
 def byte_level(ranks_path: str, pattern: str) -> tiktoken.Encoding:
-    """The byte-level vocabulary of a ranks file; its ids equal those of the JSON form of the same vocabulary."""
+    """The byte-level vocabulary of a ranks file; its ids equal those of the JSON form, added tokens apart."""
     with open(ranks_path, "rb") as lines:
         ranks = {base64.b64decode(token): int(rank) for token, rank in (line.split() for line in lines)}
     return tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
@@ -41,13 +42,21 @@ class Encoder:
     """Token ids of whole texts as bytes, with the ids of space-separated pieces kept between documents.
 
     The vocabulary's own pattern never joins characters across a single space that precedes a non-space character, so such
-    pieces can be encoded alone. Texts with other spacing are encoded whole.
+    pieces can be encoded alone. Texts with other spacing are encoded whole. A text is split at the ``added`` tokens first: each
+    has one id, and what lies between is encoded alone.
     """
 
-    def __init__(self, ranks_path: str, pattern: str, width: type = np.uint32) -> None:
+    def __init__(self, ranks_path: str, pattern: str, width: type = np.uint32, added: dict[str, int] | None = None) -> None:
         self.encoding, self.width, self.cache = byte_level(ranks_path, pattern), width, {}
+        self.added = {token: width(number).tobytes() for token, number in (added or {}).items()}
+        self.at_added = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
 
     def ids(self, text: str) -> bytes:
+        if self.at_added is None or not any(token in text for token in self.added):
+            return self.plain_ids(text)
+        return b"".join(self.added.get(part) or self.plain_ids(part) for part in self.at_added.split(text) if part)
+
+    def plain_ids(self, text: str) -> bytes:
         first, *rest = text.split(" ")
         if rest and (not first or any(not piece or piece[0].isspace() for piece in rest)):
             return np.asarray(self.encoding.encode_ordinary(text), dtype=self.width).tobytes()
@@ -63,12 +72,12 @@ class Encoder:
         return b"".join(out)
 
 
-def tokenised(docs: DataFrame, ranks_path: str, pattern: str, vocabulary: int, end_id: int) -> DataFrame:
+def tokenised(docs: DataFrame, ranks_path: str, pattern: str, vocabulary: int, end_id: int, added: dict[str, int] | None = None) -> DataFrame:
     """One row per document: its ids (with ``end_id``) as little-endian integers, its partition and the tokens before it there."""
     width = np.uint16 if max(vocabulary, end_id + 1) <= 1 << 16 else np.uint32
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, end, before = Encoder(ranks_path, pattern, width), width(end_id).tobytes(), 0
+        encoder, end, before = Encoder(ranks_path, pattern, width, added), width(end_id).tobytes(), 0
         part = TaskContext.get().partitionId()
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
@@ -110,15 +119,18 @@ def concatenate_and_cut(tokens: DataFrame, sequence: int, wide: bool) -> DataFra
     return placed.select("doc_id", (F.col("base") + F.col("before")).alias("begin"), "n_tokens", "ids").mapInArrow(cut, PIECES)
 
 
-def pack(docs: DataFrame, ranks_path: str, pattern: str, vocabulary: int, end_id: int = 1, sequence: int = 2048) -> DataFrame:
+def pack(docs: DataFrame, ranks_path: str, pattern: str, vocabulary: int, end_id: int = 1, sequence: int = 2048, added: dict[str, int] | None = None) -> DataFrame:
     """Pack every document of ``docs`` (doc_id, text, more) into sequences of at most ``sequence`` tokens.
 
     Columns: doc_id, start (ids of the document before the piece), length, ids_crc32 (of the ids as little-endian 32-bit
     integers), doc_tokens (with the end id), sequence_id, offset (in the sequence, gapless from 0).
 
+    ``added`` are the vocabulary's added tokens with their ids, below ``vocabulary``; the ids are then those of the tokenizer's
+    JSON form with its default settings. Without ``added`` their text is spelled out (encode_special_tokens).
+
     A null or empty text is its end id alone. Repeated rows are packed each on their own; a null doc_id stays null. An empty
     table gives no pieces. Very long texts become many pieces. Documents follow each other in the order of the input's
     partitions. Only the last sequence can be short: it is padded to ``sequence`` when used, unless its length is a power of two.
     """
-    tokens = written(tokenised(docs, ranks_path, pattern, vocabulary, end_id), "tokens", compression="zstd")
+    tokens = written(tokenised(docs, ranks_path, pattern, vocabulary, end_id, added), "tokens", compression="zstd")
     return concatenate_and_cut(tokens, sequence, max(vocabulary, end_id + 1) > 1 << 16)

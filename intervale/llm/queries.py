@@ -14,8 +14,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def packed(docs: DataFrame) -> DataFrame:
-    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, 50_257)
+#: The added tokens of byte_bpe_50k.json, which the ranks file does not hold.
+ADDED = {"<|endoftext|>": 50_256}
+
+
+def packed(docs: DataFrame, added: dict[str, int] | None = None) -> DataFrame:
+    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, 50_257, added=added)
 
 
 def op1_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -39,7 +43,7 @@ def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packed(table(spark, sf_dir, "documents"))
+    return packed(table(spark, sf_dir, "documents"), ADDED)
 
 
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
