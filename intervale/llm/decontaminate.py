@@ -1,177 +1,230 @@
 """Benchmark decontamination over a positional inverted index of the training documents.
 
-The index is partitioned by document and written once: per document, the postings (term, position) of every term that the test
-items use, ordered by term and position. Corpus-wide document frequencies come from it. A search takes each test phrase, opens
-the posting list of its rarest term, moves each posting back by the term's place in the phrase, and intersects the list with
-those of the next rarer terms, moved likewise. What survives all terms is an exact match; with a slop, terms may be off their
-place by so many positions, and a share of them may be missing.
+The index covers every token of the corpus and is built once. It is kept in segments: one row for the documents that lie next to
+each other in a partition, with the sorted terms of the segment and the posting list (positions) of each term. Terms are 64-bit
+hashes. No posting leaves its segment, so a term in every document makes no hot key, and a search needs no shuffle of postings.
+
+A search takes each test phrase, orders its terms by their number of postings in the whole corpus, opens the list of the rarest one,
+moves it back by the term's place in the phrase, and intersects it with the lists of the next rarer terms, moved likewise. What
+survives all terms is an exact match; with a slop, terms may be off their place by so many positions, and a share of them may be
+missing. Test items beyond BLOCK_BYTES are searched block after block in the same index.
 """
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from intervale.llm import words as W
-from intervale.llm.store import dropped, numbered, written
+from intervale.llm.store import written
 
-#: Bytes of test items that one broadcast block may hold; more items are searched block after block.
-BLOCK_BYTES = 32 << 20
+#: Bytes of test items in one block, whose phrases the driver prepares and broadcasts: about 12 times as much.
+BLOCK_BYTES = 4 << 20
 
-#: Documents whose postings a task searches at once, and words that they have at most (one document may have more).
-SEARCHED_ROWS, SEARCHED_WORDS = 1000, 400_000
+#: Words of a segment at most (a single longer document is one of its own), and empty positions between its documents.
+SEGMENT_WORDS, GAP = 200_000, 64
 
-INDEX = "doc_id long, n_words long, terms array<int>, positions array<int>"
-MATCHES = "doc_id long, n_words long, first array<int>, last array<int>, items array<string>"
+#: Candidates that are intersected at once.
+CANDIDATES = 1 << 20
+
+SEGMENTS = "rows array<long>, doc_ids array<long>, n_words array<long>, terms array<long>, counts array<int>, gaps array<int>"
+MATCHES = "row long, first array<int>, last array<int>, items array<string>"
+
+
+def _segments(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Runs of rows with a bounded length of text: a word has two bytes at least, with its space."""
+    yield from W.slices(batch, most=2 * SEGMENT_WORDS)
+
+
+def index(docs: DataFrame) -> DataFrame:
+    """The segments of ``docs`` (doc_id, text): every row of it gets a number of its own, whatever its doc_id."""
+
+    def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        row = TaskContext.get().partitionId() << 33
+        for some in (segment for batch in batches for segment in _segments(batch)):
+            n = some.num_rows
+            codes, ends, distinct = W.split(some.column("text"), W.WORDY)
+            hashed = W.hashes(distinct).view(np.int64) if len(distinct) else np.zeros(0, np.int64)
+            terms, of_term = np.unique(hashed, return_inverse=True)
+            place = np.arange(len(codes)) + GAP * np.repeat(np.arange(n), np.diff(ends))
+            term = of_term[codes] if len(codes) else codes
+            order = np.argsort(term, kind="stable")  # positions of a term stay in order
+            place, counts = place[order], np.bincount(term, minlength=len(terms))
+            gaps = np.diff(place, prepend=0)
+            opens = (np.cumsum(counts) - counts)[counts > 0]
+            gaps[opens] = place[opens]
+            columns = [np.arange(row, row + n), some.column("doc_id").cast(pa.int64()), np.diff(ends), terms, counts.astype(np.int32), gaps.astype(np.int32)]
+            lists = [pa.ListArray.from_arrays(pa.array([0, len(c)], pa.int32()), c if isinstance(c, pa.Array) else pa.array(c)) for c in columns]
+            row += n
+            yield pa.RecordBatch.from_arrays(lists, names=[c.split()[0] for c in SEGMENTS.split(", ")])
+
+    return docs.select("doc_id", "text").mapInArrow(post, SEGMENTS)
 
 
 @dataclass
 class Phrases:
-    """Distinct phrases of a block of items: terms (padded with -1), lengths, and the items of each."""
+    """The distinct phrases of a block of items: codes into the sorted ``terms`` (padded with -1), lengths, and their items."""
 
-    vocabulary: list[str]
     terms: np.ndarray
+    codes: np.ndarray
     lengths: np.ndarray
-    items: list[list[str]]
+    items: list[str]
+    owner_ends: np.ndarray
+    owners: np.ndarray
 
 
 def phrases_of(items: list[tuple[str, str]], size: int) -> Phrases:
     """All windows of ``size`` words of the items; an item with fewer words is one phrase."""
     codes, ends, distinct = W.split(pa.array([text for _, text in items], pa.string()), W.WORDY)
-    found: dict[tuple, dict[str, None]] = {}
-    for (item, _), a, b in zip(items, ends[:-1], ends[1:], strict=True):
-        whole = codes[a:b].tolist()
-        for i in range(max(1, len(whole) - size + 1) if whole else 0):
-            found.setdefault(tuple(whole[i : i + size]), {})[item] = None
-    terms = np.full((len(found), size), -1, np.int64)
-    for row, phrase in enumerate(found):
-        terms[row, : len(phrase)] = phrase
-    return Phrases(distinct.to_pylist(), terms, (terms >= 0).sum(axis=1), [list(x) for x in found.values()])
-
-
-def pieces(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-    """Parts of a batch of postings with a bounded number of words."""
-    at = 0
-    total = np.cumsum(np.asarray(batch.column("n_words"), dtype=np.int64))
-    while at < batch.num_rows:
-        before = total[at - 1] if at else 0
-        upto = min(max(int(np.searchsorted(total, before + SEARCHED_WORDS, side="right")), at + 1), at + SEARCHED_ROWS)
-        yield batch.slice(at, upto - at)
-        at = upto
-
-
-def index(docs: DataFrame, vocabulary: list[str]) -> DataFrame:
-    """Positional postings of ``vocabulary`` in each document; positions count all words of the text."""
+    terms, of_term = np.unique(W.hashes(distinct).view(np.int64) if len(distinct) else np.zeros(0, np.int64), return_inverse=True)
+    words = np.concatenate([of_term[codes] if len(codes) else codes, np.full(size, -1)]).astype(np.int32)
+    n = np.diff(ends)
+    n_phrases = np.where(n > 0, np.maximum(n - size + 1, 1), 0)
+    item = np.repeat(np.arange(len(n)), n_phrases)
+    start = np.arange(n_phrases.sum()) - np.repeat(np.cumsum(n_phrases) - n_phrases, n_phrases) + ends[item]
+    length = np.minimum(n[item], size)
+    window = words[start[:, None] + np.arange(size)]
+    window[np.arange(size) >= length[:, None]] = -1
+    distinct_windows, of_window = np.unique(window, axis=0, return_inverse=True) if len(window) else (window, np.zeros(0, np.int64))
+    names = sorted({name for name, _ in items})
+    number = {name: i for i, name in enumerate(names)}
+    pair = np.unique(np.stack([of_window.ravel(), np.array([number[name] for name, _ in items], dtype=np.int64)[item]], axis=1), axis=0)
+    owner_ends = np.searchsorted(pair[:, 0], np.arange(len(distinct_windows) + 1))
+    return Phrases(terms, distinct_windows, (distinct_windows >= 0).sum(axis=1), names, owner_ends, pair[:, 1])
 
-    def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = pa.array(vocabulary, pa.large_string())
-        for batch in batches:
-            for some in W.slices(batch, most=2 << 20):
-                codes, ends, distinct = W.split(some.column("text"), W.WORDY)
-                term = np.asarray(pc.fill_null(pc.index_in(distinct, known), -1), dtype=np.int32)[codes] if len(codes) else np.zeros(0, np.int32)
-                text = np.repeat(np.arange(some.num_rows), np.diff(ends))
-                place = (np.arange(len(codes)) - ends[text]).astype(np.int32)
-                hit = term >= 0
-                term, text, place = term[hit], text[hit], place[hit]
-                order = np.lexsort((term, text))  # stable: positions stay in order
-                offsets = pa.array(np.searchsorted(text, np.arange(some.num_rows + 1)).astype(np.int32))
-                lists = [pa.ListArray.from_arrays(offsets, pa.array(x[order])) for x in (term, place)]
-                yield pa.RecordBatch.from_arrays([some.column("doc_id").cast(pa.int64()), pa.array(np.diff(ends), pa.int64()), *lists], names=["doc_id", "n_words", "terms", "positions"])
 
-    return docs.select("doc_id", "text").mapInArrow(post, INDEX)
+@dataclass
+class Postings:
+    """The posting lists that a block's terms have in one segment, as one sorted array of code * span + position."""
+
+    keys: np.ndarray
+    span: int
+    ends: np.ndarray
+
+    def has(self, code: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Which positions are in the list of their term."""
+        key = code * self.span + at
+        found = np.searchsorted(self.keys, key)
+        return (at >= 0) & (at < self.span) & (self.keys[np.minimum(found, len(self.keys) - 1)] == key) if len(self.keys) else np.zeros(len(at), bool)
+
+
+def opened(terms: np.ndarray, counts: np.ndarray, gaps: np.ndarray, span: int, wanted: np.ndarray) -> Postings:
+    """The lists of the ``wanted`` terms (sorted hashes; their order is their code)."""
+    code = np.searchsorted(wanted, terms)
+    known = (code < len(wanted)) & (wanted[np.minimum(code, len(wanted) - 1)] == terms) if len(wanted) else np.zeros(len(terms), bool)
+    first = np.cumsum(counts) - counts
+    own, n = code[known], counts[known]
+    flat = gaps[np.repeat(first[known] - np.cumsum(n) + n, n) + np.arange(n.sum())].astype(np.int64)
+    run = np.cumsum(flat)
+    begin = np.cumsum(n) - n
+    at = run - np.repeat(run[begin] - flat[begin], n) if len(flat) else flat
+    return Postings(np.repeat(own, n) * span + at, span, np.searchsorted(np.repeat(own, n), np.arange(len(wanted) + 1)))
+
 
+def _lists(batch: pa.RecordBatch, names: list[str]) -> Iterator[list[np.ndarray]]:
+    for row in range(batch.num_rows):
+        yield [np.asarray(batch.column(c)[row].values) for c in names]
 
-def document_frequencies(postings: DataFrame) -> DataFrame:
-    """(term, n_docs) over the whole index; each task sums its own documents first."""
+
+def posting_counts(segments: DataFrame, terms: np.ndarray) -> np.ndarray:
+    """The length of each term's posting list in the whole corpus; each task sums its own segments first."""
+    shared = segments.sparkSession.sparkContext.broadcast(terms)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in (piece for whole in batches for piece in pieces(whole)):
-            lists = batch.column("terms")
-            term = np.asarray(lists.flatten(), dtype=np.int64)
-            row = np.repeat(np.arange(len(lists)), np.asarray(pc.fill_null(pc.list_value_length(lists), 0)))
-            new = np.ones(len(term), bool)
-            new[1:] = (term[1:] != term[:-1]) | (row[1:] != row[:-1])
-            n = np.bincount(term[new])
-            used = np.flatnonzero(n)
-            yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(n[used], pa.int64())], names=["term", "n"])
-
-    return postings.select("n_words", "terms").mapInArrow(count, "term int, n long").groupBy("term").agg(F.sum("n").alias("n_docs"))
-
-
-def _search(term: np.ndarray, at: np.ndarray, total: int, phrases: Phrases, by_rarity: np.ndarray, anchors: tuple, slop: int, share: float) -> tuple[np.ndarray, np.ndarray]:
-    """(phrase, start) of the matches of one batch; ``at`` are positions in the batch, with gaps between documents."""
-    anchor_terms, anchor_ends, anchor_phrases = anchors
-    mine = np.searchsorted(anchor_terms, term)
-    hit = (mine < len(anchor_terms)) & (anchor_terms[np.minimum(mine, len(anchor_terms) - 1)] == term)
-    mine, start = mine[hit], at[hit]
-    n = anchor_ends[mine + 1] - anchor_ends[mine]
-    phrase = anchor_phrases[np.repeat(anchor_ends[mine] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())]
-    start = np.repeat(start, n) - by_rarity[phrase, 0]
-    inside = start >= 0
-    phrase, start = phrase[inside], start[inside]
-    posted = np.full(total + phrases.terms.shape[1] + slop + 1, -1, np.int64)
-    posted[at] = term
-    missed = np.zeros(len(phrase), np.int64)
-    spare = np.floor((1 - share) * phrases.lengths + 1e-9).astype(np.int64)
-    for k in range(1, phrases.terms.shape[1]):
-        offset = by_rarity[phrase, k]
-        wanted = np.where(offset >= 0, phrases.terms[phrase, np.maximum(offset, 0)], -1)
-        found = np.zeros(len(phrase), bool)
-        for shift in range(-slop, slop + 1):
-            found |= posted[np.maximum(start + offset + shift, 0)] == wanted
-        missed += ~(found | (offset < 0))
-        stay = missed <= spare[phrase]
-        phrase, start, missed = phrase[stay], start[stay], missed[stay]
-    return phrase, start
-
-
-def search(postings: DataFrame, phrases: Phrases, n_docs: dict[int, int], slop: int = 0, share: float = 1.0) -> DataFrame:
-    """Matches of ``phrases`` in the index: per document the spans (first, last word) and the items they come from.
+        wanted, total = shared.value, np.zeros(len(shared.value), np.int64)
+        for batch in batches:
+            for own, n in _lists(batch, ["terms", "counts"]):
+                code = np.searchsorted(wanted, own)
+                known = (code < len(wanted)) & (wanted[np.minimum(code, len(wanted) - 1)] == own) if len(wanted) else np.zeros(len(own), bool)
+                np.add.at(total, code[known], n[known])
+        used = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[used])], names=["code", "n"])
+
+    out = np.zeros(len(terms), np.int64)
+    for r in segments.select("terms", "counts").mapInArrow(count, "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).toLocalIterator():
+        out[r["code"]] = r["n"]
+    return out
+
+
+def matches(postings: Postings, codes: np.ndarray, lengths: np.ndarray, by_rarity: np.ndarray, anchors: tuple, slop: int, share: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(phrase, start) of the matches in one segment, from the rarest term's list on, each list moved back by its term's place."""
+    anchor_codes, anchor_ends, anchor_phrases = anchors
+    n_lists = postings.ends[anchor_codes + 1] - postings.ends[anchor_codes]
+    n_phrases = np.diff(anchor_ends)
+    some = np.flatnonzero(n_lists > 0)
+    work = np.cumsum((n_lists * n_phrases)[some])
+    begin = 0
+    while begin < len(some):
+        upto = max(begin + 1, int(np.searchsorted(work, (work[begin - 1] if begin else 0) + CANDIDATES, side="right")))
+        mine = some[begin:upto]
+        begin = upto
+        # every phrase of an anchor with every posting of its list
+        phrase = np.concatenate([np.repeat(anchor_phrases[anchor_ends[a] : anchor_ends[a + 1]], n_lists[a]) for a in mine])
+        place = np.concatenate([np.tile(postings.keys[postings.ends[c] : postings.ends[c + 1]] - c * postings.span, n_phrases[a]) for a, c in zip(mine, anchor_codes[mine], strict=True)])
+        start = place - by_rarity[phrase, 0]
+        inside = start >= 0
+        phrase, start = phrase[inside], start[inside]
+        missed, spare = np.zeros(len(phrase), np.int64), np.floor((1 - share) * lengths + 1e-9).astype(np.int64)
+        for k in range(1, codes.shape[1]):
+            offset = by_rarity[phrase, k]
+            code = codes[phrase, np.maximum(offset, 0)].astype(np.int64)
+            found = offset < 0
+            for shift in range(-slop, slop + 1):
+                found |= postings.has(code, start + offset + shift)
+            missed += ~found
+            stay = missed <= spare[phrase]
+            phrase, start, missed = phrase[stay], start[stay], missed[stay]
+        yield phrase, start
+
+
+def search(segments: DataFrame, phrases: Phrases, slop: int = 0, share: float = 1.0) -> DataFrame:
+    """(row, first, last, items) of each row of the index with a match: the spans of words and the items they come from.
 
     ``slop`` 0 and ``share`` 1 give exact phrases. Otherwise a match has its rarest term, and at least ``share`` of all its terms
     within ``slop`` positions of their places. A phrase with a term that no document has is not looked for when all are needed.
     """
-    spark = postings.sparkSession
-    frequency = np.array([n_docs.get(t, 0) for t in range(len(phrases.vocabulary))] + [0], dtype=np.int64)
-    rarity = np.where(phrases.terms >= 0, frequency[phrases.terms], np.iinfo(np.int64).max)
-    by_rarity = np.argsort(rarity, axis=1, kind="stable")
+    if slop >= GAP - phrases.codes.shape[1]:
+        raise ValueError(f"slop {slop} reaches over the {GAP} positions between documents")
+    frequency = np.append(posting_counts(segments, phrases.terms), np.iinfo(np.int64).max)
+    rarity = frequency[phrases.codes]  # the padding is commonest
+    by_rarity = np.argsort(rarity, axis=1, kind="stable").astype(np.int64)
     by_rarity[np.sort(rarity, axis=1) == np.iinfo(np.int64).max] = -1
-    rarest = phrases.terms[np.arange(len(phrases.terms)), by_rarity[:, 0]] if len(phrases.terms) else np.zeros(0, np.int64)
+    rarest = phrases.codes[np.arange(len(phrases.codes)), by_rarity[:, 0]].astype(np.int64) if len(phrases.codes) else np.zeros(0, np.int64)
     alive = np.flatnonzero(rarity.min(axis=1, initial=np.iinfo(np.int64).max) > 0) if share >= 1 else np.arange(len(rarest))
     order = alive[np.argsort(rarest[alive], kind="stable")]
-    anchor_terms, first = np.unique(rarest[order], return_index=True)
-    anchors = (anchor_terms, np.append(first, len(order)), order)
-    shared = spark.sparkContext.broadcast((phrases, by_rarity, anchors))
+    anchor_codes, first = np.unique(rarest[order], return_index=True)
+    shared = segments.sparkSession.sparkContext.broadcast((phrases, by_rarity.astype(np.int8), (anchor_codes, np.append(first, len(order)), order)))
 
     def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         phrases, by_rarity, anchors = shared.value
-        gap = phrases.terms.shape[1] + slop
-        for batch in (piece for whole in batches for piece in pieces(whole)):
-            n_words = np.asarray(batch.column("n_words"))
-            base = np.concatenate([[0], np.cumsum(n_words + gap)])
-            lists = batch.column("terms")
-            row = np.repeat(np.arange(batch.num_rows), np.asarray(pc.list_value_length(lists)))
-            term = np.asarray(lists.flatten(), dtype=np.int64)
-            at = np.asarray(batch.column("positions").flatten(), dtype=np.int64) + base[row]
-            phrase, start = _search(term, at, int(base[-1]), phrases, by_rarity, anchors, slop, share) if len(term) and len(anchors[0]) else (np.zeros(0, np.int64),) * 2
-            owner = np.searchsorted(base, start, side="right") - 1
-            first = start - base[owner]
-            last = first + phrases.lengths[phrase] - 1
-            order = np.lexsort((last, first, owner))
-            owner, first, last, phrase = owner[order], first[order], last[order], phrase[order]
-            cuts = np.searchsorted(owner, np.arange(batch.num_rows + 1)).astype(np.int32)
-            items = [sorted({i for p in np.unique(phrase[a:b]) for i in phrases.items[p]}) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
-            spans = [pa.ListArray.from_arrays(pa.array(cuts), pa.array(x.astype(np.int32))) for x in (first, last)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("n_words"), *spans, pa.array(items, pa.list_(pa.string()))], names=["doc_id", "n_words", "first", "last", "items"])
-
-    return postings.mapInArrow(match, MATCHES)
+        names = np.array(phrases.items, dtype=object)
+        for batch in batches:
+            for rows, n_words, terms, counts, gaps in _lists(batch, ["rows", "n_words", "terms", "counts", "gaps"]):
+                base = np.cumsum(n_words + GAP) - n_words - GAP
+                postings = opened(terms, counts, gaps, int(n_words.sum() + GAP * len(rows)), phrases.terms)
+                found = list(matches(postings, phrases.codes, phrases.lengths, by_rarity, anchors, slop, share)) if len(anchors[0]) else []
+                phrase, start = (np.concatenate([f[i] for f in found]) if found else np.zeros(0, np.int64) for i in (0, 1))
+                if not len(phrase):
+                    continue
+                owner = np.searchsorted(base, start, side="right") - 1
+                first = start - base[owner]
+                order = np.lexsort((phrases.lengths[phrase], first, owner))
+                owner, first, phrase = owner[order], first[order], phrase[order]
+                last = first + phrases.lengths[phrase] - 1
+                hit, cuts = np.unique(owner, return_index=True)
+                cuts = np.append(cuts, len(owner)).astype(np.int32)
+                items = [names[np.unique(np.concatenate([phrases.owners[phrases.owner_ends[p] : phrases.owner_ends[p + 1]] for p in np.unique(phrase[a:b])]))].tolist() for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+                spans = [pa.ListArray.from_arrays(pa.array(cuts), pa.array(x.astype(np.int32))) for x in (first, last)]
+                yield pa.RecordBatch.from_arrays([pa.array(rows[hit]), *spans, pa.array(items, pa.list_(pa.string()))], names=["row", "first", "last", "items"])
+
+    return segments.select("rows", "n_words", "terms", "counts", "gaps").mapInArrow(match, MATCHES)
 
 
 def block_count(items: DataFrame) -> int:
@@ -196,42 +249,26 @@ def phrase_matches(docs: DataFrame, items: DataFrame, size: int = 10, slop: int
 
     Null and empty texts have no words, null and empty items no phrases; items without an id are not searched. Repeated items
     count once per id. A repeated document, or one without a doc_id, has its row as any other. An empty table of documents gives
-    an empty result, an empty table of items one without spans. Extra columns are not read. Where the items make several blocks,
-    rows are numbered and written first, and each row's matches of all blocks are put together by that number.
+    an empty result, an empty table of items one without spans. Extra columns are not read. Blocks of items are searched one after
+    another in one index; a row's matches of all blocks are put together by the row's number.
     """
-    n = block_count(items)
-    rows = numbered(docs.select("doc_id", "text")) if n > 1 else None
-    out = None
-    for block in item_blocks(items, n):
-        phrases = phrases_of(block, size)
-        postings = written(index(docs if rows is None else rows.select(F.col("_row").alias("doc_id"), "text"), phrases.vocabulary), "postings")
-        n_docs = {r["term"]: r["n_docs"] for r in document_frequencies(postings).toLocalIterator()}
-        found = search(postings, phrases, n_docs, slop, share)
-        if rows is None:
-            return found
-        found = written(found, "matches")
-        dropped(postings)
-        out = found if out is None else out.unionByName(found)
+    segments = written(index(docs), "segments", compression="zstd")
+    found = None
+    for block in item_blocks(items, block_count(items)):
+        hits = written(search(segments, phrases_of(block, size), slop, share), "matches")
+        found = hits if found is None else found.unionByName(hits)
     flat = [F.flatten(F.collect_list(c)).alias(c) for c in ("first", "last")]
-    names = F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items")
-    by_row = out.groupBy(F.col("doc_id").alias("_row")).agg(F.max("n_words").alias("n_words"), *flat, names)
-    return rows.select("_row", F.col("doc_id").cast("long").alias("doc_id")).join(by_row, "_row").drop("_row")
+    hits = found.groupBy("row").agg(*flat, F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+    rows = segments.select(F.inline(F.arrays_zip("rows", "doc_ids", "n_words"))).toDF("row", "doc_id", "n_words")
+    none = {c: F.coalesce(c, F.array().cast(kind)).alias(c) for c, kind in (("first", "array<int>"), ("last", "array<int>"), ("items", "array<string>"))}
+    return rows.join(hits, "row", "left").select("doc_id", "n_words", *none.values())
 
 
 def contamination(docs: DataFrame, items: DataFrame, size: int = 10) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256 and contaminated of each document; cases as in ``phrase_matches``."""
-
-    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            n_hit, n_items, names = [], [], []
-            for first, last, items in zip(batch.column("first"), batch.column("last"), batch.column("items").to_pylist(), strict=True):
-                a, b = np.asarray(first.values, dtype=np.int64), np.asarray(last.values, dtype=np.int64)
-                order = np.argsort(a, kind="stable")
-                a, b = a[order], np.maximum.accumulate(b[order]) if len(b) else b
-                n_hit.append(int((b - np.maximum(a, np.concatenate([[-1], b[:-1]]) + 1) + 1).clip(0).sum()) if len(a) else 0)
-                found = sorted(set(items))
-                n_items.append(len(found))
-                names.append(hashlib.sha256(",".join(found).encode()).hexdigest())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("n_words"), pa.array(n_hit, pa.int64()), pa.array(n_items, pa.int64()), pa.array(names, pa.string()), pa.array([n > 0 for n in n_hit], pa.bool_())], names=["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"])
-
-    return phrase_matches(docs, items, size).mapInArrow(digest, "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean")
+    found = phrase_matches(docs, items, size)
+    spans = F.array_sort(F.arrays_zip("first", "last"))
+    zero = F.struct(F.lit(0).alias("n"), F.lit(-1).alias("upto"))
+    add = lambda s, x: F.struct((s["n"] + F.greatest(x["last"] - F.greatest(x["first"] - 1, s["upto"]), F.lit(0))).alias("n"), F.greatest(s["upto"], x["last"]).alias("upto"))
+    n_hit = F.aggregate(spans, zero, add, lambda s: s["n"].cast("long"))
+    return found.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.size("first") > 0).alias("contaminated"))

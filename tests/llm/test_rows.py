@@ -29,7 +29,7 @@ def test_contaminated_rows_go_and_their_clean_twins_stay(spark):
     assert Counter((r.doc_id, r.text) for r in found) == Counter([(None, clean[0]), (5, clean[1]), (7, clean[2]), (7, clean[2]), (8, None)])
 
 
-@pytest.mark.parametrize("block_bytes", [32 << 20, 200])
+@pytest.mark.parametrize("block_bytes", [4 << 20, 200])
 def test_one_row_per_row_in_one_block_and_in_several(spark, monkeypatch, block_bytes):
     items, _, texts = leaks(spark)
     monkeypatch.setattr(decontaminate, "BLOCK_BYTES", block_bytes)
