@@ -10,7 +10,9 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from intervale.llm import decontaminate, fertility, language, linedup, neardup, packing, quality, queries, secrets, substrings
+from pyspark.sql import functions as F
+
+from intervale.llm import decontaminate, fertility, language, linedup, neardup, packing, quality, queries, secrets, skew, substrings
 from intervale.llm import words as W
 
 SF = "/root/testdata/sf0.001"
@@ -130,10 +132,9 @@ def test_packing_round_trip(spark, documents, texts):
     from tokenizers import Tokenizer
 
     model = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    model.encode_special_tokens = True
     odd = [(8001, "  two  spaces \n\n and\ttabs \r\n end "), (8002, "<|endoftext|> x\xa0y 12 345 don't É　日本"), (8003, " lead"), (8004, "a \n b \n\n  c")]
     rows = texts + odd + [e for e in EDGES if e[0] not in (None, 9006)]
-    found = queries.packed(frame(spark, rows)).toPandas()
+    found = queries.packed(frame(spark, rows), queries.ADDED).toPandas()
     ids = {d: [*model.encode(t or "", add_special_tokens=False).ids, 1] for d, t in rows}
     assert found.length.sum() == sum(map(len, ids.values()))
     for r in found.itertuples():
@@ -277,6 +278,19 @@ def test_line_chunks_against_sql_and_edges(spark, documents):
     assert edges.count() == len(EDGES) and edges.where("n_removed > 0").count() == 0 and edges.columns[:7] == frame(spark, EDGES).columns
 
 
+def test_chunks_whose_keys_collide_are_told_apart_by_their_bytes(spark, documents, monkeypatch):
+    want = sorted(map(tuple, linedup.chunk_report(documents).collect()))
+    monkeypatch.setattr(linedup, "key_of", lambda chunk: F.length(chunk).cast("long") % 7)
+    assert sorted(map(tuple, linedup.chunk_report(documents).collect())) == want and sum(r[2] for r in want) > 0
+
+
+def test_frequent_chunks_are_spread(spark, monkeypatch):
+    monkeypatch.setattr(skew, "LEAST", 2)
+    text = "\n".join(f"line {i}" for i in range(12))
+    found = linedup.chunk_report(frame(spark, [(i, text) for i in range(300)])).collect()
+    assert len({r.n_removed for r in found if r.doc_id}) == 1 and [r.n_removed for r in found if r.doc_id == 0] == [0] and max(r.n_removed for r in found) > 5
+
+
 BASE = {"assign": (re.compile(r"(?:password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", re.I | re.A), 8), "access": (re.compile(r"(AKIA[A-Z0-9]+)"), 16), "hex": (re.compile(r"([0-9a-f]+)"), 32)}
 
 
