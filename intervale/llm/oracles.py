@@ -48,8 +48,8 @@ def _spans(kind: str, rank: int, pattern: str, group: int, least: int) -> str:
 FROM (SELECT doc_id, source, string_split_regex(text, '{q}') AS gaps, regexp_extract_all(text, '{q}') AS hits, regexp_extract_all(text, '{q}', {group}) AS vals, unnest(range(1, len(regexp_extract_all(text, '{q}')) + 1)) AS i FROM t) WHERE length(vals[i]) >= {least}"""
 
 
-def secrets_sql(base: dict, wider: tuple) -> str:
-    """SQL for the secret report with the given base patterns and the wider one."""
+def secrets_sql(base: dict, wider: tuple, owners: int, repositories: int) -> str:
+    """SQL for the secret report with the given base patterns, the wider one, and the owners and repositories of a live value at most."""
     spans = " UNION ALL ".join(_spans(kind, rank, *rule) for rank, (kind, rule) in enumerate(base.items()))
     counts = ", ".join(f"count(*) FILTER (kind = '{kind}')::BIGINT AS n_{kind}" for kind in base)
     return f"""
@@ -57,7 +57,7 @@ WITH t AS (SELECT doc_id, source, coalesce(text, '') AS text FROM documents),
 b AS ({spans}),
 o AS (SELECT w.* FROM ({_spans(wider[0], len(base), *wider[1:])}) w WHERE regexp_matches(v, '[0-9]') AND regexp_matches(v, '[A-Za-z]') AND NOT EXISTS (SELECT 1 FROM b WHERE b.doc_id = w.doc_id AND b.a < w.a + w.n AND w.a < b.a + b.n)),
 c AS (SELECT * FROM b UNION ALL SELECT * FROM o),
-own AS (SELECT v, count(DISTINCT source) > 1 AS copied FROM c GROUP BY 1),
+own AS (SELECT v, count(DISTINCT source) > {owners} OR count(DISTINCT CASE WHEN source IS NOT NULL THEN source || ':' || doc_id ELSE ':' || doc_id END) > {repositories} AS copied FROM c GROUP BY 1),
 j AS (SELECT c.*, own.copied, kind || ':' || a::BIGINT || ':' || (a + n)::BIGINT AS s FROM c JOIN own ON own.v = c.v WHERE kind <> '{wider[0]}' OR NOT copied),
 g AS (SELECT doc_id, {counts}, coalesce(string_agg(s, ',' ORDER BY a, rank) FILTER (kind <> '{wider[0]}'), '') AS base, string_agg(s, ',' ORDER BY a, rank) AS spans, count(*) FILTER (NOT copied) AS n_live, count(*) FILTER (copied) AS n_example FROM j GROUP BY 1)
 SELECT t.doc_id, {", ".join(f"coalesce(n_{kind}, 0)::BIGINT AS n_{kind}" for kind in base)}, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(n_live, 0)::BIGINT AS n_live, coalesce(n_example, 0)::BIGINT AS n_example FROM t LEFT JOIN g ON g.doc_id = t.doc_id

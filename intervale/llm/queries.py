@@ -71,5 +71,5 @@ ORACLES: dict[str, str] = {
     "op4_line_dedup": linedup.CHUNK_SQL,
     "op7_decontamination": oracles.CONTAMINATION,
     "op9_near_dedup": oracles.NEAR_DUPLICATES,
-    "op10_secret_scan": oracles.secrets_sql(secrets.BASE, secrets.WIDER),
+    "op10_secret_scan": oracles.secrets_sql(secrets.BASE, secrets.WIDER, secrets.OWNERS, secrets.REPOSITORIES),
 }

@@ -321,6 +321,36 @@ def test_secret_ownership(spark):
     assert "owned" not in found[0]["spans"] and found[0]["n_example"] == 1
 
 
+def test_owned_secrets_equal_their_sql(spark, monkeypatch):
+    import duckdb
+
+    from intervale.llm import oracles
+
+    dice = random.Random(9)
+    keys = ["".join(dice.choice("ABCdef0123456789") for _ in range(30)) for _ in range(12)]
+    rows = []
+    for i in range(400):
+        # key k is held by k % 4 + 1 owners; key 0 by one owner in very many repositories
+        k = 0 if i % 3 == 0 else dice.randrange(12)
+        owner = f"o{k}-{dice.randrange(k % 4 + 1)}"
+        more = dice.choice(["", f"token={keys[(k + 1) % 12]}", f"{'ab12' * 9} end", f"x{keys[k]}", f"secret: {keys[k][:9]} AKIA{'Z' * 16}"])
+        rows.append((i, f"see {keys[k]} \u65e5 {more} {keys[k]}, {keys[(k + 5) % 12] if i % 7 == 0 else ''}", owner))
+    own = ["".join(dice.choice("XYZabc9876543210") for _ in range(28)) for _ in range(40)]
+    rows += [(500 + i, f"mine {own[i % 40]}.", f"p{i % 40}") for i in range(120)]
+    rows += [(1000, None, "o1"), (1001, f"only {keys[3]}x", None), (1002, f"{keys[4]} " * 600 + "token=abcdefgh1 " * 300, "long")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+    db = duckdb.connect()
+    db.register("documents", docs.toArrow())
+    want = db.sql(oracles.secrets_sql(secrets.BASE, secrets.WIDER, secrets.OWNERS, secrets.REPOSITORIES))
+    monkeypatch.setattr(skew, "LEAST", 2)
+    found = secrets.secret_report(docs)
+    got = sorted(map(tuple, found.select(*want.columns).collect()))
+    assert got == sorted(want.fetchall())
+    spans = {r[want.columns.index("doc_id")]: r[want.columns.index("spans")] for r in got}
+    assert all(spans[500 + i] == "owned:5:33" for i in range(120))
+    assert not any("owned:4:34" in spans[d] for d, t, _ in rows if d < 400 and t.startswith(f"see {keys[0]}"))
+
+
 def test_empty_tables(spark):
     none = frame(spark, EDGES).limit(0)
     for f in (lambda d: substrings.remove_repeats(d), neardup.near_duplicates, linedup.chunk_report, secrets.secret_report, language.languages):
