@@ -3,10 +3,10 @@
 Signatures: each of the permutations gives a document its smallest and its largest shingle value, so half as many hash
 evaluations fill a signature. Bands of the signature choose candidates; full shingle sets confirm links.
 
-Copies with the same set form a class, whose smallest doc_id stands for it from then on. Each bucket links its members to its
-smallest one; the components of these candidate links are clusters. All sets of a cluster meet in blocks of bounded size and are
-compared exactly, so a link inside a bucket is never missed because the bucket is large; what leaves a block is a spanning
-forest of its links, not its pairs.
+Copies with the same set form a class, which is one vertex from then on. Each bucket links its members to its smallest one; the
+components of these candidate links are clusters. All sets of a cluster meet in blocks of bounded size and are compared exactly, so
+a link inside a bucket is never missed because the bucket is large; what leaves a block is a spanning forest of its links, not its
+pairs. Rows of a frequent band, cluster or class are spread over tasks wherever they meet.
 """
 
 from __future__ import annotations
@@ -20,12 +20,13 @@ from pyspark.sql import functions as F
 
 from intervale.llm import words as W
 from intervale.llm.components import connected_components
-from intervale.llm.store import written
+from intervale.llm.skew import hot_keys, spread_join
+from intervale.llm.store import dropped, written
 
 #: Bands, and values of a band. At similarity 0.85 a link is missed with probability (1 - 0.85 ** 6) ** 40 < 1e-8.
 BANDS, ROWS = 40, 6
-#: Documents of a cluster that are compared at once.
-BLOCK = 1000
+#: Documents of a cluster that are compared at once, and the bytes of their sets (a larger set is a block of its own).
+BLOCK, BLOCK_BYTES = 250, 4 << 20
 #: Shingles whose signatures are computed at once, to stay in a core's cache.
 AT_ONCE = 1 << 15
 
@@ -78,6 +79,13 @@ def band_keys(sets: list[np.ndarray], bands: int, rows: int) -> np.ndarray:
     return keys.T
 
 
+def fingerprints(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """128 bits that name each set."""
+    a = np.array([W.mix(s).sum(dtype=np.uint64) for s in sets], dtype=np.uint64)
+    b = np.array([W.mix(s ^ np.uint64(0xA5A5A5A55A5A5A5A)).sum(dtype=np.uint64) for s in sets], dtype=np.uint64)
+    return a, b
+
+
 def signatures(docs: DataFrame, size: int, bands: int, rows: int) -> DataFrame:
     """Of each document: the number of its shingles, a 128-bit fingerprint of the set and its band keys."""
 
@@ -88,8 +96,7 @@ def signatures(docs: DataFrame, size: int, bands: int, rows: int) -> DataFrame:
                 full = [s for s in sets if len(s)]
                 keys = band_keys(full, bands, rows) if full else np.zeros((0, bands), np.uint64)
                 has = np.array([len(s) > 0 for s in sets], dtype=bool)
-                a = np.array([W.mix(s).sum(dtype=np.uint64) for s in sets], dtype=np.uint64)
-                b = np.array([W.mix(s ^ np.uint64(0xA5A5A5A55A5A5A5A)).sum(dtype=np.uint64) for s in sets], dtype=np.uint64)
+                a, b = fingerprints(sets)
                 offsets = np.concatenate([[0], np.cumsum(has * bands)]).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(offsets), W.signed(np.ascontiguousarray(keys).reshape(-1)))
                 yield pa.RecordBatch.from_arrays([some.column("doc_id").cast(pa.int64()), pa.array([len(s) for s in sets], pa.int64()), W.signed(a), W.signed(b), lists], names=["doc_id", "n_shingles", "set_a", "set_b", "bands"])
@@ -128,20 +135,30 @@ def forest(ids: np.ndarray, sets: list[np.ndarray], blocks: np.ndarray, percent:
 
 
 def sets_of_clusters(docs: DataFrame, clusters: DataFrame, size: int, block: int) -> DataFrame:
-    """(id, root, n_blocks, own, shingles): the full set of each document of a cluster, and its block there."""
-    sizes = clusters.groupBy("root").agg(F.count(F.lit(1)).alias("n"))
+    """(id, root, n_blocks, own, shingles): the full set of each class of a cluster, and its block there.
+
+    ``clusters`` has id, root, and of the class doc_id, n_shingles, set_a and set_b; of the texts of a repeated doc_id those of the
+    class itself are taken.
+    """
+    sizes = clusters.groupBy("root").agg(F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("_shingles"))
+    n_blocks = F.ceil(F.greatest(F.col("n") / F.lit(block), 8 * F.col("_shingles") / F.lit(BLOCK_BYTES))).cast("int")
+    counted = written(sizes.select("root", "n", n_blocks.alias("n_blocks")), "clusters")
     own = F.pmod(F.xxhash64("id"), F.col("n_blocks")).cast("int")
-    placed = clusters.join(sizes, "root").select("id", "root", F.ceil(F.col("n") / F.lit(block)).cast("int").alias("n_blocks")).withColumn("own", own)
+    placed = spread_join(clusters, counted.drop("n"), ["root"], hot_keys(counted, ["root"]), ["id"]).withColumn("own", own).drop("n_shingles")
 
     def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["id", "root", "n_blocks", "own"]
         for batch in batches:
             for some in W.slices(batch, most=2 << 20):
-                sets = pa.array([s.tobytes() for s in shingle_sets(some.column("text"), size)], pa.binary())
-                yield pa.RecordBatch.from_arrays([*(some.column(c) for c in ("id", "root", "n_blocks", "own")), sets], names=["id", "root", "n_blocks", "own", "shingles"])
+                sets = shingle_sets(some.column("text"), size)
+                a, b = fingerprints(sets)
+                its_own = (a.view(np.int64) == np.asarray(some.column("set_a"))) & (b.view(np.int64) == np.asarray(some.column("set_b")))
+                rows = pa.RecordBatch.from_arrays([*(some.column(c) for c in names), pa.array([s.tobytes() for s in sets], pa.binary())], names=[*names, "shingles"])
+                yield rows.filter(pa.array(its_own))
 
-    texts = docs.select(F.col("doc_id").alias("id"), "text")
+    texts = docs.select("doc_id", "text")
     # a sort-merge join at every size: the plan, and what it shuffles, grows evenly
-    return texts.join(placed.hint("merge"), "id").mapInArrow(sets_of, "id long, root long, n_blocks int, own int, shingles binary").dropDuplicates(["id"])
+    return texts.join(placed.hint("merge"), "doc_id").drop("doc_id").mapInArrow(sets_of, "id long, root long, n_blocks int, own int, shingles binary").dropDuplicates(["id"])
 
 
 def compared(rows: DataFrame, percent: int) -> DataFrame:
@@ -181,9 +198,9 @@ def compared(rows: DataFrame, percent: int) -> DataFrame:
 
 
 def confirmed(docs: DataFrame, clusters: DataFrame, size: int, percent: int, block: int = BLOCK) -> DataFrame:
-    """(a, b, whole): links between the documents of each cluster (id, root) on full sets, as forests of bounded blocks.
+    """(a, b, whole): links between the classes of each cluster on full sets, as forests of bounded blocks.
 
-    ``whole`` tells that the cluster was one block, so that b is the smallest document of a's component.
+    ``whole`` tells that the cluster was one block, so that b is the smallest class of a's component.
 
     A cluster of several blocks is compared block by block first, with its root in each. What is linked with the root then is one
     component already; only the documents outside it meet the other blocks. So a large group of true copies costs its own size,
@@ -200,11 +217,13 @@ def confirmed(docs: DataFrame, clusters: DataFrame, size: int, percent: int, blo
         return first
     parts = connected_components(first.where("NOT whole").select("a", "b")).withColumnRenamed("root", "part")
     outside = several.join(parts, "id", "left").where(F.coalesce("part", "id") != F.col("root")).drop("part")
-    n_out = outside.groupBy("root").agg(F.ceil(F.count(F.lit(1)) / F.lit(block)).cast("int").alias("n_out"))
-    strays = outside.join(n_out, "root").withColumn("one", F.pmod(F.xxhash64("id", F.lit(1)), F.col("n_out")).cast("int"))
+    # as many blocks of strays as the cluster has for as many classes: one row a large cluster, which few are
+    n_out = written(outside.groupBy("root").agg(F.greatest(F.ceil(F.count(F.lit(1)) / F.lit(block)), F.ceil(F.sum(F.octet_length("shingles")) / F.lit(BLOCK_BYTES))).cast("int").alias("n_out"), F.count(F.lit(1)).alias("n")), "strays")
+    crowded = hot_keys(several.groupBy("root").agg(F.count(F.lit(1)).alias("n")), ["root"])
+    strays = spread_join(outside, n_out.drop("n"), ["root"], crowded, ["id"]).withColumn("one", F.pmod(F.xxhash64("id", F.lit(1)), F.col("n_out")).cast("int"))
     columns = ["root", "one", "two", "side", "id", "whole", "shingles"]
     left = strays.select("*", all_blocks.alias("two"), F.lit(0).alias("side"), F.lit(False).alias("whole")).select(columns)
-    right = several.join(n_out, "root").select("*", F.explode(F.sequence(F.lit(0), F.col("n_out") - 1)).alias("one"), F.col("own").alias("two"), F.lit(1).alias("side"), F.lit(False).alias("whole")).select(columns)
+    right = spread_join(several, n_out.drop("n"), ["root"], crowded, ["id"]).select("*", F.explode(F.sequence(F.lit(0), F.col("n_out") - 1)).alias("one"), F.col("own").alias("two"), F.lit(1).alias("side"), F.lit(False).alias("whole")).select(columns)
     return first.unionByName(compared(left.unionByName(right), percent))
 
 
@@ -216,21 +235,26 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 85, bands: in
     and component_id is the smallest doc_id that can be reached over links; kept marks that document.
 
     Null, empty and blank texts have no shingles and are linked with nothing. A null doc_id is linked with nothing either and
-    has a null component_id. Repeated rows of one doc_id get a row each, equal if their texts are. An empty table gives an
-    empty one. Other columns are not read. Very long texts are taken whole.
+    has a null component_id. Repeated rows get a row each; rows of one doc_id with different texts are judged by their own text. An
+    empty table gives an empty one. Other columns are not read. Very long texts are taken whole.
     """
     signed = written(signatures(docs, size, bands, rows), "signatures")
-    full = signed.where("n_shingles > 0 AND doc_id IS NOT NULL")
-    classes = written(full.groupBy("set_a", "set_b").agg(F.min("doc_id").alias("id"), F.min_by("bands", "doc_id").alias("bands")), "classes")
+    able = F.coalesce((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.lit(False))
+    same_set = signed.where(able).groupBy("set_a", "set_b").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("n"), F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands"))
+    classes = written(same_set.withColumn("id", F.monotonically_increasing_id()), "classes")
     keyed = classes.select("id", F.explode("bands").alias("key"))
-    buckets = keyed.groupBy("key").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1").select("key", "least")
-    candidates = keyed.join(buckets, "key").where("id <> least").select(F.col("id").alias("a"), F.col("least").alias("b")).distinct()
-    clusters = connected_components(candidates)
+    buckets = written(keyed.groupBy("key").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1"), "buckets")
+    candidates = spread_join(keyed, buckets.drop("n"), ["key"], hot_keys(buckets, ["key"]), ["id"]).where("id <> least").select(F.col("id").alias("a"), F.col("least").alias("b")).distinct()
+    clusters = connected_components(candidates).join(classes.select("id", "doc_id", "n_shingles", "set_a", "set_b"), "id")
     links = written(confirmed(docs, clusters, size, percent), "links")
     single = links.where("whole").select(F.col("a").alias("id"), F.col("b").alias("root"))
     several = links.where("NOT whole").select("a", "b")
     roots = single if several.isEmpty() else single.unionByName(connected_components(several))
-    members = classes.select("set_a", "set_b", "id").join(roots, "id", "left").select("set_a", "set_b", F.coalesce("root", "id").alias("class_root"))
-    found = signed.select("doc_id", "n_shingles", "set_a", "set_b").join(members, ["set_a", "set_b"], "left")
-    component = F.when(F.col("doc_id").isNotNull(), F.when(F.col("n_shingles") > 0, F.coalesce("class_root", "doc_id")).otherwise(F.col("doc_id")))
-    return found.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    members = written(classes.select("set_a", "set_b", "id", "doc_id", "n").join(roots, "id", "left").select("set_a", "set_b", "doc_id", "n", F.coalesce("root", "id").alias("root")), "members")
+    components = written(members.groupBy("root").agg(F.min("doc_id").alias("component"), F.count(F.lit(1)).alias("n")), "components")
+    named = spread_join(members.drop("n"), components.drop("n"), ["root"], hot_keys(components, ["root"]), ["doc_id"]).select("set_a", "set_b", "component")
+    columns = signed.select("doc_id", "n_shingles", "set_a", "set_b")
+    found = spread_join(columns.where(able), named, ["set_a", "set_b"], hot_keys(members, ["set_a", "set_b"]), ["doc_id"]).select("doc_id", "n_shingles", F.col("component").alias("component_id"))
+    alone = columns.where(~able).select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+    dropped(buckets)
+    return found.unionByName(alone).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))

@@ -123,6 +123,35 @@ def test_near_duplicates_equal_brute_force(spark, monkeypatch, block):
             assert (r.n_shingles, r.component_id) == want[r.doc_id] and r.kept == (r.doc_id == r.component_id)
 
 
+def test_bands_find_pairs_just_above_the_threshold():
+    dice = np.random.default_rng(3)
+    sets = []
+    for _ in range(1500):
+        n, share = int(dice.integers(40, 400)), dice.uniform(0.85, 0.9)
+        common = int(np.ceil(n * 2 * share / (1 + share)))
+        pool = dice.integers(0, 1 << 63, 2 * n - common, dtype=np.uint64)
+        sets += [np.sort(pool[:n]), np.sort(np.concatenate([pool[:common], pool[n:]]))]
+    keys = neardup.band_keys(sets, neardup.BANDS, neardup.ROWS)
+    assert (keys[::2] == keys[1::2]).any(axis=1).mean() == 1.0
+
+
+def test_rows_of_one_id_are_judged_by_their_own_text_and_large_groups_are_spread(spark, monkeypatch):
+    monkeypatch.setattr(skew, "LEAST", 2)
+    monkeypatch.setattr(neardup, "BLOCK_BYTES", 2000)
+    dice = random.Random(6)
+    base = [f"w{i}" for i in range(150)]
+    near = [" ".join(w if dice.random() > 0.004 else f"n{dice.random()}" for w in base) for _ in range(60)]
+    texts = [(1000 + i, t) for i, t in enumerate(near)] + [(2000 + i, near[0]) for i in range(200)] + [(5, "one text of its own that is long enough"), (5, near[3]), (7, "one text of its own that is long enough")]
+    got = neardup.near_duplicates(frame(spark, texts)).collect()
+    assert len(got) == len(texts)
+    by_row = components([(i, t) for i, (_, t) in enumerate(texts)])
+    least = {}
+    for i, (_, root) in by_row.items():
+        least[root] = min(texts[i][0], least.get(root, 10**9))
+    assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in got) == Counter((texts[i][0], n, least[root]) for i, (n, root) in by_row.items())
+    assert len(set(least.values())) > 1 and max(Counter(root for _, root in by_row.values()).values()) > 210
+
+
 def test_near_duplicates_on_documents(documents, texts):
     assert {k: (v["n_shingles"], v["component_id"]) for k, v in keyed(neardup.near_duplicates(documents)).items()} == components(texts)
 
