@@ -22,6 +22,11 @@ def packed(docs: DataFrame, added: dict[str, int] | None = None) -> DataFrame:
     return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, 50_257, added=added)
 
 
+def vocabularies() -> tuple[str, tuple[str, str]]:
+    """The piece vocabulary, and the byte-level one for many languages with its pattern."""
+    return public_tokenizers.path("piece_bpe_32k.model"), (public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
 def op1_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract.page_texts(table(spark, sf_dir, "pages"))
 
@@ -31,7 +36,7 @@ def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fertility.fertility_rules(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+    return fertility.fertility_rules(table(spark, sf_dir, "documents"), *vocabularies())
 
 
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -244,7 +244,7 @@ def test_fertility_base_equals_brute_force(spark, texts):
 
     path = public_tokenizers.path("piece_bpe_32k.model")
     rows = texts + EDGES + [(8001, "a\n\nb c\nb c\n \n \nb c d\n日本語 ### $ é")]
-    got = fertility.fertility_rules(frame(spark, rows), path).collect()
+    got = fertility.fertility_rules(frame(spark, rows), *queries.vocabularies()).collect()
     want = {d: base_counts(t) for d, t in rows}
     model = sentencepiece.SentencePieceProcessor(model_file=path)
     assert len(got) == len(rows)
@@ -260,6 +260,38 @@ def test_fertility_base_equals_brute_force(spark, texts):
             assert r.n_tokens == len(tokens[r.doc_id]) and r.entropy == pytest.approx(-(p * np.log2(p)).sum())
 
 
+def lowest(rows, measure, fixed):
+    """The lower bound of one group, from its sorted values in thousandths."""
+    values = sorted(round(r[measure] * 1000) for r in rows)
+    if not values:
+        return fixed
+    n = len(values)
+    q1, q2, q3 = (values[-(-k * n // 4) - 1] for k in (1, 2, 3))
+    return (n * (q2 - 4 * (q3 - q1) / 1.349) / 1000 + 30 * fixed) / (n + 30)
+
+
+def test_fertility_verdicts_equal_brute_force_however_rows_are_dealt(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang")
+    junk = [(-i, " ".join(f"{'#' * (k % 5 + 1)}%{k * i}&|" for k in range(80)), "en") for i in range(1, 6)] + [(-9, "\u4e2d\u6587 " * 60, None), (-10, " ".join(f"w{k}" for k in range(55)), "new")]
+    every = docs.unionByName(spark.createDataFrame(junk, docs.schema))
+    got = {n: {r.doc_id: r.asDict() for r in fertility.fertility_rules(every.repartition(n), *queries.vocabularies()).collect()} for n in (2, 7)}
+    assert got[2] == got[7]
+    lang = {r.doc_id: r.lang for r in every.collect()}
+    groups = defaultdict(list)
+    key = lambda r: (lang[r["doc_id"]] or r["script"], int(np.floor(2 * np.log2(max(r["n_words"], 1)))))
+    for r in got[2].values():
+        if not r["base_failed"]:
+            groups[key(r)].append(r)
+    for r in got[2].values():
+        band = fertility.BANDS[r["script"]]
+        good = not r["base_failed"] and r["byte_share"] <= band["byte_share"]
+        for m in fertility.GROUPED:
+            low, high = (band[m], 99) if m == "entropy" else band[m]
+            good = good and max(low, lowest(groups[key(r)], m, low)) <= r[m] + 1e-9 and r[m] <= high
+        assert r["kept"] == good
+    assert not any(got[2][-i]["kept"] for i in range(1, 6)) and sum(r["kept"] for r in got[2].values()) > 0.5 * len(got[2])
+
+
 def test_quality_scores(spark, documents):
     labels = spark.read.parquet(f"{SF}/labels.parquet")
     found = quality.quality_scores(documents, labels).join(labels, "doc_id").where("held_out").toPandas()
