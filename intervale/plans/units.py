@@ -9,10 +9,11 @@ from intervale.functions.circular import resultant
 from intervale.operators import intervals as I
 from intervale.operators import pointprocess as P
 from intervale.operators import relational as R
+from intervale.operators import replicates as B
 from intervale.operators import resampling as S
 from intervale.operators import sampled as D
 from intervale.plans.events import CY, EV, ON, H, _in_cycles, onsets, r6
-from intervale.plans.nulls import LOT, N, REPS
+from intervale.plans.nulls import LOT, N
 from intervale.plans.registry import query
 from intervale.plans.segments import PH, SG, _phases, _widths
 from intervale.sources.tables import DAY, points, segments, table
@@ -50,7 +51,7 @@ def design_matrix(spark: SparkSession, d: str) -> DataFrame:
     return trials(spark, d).select("trial", *[((load == a) & (stimulus == b)).cast("int").alias(f"l{a}_s{b}") for a in (1, 2, 3) for b in (0, 1)])
 
 
-@query(f"WITH {EV}, r AS (SELECT 1 AS rep), q AS (SELECT mark, point_id, row_number() OVER (PARTITION BY mark ORDER BY {LOT.format('point_id')}, point_id) AS k FROM e, r) SELECT mark, point_id FROM q WHERE k <= 20")
+@query(f"WITH {EV}, r AS (SELECT 1 AS rep), q AS (SELECT mark, point_id, row_number() OVER (PARTITION BY mark ORDER BY md5(concat_ws(':', r.rep::VARCHAR, point_id::VARCHAR)), point_id) AS k FROM e, r) SELECT mark, point_id FROM q WHERE k <= 20")
 def sample_per_mark(spark: SparkSession, d: str) -> DataFrame:
     """Twenty points of each mark, drawn by hash: the same ones however the data is split."""
     p = points(spark, d).select("mark", "point_id")
@@ -75,19 +76,16 @@ def peak_cycles(spark: SparkSession, d: str) -> DataFrame:
     return peaks.where("end - i BETWEEN 3 AND 12").select("unit", F.col("i").cast("long").alias("start"), F.col("end").cast("long").alias("end"), F.round("v", 6).alias("peak"))
 
 
-@query(f"""WITH {EV}, r AS (SELECT unnest(range(1, {N + 1})) AS rep), x AS (SELECT 0 AS rep, unit, t FROM e WHERE mark = 'click' UNION ALL SELECT r.rep, unit, t + ('0x' || substr({LOT.format('point_id')}, 1, 8))::BIGINT % {2 * H} - {H} FROM e, r WHERE mark = 'click'),
+@query(f"""WITH {EV}, r AS (SELECT unnest(range(1, {N + 1})) AS rep), x AS (SELECT 0 AS rep, unit, t FROM e WHERE mark = 'click' UNION ALL SELECT r.rep, unit, t + ('0x' || {LOT.format('point_id')})::BIGINT % {2 * H} - {H} FROM e, r WHERE mark = 'click'),
 c AS (SELECT x.rep, count(*) AS stat FROM x JOIN e ON e.unit = x.unit AND e.mark = 'purchase' AND e.t BETWEEN x.t AND x.t + {H} GROUP BY 1), a AS (SELECT k.rep, coalesce(stat, 0) AS stat FROM range({N + 1}) k(rep) LEFT JOIN c ON c.rep = k.rep)
 SELECT o.stat::DOUBLE AS observed, round((count(*) FILTER (n.stat >= o.stat) + 1)::DOUBLE / {N + 1}::DOUBLE, 6) AS p FROM a o JOIN a n ON n.rep > 0 WHERE o.rep = 0 GROUP BY 1""")
 def jitter_null(spark: SparkSession, d: str) -> DataFrame:
     """Purchases in the hour after a click, against clicks moved by up to an hour either way."""
     p = points(spark, d)
-    clicks = p.where("mark = 'click'").select("unit", "point_id", "t")
-    moved = S.replicated(clicks, REPS).withColumn("t", F.col("t") + S.lot_number(F.col("replicate"), F.col("point_id")) % (2 * H) - H)
-    every = clicks.withColumn("replicate", F.lit(0).cast("long")).unionByName(moved)
-    windows = every.select("unit", "replicate", F.col("t").alias("start"), (F.col("t") + H).alias("end"))
-    found = I.range_join(p.where("mark = 'purchase'").select("unit", "t"), windows, ["unit"], H, "both").groupBy("replicate").agg(F.count(F.lit(1)).cast("double").alias("statistic"))
-    grid = spark.range(N + 1).select(F.col("id").alias("replicate"))
-    return r6(S.p_values(grid.join(found, "replicate", "left").withColumn("statistic", F.coalesce("statistic", F.lit(0.0))), [], "statistic", N), "p")
+    near = p.where("mark = 'click'").select("unit", "point_id", F.col("t").alias("at"), (F.col("t") - H).alias("start"), (F.col("t") + 2 * H).alias("end"))
+    pairs = I.range_join(p.where("mark = 'purchase'").select("unit", "t"), near, ["unit"], 3 * H, "both").select("point_id", (F.col("t") - F.col("at")).alias("gap"))
+    stat = B.jittered_counts(pairs, "point_id", "gap", H, H, N).select("replicate", F.col("n").cast("double").alias("statistic"))
+    return r6(S.p_values(stat, [], "statistic", N), "p")
 
 
 @query(f"""WITH {PH}, q AS (SELECT unit, mark, ph, row_number() OVER (PARTITION BY unit, mark ORDER BY md5(concat_ws(':', '1', point_id::VARCHAR)), point_id) AS k FROM p WHERE mark IN ('click', 'view')),
@@ -161,7 +159,7 @@ def cross_correlogram(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def bca_interval(spark: SparkSession, d: str) -> DataFrame:
     """Bias-corrected and accelerated bootstrap interval of the mean reach, by group: means of resamples by Poisson weights, jackknife by sums."""
-    return S.bca(_widths(spark, d).select("grp", F.col("unit").alias("key"), F.col("w").alias("x")), "grp", range(1, 201))
+    return S.bca(_widths(spark, d).select("grp", F.col("unit").alias("key"), F.col("w").alias("x")), "grp", 2000)
 
 
 SR = f"""{EV}, sr AS (SELECT mark, (t // {H})::BIGINT AS i, sum(value) AS v FROM e GROUP BY 1, 2), lim AS (SELECT mark, min(i // 24) AS lo, max(i // 24) AS hi FROM sr GROUP BY 1)"""
