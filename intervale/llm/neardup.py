@@ -26,7 +26,7 @@ from intervale.llm.store import dropped, written
 #: Bands, and values of a band. At similarity 0.85 a link is missed with probability (1 - 0.85 ** 6) ** 40 < 1e-8.
 BANDS, ROWS = 40, 6
 #: Documents of a cluster that are compared at once, and the bytes of their sets (a larger set is a block of its own).
-BLOCK, BLOCK_BYTES = 250, 4 << 20
+BLOCK, BLOCK_BYTES = 125, 4 << 20
 #: Shingles whose signatures are computed at once, to stay in a core's cache.
 AT_ONCE = 1 << 15
 
