@@ -268,3 +268,188 @@ def fisher_exact(a: int, b: int, c: int, d: int) -> float:
     low, high = max(0, row + column - n), min(row, column)
     p = np.exp([chance(x) for x in range(low, high + 1)])
     return float(min(1.0, p[p <= p[a - low] * (1 + 1e-7)].sum()))
+
+
+def sub_moments(m: np.ndarray, p: int, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """The moment matrix of chosen samples: ``left`` from the first ``p``, ``right`` from the others; choices may repeat."""
+    take = np.concatenate([[0], 1 + left, 1 + p + right])
+    return m[np.ix_(take, take)]
+
+
+def rank_scores(folds: dict[int, np.ndarray], p: int, penalties: list[float], ranks: list[int]) -> np.ndarray:
+    """Cross-validated R^2 (penalties x ranks x folds) of reduced rank maps."""
+    whole = sum(folds.values())
+    out = np.full((len(penalties), len(ranks), len(folds)), np.nan)
+    for f, test in enumerate(folds.values()):
+        train = whole - test
+        xx, xy, _ = split_moments(train, p)
+        for a, penalty in enumerate(penalties):
+            w = np.linalg.solve(xx + penalty * np.eye(p), xy)
+            value, vector = np.linalg.eigh(w.T @ xx @ w)
+            lead = vector[:, np.argsort(value)[::-1]]
+            for r, rank in enumerate(ranks):
+                out[a, r, f] = r_squared(test, train, p, w @ lead[:, :rank] @ lead[:, :rank].T)
+    return out
+
+
+def nested_errors(folds: dict[int, np.ndarray], p: int, penalties: list[float], ranks: list[int]) -> np.ndarray:
+    """Normalised squared errors (folds x ranks); each fold's penalty is chosen by cross-validation among the other folds."""
+    out = np.full((len(folds), len(ranks)), np.nan)
+    for i, f in enumerate(folds):
+        inner = {k: m for k, m in folds.items() if k != f}
+        full = [float(np.mean([r_squared(test, sum(inner.values()) - test, p, ridge(sum(inner.values()) - test, p, a)) for test in inner.values()])) for a in penalties]
+        best = penalties[int(np.argmax(full))]
+        out[i] = 1 - rank_scores({0: folds[f], 1: sum(inner.values())}, p, [best], ranks)[0, :, 0]
+    return out
+
+
+def smallest_within_error(errors: np.ndarray) -> int:
+    """Place of the first column whose mean error is at most the least one plus its standard error (over rows)."""
+    mean, se = errors.mean(axis=0), errors.std(axis=0, ddof=1) / np.sqrt(len(errors))
+    best = int(np.argmin(mean))
+    return int(np.flatnonzero(mean <= mean[best] + se[best])[0])
+
+
+def padded_curve(values: np.ndarray, length: int) -> np.ndarray:
+    """Cumulative shares of ``values``, cut at ``length`` or carried on flat to it."""
+    curve = np.cumsum(values) / values.sum() if values.sum() > 0 else np.zeros(max(len(values), 1))
+    return np.concatenate([curve, np.full(max(0, length - len(curve)), curve[-1])])[:length]
+
+
+def factor_dimension(folds: dict[int, np.ndarray], most: int, share: float = 0.95, rounds: int = 60) -> tuple[int, int, np.ndarray]:
+    """(best number of factors by cross-validated likelihood, dimensions of their shared covariance, its eigenvalues)."""
+    whole = sum(folds.values())
+    fits = [np.mean([gaussian_fit(*factor_analysis(covariance(whole - m)[1], q, rounds), whole - m, m) for m in folds.values()]) for q in range(most + 1)]
+    best = int(np.argmax(fits))
+    load, _ = factor_analysis(covariance(whole)[1], max(best, 1), rounds)
+    values = np.sort(np.linalg.eigvalsh(load @ load.T))[::-1].clip(0)
+    return best, dimension(values, share), values
+
+
+def nested_intercepts(units: DataFrame, group: str, ratios: list[tuple[float, float]]) -> DataFrame:
+    """(group, combo, cells): generalised least squares sums of y on (1, x) for each pair of variance ratios (unit, block in the unit).
+
+    ``units`` has group and blocks, an array of the sums (n, x, y, xx, xy, yy) of each block of a unit. Both random intercepts are taken
+    out in closed form, blocks first. cells are nn, nx, ny, xx, xy, yy, the log determinant and the rows.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        r2, r1 = (np.array([r[i] for r in ratios]) for i in (0, 1))
+        total: dict = {}
+        for batch in batches:
+            for key, blocks in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                n, x, y, xx, xy, yy = np.array([[b[c] for c in ("n", "x", "y", "xx", "xy", "yy")] for b in blocks], dtype=float).T
+                w = r1[:, None] / (1 + r1[:, None] * n)
+                cells = [(a - w * b * c).sum(axis=1) for a, b, c in ((n, n, n), (x, n, x), (y, n, y), (xx, x, x), (xy, x, y), (yy, y, y))]
+                nn, nx, ny = cells[:3]
+                v = r2 / (1 + r2 * nn)
+                logdet = np.log1p(r1[:, None] * n).sum(axis=1) + np.log1p(r2 * nn)
+                cells = [a - v * b * c for a, (b, c) in zip(cells, ((nn, nn), (nn, nx), (nn, ny), (nx, nx), (nx, ny), (ny, ny)), strict=True)]
+                total[key] = total.get(key, 0) + np.stack([*cells, logdet, np.full(len(ratios), n.sum())], axis=1)
+        for key, cells in total.items():
+            yield pa.RecordBatch.from_pydict({group: pa.array([key] * len(ratios), pa.int64()), "combo": pa.array(range(len(ratios)), pa.int64()), "cells": pa.array(cells.tolist(), pa.list_(pa.float64()))})
+
+    found = units.select(F.col(group).cast("long"), "blocks").mapInArrow(run, f"{group} long, combo long, cells array<double>")
+    return found.groupBy(group, "combo").agg(F.array(*[F.sum(F.get("cells", i)) for i in range(8)]).alias("cells"))
+
+
+def interaction_fit(units: DataFrame, group: str, passes: int = 4) -> dict:
+    """Slopes of y on x in each group, with random intercepts for units and for blocks in them, by restricted likelihood.
+
+    The two variance ratios are found on a grid that is narrowed around the best pair in each pass. Every group has its own intercept
+    and slope, so the information is block-diagonal. Gives ratios, likelihood, groups, beta, se, and the joint Wald statistic of equal slopes.
+    """
+    axes = [np.concatenate([[0.0], 2.0 ** np.arange(-12, 5, 2)]) for _ in range(2)]
+    best: dict = {}
+    for number in range(passes):
+        ratios = [(float(a), float(b)) for a in axes[0] for b in axes[1]]
+        cells: dict[int, dict[int, list]] = {}
+        for r in nested_intercepts(units, group, ratios).toLocalIterator():
+            cells.setdefault(r["combo"], {})[r[group]] = r["cells"]
+        for combo, by_group in sorted(cells.items()):
+            groups = sorted(g for g, c in by_group.items() if np.linalg.matrix_rank(np.array([[c[0], c[1]], [c[1], c[3]]])) == 2)
+            rows, residual, logdet, slopes, inverse = sum(by_group[g][7] for g in groups), 0.0, 0.0, [], []
+            for g in groups:
+                nn, nx, ny, xx, xy, yy, ld, _ = by_group[g]
+                a, c = np.array([[nn, nx], [nx, xx]]), np.array([ny, xy])
+                b = np.linalg.solve(a, c)
+                residual += yy - b @ c
+                logdet += ld + np.log(np.linalg.det(a))
+                slopes.append(b[1])
+                inverse.append(np.linalg.inv(a)[1, 1])
+            free = rows - 2 * len(groups)
+            scale = residual / free
+            likelihood = -0.5 * (free * np.log(scale) + logdet)
+            if not best or likelihood > best["likelihood"]:
+                variance = scale * np.array(inverse)
+                weight = 1 / variance
+                middle = (weight * slopes).sum() / weight.sum()
+                best = {"ratios": ratios[combo], "likelihood": float(likelihood), "groups": groups, "beta": np.array(slopes), "se": np.sqrt(variance), "wald": float((weight * (slopes - middle) ** 2).sum())}
+        step = 2.0 / 2**number
+        axes = [np.unique(np.clip([r * 2**k for k in np.linspace(-step, step, 5)] if r > 0 else [0.0, *(2.0 ** np.arange(-16, -11, 1) / 4**number)], 0, None)) for r in best["ratios"]]
+    return best
+
+
+def chi_square_tail(x: float, df: int) -> float:
+    """P(X > x) of a chi-square variable, by the series of the incomplete gamma function."""
+    if x <= 0:
+        return 1.0
+    a, z = df / 2, x / 2
+    term = total = 1 / a
+    for k in range(1, 2000):
+        term *= z / (a + k)
+        total += term
+        if term < total * 1e-15:
+            break
+    return float(max(0.0, 1 - total * np.exp(-z + a * np.log(z) - lgamma(a))))
+
+
+def von_mises_concentration(r: np.ndarray, rounds: int = 20) -> np.ndarray:
+    """Concentration whose mean resultant length I1 / I0 is ``r``, by Newton steps."""
+    r = np.clip(r, 0, 1 - 1e-9)
+    k = r * (2 - r**2) / (1 - r**2)
+    angle = (np.arange(512) + 0.5) * np.pi / 512
+    for _ in range(rounds):
+        weight = np.exp(k[:, None] * (np.cos(angle) - 1))
+        a = (weight * np.cos(angle)).sum(axis=1) / weight.sum(axis=1)
+        slope = (weight * np.cos(angle) ** 2).sum(axis=1) / weight.sum(axis=1) - a**2
+        k = np.maximum(k - (a - r) / np.maximum(slope, 1e-12), 0)
+    return k
+
+
+def poisson_glm(x: np.ndarray, y: np.ndarray, exposure: np.ndarray, rounds: int = 30) -> tuple[np.ndarray, np.ndarray, float]:
+    """(coefficients, standard errors, deviance) of log rate = x b with known exposure, by Newton steps."""
+    b = np.zeros(x.shape[1])
+    b[0] = np.log(max(y.sum(), 0.5) / exposure.sum())
+    for _ in range(rounds):
+        rate = exposure * np.exp(np.clip(x @ b, -30, 30))
+        b = b + np.clip(np.linalg.solve(x.T @ (rate[:, None] * x) + 1e-9 * np.eye(len(b)), x.T @ (y - rate)), -2, 2)
+    rate = exposure * np.exp(np.clip(x @ b, -30, 30))
+    error = np.sqrt(np.diag(np.linalg.inv(x.T @ (rate[:, None] * x) + 1e-9 * np.eye(len(b)))))
+    return b, error, float(2 * (np.where(y > 0, y * np.log(np.maximum(y, 1e-12) / rate), 0) - (y - rate)).sum())
+
+
+def best_assignment(table: np.ndarray) -> int:
+    """The largest total of a one-to-one choice of columns for rows, by shortest augmenting paths."""
+    n = max(table.shape)
+    cost = np.full((n, n), 0.0)
+    cost[: table.shape[0], : table.shape[1]] = -table
+    u, v, match = np.zeros(n + 1), np.zeros(n + 1), np.zeros(n + 1, dtype=int)
+    for i in range(1, n + 1):
+        match[0], j = i, 0
+        low, back, used = np.full(n + 1, np.inf), np.zeros(n + 1, dtype=int), np.zeros(n + 1, dtype=bool)
+        while match[j]:
+            used[j] = True
+            free = np.flatnonzero(~used[1:]) + 1
+            gap = cost[match[j] - 1, free - 1] - u[match[j]] - v[free]
+            better = gap < low[free]
+            low[free[better]], back[free[better]] = gap[better], j
+            nxt = free[np.argmin(low[free])]
+            step = low[nxt]
+            u[match[used]] += step
+            v[used] -= step
+            low[~used] -= step
+            j = nxt
+        while j:
+            match[j], j = match[back[j]], back[j]
+    return int(sum(table[match[j] - 1, j - 1] for j in range(1, n + 1) if match[j] <= table.shape[0] and j <= table.shape[1]))

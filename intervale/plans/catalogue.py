@@ -1,6 +1,6 @@
 """All queries of the library."""
 
-from intervale.plans import events, models, nulls, relations, segments, signals, streams, units
+from intervale.plans import events, models, nulls, relations, segments, signals, streams, subspaces, units
 from intervale.plans.registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "events", "models", "nulls", "relations", "segments", "signals", "streams", "units"]
+__all__ = ["ORACLES", "QUERIES", "events", "models", "nulls", "relations", "segments", "signals", "streams", "subspaces", "units"]

@@ -6,11 +6,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark.ml.clustering import KMeans
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from intervale.operators import graph as G
 from intervale.operators import models as M
+from intervale.operators import relational as R
 from intervale.plans.events import _acg, r6
 from intervale.plans.registry import query
 from intervale.plans.segments import SG, _phases, _widths
@@ -158,24 +161,28 @@ K = 8
 
 
 def _graph(spark: SparkSession, d: str) -> DataFrame:
-    s = segments(spark, d)
-    return G.nearest(s, s.where("unit % 100 = 0"), K)
+    return G.nearest_of_all(segments(spark, d), K)
+
+
+def _weighted(spark: SparkSession, d: str) -> DataFrame:
+    return saved(G.symmetric(G.fuzzy_weights(_graph(spark, d), K)))
 
 
 @query(f"""WITH {SG}, g AS (SELECT a.unit AS src, b.unit AS dst, sqrt(list_sum(list_transform(list_zip(a.x, b.x), lambda p: (p[1] - p[2]) * (p[1] - p[2])))) AS far FROM s a JOIN s b ON a.unit <> b.unit WHERE a.unit % 100 = 0),
 r AS (SELECT *, row_number() OVER (PARTITION BY src ORDER BY round(far, 9), dst) AS place FROM g) SELECT src, dst, place, round(far, 6) AS distance FROM r WHERE place <= {K}""")
 def knn_graph(spark: SparkSession, d: str) -> DataFrame:
     """The nearest segments of every hundredth one, against all of them."""
-    return r6(_graph(spark, d).select("src", "dst", "place", "distance"), "distance")
+    s = segments(spark, d)
+    return r6(G.nearest(s, s.where("unit % 100 = 0"), K).select("src", "dst", "place", "distance"), "distance")
 
 
 @query()
 def fuzzy_weights(spark: SparkSession, d: str) -> DataFrame:
-    """The same graph with membership weights, made symmetric."""
+    """The graph of every segment's nearest ones with membership weights, made symmetric."""
     return G.symmetric(G.fuzzy_weights(_graph(spark, d), K))
 
 
-@query(f"""WITH {SG}, g AS (SELECT a.unit AS src, b.unit AS dst, sqrt(list_sum(list_transform(list_zip(a.x, b.x), lambda p: (p[1] - p[2]) * (p[1] - p[2])))) AS far FROM s a JOIN s b ON a.unit <> b.unit WHERE a.unit % 100 = 0),
+@query(f"""WITH {SG}, g AS (SELECT a.unit AS src, b.unit AS dst, sqrt(list_sum(list_transform(list_zip(a.x, b.x), lambda p: (p[1] - p[2]) * (p[1] - p[2])))) AS far FROM s a JOIN s b ON a.unit <> b.unit),
 r AS (SELECT *, row_number() OVER (PARTITION BY src ORDER BY round(far, 9), dst) AS place FROM g), ed AS (SELECT DISTINCT least(src, dst) AS src, greatest(src, dst) AS dst FROM r WHERE place <= {K}),
 m AS (SELECT p.grp AS a, q.grp AS b FROM ed JOIN s p ON p.unit = ed.src JOIN s q ON q.unit = ed.dst), k AS (SELECT l, count(*)::DOUBLE AS k FROM (SELECT a AS l FROM m UNION ALL SELECT b FROM m) GROUP BY 1)
 SELECT round((SELECT avg(CASE WHEN a = b THEN 1.0::DOUBLE ELSE 0 END) FROM m) - (SELECT sum(k * k) FROM k) / (4 * (SELECT count(*)::DOUBLE FROM m) * (SELECT count(*)::DOUBLE FROM m)), 6) AS modularity""")
@@ -187,14 +194,62 @@ def graph_modularity(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def louvain_labels(spark: SparkSession, d: str) -> DataFrame:
-    """Communities of the weighted graph by greedy modularity moves."""
-    return G.communities(G.symmetric(G.fuzzy_weights(_graph(spark, d), K)), 4, saved)
+    """Communities of the weighted graph of all segments, by levels of greedy modularity moves."""
+    return G.communities(_weighted(spark, d), saved).select("unit", "label")
+
+
+@query()
+def resolution_sweep(spark: SparkSession, d: str) -> DataFrame:
+    """Number of communities and their modularity by resolution, on one graph."""
+    edges, rows = _weighted(spark, d), None
+    found = saved(G.communities(edges, saved, [0.5, 2.0]))
+    for gamma in (0.5, 2.0):
+        own = found.where(F.col("resolution") == gamma)
+        one = G.modularity(edges, own.select("unit", "label")).join(own.agg(F.countDistinct("label").alias("clusters"))).select(F.lit(gamma).alias("resolution"), "clusters", "modularity")
+        rows = one if rows is None else rows.unionByName(one)
+    return rows
 
 
 @query()
 def spectral_split(spark: SparkSession, d: str) -> DataFrame:
-    """Two sides of the weighted graph by the second eigenvector."""
-    return G.bisected(G.symmetric(G.fuzzy_weights(_graph(spark, d), K)), 8, saved)
+    """Two sides of the weighted graph of all segments by the second eigenvector."""
+    return G.bisected(_weighted(spark, d), saved)
+
+
+@query()
+def eigengap_spectrum(spark: SparkSession, d: str) -> DataFrame:
+    """The smallest eigenvalues of the graph's normalised Laplacian, and the gap to the next one."""
+    _, values = G.spectral_embedding(_weighted(spark, d), 8, saved)
+    small = np.sort(1 - values)
+    return spark.createDataFrame([(i, float(v), float(small[i + 1] - v) if i + 1 < len(small) else None) for i, v in enumerate(small)], "place long, eigenvalue double, gap double")
+
+
+def _clustered(embedding: DataFrame, k: int, seed: int) -> DataFrame:
+    """Clusters by k-means on the first ``k`` coordinates of each unit, scaled to length one."""
+    own = F.slice("x", 1, k)
+    length = F.sqrt(F.aggregate(own, F.lit(0.0), lambda a, v: a + v * v))
+    rows = embedding.select("unit", array_to_vector(F.transform(own, lambda v: v / F.greatest(length, F.lit(1e-300)))).alias("features"))
+    return KMeans(k=k, seed=seed, maxIter=40).fit(rows).transform(rows).select("unit", F.col("prediction").cast("long").alias("cluster"))
+
+
+@query()
+def spectral_clusters(spark: SparkSession, d: str) -> DataFrame:
+    """Clusters of all segments by k-means on the leading eigenvectors of the graph."""
+    embedding, _ = G.spectral_embedding(_weighted(spark, d), 4, saved)
+    return _clustered(saved(embedding), 4, 1)
+
+
+@query()
+def spectral_stability(spark: SparkSession, d: str) -> DataFrame:
+    """Mean adjusted Rand index between the clusterings of three seeds, by number of clusters."""
+    embedding, _ = G.spectral_embedding(_weighted(spark, d), 4, saved)
+    embedding, rows = saved(embedding), []
+    for k in (2, 3, 4):
+        runs = [_clustered(embedding, k, seed).withColumnRenamed("cluster", f"c{seed}") for seed in (1, 2, 3)]
+        joined = saved(runs[0].join(runs[1], "unit").join(runs[2], "unit"))
+        scores = [R.adjusted_rand([(r["n"], r[f"c{a}"], r[f"c{b}"]) for r in joined.groupBy(f"c{a}", f"c{b}").agg(F.count(F.lit(1)).alias("n")).collect()]) for a, b in ((1, 2), (1, 3), (2, 3))]  # k squared cells
+        rows.append((k, float(np.mean(scores))))
+    return spark.createDataFrame(rows, "clusters long, stability double")
 
 
 @query()

@@ -10,23 +10,34 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from intervale.functions import signals as K
+from intervale.functions.circular import modulation_index
+from intervale.operators.chunks import matrices_by_length, over_chunks
+from intervale.operators.replicates import row_groups
+from intervale.operators.sampled import chunked
 from intervale.plans.registry import query
-from intervale.sources.tables import segments
+from intervale.sources.tables import HOUR, points, segments
 
 RATE = 64.0
 FREQUENCIES = np.geomspace(3, 24, 6)
 
 
 def by_row(df: DataFrame, columns: list[str], kernel: Callable[..., dict[str, np.ndarray]], schema: str) -> DataFrame:
-    """``kernel`` on the sample matrices of each batch; it gives columns by name, one entry or array per row."""
+    """``kernel`` on the sample matrices of each batch; it gives columns by name, one entry or array per row.
+
+    Rows meet the kernel with those of equal length. A row with a null, or with columns of unequal lengths, gives nulls.
+    """
     names = [c.split()[0] for c in schema.split(", ")]
     kinds = [pa.list_(pa.float64()) if "array" in c else pa.float64() for c in schema.split(", ")[1:]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows:
-                found = kernel(*(np.asarray(batch.column(c).flatten(), dtype=np.float64).reshape(batch.num_rows, -1) for c in columns))
-                yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(found[n].tolist(), k) for n, k in zip(names[1:], kinds, strict=True))], names=names)
+            out: dict[str, list] = {n: [None] * batch.num_rows for n in names[1:]}
+            for rows, matrices in matrices_by_length([batch.column(c) for c in columns]):
+                found = kernel(*matrices)
+                for n in names[1:]:
+                    for row, value in zip(rows, found[n].tolist(), strict=True):
+                        out[n][row] = value
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(out[n], k) for n, k in zip(names[1:], kinds, strict=True))], names=names)
 
     return df.select(df.columns[0], *columns).mapInArrow(run, schema)
 
@@ -83,38 +94,157 @@ def cwt_groups(spark: SparkSession, d: str) -> DataFrame:
     return _group_power(spark, d, kernel, "unit long, power array<double>", 8, len(FREQUENCIES))
 
 
-def _pairs(spark: SparkSession, d: str) -> DataFrame:
-    """Each even segment with the next one of the same group parity: a phase channel and an amplitude channel."""
-    s = segments(spark, d)
-    return s.where("unit % 2 = 0").join(s.select((F.col("unit") - 1).alias("unit"), F.col("samples").alias("other")), "unit").select("unit", "samples", "other")
+N = 200
+#: Segments that are deranged among each other, and samples that a deflection moves at most.
+TRIALS, JITTER = 256, 6
+
+
+def surrogate_sums(df: DataFrame, kernel: Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray], cells: int) -> DataFrame:
+    """(grp, replicate, cells): sums over the segments of each group, replicate 0 from the data and N from surrogates.
 
+    Segments are trials with two channels, their halves. A group's trials are dealt to lots of about TRIALS; ``kernel`` gets the two
+    channels and the units of one lot, and gives a matrix (N + 1, cells). Trials with a null or an odd length are left out.
+    """
+    counts = df.groupBy("grp").agg(F.greatest(F.floor(F.count(F.lit(1)) / TRIALS), F.lit(1)).alias("lots"))
+    dealt = df.join(counts, "grp").withColumn("lot", F.pmod(F.xxhash64("unit"), F.col("lots")))
+    ordered = dealt.select("grp", "lot", "unit", "samples").repartition("grp", "lot").sortWithinPartitions("grp", "lot", F.xxhash64("unit"), "unit")
 
-SHIFTS = [7, 13, 19, 25, 31, 37, 43, 49, 55]
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (grp, _), table in row_groups(batches, ["grp", "lot"]):
+            total = np.zeros((N + 1, cells))
+            for rows, (x,) in matrices_by_length([table.column("samples").combine_chunks()]):
+                if x.shape[1] % 2 == 0 and x.shape[1] >= 16:
+                    half = x.shape[1] // 2
+                    total += kernel(x[:, :half], x[:, half:], np.asarray(table.column("unit"))[rows])
+            yield pa.RecordBatch.from_pydict({"grp": pa.array([grp] * (N + 1), pa.int64()), "replicate": pa.array(np.arange(N + 1)), "cells": pa.array(total.tolist(), pa.list_(pa.float64()))})
+
+    found = ordered.select(F.col("grp").cast("long").alias("grp"), "lot", "unit", "samples").mapInArrow(run, "grp long, replicate long, cells array<double>")
+    return found.groupBy("grp", "replicate").agg(F.array(*[F.sum(F.get("cells", i)) for i in range(cells)]).alias("cells"))
+
+
+def against_surrogates(stat: DataFrame) -> DataFrame:
+    """(grp, observed, z, p, p_two): the statistic of replicate 0 against the others; p_two is the smaller tail's, not doubled."""
+    seen = stat.where("replicate = 0").select("grp", F.col("statistic").alias("observed"))
+    null = F.col("replicate") > 0
+    value = F.when(null, F.col("statistic"))
+    n = F.count(value)
+    mean, sd = F.avg(value), F.stddev_pop(value)
+    tail = lambda hit: (F.count_if(null & hit) + 1) / (n + 1)
+    up, down = tail(F.col("statistic") >= F.col("observed")), tail(F.col("statistic") <= F.col("observed"))
+    return stat.join(seen, "grp").groupBy("grp", "observed").agg(F.when(sd > 0, (F.col("observed") - mean) / sd).alias("z"), F.when(n > 0, up).alias("p"), F.when(n > 0, F.least(up, down)).alias("p_two"))
+
+
+def _phase_and_amplitude(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    return np.angle(K.band(x, 4, 8, RATE, 2)), np.abs(K.band(y, 14, 26, RATE, 2))
+
+
+def coupling_cells(x: np.ndarray, y: np.ndarray, units: np.ndarray) -> np.ndarray:
+    """Amplitude sums and counts by phase bin (N + 1, 36); in replicate r each trial's phase meets the amplitude r steps on.
+
+    No trial meets its own: steps are taken modulo the trials less one. A single trial has no surrogate.
+    """
+    phase, amplitude = _phase_and_amplitude(x, y)
+    bin_ = np.minimum(((phase % (2 * np.pi)) / (2 * np.pi / 18)).astype(int), 17)
+    out, m = np.full((N + 1, 36), np.nan if len(units) < 2 else 0.0), len(units)
+    for r in range(N + 1 if m > 1 else 1):
+        moved = np.roll(amplitude, -(1 + (r - 1) % (m - 1)), axis=0) if r else amplitude
+        out[r] = np.concatenate([np.bincount(bin_.ravel(), weights=moved.ravel(), minlength=18), np.bincount(bin_.ravel(), minlength=18)])
+    return out
+
+
+def locking_cells(x: np.ndarray, y: np.ndarray, units: np.ndarray) -> np.ndarray:
+    """Sums of cosine and sine of the phase at large deflections, and their number (N + 1, 3).
+
+    In a surrogate each deflection moves by up to JITTER samples inside its trial; draws depend on the unit alone.
+    """
+    phase = np.angle(K.band(x, 4, 8, RATE, 2))
+    trial, at = np.nonzero(y > y.mean(axis=1, keepdims=True) + y.std(axis=1, keepdims=True))
+    out = np.zeros((N + 1, 3))
+    moves = [np.random.default_rng([17, int(u) & 0xFFFFFFFF]).integers(-JITTER, JITTER + 1, (N, y.shape[1])) for u in units]
+    for r in range(N + 1):
+        place = at if r == 0 else np.clip(at + np.array([moves[i][r - 1, k] for i, k in zip(trial, at, strict=True)], dtype=int), 0, y.shape[1] - 1)
+        angle = phase[trial, place]
+        out[r] = np.cos(angle).sum(), np.sin(angle).sum(), len(at)
+    return out
 
 
 @query()
 def irpac(spark: SparkSession, d: str) -> DataFrame:
-    """Coupling of one segment's fast amplitude to another's slow phase, against cyclic shifts: index, z and p."""
+    """Coupling of one channel's fast amplitude to the other's slow phase over a group's trials, against deranged trials."""
+    sums = surrogate_sums(segments(spark, d), coupling_cells, 36)
+    means = F.transform(F.sequence(F.lit(0), F.lit(17)), lambda i: F.when(F.get("cells", i + 18) > 0, F.get("cells", i) / F.get("cells", i + 18)).otherwise(0.0))
+    return against_surrogates(sums.select("grp", "replicate", modulation_index(means, 18).alias("statistic")).where("NOT isnan(statistic)"))
 
-    def kernel(x: np.ndarray, y: np.ndarray) -> dict[str, np.ndarray]:
-        phase, amplitude = np.angle(K.band(x, 4, 8, RATE, 2)), np.abs(K.band(y, 14, 26, RATE, 2))
-        observed = K.coupling(phase, amplitude)
-        null = np.stack([K.coupling(phase, np.roll(amplitude, s, axis=1)) for s in SHIFTS])
-        return {"mi": observed, "z": (observed - null.mean(axis=0)) / np.maximum(null.std(axis=0), 1e-12), "p": ((null >= observed).sum(axis=0) + 1) / (len(SHIFTS) + 1)}
 
-    return by_row(_pairs(spark, d), ["samples", "other"], kernel, "unit long, mi double, z double, p double")
+@query()
+def sfc(spark: SparkSession, d: str) -> DataFrame:
+    """Phase locking of one channel's large deflections to the other's slow phase over a group's trials, against jittered deflections."""
+    sums = surrogate_sums(segments(spark, d), locking_cells, 3)
+    c, s, n = (F.get("cells", i) for i in range(3))
+    return against_surrogates(sums.select("grp", "replicate", (F.sqrt(c * c + s * s) / F.when(n > 0, n)).alias("statistic")).where("statistic IS NOT NULL"))
+
+
+def cycles(phase: np.ndarray, amplitude: np.ndarray, least: float = 2.0, slack: float = 0.1) -> list[tuple[int, int, float, bool]]:
+    """(start, end, signal to noise, good) of each whole cycle between the phase's wraps.
+
+    The ratio is the cycle's mean amplitude over the deviation of all amplitudes (0 where that is 0); a good cycle reaches ``least``
+    and its phase never steps back by more than ``slack``.
+    """
+    cuts = np.flatnonzero(np.diff(phase) < -np.pi) + 1
+    spread = amplitude.std()
+    out = []
+    for a, b in zip(cuts[:-1], cuts[1:]):
+        snr = float(amplitude[a:b].mean() / spread) if spread > 0 else 0.0
+        out.append((int(a), int(b), snr, bool(snr >= least and (np.diff(np.unwrap(phase[a:b])) >= -slack).all())))
+    return out
 
 
 @query()
-def sfc(spark: SparkSession, d: str) -> DataFrame:
-    """Phase locking of one segment's large deflections to another's slow phase: resultant length, z against shifts, and count."""
+def cycle_quality(spark: SparkSession, d: str) -> DataFrame:
+    """Cycles of each segment's slow rhythm, those of good quality, and their mean ratio of signal to noise."""
 
-    def kernel(x: np.ndarray, y: np.ndarray) -> dict[str, np.ndarray]:
-        unit = np.exp(1j * np.angle(K.band(x, 4, 8, RATE, 2)))
-        spikes = (y > y.mean(axis=1, keepdims=True) + y.std(axis=1, keepdims=True)).astype(float)
-        n = spikes.sum(axis=1)
-        locked = lambda s: np.abs((unit * s).sum(axis=1)) / np.maximum(n, 1)
-        observed, null = locked(spikes), np.stack([locked(np.roll(spikes, s, axis=1)) for s in SHIFTS])
-        return {"n": n, "mvl": observed, "z": (observed - null.mean(axis=0)) / np.maximum(null.std(axis=0), 1e-12)}
+    def kernel(x: np.ndarray) -> dict[str, np.ndarray]:
+        z = K.band(x, 4, 8, RATE, 2)
+        found = [cycles(p, a) for p, a in zip(np.angle(z), np.abs(z), strict=True)]
+        return {"cycles": np.array([float(len(c)) for c in found]), "good": np.array([float(sum(g for *_, g in c)) for c in found]), "snr": np.array([np.mean([s for _, _, s, _ in c]) if c else 0.0 for c in found])}
 
-    return by_row(_pairs(spark, d), ["samples", "other"], kernel, "unit long, n double, mvl double, z double")
+    return by_row(segments(spark, d), ["samples"], kernel, "unit long, cycles double, good double, snr double")
+
+
+SIZE, BORDER = 48, 240
+
+
+def hourly(spark: SparkSession, d: str) -> DataFrame:
+    """Each mark's sums by hour as one long signal in chunks; hours without a point are 0."""
+    p = points(spark, d).where("mark IS NOT NULL")
+    series = p.groupBy("mark", F.floor(F.col("t") / HOUR).alias("i")).agg(F.sum("value").alias("value"))
+    chunks = chunked(series, ["mark"], SIZE)
+    return chunks.select("mark", "chunk", "i0", F.transform("samples", lambda v: F.coalesce(v, F.lit(0.0))).alias("samples"))
+
+
+@query()
+def chunked_envelope(spark: SparkSession, d: str) -> DataFrame:
+    """The daily rhythm's envelope in each mark's hourly sums: band-pass and analytic signal over chunks with borders, means by chunk."""
+    found = over_chunks(hourly(spark, d), ["mark"], SIZE, BORDER, lambda x: np.abs(K.band(x, 1 / 36, 1 / 16, 1.0, 2)))
+    return found.select("mark", "chunk", F.round(F.aggregate("samples", F.lit(0.0), lambda a, v: a + v) / F.size("samples"), 6).alias("envelope"))
+
+
+@query()
+def chunked_spectrogram(spark: SparkSession, d: str) -> DataFrame:
+    """Power of each mark's hourly sums by day and frequency (Hann windows of two days around each day), over chunks with borders."""
+
+    def kernel(x: np.ndarray) -> np.ndarray:
+        # one row of samples in, one value for each of them out: day by day, the power at its 24 frequencies
+        days = x.shape[1] // 24
+        out = np.full(x.shape, np.nan)
+        for day in range(days):
+            low = min(max(day * 24 - 12, 0), max(x.shape[1] - 48, 0))
+            part = x[:, low : low + 48]
+            w = 0.5 - 0.5 * np.cos(2 * np.pi * np.arange(part.shape[1]) / part.shape[1])
+            power = np.abs(np.fft.rfft((part - part.mean(axis=1, keepdims=True)) * w, axis=1)) ** 2 / (w**2).sum()
+            out[:, day * 24 : day * 24 + 24] = power[:, 1:25]
+        return out
+
+    found = over_chunks(hourly(spark, d), ["mark"], SIZE, 24, kernel)
+    each = found.select("mark", "i0", F.posexplode("samples").alias("k", "power")).where("NOT isnan(power)")
+    return each.select("mark", F.floor((F.col("i0") + F.col("k")) / 24).alias("day"), (F.col("k") % 24 + 1).cast("long").alias("frequency"), F.round("power", 6).alias("power"))

@@ -16,6 +16,11 @@ def save_csv(df: DataFrame, path: str, columns: list[str] | None = None) -> None
     (df.select(*[c for c in columns if c in df.columns]) if columns else df).write.mode("overwrite").option("header", True).csv(path)
 
 
+def save_json(df: DataFrame, path: str) -> None:
+    """Rows of ``df`` as JSON, one a line, with their nested columns and without null fields."""
+    df.write.mode("overwrite").json(path)
+
+
 def save_if_any(df: DataFrame, path: str) -> bool:
     """Write ``df`` as Parquet unless it has no row."""
     if df.isEmpty():

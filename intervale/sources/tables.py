@@ -36,6 +36,12 @@ def with_missing(df: DataFrame, wanted: dict[str, str]) -> DataFrame:
     return df.withColumns({c: F.lit(None).cast(kind) for c, kind in wanted.items() if c not in df.columns})
 
 
+def any_flag(df: DataFrame, candidates: list[str]) -> Column:
+    """Whether any of the candidate columns that ``df`` has is true (true, 1, yes); a null is not."""
+    told = [F.coalesce(F.lower(F.col(c).cast("string")).isin("true", "1", "1.0", "yes", "t", "y"), F.lit(False)) for c in candidates if c in df.columns]
+    return F.greatest(*told, F.lit(False)) if told else F.lit(False)
+
+
 def numbered_columns(names: list[str], prefix: str) -> list[str]:
     """Columns ``prefix`` + number, in the order of their numbers; a gap in the numbers is an error."""
     found = sorted((int(n[len(prefix) :]), n) for n in names if n.startswith(prefix) and n[len(prefix) :].isdigit())

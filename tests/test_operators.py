@@ -175,10 +175,47 @@ def test_communities_of_two_cliques(spark):
     df = spark.createDataFrame(edges, "src long, dst long, w double")
     from intervale.sources.scratch import saved
 
-    labels = {r.unit: r.label for r in graph.communities(df, 6, saved).collect()}
-    assert len({labels[i] for i in range(5)} & {labels[i] for i in range(10, 15)}) == 0
-    sides = {r.unit: r.side for r in graph.bisected(df, 25, saved).collect()}
-    assert len({sides[i] for i in range(5)}) == 1 and sides[0] != sides[12]
+    labels = {r.unit: r.label for r in graph.communities(df, saved).collect()}
+    assert len({labels[i] for i in range(5)}) == 1 and len(set(labels.values())) == 2
+    sides = {r.unit: r.side for r in graph.bisected(df, saved).collect()}
+    assert len({sides[i] for i in range(5)}) == 1 and len({sides[i] for i in range(10, 15)}) == 1 and sides[0] != sides[12]
+
+
+def test_levels_join_communities_and_spectrum_equals_numpy(spark):
+    from intervale.sources.scratch import saved
+
+    # a ring of eight cliques: greedy moves find the cliques, and their modularity is that of the formula
+    n, edges = 8, []
+    for c in range(n):
+        edges += [(10 * c + a, 10 * c + b, 1.0) for a in range(4) for b in range(a + 1, 4)] + [(10 * c + 3, 10 * ((c + 1) % n), 0.5)]
+    edges = [(min(a, b), max(a, b), w) for a, b, w in edges]
+    df = saved(spark.createDataFrame(edges, "src long, dst long, w double"))
+    found = graph.communities(df, saved, [1.0])
+    labels = {r.unit: r.label for r in found.collect()}
+    assert len(labels) == 4 * n and all(len({labels[10 * c + a] for a in range(4)}) == 1 for c in range(n))
+    ids = sorted(labels)
+    w = np.zeros((len(ids), len(ids)))
+    for a, b, x in edges:
+        w[ids.index(a), ids.index(b)] = w[ids.index(b), ids.index(a)] = x
+    k = w.sum(axis=1)
+    same = np.array([[labels[a] == labels[b] for b in ids] for a in ids])
+    want = ((w - np.outer(k, k) / k.sum()) * same).sum() / k.sum()
+    assert graph.modularity(df, found.select("unit", "label")).first().modularity == pytest.approx(want)
+    embedding, values = graph.spectral_embedding(df, 5, saved)
+    norm = w / np.sqrt(np.outer(k, k))
+    exact = np.sort(np.linalg.eigvalsh(norm))[::-1]
+    assert values[:3] == pytest.approx(exact[:3], abs=2e-3)
+    x = np.array([r.x[:3] for r in sorted(embedding.collect(), key=lambda r: r.unit)])
+    assert np.abs(norm @ x - x * values[:3]).max() < 0.05
+
+
+def test_index_finds_nearest_of_all(spark):
+    x = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").select(F.col("vec_id").alias("unit"), F.col("embedding").cast("array<double>").alias("samples"))
+    found = {(r.src, r.dst) for r in graph.nearest_of_all(x, 8, cell_rows=50).select("src", "dst").collect()}
+    exact = {(r.src, r.dst) for r in graph.nearest(x, x.where("unit % 20 = 0"), 8).select("src", "dst").collect()}
+    assert len({s for s, _ in found}) == x.count() and len(exact & found) / len(exact) > 0.9
+    small = x.where("unit < 300")
+    assert sorted(map(tuple, graph.nearest_of_all(small, 3).collect())) == sorted(map(tuple, graph.nearest(small, small, 3).collect()))
 
 
 def test_sources_and_sinks(spark, tmp_path):
