@@ -9,7 +9,8 @@ Each window of the text is keyed by one such symbol, chosen by content alone, an
 one. Spark compares the chosen symbols of all documents: a symbol that occurs once ends the matter for its windows. Where a
 symbol's whole stretch of windows occurs earlier, all of them are repeats. Only the windows of what remains are compared one by
 one, by 128-bit names. Occurrences that a task has seen before are settled there, so that a passage in many documents sends one
-row from each slice of them.
+row from each slice of them, and a symbol that stands in many different surroundings at most CROWD rows: beyond that its stretches go
+by their own names. So no key has more than CROWD of the several hundred thousand rows that a slice of text sends.
 """
 
 from __future__ import annotations
@@ -29,7 +30,10 @@ from intervale.llm.store import written
 #: Rounds of runs and pairs: two give symbols of about 1.8 words with contexts of about 8.
 ROUNDS = 2
 
-STRETCHES = "key long, name long, doc_id long, first int, last int, settled boolean"
+#: Stretches of a slice that may go by one symbol's key.
+CROWD = 8
+
+STRETCHES = "key long, name long, doc_id long, first int, last int, settled boolean, known boolean"
 
 
 def _halves(names: np.ndarray, number: int) -> np.ndarray:
@@ -154,10 +158,25 @@ def _hashed(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return (W.hashes(distinct)[codes] if len(codes) else np.zeros(0, np.uint64)), ends
 
 
-def chosen_symbols(docs: DataFrame, window: int, rounds: int) -> DataFrame:
-    """The stretches of all documents. Those with an earlier equal one in the same slice of the input are ``settled``."""
+def _crowded(key: np.ndarray, name: np.ndarray, settled: np.ndarray, crowd: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(keys, known, markers): stretches of keys that more than ``crowd`` of a slice share get keys by their names.
+
+    Such a stretch is ``known`` to share its symbol. A marker of each such key tells the other slices.
+    """
+    distinct, which, n = np.unique(key[~settled], return_inverse=True, return_counts=True)
+    known = np.zeros(len(key), bool)
+    known[~settled] = n[which] > crowd
+    return np.where(known, W.joined(key, name), key), known, distinct[n > crowd]
+
+
+def chosen_symbols(docs: DataFrame, window: int, rounds: int, crowd: int = CROWD) -> DataFrame:
+    """The stretches of all documents. Those with an earlier equal one in the same slice of the input are ``settled``.
+
+    Those of a crowded symbol are ``known`` to share it; rows without a doc_id are the markers of such symbols.
+    """
 
     def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = [c.split()[0] for c in STRETCHES.split(", ")]
         for batch in batches:
             for some in W.slices(batch):
                 some = some.filter(pc.is_valid(some.column("doc_id")))
@@ -169,7 +188,12 @@ def chosen_symbols(docs: DataFrame, window: int, rounds: int) -> DataFrame:
                 # a settled row needs no company: its own place keeps it off the others' keys
                 settled = ~_earliest([key, name], doc, first)
                 key = np.where(settled, W.mix(doc.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + first.astype(np.uint64)), key)
-                yield pa.RecordBatch.from_arrays([W.signed(key), W.signed(name), pa.array(doc), pa.array(first.astype(np.int32)), pa.array(last.astype(np.int32)), pa.array(settled)], names=["key", "name", "doc_id", "first", "last", "settled"])
+                key, known, markers = _crowded(key, name, settled, crowd)
+                rows = [W.signed(key), W.signed(name), pa.array(doc), pa.array(first.astype(np.int32)), pa.array(last.astype(np.int32)), pa.array(settled), pa.array(known)]
+                yield pa.RecordBatch.from_arrays(rows, names=names)
+                if len(markers):
+                    m = len(markers)
+                    yield pa.RecordBatch.from_arrays([W.signed(markers), W.signed(W.mix(markers)), pa.nulls(m, pa.int64()), *[pa.nulls(m, pa.int32())] * 2, *[pa.array(np.zeros(m, bool))] * 2], names=names)
 
     return docs.select("doc_id", "text").mapInArrow(choose, STRETCHES)
 
@@ -177,12 +201,13 @@ def chosen_symbols(docs: DataFrame, window: int, rounds: int) -> DataFrame:
 def shared_symbols(symbols: DataFrame) -> DataFrame:
     """(doc_id, first, last, settled) of stretches that may hold repeats; settled: all windows are repeats.
 
-    A row is dropped only if its key occurs nowhere else. One exchange and one sort serve both windows.
+    A row is dropped only if its key occurs nowhere else. One exchange and one sort serve both windows. A stretch that has an equal one
+    under another key (crowded in one slice, not in the other) stays open, and its windows are compared.
     """
     by_key = Window.partitionBy("key").orderBy("name", "doc_id", "first")
     by_name = Window.partitionBy("key", "name").orderBy("doc_id", "first")
     seen = symbols.select("*", F.lag("key").over(by_key).isNotNull().alias("follows"), F.lead("key").over(by_key).isNotNull().alias("leads"), F.rank().over(by_name).alias("turn"))
-    return seen.where("settled OR follows OR leads").select("doc_id", "first", "last", (F.col("settled") | (F.col("turn") > 1)).alias("settled"))
+    return seen.where("doc_id IS NOT NULL AND (settled OR known OR follows OR leads)").select("doc_id", "first", "last", (F.col("settled") | (F.col("turn") > 1)).alias("settled"))
 
 
 def open_windows(texts: DataFrame, window: int) -> DataFrame:
@@ -245,7 +270,7 @@ def without(texts: DataFrame, window: int, digest: bool) -> DataFrame:
     return texts.mapInArrow(cut, f"doc_id long, n_words long, n_removed long, {column} string")
 
 
-def remove_repeats(docs: DataFrame, window: int = 20, rounds: int = ROUNDS, digest: bool = False) -> DataFrame:
+def remove_repeats(docs: DataFrame, window: int = 20, rounds: int = ROUNDS, digest: bool = False, crowd: int = CROWD) -> DataFrame:
     """Remove each word covered by a window of ``window`` words that also starts earlier.
 
     Earlier is a smaller doc_id, or an earlier place in the same document. Words lie between ASCII white space and stay as they
@@ -255,7 +280,7 @@ def remove_repeats(docs: DataFrame, window: int = 20, rounds: int = ROUNDS, dige
     doc_id count as that document and get a row each. An empty table gives an empty one; other columns are not read.
     """
     texts = docs.select(F.col("doc_id").cast("long"), "text")
-    shared = written(shared_symbols(chosen_symbols(texts, window, rounds)), "shared")
+    shared = written(shared_symbols(chosen_symbols(texts, window, rounds, crowd)), "shared")
     span = F.struct("first", "last")
     still_open = shared.where("NOT settled").distinct().groupBy("doc_id").agg(F.collect_list(span).alias("open"))
     repeats = repeated_windows(open_windows(texts.join(still_open, "doc_id", "left"), window))

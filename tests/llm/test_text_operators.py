@@ -60,18 +60,29 @@ def test_words_are_split_at_ascii_white_space_only():
     assert [[distinct[int(c)].as_py() for c in codes[a:b]] for a, b in zip(ends, ends[1:])] == [re.findall(r"[^\x20\x09-\x0D]+", t or "") for t in texts]
 
 
-@pytest.mark.parametrize("seed", [1, 2])
-def test_substrings_equal_brute_force_on_hostile_texts(spark, seed):
+@pytest.mark.parametrize(("seed", "crowd"), [(1, substrings.CROWD), (2, 0), (3, 1)])
+def test_substrings_equal_brute_force_on_hostile_texts(spark, seed, crowd):
     dice = random.Random(seed)
     base = [" ".join(dice.choice("abc") for _ in range(60)) for _ in range(5)]
     some = lambda: [dice.choice("ab") for _ in range(dice.randint(0, 30))]
     rows = [(i, " ".join([*some(), dice.choice(base), *["z"] * dice.choice([0, 3, 25, 60]), *some()])) for i in range(120)] + EDGES
-    found = substrings.remove_repeats(frame(spark, rows), digest=True).collect()
+    found = substrings.remove_repeats(frame(spark, rows), digest=True, crowd=crowd).collect()
     want = repeats(rows)
     assert len(found) == len(rows)
     assert all((r.n_words, r.n_removed, r.kept_sha256) == want[r.doc_id] for r in found)
 
 
+def test_a_common_phrase_in_many_surroundings_sends_few_rows_by_its_key(spark):
+    dice = random.Random(5)
+    phrase = " ".join(f"all{i}" for i in range(14))
+    rows = [(i, " ".join([*(f"a{dice.random()}" for _ in range(25)), phrase, *(f"b{dice.random()}" for _ in range(25))])) for i in range(300)]
+    rows.append((999, rows[0][1]))
+    symbols = substrings.chosen_symbols(frame(spark, rows).select("doc_id", "text").coalesce(1), 20, substrings.ROUNDS)
+    assert symbols.groupBy("key").count().agg({"count": "max"}).first()[0] <= substrings.CROWD + 1 and symbols.where("doc_id IS NULL").count() > 0
+    found = {r.doc_id: r.n_removed for r in substrings.remove_repeats(frame(spark, rows)).collect()}
+    assert found.pop(999) == 64 and set(found.values()) == {0}
+
+
 def test_substrings_on_documents(documents, texts):
     found = keyed(substrings.remove_repeats(documents, digest=True))
     assert {k: (v["n_words"], v["n_removed"], v["kept_sha256"]) for k, v in found.items()} == repeats(texts)
