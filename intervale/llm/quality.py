@@ -20,6 +20,8 @@ from intervale.llm import words as W
 
 #: Labelled documents that the model is fitted on, at most; those with the smallest hashes are taken.
 SAMPLE = 6000
+#: Bytes that a text may have to be fitted on (any text is scored): so the driver gets SAMPLE * LONGEST bytes at most.
+LONGEST = 16 << 10
 BUCKETS, SIZE = 1 << 17, 8
 #: Lengths of character n-grams.
 GRAMS = (2, 3, 4)
@@ -90,19 +92,39 @@ class Model:
         return (self.vectors @ (self.layer[:, 1] - self.layer[:, 0])).astype(np.float32)
 
 
-def fit(documents: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, epochs: int = EPOCHS, rate: float = RATE, seed: int = 7) -> Model:
+@dataclass
+class Bags:
+    """The bags of many texts in three arrays: text ``i`` has entries ``ends[i]`` to ``ends[i + 1]``. Counts are cut at 65,535."""
+
+    buckets: np.ndarray
+    counts: np.ndarray
+    ends: np.ndarray
+
+    @classmethod
+    def of(cls, batches: list[pa.RecordBatch]) -> Bags:
+        buckets, counts, sizes = [np.zeros(0, np.int32)], [np.zeros(0, np.uint16)], [0]
+        for batch in batches:
+            found = bags(batch.column("text"))
+            buckets.append(np.concatenate([b for b, _ in found]))
+            counts.append(np.minimum(np.concatenate([c for _, c in found]), 65_535).astype(np.uint16))
+            sizes += [len(b) for b, _ in found]
+        return cls(np.concatenate(buckets), np.concatenate(counts), np.cumsum(sizes))
+
+
+def fit(documents: Bags, labels: np.ndarray, epochs: int = EPOCHS, rate: float = RATE, seed: int = 7) -> Model:
     """Stochastic gradient descent on the softmax loss; both classes weigh the same."""
     dice = np.random.default_rng(seed)
     vectors = dice.uniform(-1 / SIZE, 1 / SIZE, (BUCKETS, SIZE)).astype(np.float32)
     layer, bias = np.zeros((SIZE, 2), np.float32), np.zeros(2, np.float32)
     share = np.bincount(labels, minlength=2) / max(len(labels), 1)
     weight = np.where(share > 0, 0.5 / np.maximum(share, 1e-9), 0)
-    usable = [i for i, (bucket, _) in enumerate(documents) if len(bucket)]
+    usable = np.flatnonzero(np.diff(documents.ends) > 0)
     steps, done = max(1, epochs * len(usable)), 0
     for _ in range(epochs):
         for i in dice.permutation(usable):
-            bucket, count = documents[i]
-            part = count / count.sum()
+            bucket, count = (x[documents.ends[i] : documents.ends[i + 1]] for x in (documents.buckets, documents.counts))
+            part = count.astype(np.float32)
+            part /= part.sum()
             mean = part @ vectors[bucket]
             score = mean @ layer + bias
             p = np.exp(score - score.max())
@@ -121,12 +143,13 @@ def trained(docs: DataFrame, labels: DataFrame, usable: Column, sample: int = SA
     """The model of at most ``sample`` labelled documents for which ``usable`` (a condition on doc_id) holds."""
     label = labels.where(F.col("quality").isin(0, 1) & usable).groupBy("doc_id").agg(F.max("quality").cast("int").alias("quality"))
     some = label.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    rows = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id").orderBy("doc_id", "text").limit(sample)
+    short = docs.select("doc_id", "text").where(F.octet_length(F.coalesce("text", F.lit(""))) <= LONGEST)
+    rows = short.join(F.broadcast(some), "doc_id").orderBy("doc_id", "text").limit(sample)
     table = rows.select("text", "quality").toArrow().combine_chunks()
     if not table.num_rows:
         return Model(np.zeros((BUCKETS, SIZE), np.float32), np.zeros((SIZE, 2), np.float32), np.zeros(2, np.float32), 0.5)
-    batches = [b for batch in table.to_batches() for b in W.slices(batch, most=2 << 20)]
-    return fit([bag for b in batches for bag in bags(b.column("text"))], np.concatenate([np.asarray(b.column("quality")) for b in batches]))
+    batches = [b for batch in table.to_batches() for b in W.slices(batch, most=1 << 20)]
+    return fit(Bags.of(batches), np.asarray(table.column("quality").combine_chunks()))
 
 
 def scored(docs: DataFrame, model: Model, column: str = "score") -> DataFrame:
@@ -179,7 +202,8 @@ def accepted(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, sample:
 def quality_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, sample: int = SAMPLE) -> DataFrame:
     """doc_id, held_out, score (0 to 1, likelier of quality 1) and predicted (score >= threshold) of every row of ``docs``.
 
-    Learned from labelled documents outside the held-out fold, at most ``sample`` of them; only text enters a score.
+    Learned from labelled documents outside the held-out fold, at most ``sample`` of them and none above LONGEST bytes; only text
+    enters a score.
 
     Null and empty texts get the share of class 1 among the fitted documents. Without usable labels every score is 0.5. Repeated
     rows score alike; a null doc_id is scored and never held out. Labels other than 0 and 1 are left out; where a document has
