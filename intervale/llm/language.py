@@ -24,6 +24,8 @@ GRAMS = (1, 2, 3)
 CENTROIDS, ROUNDS = 4, 8
 #: Training documents of a language, at most; those with the smallest hashes are taken.
 SAMPLE = 1500
+#: Bytes that a text may have to be learned from (any text is predicted): a language's task holds twice the sample at most.
+LONGEST = 64 << 10
 #: Share of a centroid's training documents that lie nearer than its bound.
 WITHIN = 0.995
 UNKNOWN = "und"
@@ -88,12 +90,13 @@ def trained(docs: DataFrame, usable: Column, sample: int = SAMPLE, centroids: in
 
     Rows are chosen where they lie, by their hash, so a language with most rows is no hot key.
     """
-    rows = docs.where(usable & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("lang", "text", F.xxhash64("doc_id", "text").alias("lot"))
-    n = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).toLocalIterator()}
+    short = F.octet_length("text") <= LONGEST
+    rows = docs.where(usable & F.col("lang").isNotNull() & F.col("text").isNotNull() & short).select("lang", "text", F.xxhash64("doc_id", "text").alias("lot"))
+    n = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.approx_count_distinct("lot", 0.02).alias("n")).toLocalIterator()}
     # lots are spread evenly over 64 bits: this bound leaves about twice the sample of each language
-    share = F.create_map(*[x for lang in sorted(n) for x in (F.lit(lang), F.lit(min(1.0, 2.0 * sample / n[lang])))]) if n else F.create_map(F.lit(""), F.lit(1.0))
+    share = F.create_map(*[x for lang in sorted(n) for x in (F.lit(lang), F.lit(min(1.0, 2.0 * sample / max(n[lang], 1))))]) if n else F.create_map(F.lit(""), F.lit(1.0))
     lot_share = (F.col("lot") / F.lit(2.0**64)) + 0.5
-    chosen = rows.where(lot_share <= share[F.col("lang")])
+    chosen = rows.where(lot_share <= share[F.col("lang")]).dropDuplicates(["lang", "lot"])  # copies of a row count once
 
     def vectors(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
         pdf = pdf.sort_values(["lot", "text"]).head(sample)
@@ -153,8 +156,8 @@ def held_out(doc_id: Column) -> Column:
 def languages(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """doc_id, held_out, lang_pred, score and rejected of every row of ``docs``.
 
-    Learned from text and lang of the rows outside the held-out fold, at most ``sample`` of each language; only text enters a
-    prediction. lang_pred is always a learned language unless the text is null or has no letter (then "und", score 0); rejected
+    Learned from text and lang of the rows outside the held-out fold, at most ``sample`` of each language and none above LONGEST
+    bytes; only text enters a prediction. lang_pred is always a learned language unless the text is null or has no letter (then "und", score 0); rejected
     marks texts that are too far from every centroid, and those. Rows without a lang or a doc_id are predicted but not learned from.
     Without any training row all is "und". Repeated rows are predicted alike; an empty table gives an empty one; other columns are
     not read. Texts are taken whole.
