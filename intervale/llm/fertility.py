@@ -3,7 +3,7 @@
 Two public vocabularies measure each text: a piece vocabulary with byte fallback, and a byte-level one made for many languages. A
 text is rejected when a measure leaves its band. Fixed bands hold per script. Finer bands come from the corpus: the quartiles of
 each measure over all texts of one language and length class (entropy grows with length) give the middle and the spread. They are
-exact, from counts of the measures in thousandths, so no verdict depends on how the rows are dealt. A group's band weighs as much
+exact, from counts of the measures in hundredths, so no verdict depends on how the rows are dealt. A group's band weighs as much
 as its texts against the script's band, so a small group's band goes over into the script's without a step.
 """
 
@@ -40,7 +40,7 @@ SCRIPTS = list(BANDS)
 #: Spreads that a text may lie below its group's middle, and texts of a group that weigh as much as the script's band.
 SPREADS, GROUP = 4.0, 30
 #: Measures with bands of their own in each group, in parts of the unit that they are counted in.
-GROUPED, PARTS = ("chars_per_token", "chars_per_multi_token", "entropy"), 1000
+GROUPED, PARTS = ("chars_per_token", "chars_per_multi_token", "entropy"), 100
 #: Groups that are sent to all executors; more of them are joined by a shuffle.
 BROADCAST_GROUPS = 100_000
 
@@ -201,7 +201,7 @@ def measures(docs: DataFrame, model_path: str, multi: tuple[str, str], bands: di
 
 
 def exact_quartiles(found: DataFrame) -> DataFrame:
-    """(tongue, class, n, and the three quartiles of each grouped measure, as arrays of thousandths) of the texts that do not fail.
+    """(tongue, class, n, and the three quartiles of each grouped measure, as arrays of hundredths) of the texts that do not fail.
 
     Texts are counted by value first; a group has a bounded number of values, whatever its rows.
     """
