@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from intervale.llm import decontaminate, linedup, neardup, quality
 from intervale.llm.queries import ADDED, packed, table
+from intervale.llm.skew import hot_keys, spread_join
 from intervale.llm.store import numbered, written
 
 
@@ -32,9 +33,9 @@ def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     rows = numbered(docs)
     own = rows.select(F.when(F.col("doc_id").isNotNull(), F.col("_row")).alias("doc_id"), "text")
     found = neardup.near_duplicates(own, percent=80).where("doc_id IS NOT NULL").select(F.col("doc_id").alias("_row"), "component_id")
-    named = found.join(rows.select("_row", "doc_id"), "_row")
-    least = named.groupBy("component_id").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").select("component_id", "least")
-    gone = named.join(least, "component_id").where("doc_id > least").select("_row")
+    named = written(found.join(rows.select("_row", "doc_id"), "_row"), "components")
+    least = written(named.groupBy("component_id").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"), F.count(F.lit(1)).alias("n")).where("least < most"), "least")
+    gone = spread_join(named, least.select("component_id", "least"), ["component_id"], hot_keys(least, ["component_id"]), ["_row"]).where("doc_id > least").select("_row")
     return rows.join(gone, "_row", "left_anti").select(*docs.columns)
 
 

@@ -12,9 +12,11 @@ SETTING = "spark.checkpoint.dir"
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's shared checkpoint folder; a temporary one only where none is set (tests, one machine)."""
+    """The cluster's shared checkpoint folder; a temporary one only where none is set and all work is on one machine."""
     folder = spark.sparkContext.getConf().get(SETTING) or spark.conf.get(SETTING, None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError(f"{SETTING} must name a folder that all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="intervale-")
         spark.conf.set(SETTING, folder)
     return folder.rstrip("/")

@@ -272,13 +272,13 @@ def test_fertility_base_equals_brute_force(spark, texts):
 
 
 def lowest(rows, measure, fixed):
-    """The lower bound of one group, from its sorted values in thousandths."""
-    values = sorted(round(r[measure] * 1000) for r in rows)
+    """The lower bound of one group, from its sorted values in hundredths."""
+    values = sorted(int(np.floor(r[measure] * 100 + 0.5)) for r in rows)
     if not values:
         return fixed
     n = len(values)
     q1, q2, q3 = (values[-(-k * n // 4) - 1] for k in (1, 2, 3))
-    return (n * (q2 - 4 * (q3 - q1) / 1.349) / 1000 + 30 * fixed) / (n + 30)
+    return (n * (q2 - 4 * (q3 - q1) / 1.349) / 100 + 30 * fixed) / (n + 30)
 
 
 def test_fertility_verdicts_equal_brute_force_however_rows_are_dealt(spark):
@@ -328,6 +328,15 @@ def test_language_held_out_accuracy(spark):
     assert (found.lang_pred == found.lang).mean() > 0.98 and found.score.between(0, 1).all()
 
 
+def test_languages_are_learned_from_bounded_texts_and_copies_count_once(spark, documents, monkeypatch):
+    some = documents.where("doc_id < 40").collect()
+    copies = spark.createDataFrame([some[0]] * 500 + [(9900, "long " * 40_000, "en", "s", 1)], documents.schema)
+    found = language.languages(documents.unionByName(copies)).select("doc_id", "lang_pred", "score").distinct()
+    plain = {r.doc_id: r.lang_pred for r in language.languages(documents).collect()}
+    got = {r.doc_id: r.lang_pred for r in found.collect()}
+    assert set(got) == set(plain) | {9900} and np.mean([got[d] == plain[d] for d in plain]) > 0.95
+
+
 def test_language_edges(spark, documents):
     rows = frame(spark, [*EDGES, (9010, "123 456 !!")]).select("doc_id", "text", "lang", "source", "n_chars")
     found = language.languages(documents.unionByName(rows)).where("doc_id > 9000 OR doc_id IS NULL").collect()
