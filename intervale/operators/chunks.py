@@ -24,6 +24,28 @@ def matrices_by_length(columns: list[pa.Array]) -> Iterator[tuple[np.ndarray, li
             yield rows[whole], [m[whole] for m in found]
 
 
+def by_row(df: DataFrame, columns: list[str], kernel: Callable[..., dict[str, np.ndarray]], schema: str, keep: int = 1) -> DataFrame:
+    """``kernel`` on the sample matrices of each batch; it gives columns by name, one entry or array per row.
+
+    The first ``keep`` columns of ``df`` stay, and ``schema`` starts with them. Rows meet the kernel with those of equal length. A row
+    with a null, or with columns of unequal lengths, gives nulls.
+    """
+    names = [c.split()[0] for c in schema.split(", ")]
+    kinds = [pa.list_(pa.float64()) if "array" in c else pa.float64() for c in schema.split(", ")[keep:]]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: dict[str, list] = {n: [None] * batch.num_rows for n in names[keep:]}
+            for rows, matrices in matrices_by_length([batch.column(c) for c in columns]):
+                found = kernel(*matrices)
+                for n in names[keep:]:
+                    for row, value in zip(rows, found[n].tolist(), strict=True):
+                        out[n][row] = value
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(keep)), *(pa.array(out[n], k) for n, k in zip(names[keep:], kinds, strict=True))], names=names)
+
+    return df.select(*df.columns[:keep], *[c for c in columns if c not in df.columns[:keep]]).mapInArrow(run, schema)
+
+
 def with_borders(chunks: DataFrame, keys: list[str], size: int, border: int) -> DataFrame:
     """``chunks`` (keys, chunk, i0, samples of ``size`` each) with up to ``border`` samples of their neighbours on either side.
 

@@ -31,7 +31,7 @@ def window_counts(points: DataFrame, windows: DataFrame, keys: list[str], window
     """Points in each window, zero for windows without any; with ``by`` and its ``domain`` a row for each of its values."""
     group = [window_key, *([by] if by else [])]
     found = range_join(points, windows, keys, bucket, closed).groupBy(*group).agg(F.count(F.lit(1)).alias("_n"))
-    grid = windows.join(F.broadcast(domain), how="cross") if domain is not None else windows
+    grid = windows.join(domain, how="cross") if domain is not None else windows
     return grid.join(found, group, "left").withColumn("n", F.coalesce("_n", F.lit(0)).cast("long")).drop("_n")
 
 

@@ -14,34 +14,42 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from intervale.operators.chunks import by_row, matrices_by_length
+
 
 def moments(segments: DataFrame, key: str) -> DataFrame:
-    """(key, cell, total): sums over rows of the products of (1, samples), cell by cell, for each key."""
+    """(key, width, cell, total): sums over rows of the products of (1, samples), cell by cell, for each key and length of row.
+
+    Rows with a null key or a null in them are left out.
+    """
 
     def products(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict = {}
         for batch in batches:
-            keys = np.asarray(batch.column(0).to_pylist(), dtype=object)
-            flat = np.asarray(batch.column(1).flatten(), dtype=np.float64)
-            if not len(keys):
-                continue
-            x = np.hstack([np.ones((len(keys), 1)), flat.reshape(len(keys), -1)])
-            for k in set(keys.tolist()):
-                own = x[keys == k]
-                sums[k] = sums.get(k, 0) + own.T @ own
+            keys = np.asarray(batch.column(0))
+            for rows, (x,) in matrices_by_length([batch.column(1)]):
+                z = np.hstack([np.ones((len(rows), 1)), x])
+                for k in np.unique(keys[rows]):
+                    own = z[keys[rows] == k]
+                    at = (int(k), x.shape[1])
+                    sums[at] = sums.get(at, 0) + own.T @ own
         if sums:
-            yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int64()), pa.array([m.ravel().tolist() for m in sums.values()], pa.list_(pa.float64()))], names=["key", "sums"])
+            yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in sums], pa.int64()), pa.array([w for _, w in sums], pa.int64()), pa.array([m.ravel().tolist() for m in sums.values()], pa.list_(pa.float64()))], names=["key", "width", "sums"])
 
-    found = segments.select(F.col(key).cast("long").alias("key"), "samples").mapInArrow(products, "key long, sums array<double>")
-    return found.select("key", F.posexplode("sums").alias("cell", "total")).groupBy("key", "cell").agg(F.sum("total").alias("total"))
+    found = segments.select(F.col(key).cast("long").alias("key"), "samples").where("key IS NOT NULL").mapInArrow(products, "key long, width long, sums array<double>")
+    return found.select("key", "width", F.posexplode("sums").alias("cell", "total")).groupBy("key", "width", "cell").agg(F.sum("total").alias("total"))
 
 
 def matrices(found: DataFrame) -> dict[int, np.ndarray]:
-    """The moment matrices by key, on the driver."""
-    out: dict[int, dict[int, float]] = {}
+    """The moment matrices by key, on the driver, of the length that most rows have."""
+    out: dict[tuple[int, int], dict[int, float]] = {}
     for r in found.toLocalIterator():
-        out.setdefault(r["key"], {})[r["cell"]] = r["total"]
-    return {k: np.array([v[i] for i in range(len(v))]).reshape(int(round(len(v) ** 0.5)), -1) for k, v in sorted(out.items())}
+        out.setdefault((r["key"], r["width"]), {})[r["cell"]] = r["total"]
+    rows: dict[int, float] = {}
+    for (_, width), cells in out.items():
+        rows[width] = rows.get(width, 0) + cells[0]
+    usual = max(rows, key=lambda w: (rows[w], w)) if rows else 0
+    return {k: np.array([v[i] for i in range(len(v))]).reshape(usual + 1, usual + 1) for (k, width), v in sorted(out.items()) if width == usual}
 
 
 def covariance(m: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
@@ -147,16 +155,14 @@ def gaussian_fit(load: np.ndarray, unique: np.ndarray, train: np.ndarray, test:
 
 
 def projected(segments: DataFrame, mean: np.ndarray, parts: np.ndarray, prefix: str) -> DataFrame:
-    """unit and its scores on ``parts`` (rows), as columns prefix1, prefix2 ..."""
+    """unit and its scores on ``parts`` (rows), as columns prefix1, prefix2 ...; nulls for rows of another length or with a null."""
     names = [f"{prefix}{i + 1}" for i in range(len(parts))]
 
-    def project(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            x = np.asarray(batch.column("samples").flatten(), dtype=np.float64).reshape(batch.num_rows, -1)
-            scores = (x - mean) @ parts.T if batch.num_rows else np.zeros((0, len(parts)))
-            yield pa.RecordBatch.from_arrays([batch.column("unit"), *(pa.array(scores[:, i]) for i in range(len(parts)))], names=["unit", *names])
+    def score(x: np.ndarray) -> dict[str, np.ndarray]:
+        found = (x - mean) @ parts.T if x.shape[1] == len(mean) else np.full((len(x), len(parts)), np.nan)
+        return {n: np.where(np.isnan(found[:, i]), None, found[:, i]) for i, n in enumerate(names)}
 
-    return segments.select("unit", "samples").mapInArrow(project, "unit long, " + ", ".join(f"{n} double" for n in names))
+    return by_row(segments.select("unit", "samples"), ["samples"], score, "unit long, " + ", ".join(f"{n} double" for n in names))
 
 
 def poisson_phase(counts: np.ndarray, rounds: int = 25) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -21,7 +21,7 @@ def top_per_key(df: DataFrame, key: str, order: list[Column], k: int) -> DataFra
 def crosstab(df: DataFrame, row: str, column: str) -> DataFrame:
     """Counts of each pair of values, with zeros for pairs that do not occur."""
     counts = df.groupBy(row, column).agg(F.count(F.lit(1)).cast("long").alias("n"))
-    grid = counts.select(row).distinct().join(F.broadcast(counts.select(column).distinct()), how="cross")
+    grid = counts.select(row).distinct().join(counts.select(column).distinct(), how="cross")
     return grid.join(counts, [row, column], "left").withColumn("n", F.coalesce("n", F.lit(0)).cast("long"))
 
 
@@ -93,16 +93,3 @@ def benjamini_hochberg(df: DataFrame, p: str, key: str) -> DataFrame:
     raw = tested.crossJoin(F.broadcast(n)).select(key, p, (F.col(p) * F.col("_m") / F.row_number().over(up)).alias("_raw"))
     q = F.least(F.lit(1.0), F.min("_raw").over(Window.orderBy(F.desc(p), F.desc(key)).rowsBetween(Window.unboundedPreceding, 0)))
     return df.join(raw.select(key, q.alias("q")), key, "left")
-
-
-def adjusted_rand(cells: list[tuple[int, object, object]]) -> float:
-    """Adjusted Rand index of two labelings from the cells (count, label, label) of their table."""
-    pairs = lambda counts: sum(c * (c - 1) / 2 for c in counts)
-    left, right = {}, {}
-    for n, a, b in cells:
-        left[a], right[b] = left.get(a, 0) + n, right.get(b, 0) + n
-    total = sum(left.values())
-    inside, rows, columns = pairs(n for n, _, _ in cells), pairs(left.values()), pairs(right.values())
-    expected = rows * columns / max(total * (total - 1) / 2, 1)
-    top = (rows + columns) / 2
-    return 1.0 if top == expected else (inside - expected) / (top - expected)

@@ -234,7 +234,7 @@ def baseline_zscore(spark: SparkSession, d: str) -> DataFrame:
     p = points(spark, d)
     first = p.agg(F.min("t").alias("first"))
     base = p.crossJoin(F.broadcast(first)).where(F.col("t") < F.col("first") + 7 * D).groupBy("mark").agg(F.avg("value").alias("m"), F.stddev_pop("value").alias("s"))
-    return r6(p.join(F.broadcast(base), "mark").select("point_id", "mark", F.when(F.col("s") > 0, (F.col("value") - F.col("m")) / F.col("s")).otherwise(0.0).alias("z")), "z")
+    return r6(p.join(base, "mark").select("point_id", "mark", F.when(F.col("s") > 0, (F.col("value") - F.col("m")) / F.col("s")).otherwise(0.0).alias("z")), "z")
 
 
 @query(f"""WITH {EV}, m AS (SELECT unit, stddev_pop(value) AS sd, count(*) AS n FROM e GROUP BY 1), q AS (SELECT median(sd) AS md FROM m), a AS (SELECT median(abs(sd - md)) AS mad FROM m, q)

@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, SparkSession
@@ -14,6 +15,7 @@ from pyspark.sql import functions as F
 from intervale.operators import graph as G
 from intervale.operators import models as M
 from intervale.operators import relational as R
+from intervale.operators.chunks import matrices_by_length
 from intervale.plans.events import _acg, r6
 from intervale.plans.registry import query
 from intervale.plans.segments import SG, _phases, _widths
@@ -32,7 +34,7 @@ SELECT grp::BIGINT AS grp, i::BIGINT AS i, j::BIGINT AS j, round(total, 6) AS to
 def gram_matrix(spark: SparkSession, d: str) -> DataFrame:
     """Sums of products of (1, samples) in each group."""
     found = M.moments(segments(spark, d), "grp")
-    i, j = F.floor(F.col("cell") / 65), F.pmod(F.col("cell").cast("long"), F.lit(65))
+    i, j = F.floor(F.col("cell") / (F.col("width") + 1)), F.pmod(F.col("cell").cast("long"), F.col("width") + 1)
     return found.select(F.col("key").alias("grp"), i.alias("i"), j.alias("j"), F.round("total", 6).alias("total")).where("i <= j")
 
 
@@ -146,15 +148,23 @@ def decode_classes(spark: SparkSession, d: str) -> DataFrame:
         own = {g: [m for k, m in folds.items() if k // FOLDS == g and k % FOLDS != fold] for g in groups}
         models[fold] = {g: (np.log(sum(m)[0, 0]), *[M.covariance(sum(m))[0], np.diag(M.covariance(sum(m))[1]) + 1e-9]) for g, m in own.items() if m}
 
-    def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            hit = []
-            for fold, grp, x in zip(pdf["fold"], pdf["grp"], pdf["samples"], strict=True):
-                score = {g: prior - 0.5 * (np.log(v) + (np.asarray(x) - mean) ** 2 / v).sum() for g, (prior, mean, v) in models[fold].items()}
-                hit.append(bool(score) and max(score, key=score.get) == grp)
-            yield pd.DataFrame({"fold": pdf["fold"], "hit": hit})
-
-    return s.select("fold", "grp", "samples").mapInPandas(decode, "fold long, hit boolean").groupBy("fold").agg(F.count(F.lit(1)).alias("n"), F.avg(F.col("hit").cast("double")).alias("accuracy"))
+    def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            fold, grp = np.asarray(batch.column("fold")), np.asarray(batch.column("grp"))
+            for rows, (x,) in matrices_by_length([batch.column("samples")]):
+                for f in np.unique(fold[rows]):
+                    own = rows[fold[rows] == f]
+                    names, fits = list(models[f]), list(models[f].values())
+                    if not names or x.shape[1] != len(fits[0][1]):
+                        hit = np.zeros(len(own), bool)
+                    else:
+                        prior, mean, var = (np.array([v[i] for v in fits]) for i in range(3))
+                        score = prior - 0.5 * (np.log(var) + (x[fold[rows] == f][:, None] - mean) ** 2 / var).sum(axis=2)
+                        hit = np.array(names)[score.argmax(axis=1)] == grp[own]
+                    yield pa.RecordBatch.from_pydict({"fold": pa.array([int(f)]), "n": pa.array([len(own)]), "hits": pa.array([int(hit.sum())])})
+
+    found = s.select("fold", "grp", "samples").mapInArrow(decode, "fold long, n long, hits long")
+    return found.groupBy("fold").agg(F.sum("n").alias("n"), (F.sum("hits") / F.sum("n")).alias("accuracy"))
 
 
 K = 8
@@ -247,7 +257,7 @@ def spectral_stability(spark: SparkSession, d: str) -> DataFrame:
     for k in (2, 3, 4):
         runs = [_clustered(embedding, k, seed).withColumnRenamed("cluster", f"c{seed}") for seed in (1, 2, 3)]
         joined = saved(runs[0].join(runs[1], "unit").join(runs[2], "unit"))
-        scores = [R.adjusted_rand([(r["n"], r[f"c{a}"], r[f"c{b}"]) for r in joined.groupBy(f"c{a}", f"c{b}").agg(F.count(F.lit(1)).alias("n")).collect()]) for a, b in ((1, 2), (1, 3), (2, 3))]  # k squared cells
+        scores = [R.adjusted_rand(joined, f"c{a}", f"c{b}").first()["ari"] for a, b in ((1, 2), (1, 3), (2, 3))]
         rows.append((k, float(np.mean(scores))))
     return spark.createDataFrame(rows, "clusters long, stability double")
 

@@ -57,12 +57,12 @@ def set_except_folds(spark: SparkSession, d: str) -> DataFrame:
     return o.where("o_orderstatus <> 'F'").drop("o_orderstatus").subtract(o.where("o_orderstatus = 'F'").drop("o_orderstatus"))
 
 
-@query("""WITH a AS (SELECT DISTINCT o_custkey AS k FROM orders), b AS (SELECT DISTINCT c_custkey AS k FROM customer)
+@query("""WITH a AS (SELECT DISTINCT o_custkey AS k FROM orders WHERE o_orderpriority LIKE '1%'), b AS (SELECT DISTINCT c_custkey AS k FROM customer WHERE c_acctbal > 0)
 SELECT coalesce(a.k, b.k) AS custkey, a.k IS NOT NULL AS has_orders, b.k IS NOT NULL AS known FROM a FULL JOIN b ON a.k = b.k WHERE a.k IS NULL OR b.k IS NULL""")
 def symmetric_validation(spark: SparkSession, d: str) -> DataFrame:
-    """Customer keys that one of the two tables lacks."""
-    a = table(spark, d, "orders").select(F.col("o_custkey").alias("custkey")).distinct().withColumn("_a", F.lit(True))
-    b = table(spark, d, "customer").select(F.col("c_custkey").alias("custkey")).distinct().withColumn("_b", F.lit(True))
+    """Customer keys that one of two sets lacks: those with an urgent order, and those with a balance."""
+    a = table(spark, d, "orders").where("o_orderpriority LIKE '1%'").select(F.col("o_custkey").alias("custkey")).distinct().withColumn("_a", F.lit(True))
+    b = table(spark, d, "customer").where("c_acctbal > 0").select(F.col("c_custkey").alias("custkey")).distinct().withColumn("_b", F.lit(True))
     return a.join(b, "custkey", "full").select("custkey", F.col("_a").isNotNull().alias("has_orders"), F.col("_b").isNotNull().alias("known")).where("NOT (has_orders AND known)")
 
 
@@ -321,7 +321,7 @@ def median_imputation(spark: SparkSession, d: str) -> DataFrame:
     """Balances, where negative ones count as missing and take their segment's median."""
     c = table(spark, d, "customer").select(F.col("c_mktsegment").alias("segment"), F.col("c_custkey").alias("custkey"), F.when(F.col("c_acctbal") >= 0, F.col("c_acctbal")).alias("v"))
     medians = c.groupBy("segment").agg(F.median("v").alias("md"))
-    return c.join(F.broadcast(medians), "segment").select("custkey", F.round(F.coalesce("v", "md"), 6).alias("balance"), F.col("v").isNull().alias("imputed"))
+    return c.join(medians, "segment").select("custkey", F.round(F.coalesce("v", "md"), 6).alias("balance"), F.col("v").isNull().alias("imputed"))
 
 
 @query("""WITH l AS (SELECT quality, doc_id, row_number() OVER (PARTITION BY quality ORDER BY md5(concat_ws(':', '1', doc_id::VARCHAR)), doc_id) AS k, count(*) OVER (PARTITION BY quality) AS n FROM labels WHERE quality IS NOT NULL) SELECT quality, doc_id FROM l WHERE k <= (SELECT min(n) FROM l)""")
@@ -345,4 +345,4 @@ def wide_export(spark: SparkSession, d: str) -> DataFrame:
     """Segments of the commonest length, with their first samples as columns."""
     e = table(spark, d, "embeddings").select(F.col("vec_id").alias("unit"), "embedding", F.size("embedding").alias("n"))
     usual = e.groupBy("n").agg(F.count(F.lit(1)).alias("c")).agg(F.max(F.struct("c", "n")).alias("m")).select(F.col("m.n").alias("n"))
-    return e.join(F.broadcast(usual), "n").select("unit", *[F.round(F.col("embedding")[i].cast("double"), 6).alias(f"w{i}") for i in range(4)], "n")
+    return e.join(usual, "n").select("unit", *[F.round(F.col("embedding")[i].cast("double"), 6).alias(f"w{i}") for i in range(4)], "n")

@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from intervale.functions import arrays as A
 from intervale.functions import circular as C
+from intervale.operators.chunks import by_row
 from intervale.plans.events import EV, onsets, r6
 from intervale.plans.registry import query
 from intervale.sources.tables import DAY, points, segments
@@ -169,20 +171,14 @@ def procrustes_rotate(spark: SparkSession, d: str) -> DataFrame:
 DFT = f"""{SG}, v AS (SELECT unit, unnest(x) AS v, unnest(range(64)) AS i FROM s), f AS (SELECT unit, k, sum(v * cos(2 * pi() * k * i / 64)) AS re, sum(v * sin(2 * pi() * k * i / 64)) AS im FROM v CROSS JOIN range(33) r(k) GROUP BY 1, 2), pw AS (SELECT unit, k::BIGINT AS k, (re * re + im * im) / 64 AS power FROM f)"""
 
 
-def dft_powers(x: Column, n: int) -> Column:
-    """Power of each frequency 0 .. n/2 of a segment of ``n`` samples, as an array."""
-    angles = F.sequence(F.lit(0), F.lit(n - 1))
-
-    def power(k: Column) -> Column:
-        part = lambda f: F.aggregate(F.zip_with(x, angles, lambda v, i: v * f(TAU / n * (k * i))), F.lit(0.0), lambda a, v: a + v)
-        re, im = part(F.cos), part(F.sin)
-        return (re * re + im * im) / n
-
-    return F.transform(F.sequence(F.lit(0), F.lit(n // 2)), power)
+def powers(rows: DataFrame, column: str, keep: int) -> DataFrame:
+    """The first ``keep`` columns of ``rows`` and powers: those of the frequencies 0 .. n/2 of a row of n samples."""
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields[:keep])
+    return by_row(rows, [column], lambda x: {"powers": np.abs(np.fft.rfft(x, axis=1)) ** 2 / x.shape[1]}, f"{kinds}, powers array<double>", keep)
 
 
 def _powers(spark: SparkSession, d: str) -> DataFrame:
-    return segments(spark, d).select("unit", "grp", dft_powers(F.col("samples"), 64).alias("powers"))
+    return powers(segments(spark, d).select("unit", "grp", "samples"), "samples", 2)
 
 
 @query(f"WITH {DFT} SELECT unit, k, round(power, 6) AS power FROM pw")
@@ -223,7 +219,7 @@ def welch_psd(spark: SparkSession, d: str) -> DataFrame:
     window = F.array(*[F.lit(0.5 - 0.5 * math.cos(TAU * i / 32)) for i in range(32)])
     part = segments(spark, d).select("unit", "samples", F.explode(F.sequence(F.lit(0), F.lit(2))).alias("seg")).select("unit", F.slice("samples", F.col("seg") * 16 + 1, F.lit(32)).alias("y"))
     centred = part.select("unit", "y", A.mean(F.col("y")).alias("m")).select("unit", F.zip_with(F.transform("y", lambda v: v - F.col("m")), window, lambda v, w: v * w).alias("y"))
-    each = centred.select("unit", F.posexplode(dft_powers(F.col("y"), 32)).alias("k", "power"))
+    each = powers(centred.select("unit", "y"), "y", 1).select("unit", F.posexplode("powers").alias("k", "power"))
     scale = F.when(F.col("k").isin(0, 16), 1.0).otherwise(2.0) * 32 / (64 * 12)
     return each.groupBy("unit", F.col("k").cast("long").alias("k")).agg(F.round(F.avg(F.col("power") * scale), 6).alias("psd"))
 

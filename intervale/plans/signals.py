@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from intervale.functions import signals as K
 from intervale.functions.circular import modulation_index
-from intervale.operators.chunks import matrices_by_length, over_chunks
+from intervale.operators.chunks import by_row, matrices_by_length, over_chunks
 from intervale.operators.replicates import row_groups
 from intervale.operators.sampled import chunked
 from intervale.plans.registry import query
@@ -21,27 +21,6 @@ RATE = 64.0
 FREQUENCIES = np.geomspace(3, 24, 6)
 
 
-def by_row(df: DataFrame, columns: list[str], kernel: Callable[..., dict[str, np.ndarray]], schema: str) -> DataFrame:
-    """``kernel`` on the sample matrices of each batch; it gives columns by name, one entry or array per row.
-
-    Rows meet the kernel with those of equal length. A row with a null, or with columns of unequal lengths, gives nulls.
-    """
-    names = [c.split()[0] for c in schema.split(", ")]
-    kinds = [pa.list_(pa.float64()) if "array" in c else pa.float64() for c in schema.split(", ")[1:]]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out: dict[str, list] = {n: [None] * batch.num_rows for n in names[1:]}
-            for rows, matrices in matrices_by_length([batch.column(c) for c in columns]):
-                found = kernel(*matrices)
-                for n in names[1:]:
-                    for row, value in zip(rows, found[n].tolist(), strict=True):
-                        out[n][row] = value
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(out[n], k) for n, k in zip(names[1:], kinds, strict=True))], names=names)
-
-    return df.select(df.columns[0], *columns).mapInArrow(run, schema)
-
-
 @query()
 def bandpass_envelope(spark: SparkSession, d: str) -> DataFrame:
     """Mean envelope of three sub-bands of each segment, and their mean z-score over the segment's own mean and deviation."""

@@ -41,7 +41,7 @@ def trial_groups(spark: SparkSession, d: str) -> DataFrame:
     keep = spark.range(1, 8, 2).select(F.col("id").alias("load"))
     found = trials(spark, d).groupBy("load").agg(F.count(F.lit(1)).alias("n"), F.count_if("correct").alias("n_correct"), F.min("ordinal").alias("first_ordinal"))
     zero = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
-    return F.broadcast(keep).join(found, "load", "left").select(F.concat(F.lit("Load "), F.col("load")).alias("label"), zero("n"), zero("n_correct"), "first_ordinal")
+    return keep.join(found, "load", "left").select(F.concat(F.lit("Load "), F.col("load")).alias("label"), zero("n"), zero("n_correct"), "first_ordinal")
 
 
 @query(f"WITH {TR}, m AS (SELECT trial, least(load, 3) AS l, ordinal % 2 AS s FROM tr) SELECT trial, (CASE WHEN l = 1 AND s = 0 THEN 1 ELSE 0 END)::INTEGER AS l1_s0, (CASE WHEN l = 1 AND s = 1 THEN 1 ELSE 0 END)::INTEGER AS l1_s1, (CASE WHEN l = 2 AND s = 0 THEN 1 ELSE 0 END)::INTEGER AS l2_s0, (CASE WHEN l = 2 AND s = 1 THEN 1 ELSE 0 END)::INTEGER AS l2_s1, (CASE WHEN l = 3 AND s = 0 THEN 1 ELSE 0 END)::INTEGER AS l3_s0, (CASE WHEN l = 3 AND s = 1 THEN 1 ELSE 0 END)::INTEGER AS l3_s1 FROM m")
@@ -71,7 +71,9 @@ def peak_cycles(spark: SparkSession, d: str) -> DataFrame:
     """Cycles between neighbouring peaks above a segment's median, of 3 to 12 samples."""
     by = Window.partitionBy("unit").orderBy("i")
     s = segments(spark, d).select("unit", F.array_sort("samples").alias("o"), "samples")
-    each = s.select("unit", ((F.get("o", 31) + F.get("o", 32)) / 2).alias("md"), F.posexplode("samples").alias("i", "v")).withColumns({"b": F.lag("v").over(by), "a": F.lead("v").over(by)})
+    n = F.size("o")
+    middle = (F.get("o", F.floor((n - 1) / 2).cast("int")) + F.get("o", F.floor(n / 2).cast("int"))) / 2
+    each = s.select("unit", middle.alias("md"), F.posexplode("samples").alias("i", "v")).withColumns({"b": F.lag("v").over(by), "a": F.lead("v").over(by)})
     peaks = each.where("v > b AND v >= a AND v >= md").withColumn("end", F.lead("i").over(by))
     return peaks.where("end - i BETWEEN 3 AND 12").select("unit", F.col("i").cast("long").alias("start"), F.col("end").cast("long").alias("end"), F.round("v", 6).alias("peak"))
 
@@ -174,7 +176,7 @@ def signal_epochs(spark: SparkSession, d: str) -> DataFrame:
     series = p.groupBy("mark", F.floor(F.col("t") / H).alias("i")).agg(F.sum("value").alias("value"))
     chunks = D.chunked(series, ["mark"], 24)
     days = p.where("mark = 'signup'").select(F.floor(F.col("t") / DAY).alias("onset")).distinct().select("onset", (F.col("onset") * 24).alias("at"))
-    everywhere = days.crossJoin(F.broadcast(p.select("mark").distinct()))
+    everywhere = days.crossJoin(p.select("mark").distinct())
     found = D.aligned(chunks, everywhere, ["mark"], 24, 18, 30)
     known = F.filter("samples", lambda v: v.isNotNull())
     return r6(found.select("mark", "onset", F.size(known).cast("long").alias("n"), F.aggregate(known, F.lit(0.0), lambda a, v: a + v).alias("total"), F.array_max(known).alias("top")).withColumn("total", F.when(F.col("n") > 0, F.col("total"))), "total", "top")

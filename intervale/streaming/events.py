@@ -80,15 +80,13 @@ def drained(spark: SparkSession, result: DataFrame, mode: str, keys: list[str] |
     path = folder(spark)
 
     def keep(batch: DataFrame, number: int) -> None:
-        batch.withColumn("_batch", F.lit(number)).write.mode("append").parquet(f"{path}/rows")
+        # in complete mode each batch is the whole result, so it takes the place of the one before
+        batch.withColumn("_batch", F.lit(number)).write.mode("overwrite" if mode == "complete" else "append").parquet(f"{path}/rows")
 
     query = result.writeStream.outputMode(mode).option("checkpointLocation", f"{path}/state").foreachBatch(keep).trigger(availableNow=True).start()
     query.awaitTermination()
     rows = spark.read.parquet(f"{path}/rows")
-    if mode == "complete":
-        last = rows.agg(F.max("_batch").alias("_batch"))
-        rows = rows.join(F.broadcast(last), "_batch")
-    elif keys:
+    if mode != "complete" and keys:
         rest = [c for c in rows.columns if c not in keys and c != "_batch"]
         rows = rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), "_batch").alias("r")).select(*keys, *[F.col(f"r.{c}").alias(c) for c in rest])
     return rows.drop("_batch")
