@@ -459,3 +459,27 @@ def best_assignment(table: np.ndarray) -> int:
         while j:
             match[j], j = match[back[j]], back[j]
     return int(sum(table[match[j] - 1, j - 1] for j in range(1, n + 1) if match[j] <= table.shape[0] and j <= table.shape[1]))
+
+
+def lasso(m: np.ndarray, p: int, penalty: float, rounds: int = 200) -> np.ndarray:
+    """W of y = x W with absolute weights penalised, for all targets at once, by coordinate steps on centred moments.
+
+    It minimises half the mean squared error plus ``penalty`` times the sum of absolute weights, target by target.
+    """
+    xx, xy, _ = split_moments(m, p)
+    n = m[0, 0]
+    xx, xy = xx / n, xy / n
+    w = np.zeros_like(xy)
+    for _ in range(rounds):
+        before = w.copy()
+        for k in range(p):
+            pull = xy[k] - xx[k] @ w + xx[k, k] * w[k]
+            w[k] = np.sign(pull) * np.maximum(np.abs(pull) - penalty, 0) / max(xx[k, k], 1e-12)
+        if np.abs(w - before).max() < 1e-9:
+            break
+    return w
+
+
+def target_r_squared(test: np.ndarray, train: np.ndarray, p: int, w: np.ndarray) -> np.ndarray:
+    """``r_squared`` of each target alone."""
+    return np.array([r_squared(sub_moments(test, p, np.arange(p), np.array([j])), sub_moments(train, p, np.arange(p), np.array([j])), p, w[:, j : j + 1]) for j in range(w.shape[1])])

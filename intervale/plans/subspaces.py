@@ -346,3 +346,46 @@ def flag_union(spark: SparkSession, d: str) -> DataFrame:
     """Rows that any of the candidate flags marks; candidates that the table lacks are left out."""
     labels = table(spark, d, "labels")
     return labels.select("doc_id", any_flag(labels, ["bad", "toxic", "flagged"]).alias("bad"))
+
+
+@query()
+def sparse_targets(spark: SparkSession, d: str) -> DataFrame:
+    """For each sample of the second half, the sparse map from the first half: its penalty by cross-validation, R^2 and weights in use."""
+    folds = _folds(spark, d)
+    whole = sum(folds.values())
+    penalties = [float(p) for p in np.geomspace(1e-5, 1e-1, 7)]
+    scores = np.array([np.mean([M.target_r_squared(m, whole - m, HALF, M.lasso(whole - m, HALF, a)) for m in folds.values()], axis=0) for a in penalties])
+    best = scores.argmax(axis=0)
+    used = [(np.abs(M.lasso(whole, HALF, a)) > 0).sum(axis=0) for a in penalties]
+    return spark.createDataFrame([(j, penalties[b], float(scores[b, j]), int(used[b][j])) for j, b in enumerate(best)], "target long, penalty double, r2 double, used long")
+
+
+LEVELS = (0.0, 20.0, 40.0, 60.0, 80.0, 400.0)
+
+
+@query(f"""WITH {EV}, k AS (SELECT * FROM (VALUES {', '.join(f'({v}::DOUBLE)' for v in LEVELS)}) t(level)), g AS (SELECT level, count(value) FILTER (mark = 'click') AS a, count(value) FILTER (mark = 'view') AS b, avg(value) FILTER (mark = 'click') - avg(value) FILTER (mark = 'view') AS effect FROM e JOIN k ON value >= level GROUP BY 1)
+SELECT level, a::BIGINT AS n_click, b::BIGINT AS n_view, round(effect, 6) AS effect FROM g WHERE a >= 5 AND b >= 5""")
+def threshold_titration(spark: SparkSession, d: str) -> DataFrame:
+    """Click against view values among the points at or above each of several levels; levels with fewer than five of either drop out.
+
+    One pass counts each point at the levels that it reaches; the sums of nested subsets are partial before the shuffle.
+    """
+    p = points(spark, d).where("mark IN ('click', 'view') AND value IS NOT NULL")
+    reached = p.withColumn("level", F.explode(F.filter(F.array(*map(F.lit, LEVELS)), lambda v: F.col("value") >= v)))
+    of = lambda m: F.when(F.col("mark") == m, F.col("value"))
+    found = reached.groupBy("level").agg(F.count(of("click")).alias("n_click"), F.count(of("view")).alias("n_view"), (F.avg(of("click")) - F.avg(of("view"))).alias("effect"))
+    return r6(found.where("n_click >= 5 AND n_view >= 5"), "effect")
+
+
+@query()
+def equalised_mvl_mean(spark: SparkSession, d: str) -> DataFrame:
+    """Mean phase vectors of clicks and views drawn down to the smaller count, over 200 draws; units without both drop out."""
+    p = _phases(spark, d).where("mark IN ('click', 'view')").select("unit", "mark", "phase", "point_id")
+    least = p.groupBy("unit", "mark").agg(F.count(F.lit(1)).alias("c")).groupBy("unit").agg(F.min("c").alias("n"), F.count(F.lit(1)).alias("both")).where("both = 2").select("unit", "n")
+    place = F.row_number().over(Window.partitionBy("unit", "mark").orderBy("point_id"))
+    dealt = p.withColumn("k", place).join(least, "unit").withColumn("side", F.when(F.col("k") <= F.col("n"), "in").otherwise("out"))
+    # the same strata and keys give both sums the same draws
+    part = lambda f, name: B.permuted_sums(dealt.select("unit", "mark", "side", "point_id", f("phase").alias("v")), ["unit", "mark"], "side", "point_id", "v", 200).where("side = 'in' AND replicate > 0").select("unit", "mark", "replicate", "n", F.col("s").alias(name))
+    sums = part(F.cos, "c").join(part(F.sin, "s").drop("n"), ["unit", "mark", "replicate"])
+    length = F.sqrt(F.col("c") * F.col("c") + F.col("s") * F.col("s")) / F.col("n")
+    return sums.groupBy("unit", "mark").agg(F.max("n").alias("n"), F.round(F.avg(length), 6).alias("mvl"))

@@ -143,6 +143,27 @@ def test_cycles_need_a_steady_phase_and_enough_signal():
     assert not any(g for *_, g in signals.cycles(phase, np.ones(128)))
 
 
+def test_lasso_meets_its_conditions(linked):
+    m = sum(folds_of(linked)[0].values())
+    w = M.lasso(m, 6, 0.05)
+    x, y = linked[:, :6] - linked[:, :6].mean(axis=0), linked[:, 6:] - linked[:, 6:].mean(axis=0)
+    slope = x.T @ (y - x @ w) / len(x)
+    assert (np.abs(slope) <= 0.05 + 1e-6).all() and slope[w != 0] == pytest.approx(0.05 * np.sign(w[w != 0]), abs=1e-6) and (w == 0).any()
+    assert M.lasso(m, 6, 0.0) == pytest.approx(np.linalg.lstsq(x, y, rcond=None)[0], abs=1e-6)
+
+
+def test_equalised_draws_keep_the_smaller_mark_whole(spark):
+    sf = "/root/testdata/sf0.001"
+    p = subspaces._phases(spark, sf).where("mark IN ('click', 'view')").toPandas()
+    found = {(r.unit, r.mark): (r.n, r.mvl) for r in subspaces.equalised_mvl_mean(spark, sf).collect()}
+    checked = 0
+    for (unit, mark), own in p.groupby(["unit", "mark"]):
+        if (unit, mark) in found and found[unit, mark][0] == len(own):
+            assert found[unit, mark][1] == pytest.approx(abs(np.exp(1j * own.phase).mean()), abs=2e-6)
+            checked += 1
+    assert checked > 3 and len(found) == 2 * len({u for u, _ in found})
+
+
 def test_queries_have_sound_values(spark):
     sf = "/root/testdata/sf0.001"
     p = subspaces.null_space_permutation(spark, sf).toPandas()
