@@ -26,7 +26,7 @@ FOLDS = 5
 
 
 def _folds(spark: SparkSession, d: str) -> dict[int, np.ndarray]:
-    return M.matrices(M.moments(segments(spark, d).withColumn("fold", F.pmod(F.xxhash64("unit"), F.lit(FOLDS))), "fold"))
+    return M.matrices(M.moments(segments(spark, d).withColumn("fold", F.pmod("unit", F.lit(FOLDS))), "fold"))
 
 
 @query(f"""WITH {SG}, v AS (SELECT grp, list_concat([1.0::DOUBLE], x) AS z FROM s), p AS (SELECT grp, i, j, sum(z[i + 1] * z[j + 1]) AS total FROM v CROSS JOIN range(65) a(i) CROSS JOIN range(65) b(j) GROUP BY 1, 2, 3)
@@ -137,10 +137,12 @@ def acg_fit(spark: SparkSession, d: str) -> DataFrame:
     return right.mapInPandas(fit, "unit long, decay double, rise double, refractory double, rate double, r2 double")
 
 
-@query()
+@query(f"""WITH {SG}, v AS (SELECT unit, grp, unit % {FOLDS} AS fold, unnest(x) AS v, unnest(range(len(x))) AS i FROM s), m AS (SELECT f.f AS fold, grp, i, avg(v) AS mu, avg(v * v) - avg(v) * avg(v) + 1e-9::DOUBLE AS va, ln(count(*)::DOUBLE) AS lp FROM v CROSS JOIN range({FOLDS}) f(f) WHERE v.fold <> f.f GROUP BY 1, 2, 3),
+sc AS (SELECT v.fold, v.unit, v.grp, m.grp AS guess, any_value(lp) - 0.5::DOUBLE * sum(ln(va) + (v - mu) * (v - mu) / va) AS score FROM v JOIN m ON m.fold = v.fold AND m.i = v.i GROUP BY 1, 2, 3, 4), b AS (SELECT *, row_number() OVER (PARTITION BY unit ORDER BY round(score, 6) DESC, guess) AS place FROM sc)
+SELECT fold::BIGINT AS fold, count(*)::BIGINT AS n, round(avg(CASE WHEN guess = grp THEN 1.0::DOUBLE ELSE 0 END), 6) AS accuracy FROM b WHERE place = 1 GROUP BY 1""")
 def decode_classes(spark: SparkSession, d: str) -> DataFrame:
     """Cross-validated accuracy of a Gaussian naive classifier of groups, from sums by fold and group."""
-    s = segments(spark, d).withColumn("fold", F.pmod(F.xxhash64("unit"), F.lit(FOLDS)))
+    s = segments(spark, d).withColumn("fold", F.pmod("unit", F.lit(FOLDS)))
     folds = {k: m for k, m in M.matrices(M.moments(s.withColumn("key", F.col("grp") * FOLDS + F.col("fold")), "key")).items()}
     groups = sorted({k // FOLDS for k in folds})
     models = {}
@@ -160,11 +162,11 @@ def decode_classes(spark: SparkSession, d: str) -> DataFrame:
                     else:
                         prior, mean, var = (np.array([v[i] for v in fits]) for i in range(3))
                         score = prior - 0.5 * (np.log(var) + (x[fold[rows] == f][:, None] - mean) ** 2 / var).sum(axis=2)
-                        hit = np.array(names)[score.argmax(axis=1)] == grp[own]
+                        hit = np.array(names)[np.round(score, 6).argmax(axis=1)] == grp[own]
                     yield pa.RecordBatch.from_pydict({"fold": pa.array([int(f)]), "n": pa.array([len(own)]), "hits": pa.array([int(hit.sum())])})
 
     found = s.select("fold", "grp", "samples").mapInArrow(decode, "fold long, n long, hits long")
-    return found.groupBy("fold").agg(F.sum("n").alias("n"), (F.sum("hits") / F.sum("n")).alias("accuracy"))
+    return r6(found.groupBy("fold").agg(F.sum("n").alias("n"), (F.sum("hits") / F.sum("n")).alias("accuracy")), "accuracy")
 
 
 K = 8
@@ -275,13 +277,16 @@ def null_space_split(spark: SparkSession, d: str) -> DataFrame:
     return spark.createDataFrame(rows, "grp long, rank long, potent double, outside double, ratio double")
 
 
-@query()
+@query("""WITH t AS (SELECT count(*) FILTER (quality = 0 AND toxic = 0) AS a, count(*) FILTER (quality = 0 AND toxic = 1) AS b, count(*) FILTER (quality = 1 AND toxic = 0) AS c, count(*) FILTER (quality = 1 AND toxic = 1) AS d FROM labels WHERE quality IN (0, 1) AND toxic IN (0, 1)),
+r AS (SELECT *, unnest(range(greatest(0, a + b + a + c - (a + b + c + d)), least(a + b, a + c) + 1)) AS x FROM t), h AS (SELECT *, lgamma(x + 1) + lgamma(a + b - x + 1) + lgamma(a + c - x + 1) + lgamma(d - a + x + 1) AS l, lgamma(a + 1) + lgamma(b + 1) + lgamma(c + 1) + lgamma(d + 1) AS o,
+lgamma(a + b + 1) + lgamma(c + d + 1) + lgamma(a + c + 1) + lgamma(b + d + 1) - lgamma(a + b + c + d + 1) AS f FROM r)
+SELECT any_value(a)::BIGINT AS n00, any_value(b)::BIGINT AS n01, any_value(c)::BIGINT AS n10, any_value(d)::BIGINT AS n11, round(least(1.0::DOUBLE, sum(exp(f - l)) FILTER (l >= o - 1e-7)), 6) AS p FROM h""")
 def fisher_labels(spark: SparkSession, d: str) -> DataFrame:
     """Exact test of the two labels' independence: four counts, then a sum over the tables with the same margins."""
     cells = table(spark, d, "labels").where("quality IN (0, 1) AND toxic IN (0, 1)").groupBy().agg(*[F.count_if((F.col("quality") == a) & (F.col("toxic") == b)).alias(f"n{a}{b}") for a in (0, 1) for b in (0, 1)])
 
     def test(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            yield pdf.assign(p=[M.fisher_exact(*map(int, r)) for r in pdf[["n00", "n01", "n10", "n11"]].to_numpy()])
+            yield pdf.assign(p=[round(M.fisher_exact(*map(int, r)), 6) for r in pdf[["n00", "n01", "n10", "n11"]].to_numpy()])
 
     return cells.mapInPandas(test, "n00 long, n01 long, n10 long, n11 long, p double")

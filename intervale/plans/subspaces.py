@@ -69,7 +69,7 @@ def rrr_bootstrap(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def fa_dim_by_group(spark: SparkSession, d: str) -> DataFrame:
     """Factors, shared dimensions and cumulative shares of each group's source and target half; groups with too few segments give nulls."""
-    s = segments(spark, d).withColumn("key", F.col("grp") * FOLDS + F.pmod(F.xxhash64("unit"), F.lit(FOLDS)))
+    s = segments(spark, d).withColumn("key", F.col("grp") * FOLDS + F.pmod("unit", F.lit(FOLDS)))
     by_key, rows = M.matrices(M.moments(s, "key")), []
     for g in sorted({k // FOLDS for k in by_key}):
         folds = {k: m for k, m in by_key.items() if k // FOLDS == g}
