@@ -38,32 +38,28 @@ SEGMENTS = "rows array<long>, doc_ids array<long>, n_words array<long>, terms ar
 MATCHES = "row long, first array<int>, last array<int>, items array<string>"
 
 
-def _segments(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-    """Runs of rows with a bounded length of text: a word has two bytes at least, with its space."""
-    yield from W.slices(batch, most=2 * SEGMENT_WORDS)
-
-
 def index(docs: DataFrame) -> DataFrame:
     """The segments of ``docs`` (doc_id, text): every row of it gets a number of its own, whatever its doc_id."""
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        row = TaskContext.get().partitionId() << 33
-        for some in (segment for batch in batches for segment in _segments(batch)):
-            n = some.num_rows
+        row, names = TaskContext.get().partitionId() << 33, [c.split()[0] for c in SEGMENTS.split(", ")]
+        for some in (part for batch in batches for part in W.slices(batch)):
             codes, ends, distinct = W.split(some.column("text"), W.WORDY)
-            hashed = W.hashes(distinct).view(np.int64) if len(distinct) else np.zeros(0, np.int64)
-            terms, of_term = np.unique(hashed, return_inverse=True)
-            place = np.arange(len(codes)) + GAP * np.repeat(np.arange(n), np.diff(ends))
-            term = of_term[codes] if len(codes) else codes
-            order = np.argsort(term, kind="stable")  # positions of a term stay in order
-            place, counts = place[order], np.bincount(term, minlength=len(terms))
-            gaps = np.diff(place, prepend=0)
-            opens = (np.cumsum(counts) - counts)[counts > 0]
-            gaps[opens] = place[opens]
-            columns = [np.arange(row, row + n), some.column("doc_id").cast(pa.int64()), np.diff(ends), terms, counts.astype(np.int32), gaps.astype(np.int32)]
-            lists = [pa.ListArray.from_arrays(pa.array([0, len(c)], pa.int32()), c if isinstance(c, pa.Array) else pa.array(c)) for c in columns]
-            row += n
-            yield pa.RecordBatch.from_arrays(lists, names=[c.split()[0] for c in SEGMENTS.split(", ")])
+            hashed, of_term = np.unique(W.hashes(distinct).view(np.int64) if len(distinct) else np.zeros(0, np.int64), return_inverse=True)
+            term = of_term.astype(np.int32)[codes] if len(codes) else codes
+            low = 0
+            while low < some.num_rows:
+                high = max(low + 1, int(np.searchsorted(ends, ends[low] + SEGMENT_WORDS, side="right")) - 1)
+                n_words, own = np.diff(ends[low : high + 1]), term[ends[low] : ends[high]]
+                place = np.arange(len(own)) + GAP * np.repeat(np.arange(high - low), n_words)
+                order = np.argsort(own, kind="stable")  # positions of a term stay in order
+                place = place[order]
+                used, opens, counts = np.unique(own[order], return_index=True, return_counts=True)
+                gaps = np.diff(place, prepend=0)
+                gaps[opens] = place[opens]
+                columns = [np.arange(row, row + high - low), some.column("doc_id").slice(low, high - low).cast(pa.int64()), n_words, hashed[used], counts.astype(np.int32), gaps.astype(np.int32)]
+                yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array([0, len(c)], pa.int32()), c if isinstance(c, pa.Array) else pa.array(c)) for c in columns], names=names)
+                row, low = row + high - low, high
 
     return docs.select("doc_id", "text").mapInArrow(post, SEGMENTS)
 
