@@ -21,12 +21,12 @@ def connected_components(edges: DataFrame) -> DataFrame:
     labels = written(both.groupBy("id").agg(F.least(F.col("id"), F.min("near")).alias("root")), "labels")
     while True:
         reached = spread_join(both, labels.select(F.col("id").alias("near"), "root"), ["near"], hubs, ["id"]).groupBy("id").agg(F.min("root").alias("seen"))
-        nearest = written(labels.join(reached, "id").select("id", F.col("root").alias("old"), F.least("root", "seen").alias("root")), "nearest")
-        large = hot_keys(nearest.groupBy("root").agg(F.count(F.lit(1)).alias("n")), ["root"])
+        nearest = labels.join(reached, "id").select("id", F.col("root").alias("old"), F.least("root", "seen").alias("root"))
+        # the components that are large already: which of them are spread changes no result
+        large = hot_keys(labels.groupBy("root").agg(F.count(F.lit(1)).alias("n")), ["root"])
         jump = labels.select(F.col("id").alias("root"), F.col("root").alias("further"))
         after = written(spread_join(nearest, jump, ["root"], large, ["id"]).select("id", "old", F.least("root", "further").alias("root")), "labels")
         dropped(labels)
-        dropped(nearest)
         labels = after
         if after.where("root <> old").isEmpty():
             dropped(both)

@@ -142,7 +142,7 @@ def sets_of_clusters(docs: DataFrame, clusters: DataFrame, size: int, block: int
     """
     sizes = clusters.groupBy("root").agg(F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("_shingles"))
     n_blocks = F.ceil(F.greatest(F.col("n") / F.lit(block), 8 * F.col("_shingles") / F.lit(BLOCK_BYTES))).cast("int")
-    counted = written(sizes.select("root", "n", n_blocks.alias("n_blocks")), "clusters")
+    counted = sizes.select("root", "n", n_blocks.alias("n_blocks"))
     own = F.pmod(F.xxhash64("id"), F.col("n_blocks")).cast("int")
     placed = spread_join(clusters, counted.drop("n"), ["root"], hot_keys(counted, ["root"]), ["id"]).withColumn("own", own).drop("n_shingles")
 
@@ -244,14 +244,18 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 85, bands: in
     classes = written(same_set.withColumn("id", F.monotonically_increasing_id()), "classes")
     keyed = classes.select("id", F.explode("bands").alias("key"))
     buckets = written(keyed.groupBy("key").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1"), "buckets")
-    candidates = spread_join(keyed, buckets.drop("n"), ["key"], hot_keys(buckets, ["key"]), ["id"]).where("id <> least").select(F.col("id").alias("a"), F.col("least").alias("b")).distinct()
-    clusters = connected_components(candidates).join(classes.select("id", "doc_id", "n_shingles", "set_a", "set_b"), "id")
+    candidates = spread_join(keyed, buckets.drop("n"), ["key"], hot_keys(buckets, ["key"]), ["id"]).where("id <> least")
+    # a class and the smallest ones of all its buckets hang on the smallest of these: few edges, however many buckets a group shares
+    shared = candidates.groupBy("id").agg(F.collect_set("least").alias("leasts"))
+    star = F.transform(F.array_append("leasts", F.col("id")), lambda v: F.struct(v.alias("a"), F.array_min("leasts").alias("b")))
+    edges = shared.select(F.explode(star).alias("e")).select("e.a", "e.b").where("a <> b").distinct()
+    clusters = written(connected_components(edges).join(classes.select("id", "doc_id", "n_shingles", "set_a", "set_b"), "id"), "clusters")
     links = written(confirmed(docs, clusters, size, percent), "links")
     single = links.where("whole").select(F.col("a").alias("id"), F.col("b").alias("root"))
     several = links.where("NOT whole").select("a", "b")
     roots = single if several.isEmpty() else single.unionByName(connected_components(several))
     members = written(classes.select("set_a", "set_b", "id", "doc_id", "n").join(roots, "id", "left").select("set_a", "set_b", "doc_id", "n", F.coalesce("root", "id").alias("root")), "members")
-    components = written(members.groupBy("root").agg(F.min("doc_id").alias("component"), F.count(F.lit(1)).alias("n")), "components")
+    components = members.groupBy("root").agg(F.min("doc_id").alias("component"), F.count(F.lit(1)).alias("n"))
     named = spread_join(members.drop("n"), components.drop("n"), ["root"], hot_keys(components, ["root"]), ["doc_id"]).select("set_a", "set_b", "component")
     columns = signed.select("doc_id", "n_shingles", "set_a", "set_b")
     found = spread_join(columns.where(able), named, ["set_a", "set_b"], hot_keys(members, ["set_a", "set_b"]), ["doc_id"]).select("doc_id", "n_shingles", F.col("component").alias("component_id"))
