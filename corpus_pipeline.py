@@ -34,7 +34,7 @@ def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     own = rows.select(F.when(F.col("doc_id").isNotNull(), F.col("_row")).alias("doc_id"), "text")
     found = neardup.near_duplicates(own, percent=80).where("doc_id IS NOT NULL").select(F.col("doc_id").alias("_row"), "component_id")
     named = written(found.join(rows.select("_row", "doc_id"), "_row"), "components")
-    least = written(named.groupBy("component_id").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"), F.count(F.lit(1)).alias("n")).where("least < most"), "least")
+    least = named.groupBy("component_id").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"), F.count(F.lit(1)).alias("n")).where("least < most")
     gone = spread_join(named, least.select("component_id", "least"), ["component_id"], hot_keys(least, ["component_id"]), ["_row"]).where("doc_id > least").select("_row")
     return rows.join(gone, "_row", "left_anti").select(*docs.columns)
 
