@@ -37,6 +37,11 @@ def numbered(df: DataFrame) -> DataFrame:
     return written(df.withColumn("_row", F.monotonically_increasing_id()), "rows", compression="zstd")
 
 
+def released(spark: SparkSession) -> None:
+    """Let the shuffle files of finished phases go: Spark deletes them when the driver has collected what refers to them."""
+    spark._jvm.System.gc()
+
+
 def dropped(df: DataFrame | None) -> None:
     """Delete a table of ``written`` that nothing reads any more."""
     path = getattr(df, "_intervale_path", None)

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from intervale.llm import words as W
-from intervale.llm.store import written
+from intervale.llm.store import released, written
 
 #: Rounds of runs and pairs: two give symbols of about 1.8 words with contexts of about 8.
 ROUNDS = 2
@@ -281,6 +281,7 @@ def remove_repeats(docs: DataFrame, window: int = 20, rounds: int = ROUNDS, dige
     """
     texts = docs.select(F.col("doc_id").cast("long"), "text")
     shared = written(shared_symbols(chosen_symbols(texts, window, rounds, crowd)), "shared")
+    released(docs.sparkSession)  # the exchange of all symbols is the largest, and no later phase reads it
     span = F.struct("first", "last")
     still_open = shared.where("NOT settled").distinct().groupBy("doc_id").agg(F.collect_list(span).alias("open"))
     repeats = repeated_windows(open_windows(texts.join(still_open, "doc_id", "left"), window))
