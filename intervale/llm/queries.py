@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from intervale.llm import decontaminate, extract, fertility, language, linedup, neardup, oracles, packing, quality, secrets, substrings
+from intervale.llm import decontaminate, extract, fertility, language, linedup, neardup, negatives, oracles, packing, quality, secrets, substrings, urls, whitening
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -67,8 +68,25 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secret_report(table(spark, sf_dir, "documents"))
 
 
+#: Verdicts given for hosts with their subdomains and the paths that start so.
+URL_RULES = [("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/")]
+
+
+def op11_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.filtered_urls(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels"), URL_RULES)
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").withColumn("label", F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")))
+    return negatives.hard_negatives(vectors, "vec_id", "label", "embedding")
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened(table(spark, sf_dir, "embeddings"), "vec_id", "embedding")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_html_extract, op2_substring_dedup, op3_quality_rules, op4_line_dedup, op5_quality_classifier, op6_packing, op7_decontamination, op8_language_id, op9_near_dedup, op10_secret_scan)
+    f.__name__: f for f in (op1_html_extract, op2_substring_dedup, op3_quality_rules, op4_line_dedup, op5_quality_classifier, op6_packing, op7_decontamination, op8_language_id, op9_near_dedup, op10_secret_scan, op11_url_filter, op12_hard_negatives, op13_whitening)
 }
 
 ORACLES: dict[str, str] = {
@@ -77,4 +95,6 @@ ORACLES: dict[str, str] = {
     "op7_decontamination": oracles.CONTAMINATION,
     "op9_near_dedup": oracles.NEAR_DUPLICATES,
     "op10_secret_scan": oracles.secrets_sql(secrets.BASE, secrets.WIDER, secrets.OWNERS, secrets.REPOSITORIES),
+    "op11_url_filter": urls.filter_sql(URL_RULES),
+    "op12_hard_negatives": negatives.NEGATIVES_SQL,
 }
