@@ -57,8 +57,8 @@ CONTAINERS = frozenset("article main div section body td blockquote ul ol dl tab
 BONUS = {"article": 25.0, "main": 20.0, "section": 3.0, "div": 5.0, "blockquote": 3.0, "pre": 3.0, "td": 3.0, "ul": -3.0, "ol": -3.0, "dl": -3.0, "table": -3.0}
 ENDS = frozenset(".!?…。！？")
 COMMA = re.compile("[,،、，]")
-#: Characters of prose that make the rest of a page enough to do without reader comments, and the share for other hints.
-ENOUGH, ENOUGH_SHARE = 40, 0.25
+#: Where all prose of a page is in hinted parts, one goes if the others hold this share of its own.
+ENOUGH_SHARE = 0.25
 
 
 @dataclass
@@ -68,6 +68,7 @@ class Node:
     apart: bool
     hint: str = ""
     article: bool = False
+    frame: bool = False
     own: float = 0.0
     points: float = 0.0
     chars: int = 0
@@ -83,35 +84,36 @@ class Page:
     blocks: list[tuple[int, str, int]] = field(default_factory=list)
 
 
-def hinted(tag: str, names: str) -> str:
-    """What class and id hint at: "comments", "beside" or nothing."""
+def hinted(tag: str, names: str) -> tuple[str, bool]:
+    """What class and id hint at ("comments", "beside" or nothing), and whether they name the text's own frame."""
     found = "beside" if tag in HINTED else ""
     tokens = re.sub(r"([a-z])([A-Z])", r"\1-\2", names).lower().split()
     if any(token in FRAMES for token in tokens):
-        return found
+        return found, not found
     for token in tokens:
         words = {w for w in re.split(r"[^a-z]+", token) if w}
         if words & STATES and not words <= STATES:
             continue
         if words & COMMENTS:
-            return "comments"
+            return "comments", False
         if words & HINTS or words & WEAK and words <= WEAK | COMPANIONS:
             found = "beside"
-    return found
+    return found, False
 
 
-def nature(tag: str, attrs: str) -> tuple[bool, str, bool]:
-    """Whether an element is apart from the main text, what its names hint at, and whether it says that it is the article."""
+def nature(tag: str, attrs: str) -> tuple[bool, str, bool, bool]:
+    """Whether an element is apart from the main text, what its names hint at, and whether it says that it is the article, or its frame."""
     article = tag == "article"
     if not attrs or attrs in (" ", "/", " /"):
-        return tag in APART, "beside" if tag in HINTED else "", article
+        return tag in APART, "beside" if tag in HINTED else "", article, False
     found = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in ATTRIBUTE.finditer(attrs)}
     role = found.get("role", "").lower()
     article = article or role == "article" or found.get("itemprop", "").lower() == "articlebody"
     apart = tag in APART or "hidden" in found or found.get("aria-hidden", "").lower() == "true" or role in APART_ROLES
     if apart or re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", found.get("style", ""), re.I):
-        return True, "", article
-    return False, "" if tag in ("html", "body", "main") else hinted(tag, found.get("class", "") + " " + found.get("id", "")), article
+        return True, "", article, False
+    hint, frame = ("", False) if tag in ("html", "body", "main") else hinted(tag, found.get("class", "") + " " + found.get("id", ""))
+    return False, hint, article, frame
 
 
 class Reader:
@@ -179,7 +181,7 @@ class Reader:
                 if last == tag:
                     break
         elif not end and tag not in VOID and tag != "a" and attrs.strip(" /") and not attrs.endswith("/"):
-            apart, hint, _ = nature(tag, attrs)
+            apart, hint, *_ = nature(tag, attrs)
             if apart or hint or self.muted[tag]:
                 self.mute.append(tag)
                 self.muted[tag] += 1
@@ -205,10 +207,10 @@ class Reader:
             self.close("tr")
         if tag in VOID:
             return
-        apart, hint, article = nature(tag, attrs)
+        apart, hint, article, frame = nature(tag, attrs)
         parent = self.stack[-1][1]
         nodes = self.page.nodes
-        nodes.append(Node(tag, parent, apart or nodes[parent].apart, hint, article))
+        nodes.append(Node(tag, parent, apart or nodes[parent].apart, hint, article, frame))
         self.cells[-1][1][tag] += 1
         self.every[tag] += 1
         if tag in ("li", "dt", "dd"):
@@ -298,21 +300,31 @@ def measure(page: Page) -> None:
 
 
 def settle_hints(page: Page) -> None:
-    """Take out the elements whose names hint that they are beside the text, where enough text is left without them."""
+    """Take out the elements whose names hint that they are beside the text.
+
+    They go where prose, or a frame of the article (marked or so named) with any text, is outside all of them, however short. Where the
+    page's prose is in hinted parts only, reader comments go if there is other prose, and other parts by the share that is left.
+    """
     nodes = page.nodes
     total = nodes[0].prose
     outer = [""] * len(nodes)
-    beside = sum(n.prose for i, n in enumerate(nodes) if i and n.hint and not n.apart and not _inside_hint(nodes, i, outer) and not n.framed)
-    for i, n in enumerate(nodes):
+    inside = [i > 0 and _inside_hint(nodes, i, outer) for i in range(len(nodes))]
+    beside = sum(n.prose for i, n in enumerate(nodes) if i and n.hint and not n.apart and not inside[i] and not n.framed)
+    told = any((n.frame or n.article or n.tag == "main") and n.chars > n.linked and not n.hint and not n.apart and not inside[i] for i, n in enumerate(nodes))
+    for n in nodes:
         if n.parent >= 0 and nodes[n.parent].apart:
             n.apart = True
         if not n.hint or n.apart:
             continue
         if n.framed:  # it holds the title or the article itself
             n.apart = 2 * n.prose <= total and not (n.article and n.hint != "comments")
+        elif beside < total or told:
+            n.apart = True
+        elif n.prose:
+            rest = total - n.prose
+            n.apart = rest > 0 if n.hint == "comments" else rest >= ENOUGH_SHARE * n.prose
         else:
-            rest = total - (beside if beside < total else n.prose)
-            n.apart = rest >= (ENOUGH if n.hint == "comments" else ENOUGH_SHARE * n.prose) if n.prose else nodes[0].chars > n.chars
+            n.apart = nodes[0].chars > n.chars
 
 
 def _inside_hint(nodes: list[Node], i: int, outer: list[str]) -> bool:
