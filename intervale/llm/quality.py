@@ -20,8 +20,9 @@ from intervale.llm import words as W
 
 #: Labelled documents that the model is fitted on, at most; those with the smallest hashes are taken.
 SAMPLE = 6000
-#: Bytes that a text may have to be fitted on (any text is scored): so the driver gets SAMPLE * LONGEST bytes at most.
-LONGEST = 16 << 10
+#: Distinct features that a text is fitted on, at most: of a longer one, so many by a hash are drawn from the whole text. So the driver gets
+#: SAMPLE * FITTED features of six bytes at most. Any text is scored with all its features.
+FITTED = 4096
 BUCKETS, SIZE = 1 << 17, 8
 #: Lengths of character n-grams.
 GRAMS = (2, 3, 4)
@@ -100,15 +101,30 @@ class Bags:
     counts: np.ndarray
     ends: np.ndarray
 
-    @classmethod
-    def of(cls, batches: list[pa.RecordBatch]) -> Bags:
-        buckets, counts, sizes = [np.zeros(0, np.int32)], [np.zeros(0, np.uint16)], [0]
+
+def drawn(bucket: np.ndarray, count: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """The bag itself, or ``most`` entries of it by a hash of the bucket and of the whole bag, so that texts draw independently."""
+    if len(bucket) <= most:
+        return bucket, count
+    lot = W.mix(bucket.astype(np.uint64) ^ W.mix(np.uint64(len(bucket)) + W.mix((bucket.astype(np.uint64) << np.uint64(20)) + count.astype(np.uint64)).sum(keepdims=True)))
+    some = np.sort(np.argpartition(lot, most)[:most])
+    return bucket[some], count[some]
+
+
+def bagged(texts: DataFrame, most: int = FITTED) -> DataFrame:
+    """(doc_id, lot, quality, buckets, counts) of rows (doc_id, lot, quality, text): bags are made where the texts lie."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = bags(batch.column("text"))
-            buckets.append(np.concatenate([b for b, _ in found]))
-            counts.append(np.minimum(np.concatenate([c for _, c in found]), 65_535).astype(np.uint16))
-            sizes += [len(b) for b, _ in found]
-        return cls(np.concatenate(buckets), np.concatenate(counts), np.cumsum(sizes))
+            for some in W.slices(batch, most=1 << 20):
+                found = [drawn(*bag, most) for bag in bags(some.column("text"))]
+                ends = pa.array(np.cumsum([0, *(len(b) for b, _ in found)]).astype(np.int32))
+                flat = lambda parts, kind: np.concatenate([np.zeros(0, kind), *parts]).astype(kind)
+                buckets = pa.ListArray.from_arrays(ends, pa.array(flat([b for b, _ in found], np.int32)))
+                counts = pa.ListArray.from_arrays(ends, pa.array(flat([np.minimum(c, 65_535) for _, c in found], np.int32)))
+                yield pa.RecordBatch.from_arrays([some.column("doc_id").cast(pa.int64()), some.column("lot"), some.column("quality"), buckets, counts], names=["doc_id", "lot", "quality", "buckets", "counts"])
+
+    return texts.select("doc_id", "lot", "quality", "text").mapInArrow(run, "doc_id long, lot long, quality int, buckets array<int>, counts array<int>")
 
 
 def fit(documents: Bags, labels: np.ndarray, epochs: int = EPOCHS, rate: float = RATE, seed: int = 7) -> Model:
@@ -143,13 +159,16 @@ def trained(docs: DataFrame, labels: DataFrame, usable: Column, sample: int = SA
     """The model of at most ``sample`` labelled documents for which ``usable`` (a condition on doc_id) holds."""
     label = labels.where(F.col("quality").isin(0, 1) & usable).groupBy("doc_id").agg(F.max("quality").cast("int").alias("quality"))
     some = label.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    short = docs.select("doc_id", "text").where(F.octet_length(F.coalesce("text", F.lit(""))) <= LONGEST)
-    rows = short.join(F.broadcast(some), "doc_id").orderBy("doc_id", "text").limit(sample)
-    table = rows.select("text", "quality").toArrow().combine_chunks()
+    texts = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id").withColumn("lot", F.xxhash64("text"))
+    table = bagged(texts).orderBy("doc_id", "lot").limit(sample).select("quality", "buckets", "counts").toArrow()
     if not table.num_rows:
         return Model(np.zeros((BUCKETS, SIZE), np.float32), np.zeros((SIZE, 2), np.float32), np.zeros(2, np.float32), 0.5)
-    batches = [b for batch in table.to_batches() for b in W.slices(batch, most=1 << 20)]
-    return fit(Bags.of(batches), np.asarray(table.column("quality").combine_chunks()))
+    quality = np.asarray(table.column("quality").combine_chunks())
+    sizes = np.concatenate([[0], *(np.asarray(c.value_lengths(), dtype=np.int64) for c in table.column("buckets").chunks)])
+    flat = lambda name, kind: np.concatenate([np.asarray(c.flatten()).astype(kind) for c in table.column(name).chunks])
+    documents = Bags(flat("buckets", np.int32), flat("counts", np.uint16), np.cumsum(sizes))
+    del table
+    return fit(documents, quality)
 
 
 def scored(docs: DataFrame, model: Model, column: str = "score") -> DataFrame:
@@ -202,7 +221,7 @@ def accepted(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, sample:
 def quality_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, sample: int = SAMPLE) -> DataFrame:
     """doc_id, held_out, score (0 to 1, likelier of quality 1) and predicted (score >= threshold) of every row of ``docs``.
 
-    Learned from labelled documents outside the held-out fold, at most ``sample`` of them and none above LONGEST bytes; only text
+    Learned from labelled documents outside the held-out fold, at most ``sample`` of them, of any length; only text
     enters a score.
 
     Null and empty texts get the share of class 1 among the fitted documents. Without usable labels every score is 0.5. Repeated
