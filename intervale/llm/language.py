@@ -24,8 +24,6 @@ GRAMS = (1, 2, 3)
 CENTROIDS, ROUNDS = 4, 8
 #: Training documents of a language, at most; those with the smallest hashes are taken.
 SAMPLE = 1500
-#: Bytes that a text may have to be learned from (any text is predicted): a language's task holds twice the sample at most.
-LONGEST = 64 << 10
 #: Share of a centroid's training documents that lie nearer than its bound.
 WITHIN = 0.995
 UNKNOWN = "und"
@@ -85,23 +83,42 @@ class Centroids:
     idf: np.ndarray
 
 
+def counted(rows: DataFrame) -> DataFrame:
+    """(lang, lot, buckets, ns): the n-gram counts of rows (lang, lot, text) whose text has a letter."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 200):
+                for some in W.slices(batch.slice(at, 200)):
+                    n, has = counts(some.column("text"))
+                    rows = np.flatnonzero(has)
+                    row, bucket = np.nonzero(n[rows])
+                    ends = pa.array(np.searchsorted(row, np.arange(len(rows) + 1)).astype(np.int32))
+                    lists = [pa.ListArray.from_arrays(ends, pa.array(x)) for x in (bucket.astype(np.int32), n[rows][row, bucket])]
+                    yield pa.RecordBatch.from_arrays([*(some.column(c).take(pa.array(rows)) for c in ("lang", "lot")), *lists], names=["lang", "lot", "buckets", "ns"])
+
+    return rows.select("lang", "lot", "text").mapInArrow(run, "lang string, lot long, buckets array<int>, ns array<float>")
+
+
 def trained(docs: DataFrame, usable: Column, sample: int = SAMPLE, centroids: int = CENTROIDS) -> Centroids:
     """Centroids of every language among the rows for which ``usable`` holds, at most ``sample`` documents of each.
 
     Rows are chosen where they lie, by their hash, so a language with most rows is no hot key.
     """
-    short = F.octet_length("text") <= LONGEST
-    rows = docs.where(usable & F.col("lang").isNotNull() & F.col("text").isNotNull() & short).select("lang", "text", F.xxhash64("doc_id", "text").alias("lot"))
+    rows = docs.where(usable & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("lang", "text", F.xxhash64("doc_id", "text").alias("lot"))
     n = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.approx_count_distinct("lot", 0.02).alias("n")).toLocalIterator()}
     # lots are spread evenly over 64 bits: this bound leaves about twice the sample of each language
     share = F.create_map(*[x for lang in sorted(n) for x in (F.lit(lang), F.lit(min(1.0, 2.0 * sample / max(n[lang], 1))))]) if n else F.create_map(F.lit(""), F.lit(1.0))
     lot_share = (F.col("lot") / F.lit(2.0**64)) + 0.5
-    chosen = rows.where(lot_share <= share[F.col("lang")]).dropDuplicates(["lang", "lot"])  # copies of a row count once
+    # texts are counted where they lie, so that what is gathered of one is BUCKETS counts at most, however long it is
+    chosen = counted(rows.where(lot_share <= share[F.col("lang")])).dropDuplicates(["lang", "lot"])  # copies of a row count once
 
-    def vectors(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
-        pdf = pdf.sort_values(["lot", "text"]).head(sample)
-        parts = [counts(pa.array(pdf["text"].iloc[i : i + 200], pa.string())) for i in range(0, len(pdf), 200)]
-        return np.concatenate([p[0][p[1]] for p in parts]) if parts else np.zeros((0, BUCKETS), np.float32)
+    def vectors(pdf: pd.DataFrame) -> np.ndarray:
+        pdf = pdf.sort_values("lot").head(sample)
+        out = np.zeros((len(pdf), BUCKETS), np.float32)
+        for row, (at, n) in enumerate(zip(pdf["buckets"], pdf["ns"], strict=True)):
+            out[row, np.asarray(at, dtype=np.int64)] = n
+        return out
 
     def frequencies(pdf: pd.DataFrame) -> pd.DataFrame:
         n = vectors(pdf)
@@ -156,8 +173,8 @@ def held_out(doc_id: Column) -> Column:
 def languages(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """doc_id, held_out, lang_pred, score and rejected of every row of ``docs``.
 
-    Learned from text and lang of the rows outside the held-out fold, at most ``sample`` of each language and none above LONGEST
-    bytes; only text enters a prediction. lang_pred is always a learned language unless the text is null or has no letter (then "und", score 0); rejected
+    Learned from text and lang of the rows outside the held-out fold, at most ``sample`` of each language, of any length;
+    only text enters a prediction. lang_pred is always a learned language unless the text is null or has no letter (then "und", score 0); rejected
     marks texts that are too far from every centroid, and those. Rows without a lang or a doc_id are predicted but not learned from.
     Without any training row all is "und". Repeated rows are predicted alike; an empty table gives an empty one; other columns are
     not read. Texts are taken whole.
