@@ -80,14 +80,14 @@ def clear_of(base: Column, wider: Column) -> Column:
 
 
 def candidates(docs: DataFrame, owner: str, repository: str) -> DataFrame:
-    """doc_id, owner, repository, base and wider spans; values are replaced by their hashes."""
+    """_row, doc_id, owner, repository, base and wider spans; values are replaced by their hashes. _row is a number of the row's own."""
     text = F.coalesce("text", F.lit(""))
-    each = docs.select("doc_id", F.col(owner).cast("string").alias("owner"), F.col(repository).cast("string").alias("repository"), text.alias("text"))
+    each = docs.select(F.monotonically_increasing_id().alias("_row"), "doc_id", F.col(owner).cast("string").alias("owner"), F.col(repository).cast("string").alias("repository"), text.alias("text"))
     base = F.array_sort(F.concat(*[spans_of(F.col("text"), kind, rank, *rule) for rank, (kind, rule) in enumerate(BASE.items())]))
     wider = F.filter(spans_of(F.col("text"), WIDER[0], len(BASE), *WIDER[1:]), lambda s: s["value"].rlike("[0-9]") & s["value"].rlike("[A-Za-z]"))
-    found = each.select("doc_id", "owner", "repository", base.alias("base"), wider.alias("wider"))
+    found = each.select("_row", "doc_id", "owner", "repository", base.alias("base"), wider.alias("wider"))
     hashed = lambda c: F.transform(c, lambda s: s.withField("value", F.sha2(s["value"], 256)))
-    return found.select("doc_id", "owner", "repository", hashed(F.col("base")).alias("base"), hashed(clear_of(F.col("base"), F.col("wider"))).alias("wider"))
+    return found.select("_row", "doc_id", "owner", "repository", hashed(F.col("base")).alias("base"), hashed(clear_of(F.col("base"), F.col("wider"))).alias("wider"))
 
 
 def ownership(found: DataFrame) -> DataFrame:
@@ -110,19 +110,19 @@ def secret_spans(docs: DataFrame, owner: str = "source", repository: str = "doc_
     base has the matches of the three patterns. spans adds matches of the wider one that overlap no base span and whose value
     ``most_owners`` owners and ``most_repositories`` repositories hold at most. example marks base values that more of them hold.
 
-    Null and empty texts have no spans. A null owner or repository is not counted as one. Rows that repeat a doc_id have the same
-    spans if their texts are equal; a null doc_id keeps its base spans and gets no others. An empty table gives an empty one; columns
+    Null and empty texts have no spans. A null owner or repository is not counted as one. Rows that repeat a doc_id are
+    judged each by their own text and count as one repository; a null doc_id keeps its base spans and gets no others. An empty table gives an empty one; columns
     other than doc_id, text, ``owner`` and ``repository`` are not read.
     """
     found = written(candidates(docs, owner, repository), "secrets")
-    each = found.where("doc_id IS NOT NULL AND size(base) + size(wider) > 0").select("doc_id", F.explode(F.concat("base", "wider")).alias("span")).distinct()
+    each = found.where("doc_id IS NOT NULL AND size(base) + size(wider) > 0").select("_row", F.explode(F.concat("base", "wider")).alias("span"))
     counts = written(ownership(found), "owners")
-    judged = spread_join(each.withColumn("value", F.col("span.value")), counts, ["value"], hot_keys(counts, ["value"]), ["doc_id", "span"])
+    judged = spread_join(each.withColumn("value", F.col("span.value")), counts, ["value"], hot_keys(counts, ["value"]), ["_row", "span"])
     judged = judged.withColumn("copied", (F.col("n_owners") > most_owners) | (F.col("n_repositories") > most_repositories))
     span = F.col("span").withField("example", F.col("copied"))
-    kept = judged.where("NOT copied OR span.kind <> 'owned'").groupBy("doc_id").agg(F.array_sort(F.collect_set(span)).alias("judged")).withColumnRenamed("doc_id", "_doc")
+    kept = judged.where("NOT copied OR span.kind <> 'owned'").groupBy("_row").agg(F.array_sort(F.collect_set(span)).alias("judged"))
     all_spans = F.coalesce("judged", "base")
-    joined = found.join(kept, F.col("doc_id") == F.col("_doc"), "left").select("doc_id", "base", all_spans.alias("spans"))
+    joined = found.join(kept, "_row", "left").select("doc_id", "base", all_spans.alias("spans"))
     return joined.select("*", F.size(F.filter("spans", lambda s: ~s["example"])).cast("long").alias("n_live"), F.size(F.filter("spans", lambda s: s["example"])).cast("long").alias("n_example"))
 
 
