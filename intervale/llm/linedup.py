@@ -46,22 +46,29 @@ def key_of(chunk: Column) -> Column:
     return F.xxhash64(chunk)
 
 
+def _twin() -> Column:
+    return F.xxhash64(F.coalesce("text", F.lit("")))
+
+
 def repeated_chunks(docs: DataFrame, cut_below: int = CUT_BELOW) -> DataFrame:
-    """(doc_id, gone): of each document that has any, the sorted numbers of its chunks that occur earlier."""
-    text = docs.where("doc_id IS NOT NULL").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    each = chunked(text, F.col("text"), cut_below).select("doc_id", F.posexplode("_chunks").alias("number", "chunk")).where(F.col("chunk").contains("\n"))
-    keyed = written(each.select(key_of(F.col("chunk")).alias("key"), "chunk", "doc_id", "number"), "chunks", compression="zstd")
-    place = F.struct("doc_id", "number")
+    """(doc_id, _twin, gone): of each document that has any, the sorted numbers of its chunks that occur earlier.
+
+    _twin is a hash of the text, which tells documents under one doc_id apart.
+    """
+    text = docs.where("doc_id IS NOT NULL").select("doc_id", _twin().alias("_twin"), F.coalesce("text", F.lit("")).alias("text"))
+    each = chunked(text, F.col("text"), cut_below).select("doc_id", "_twin", F.posexplode("_chunks").alias("number", "chunk")).where(F.col("chunk").contains("\n"))
+    keyed = written(each.select(key_of(F.col("chunk")).alias("key"), "chunk", "doc_id", "_twin", "number"), "chunks", compression="zstd")
+    place = F.struct("doc_id", "_twin", "number")
     by_bytes = keyed.groupBy("key", "chunk").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n"))
     by_key = by_bytes.groupBy("key").agg(F.min("first").alias("first"), F.sum("n").alias("n"), F.count(F.lit(1)).alias("texts"))
     repeated = written(by_key.where("n > 1"), "repeated")
-    later = spread_join(keyed.select("key", "doc_id", "number"), repeated.where("texts = 1").select("key", "first"), ["key"], hot_keys(repeated, ["key"]), ["doc_id", "number"])
+    later = spread_join(keyed.select("key", "doc_id", "_twin", "number"), repeated.where("texts = 1").select("key", "first"), ["key"], hot_keys(repeated, ["key"]), ["doc_id", "number"])
     shared = repeated.where("texts > 1").select("key")
     if not shared.isEmpty():  # texts with one key by chance meet each on their own
         apart = keyed.join(shared, "key")
         firsts = apart.groupBy("key", "chunk").agg(F.min(place).alias("first"))
         later = later.unionByName(apart.join(firsts, ["key", "chunk"]).drop("chunk"))
-    return later.where(place != F.col("first")).groupBy("doc_id").agg(F.array_sort(F.collect_set("number")).alias("gone"))
+    return later.where(place != F.col("first")).groupBy("doc_id", "_twin").agg(F.array_sort(F.collect_set("number")).alias("gone"))
 
 
 def remove_repeated_chunks(docs: DataFrame, cut_below: int = CUT_BELOW) -> DataFrame:
@@ -72,10 +79,10 @@ def remove_repeated_chunks(docs: DataFrame, cut_below: int = CUT_BELOW) -> DataF
     replaced. A text that loses all its lines becomes empty, and its row stays.
 
     Null and empty texts lose nothing (a null stays null, with no lines). A row with a null doc_id is left whole. Rows that repeat a doc_id
-    count as that document and get a row each. Blank lines are lines. An empty table gives an empty one.
+    with the same text count as that document and get a row each; one with another text is a document of its own. Blank lines are lines. An empty table gives an empty one.
     """
-    gone = repeated_chunks(docs, cut_below).withColumnRenamed("doc_id", "_gone_doc")
-    joined = docs.join(gone.withColumnRenamed("gone", "_gone"), F.col("doc_id") == F.col("_gone_doc"), "left")
+    gone = repeated_chunks(docs, cut_below).select(F.col("doc_id").alias("_gone_doc"), F.col("_twin").alias("_gone_twin"), F.col("gone").alias("_gone"))
+    joined = docs.withColumn("_twin", _twin()).join(gone, (F.col("doc_id") == F.col("_gone_doc")) & (F.col("_twin") == F.col("_gone_twin")), "left")
     touched = F.when(F.col("_gone").isNotNull(), F.coalesce("text", F.lit("")))
     cut = chunked(joined, touched, cut_below).withColumn("_flags", _flags(F.col("_gone")))
     told = F.zip_with("_chunks", "_flags", lambda c, f: F.struct(c.alias("chunk"), F.coalesce(f, F.lit(False)).alias("gone")))
@@ -125,8 +132,7 @@ def remove_repeated_passages(docs: DataFrame, cut_below: int = CUT_BELOW) -> Dat
     repeats a passage which is whole nowhere else, but in overlapping parts, loses it. Columns and cases as in
     ``remove_repeated_chunks``, but rows that repeat a doc_id with another text are judged by their own text.
     """
-    twin = F.xxhash64(F.coalesce("text", F.lit("")))
-    named = docs.withColumn("_twin", twin)
+    named = docs.withColumn("_twin", _twin())
     each = written(_spans(named.where("doc_id IS NOT NULL").select("doc_id", "text", "_twin"), cut_below), "spans", compression="zstd")
     place = F.struct("doc_id", "_twin", "start")
     repeated = written(each.groupBy("key").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1"), "repeated")
