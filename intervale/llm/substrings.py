@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from intervale.llm import words as W
+from intervale.llm.skew import hot_keys, spread_join
 from intervale.llm.store import released, written
 
 #: Rounds of runs and pairs: two give symbols of about 1.8 words with contexts of about 8.
@@ -265,11 +266,27 @@ def without(texts: DataFrame, window: int, digest: bool) -> DataFrame:
                     n_words.append(n)
                     n_removed.append(n - len(found))
                     kept.append(hashlib.sha256(whole).hexdigest() if digest else whole.decode())
-                yield pa.RecordBatch.from_arrays([some.column("doc_id"), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.string())], names=["doc_id", "n_words", "n_removed", column])
+                yield pa.RecordBatch.from_arrays([some.column("of"), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.string())], names=["doc_id", "n_words", "n_removed", column])
 
     return texts.mapInArrow(cut, f"doc_id long, n_words long, n_removed long, {column} string")
 
 
+def own_ids(texts: DataFrame) -> DataFrame:
+    """``texts`` (doc_id, text) with ``of``, the doc_id that was given; doc_id itself becomes another one for a further text under it.
+
+    The others come after all given ids below 2 ** 62. Without such texts nothing is joined.
+    """
+    lot = F.xxhash64(F.coalesce("text", F.lit("")))
+    named = texts.withColumn("of", F.col("doc_id"))
+    lots = texts.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min(lot).alias("least"), F.max(lot).alias("most"), F.count(F.lit(1)).alias("n"))
+    shared = written(lots.where("least < most"), "shared-ids")
+    if shared.isEmpty():
+        return named
+    found = spread_join(named.withColumn("lot", lot), shared.select("doc_id", "least"), ["doc_id"], hot_keys(shared, ["doc_id"]), ["lot"], "left")
+    other = F.lit(1 << 62) + F.shiftrightunsigned(F.xxhash64("doc_id", "lot"), 2)
+    return found.select(F.when(F.col("lot") != F.col("least"), other).otherwise(F.col("doc_id")).alias("doc_id"), "text", "of")
+
+
 def remove_repeats(docs: DataFrame, window: int = 20, rounds: int = ROUNDS, digest: bool = False, crowd: int = CROWD) -> DataFrame:
     """Remove each word covered by a window of ``window`` words that also starts earlier.
 
@@ -277,9 +294,10 @@ def remove_repeats(docs: DataFrame, window: int = 20, rounds: int = ROUNDS, dige
     are. Columns: doc_id, n_words, n_removed and kept_text (the kept words joined by one space; with ``digest`` its SHA-256).
 
     Null, empty and short texts lose nothing. A row with a null doc_id is left whole and takes no part. Rows that repeat a
-    doc_id count as that document and get a row each. An empty table gives an empty one; other columns are not read.
+    doc_id with the same text count as that document and get a row each. Of different texts under one doc_id, one (by a hash) is the
+    document, and the others are documents of their own that come after all. An empty table gives an empty one; other columns are not read.
     """
-    texts = docs.select(F.col("doc_id").cast("long"), "text")
+    texts = own_ids(docs.select(F.col("doc_id").cast("long"), "text"))
     shared = written(shared_symbols(chosen_symbols(texts, window, rounds, crowd)), "shared")
     released(docs.sparkSession)  # the exchange of all symbols is the largest, and no later phase reads it
     span = F.struct("first", "last")
