@@ -15,7 +15,7 @@ def shared_folder(spark: SparkSession) -> str:
     """The cluster's shared checkpoint folder; a temporary one only where none is set and all work is on one machine."""
     folder = spark.sparkContext.getConf().get(SETTING) or spark.conf.get(SETTING, None)
     if not folder:
-        if not spark.sparkContext.master.startswith("local["):
+        if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError(f"{SETTING} must name a folder that all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="intervale-")
         spark.conf.set(SETTING, folder)
@@ -37,11 +37,6 @@ def numbered(df: DataFrame) -> DataFrame:
     return written(df.withColumn("_row", F.monotonically_increasing_id()), "rows", compression="zstd")
 
 
-def released(spark: SparkSession) -> None:
-    """Let the shuffle files of finished phases go: Spark deletes them when the driver has collected what refers to them."""
-    spark._jvm.System.gc()
-
-
 def dropped(df: DataFrame | None) -> None:
     """Delete a table of ``written`` that nothing reads any more."""
     path = getattr(df, "_intervale_path", None)

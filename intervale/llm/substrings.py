@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from intervale.llm import words as W
 from intervale.llm.skew import hot_keys, spread_join
-from intervale.llm.store import released, written
+from intervale.llm.store import written
 
 #: Rounds of runs and pairs: two give symbols of about 1.8 words with contexts of about 8.
 ROUNDS = 2
@@ -297,11 +297,11 @@ def remove_repeats(docs: DataFrame, window: int = 20, rounds: int = ROUNDS, dige
     doc_id with the same text count as that document and get a row each. Of different texts under one doc_id, one (by a hash) is the
     document, and the others are documents of their own that come after all. An empty table gives an empty one; other columns are not read.
     """
-    texts = own_ids(docs.select(F.col("doc_id").cast("long"), "text"))
+    # a cast would keep Spark from seeing that both joins below deal the texts out alike, which it then does once
+    texts = own_ids(docs.select("doc_id" if dict(docs.dtypes)["doc_id"] == "bigint" else F.col("doc_id").cast("long"), "text"))
     shared = written(shared_symbols(chosen_symbols(texts, window, rounds, crowd)), "shared")
-    released(docs.sparkSession)  # the exchange of all symbols is the largest, and no later phase reads it
     span = F.struct("first", "last")
-    still_open = shared.where("NOT settled").distinct().groupBy("doc_id").agg(F.collect_list(span).alias("open"))
+    still_open = shared.where("NOT settled").groupBy("doc_id").agg(F.collect_set(span).alias("open"))
     repeats = repeated_windows(open_windows(texts.join(still_open, "doc_id", "left"), window))
     gone = shared.where("settled").select("doc_id", "first", "last").unionByName(repeats)
     return without(texts.join(gone.groupBy("doc_id").agg(F.collect_list(span).alias("gone")), "doc_id", "left"), window, digest)
