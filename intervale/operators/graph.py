@@ -1,4 +1,4 @@
-"""Nearest-neighbour graphs of vectors, and communities and spectra of edge tables."""
+"""Weights, communities and spectra of edge tables, and distances of pairs in groups."""
 
 from __future__ import annotations
 
@@ -6,16 +6,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from intervale.operators.models import matrices, moments
 
-#: Query vectors and data vectors that meet in one step.
-QUERY_BLOCK, DATA_BLOCK = 256, 4096
-#: Vectors that an index is fitted on (those with the smallest hashes), its cells at most, and the share of them that a query looks
-#: into: this much finds nine of ten neighbours even among vectors without clusters; clustered ones need far less.
-SAMPLE, CELLS, PROBED = 20_000, 2048, 0.65
+#: Rows of a block of pairs.
+BLOCK = 256
 
 
 def _blocks(df: DataFrame, n: Column, size: int) -> DataFrame:
@@ -24,31 +21,12 @@ def _blocks(df: DataFrame, n: Column, size: int) -> DataFrame:
     return df.withColumn("_b", block).groupBy("cell", "_b").agg(F.collect_list("unit").alias("units"), F.flatten(F.collect_list("samples")).alias("flat")).drop("_b")
 
 
-def _met(pairs: DataFrame, k: int) -> DataFrame:
-    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in range(batch.num_rows):
-                ids, other = (np.asarray(batch.column(c)[row].values, dtype=np.int64) for c in ("q_units", "units"))
-                a, b = (np.asarray(batch.column(c)[row].values, dtype=np.float64).reshape(n, -1) for c, n in (("q_flat", len(ids)), ("flat", len(other))))
-                gap = np.sqrt(np.maximum(((a**2).sum(axis=1)[:, None] + (b**2).sum(axis=1)) - 2 * a @ b.T, 0))
-                gap[ids[:, None] == other] = np.inf
-                best = np.lexsort((np.broadcast_to(other, gap.shape), gap), axis=1)[:, :k]
-                found = np.take_along_axis(gap, best, axis=1)
-                src, dst, far = np.repeat(ids, best.shape[1]), other[best].ravel(), found.ravel()
-                real = np.isfinite(far)
-                yield pa.RecordBatch.from_arrays([pa.array(src[real]), pa.array(dst[real]), pa.array(far[real])], names=["src", "dst", "distance"])
-
-    found = pairs.mapInArrow(meet, "src long, dst long, distance double")
-    place = F.row_number().over(Window.partitionBy("src").orderBy(F.round("distance", 9), "dst"))
-    return found.withColumn("place", place.cast("long")).where(F.col("place") <= k)
-
-
 def pair_distances(rows: DataFrame, parts: int) -> DataFrame:
     """(grp, v, c): how many pairs of a cell's rows (unit, cell, samples, n rows in the cell) lie at each distance in 1 / ``parts``.
 
     Blocks of a cell meet, each pair of rows counts once, and no pair leaves its task.
     """
-    blocks = _blocks(rows.select("unit", "cell", "samples", "n"), F.col("n"), QUERY_BLOCK)
+    blocks = _blocks(rows.select("unit", "cell", "samples", "n"), F.col("n"), BLOCK)
     pairs = blocks.join(blocks.select("cell", F.col("units").alias("q_units"), F.col("flat").alias("q_flat")), "cell")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -63,58 +41,6 @@ def pair_distances(rows: DataFrame, parts: int) -> DataFrame:
     return pairs.mapInArrow(run, "grp long, v long, c long").groupBy("grp", "v").agg(F.sum("c").alias("c"))
 
 
-def nearest(data: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """(src, dst, distance, place): the ``k`` nearest of ``data`` to each of ``queries`` (both unit, samples), other than itself.
-
-    Exact, in blocks: each block of queries meets each block of data, which leaves k candidates a query there; the best of those
-    are chosen per query. Ties go to the smaller unit.
-    """
-    whole = lambda df, size: _blocks(df.select("unit", "samples", F.lit(0).alias("cell")), F.lit(df.count()), size)
-    q = whole(queries, QUERY_BLOCK).select("cell", F.col("units").alias("q_units"), F.col("flat").alias("q_flat"))
-    return _met(whole(data, DATA_BLOCK).join(q, "cell"), k)
-
-
-def fitted_cells(data: DataFrame, n: int, rounds: int = 10) -> np.ndarray:
-    """Centres of ``n`` cells by k-means on at most SAMPLE vectors."""
-    x = np.array([r["samples"] for r in data.orderBy(F.xxhash64("unit"), "unit").limit(SAMPLE).select("samples").toLocalIterator()], dtype=np.float64)
-    centre = x[np.random.default_rng(11).permutation(len(x))[:n]]
-    for _ in range(rounds if n > 1 else 0):
-        near = ((centre**2).sum(axis=1) - 2 * x @ centre.T).argmin(axis=1)
-        sums, count = np.zeros_like(centre), np.bincount(near, minlength=len(centre))
-        np.add.at(sums, near, x)
-        centre = np.where(count[:, None] > 0, sums / np.maximum(count, 1)[:, None], centre)
-    return centre
-
-
-def nearest_of_all(data: DataFrame, k: int, cell_rows: int = 1000, probed: float = PROBED) -> DataFrame:
-    """(src, dst, distance, place) of every row of ``data`` (unit, samples), from an index that holds every row.
-
-    Rows lie in the cell of the nearest centre, of about ``cell_rows`` rows each (CELLS cells at most, more rows each beyond), and each
-    row looks into the nearest ``probed`` share of the cells. A cell of many rows is met block by block, so equal vectors do not meet
-    in one task. With one cell the result is exact; the tests hold the recall above 0.9 otherwise.
-    """
-    n = data.count()
-    centre = fitted_cells(data, max(1, min(CELLS, n // cell_rows)))
-    shared = data.sparkSession.sparkContext.broadcast(centre)
-    take = max(1, round(probed * len(centre)))
-
-    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        centre = shared.value
-        for batch in batches:
-            x = np.asarray(batch.column("samples").flatten(), dtype=np.float64).reshape(batch.num_rows, -1) if batch.num_rows else np.zeros((0, centre.shape[1]))
-            far = (centre**2).sum(axis=1) - 2 * x @ centre.T
-            cells = np.argsort(far, axis=1, kind="stable")[:, :take].astype(np.int64)
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, cells.size + 1, take).astype(np.int32)), pa.array(cells.ravel()))
-            yield pa.RecordBatch.from_arrays([batch.column("unit"), batch.column("samples"), lists], names=["unit", "samples", "cells"])
-
-    placed = data.select("unit", "samples").mapInArrow(place, "unit long, samples array<double>, cells array<long>")
-    counts = {r["cell"]: r["n"] for r in placed.groupBy(F.get("cells", 0).alias("cell")).agg(F.count(F.lit(1)).alias("n")).toLocalIterator()}  # CELLS rows at most
-    rows_in = F.get(F.array(*[F.lit(counts.get(c, 0)) for c in range(len(centre))]), F.col("cell").cast("int"))
-    d = _blocks(placed.select("unit", "samples", F.get("cells", 0).alias("cell")), rows_in, DATA_BLOCK)
-    q = _blocks(placed.select("unit", "samples", F.explode("cells").alias("cell")), rows_in * take, QUERY_BLOCK).select("cell", F.col("units").alias("q_units"), F.col("flat").alias("q_flat"))
-    return _met(d.join(q, "cell"), k)
-
-
 def fuzzy_weights(edges: DataFrame, k: int, rounds: int = 40) -> DataFrame:
     """Edges with w = exp(-(distance - nearest) / sigma), where sigma makes a vertex's weights add up to log2(k).
 

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from intervale.operators import graph as G
+from intervale.operators import neighbours as N
 from intervale.operators import models as M
 from intervale.operators import relational as R
 from intervale.operators.chunks import matrices_by_length
@@ -173,7 +174,7 @@ K = 8
 
 
 def _graph(spark: SparkSession, d: str) -> DataFrame:
-    return G.nearest_of_all(segments(spark, d), K)
+    return N.nearest_of_all(segments(spark, d), K, saved)
 
 
 def _weighted(spark: SparkSession, d: str) -> DataFrame:
@@ -185,7 +186,7 @@ r AS (SELECT *, row_number() OVER (PARTITION BY src ORDER BY round(far, 9), dst)
 def knn_graph(spark: SparkSession, d: str) -> DataFrame:
     """The nearest segments of every hundredth one, against all of them."""
     s = segments(spark, d)
-    return r6(G.nearest(s, s.where("unit % 100 = 0"), K).select("src", "dst", "place", "distance"), "distance")
+    return r6(N.nearest(s, s.where("unit % 100 = 0"), K).select("src", "dst", "place", "distance"), "distance")
 
 
 @query()

@@ -209,15 +209,6 @@ def test_levels_join_communities_and_spectrum_equals_numpy(spark):
     assert np.abs(norm @ x - x * values[:3]).max() < 0.05
 
 
-def test_index_finds_nearest_of_all(spark):
-    x = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").select(F.col("vec_id").alias("unit"), F.col("embedding").cast("array<double>").alias("samples"))
-    found = {(r.src, r.dst) for r in graph.nearest_of_all(x, 8, cell_rows=50).select("src", "dst").collect()}
-    exact = {(r.src, r.dst) for r in graph.nearest(x, x.where("unit % 20 = 0"), 8).select("src", "dst").collect()}
-    assert len({s for s, _ in found}) == x.count() and len(exact & found) / len(exact) > 0.9
-    small = x.where("unit < 300")
-    assert sorted(map(tuple, graph.nearest_of_all(small, 3).collect())) == sorted(map(tuple, graph.nearest(small, small, 3).collect()))
-
-
 def test_sources_and_sinks(spark, tmp_path):
     wide = spark.createDataFrame([(1, "1.5", "x", "3")], "id long, w0 string, w1 string, w2 string")
     assert tables.wide_to_samples(wide, "w").first().samples == [1.5, None, 3.0]
