@@ -2,37 +2,47 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from intervale.operators import quantiles as Q
+from intervale.operators import scans
 from intervale.operators.intervals import range_join
 
+Save = Callable[[DataFrame], DataFrame]
+
 
-def interval_metrics(points: DataFrame, unit_us: int, burst: float, violation: float) -> DataFrame:
+def interval_metrics(points: DataFrame, unit_us: int, burst: float, violation: float, save: Save, parts: int | None = None) -> DataFrame:
     """Of each unit: n, rate, and cv, cv2, lv, median and the shares below two bounds of its positive intervals (in ``unit_us``).
 
     rate is n over the span from first to last point; cv uses the population deviation; cv2 and lv run over neighbouring positive
-    intervals. Fewer than three points, or two positive intervals, give nulls.
+    intervals. Fewer than three points, or two positive intervals, give nulls. A unit's points are scanned in ``parts``, and its median comes
+    from counts, so a unit with most of the points is spread over many tasks.
     """
-    by = Window.partitionBy("unit").orderBy("t", "point_id")
-    gaps = points.select("unit", "t", "point_id", ((F.col("t") - F.lag("t").over(by)) / F.lit(float(unit_us))).alias("gap"))
-    positive = gaps.withColumn("gap", F.when(F.col("gap") > 0, F.col("gap")))
-    earlier = F.last("gap", ignorenulls=True).over(by.rowsBetween(Window.unboundedPreceding, -1))
-    pairs = positive.withColumn("before", F.when(F.col("gap").isNotNull(), earlier))
+    keys, order = ["unit"], ["t", "point_id"]
+    placed = scans.dealt(points.select(*keys, *order), keys, order, save, parts)
+    gap = (F.col("t") - F.col("_t")) / F.lit(float(unit_us))
+    positive = scans.scanned(placed, keys, order, {"_t": ("lag", F.col("t"))}).withColumn("gap", F.when(gap > 0, gap))
+    earlier = scans.scanned(positive, keys, order, {"before": ("before", F.col("gap"))})
+    pairs = save(earlier.select("unit", "t", "gap", F.when(F.col("gap").isNotNull(), F.col("before")).alias("before")))
     ratio = (F.col("gap") - F.col("before")) / (F.col("gap") + F.col("before"))
     n, span = F.count(F.lit(1)), (F.max("t") - F.min("t")) / F.lit(float(unit_us))
     enough = (n >= 3) & (F.count("gap") >= 2)
     of = lambda c: F.when(enough, c)
-    return pairs.groupBy("unit").agg(
+    middle = Q.medians(pairs, ["unit"], F.col("gap"), "_median", save)
+    found = pairs.groupBy("unit").agg(
         n.cast("long").alias("n"),
         F.when(span > 0, n / span).alias("rate"),
         of(F.stddev_pop("gap") / F.avg("gap")).alias("cv"),
         of(F.avg(2 * F.abs(ratio))).alias("cv2"),
         of(F.avg(3 * ratio * ratio)).alias("lv"),
-        of(F.median("gap")).alias("median_gap"),
+        enough.alias("_enough"),
         of(F.avg((F.col("gap") < burst).cast("double"))).alias("burst_share"),
         of(F.avg((F.col("gap") < violation).cast("double"))).alias("violation_share"),
     )
+    return found.join(middle, "unit").select("unit", "n", "rate", "cv", "cv2", "lv", F.when(F.col("_enough"), F.col("_median")).alias("median_gap"), "burst_share", "violation_share")
 
 
 def correlogram(points: DataFrame, others: DataFrame, width: int, bin_us: int) -> DataFrame:
@@ -92,10 +102,14 @@ def smoothed(binned: DataFrame, keys: list[str], column: str, sigma: float, reac
     return binned.withColumn("smooth", total / weight)
 
 
-def bursts(series: DataFrame, above: Column, least: int) -> DataFrame:
-    """Runs of at least ``least`` consecutive rows (unit, t, point_id, value) for which ``above`` holds; a run that is open at the end is dropped."""
-    by = Window.partitionBy("unit").orderBy("t", "point_id")
-    marked = series.withColumn("_above", F.coalesce(above, F.lit(False))).withColumns({"_i": F.row_number().over(by), "_last": F.count(F.lit(1)).over(Window.partitionBy("unit"))})
-    runs = marked.withColumn("_run", F.col("_i") - F.row_number().over(Window.partitionBy("unit", "_above").orderBy("t", "point_id"))).where("_above")
-    found = runs.groupBy("unit", "_run").agg(F.min("t").alias("start"), F.max("t").alias("end"), F.count(F.lit(1)).cast("long").alias("n"), F.avg("value").alias("mean_value"), F.max("value").alias("max_value"), F.max("_i").alias("_end"), F.first("_last").alias("_last"))
-    return found.where((F.col("n") >= least) & (F.col("_end") < F.col("_last"))).drop("_run", "_end", "_last")
+def bursts(series: DataFrame, above: Column, least: int, save: Save, parts: int | None = None) -> DataFrame:
+    """Runs of at least ``least`` consecutive rows (unit, t, point_id, value) for which ``above`` holds; a run that is open at the end is dropped.
+
+    Within a run, the number of a row less that of the rows above the bound so far stays the same. Both come from one scan in ``parts``.
+    """
+    keys, order = ["unit"], ["t", "point_id"]
+    marked = series.select("unit", "t", "point_id", "value", F.coalesce(above, F.lit(False)).alias("_above"))
+    numbered = scans.scanned(scans.dealt(marked, keys, order, save, parts), keys, order, {"_i": ("rank", None), "_up": ("sum", F.col("_above").cast("long"))})
+    runs = numbered.where("_above").groupBy("unit", (F.col("_i") - F.col("_up")).alias("_run")).agg(F.min("t").alias("start"), F.max("t").alias("end"), F.count(F.lit(1)).cast("long").alias("n"), F.avg("value").alias("mean_value"), F.max("value").alias("max_value"), F.max("_i").alias("_end"))
+    sizes = series.groupBy("unit").agg(F.count(F.lit(1)).alias("_last"))
+    return runs.where(F.col("n") >= least).join(sizes, "unit").where(F.col("_end") < F.col("_last")).drop("_run", "_end", "_last")

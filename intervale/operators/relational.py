@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from intervale.operators import scans as S
+
 
 def first_per_key(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """The first row of each key by ``order``: one aggregate with partial sums, no sort."""
@@ -82,14 +86,15 @@ def mann_whitney(df: DataFrame, value: str, group: Column, strata: list[str]) ->
     return sums.select(*strata, F.col("na").cast("long").alias("na"), nb.cast("long").alias("nb"), F.when(both, u).alias("u"), F.when(both, u / (F.col("na") * nb)).alias("auc"), F.when(both & (spread > 0), (u - F.col("na") * nb / 2) / spread).alias("z"))
 
 
-def benjamini_hochberg(df: DataFrame, p: str, key: str) -> DataFrame:
+def benjamini_hochberg(df: DataFrame, p: str, key: str, save: Callable[[DataFrame], DataFrame], parts: int | None = None) -> DataFrame:
     """``q``: the false-discovery rate of each p-value; nulls stay null and do not count.
 
-    The ranks are global, so distinct p-values (tests, not rows of data) are sorted in one task.
+    Ranks, and the least of what follows, come from scans over parts of the ordered p-values.
     """
     tested = df.where(F.col(p).isNotNull())
     n = tested.agg(F.count(F.lit(1)).alias("_m"))
-    up = Window.orderBy(p, key)
-    raw = tested.crossJoin(F.broadcast(n)).select(key, p, (F.col(p) * F.col("_m") / F.row_number().over(up)).alias("_raw"))
-    q = F.least(F.lit(1.0), F.min("_raw").over(Window.orderBy(F.desc(p), F.desc(key)).rowsBetween(Window.unboundedPreceding, 0)))
-    return df.join(raw.select(key, q.alias("q")), key, "left")
+    order = [p, key]
+    ranked = S.scanned(S.dealt(tested.select(p, key), [], order, save, parts), [], order, {"_rank": ("rank", None)})
+    raw = ranked.crossJoin(F.broadcast(n)).withColumn("_raw", F.col(p) * F.col("_m") / F.col("_rank"))
+    q = S.scanned(raw.select(p, key, "_part", "_raw"), [], order, {"q": ("suffix_min", F.col("_raw"))})
+    return df.join(q.select(key, F.least(F.lit(1.0), F.col("q")).alias("q")), key, "left")

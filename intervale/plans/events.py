@@ -7,7 +7,10 @@ from pyspark.sql import functions as F
 
 from intervale.operators import intervals as I
 from intervale.operators import pointprocess as P
+from intervale.operators import quantiles as Q
+from intervale.operators import scans
 from intervale.plans.registry import query
+from intervale.sources.scratch import saved
 from intervale.sources.tables import DAY, HOUR, points
 
 EV = "e AS (SELECT event_id AS point_id, user_id AS unit, event_type AS mark, epoch_us(ts) AS t, value FROM events WHERE user_id IS NOT NULL AND ts IS NOT NULL)"
@@ -135,7 +138,7 @@ SELECT unit, n::BIGINT AS n, CASE WHEN span > 0 THEN round(n::DOUBLE / span, 6)
   CASE WHEN n >= 3 AND ng >= 2 THEN round(lv, 6) END AS lv, CASE WHEN n >= 3 AND ng >= 2 THEN round(md, 6) END AS median_gap, CASE WHEN n >= 3 AND ng >= 2 THEN round(bu, 6) END AS burst_share, CASE WHEN n >= 3 AND ng >= 2 THEN round(vi, 6) END AS violation_share FROM a""")
 def isi_metrics(spark: SparkSession, d: str) -> DataFrame:
     """Inter-event statistics of each unit, in hours."""
-    return r6(P.interval_metrics(points(spark, d), H, 1.0, 0.25), "rate", "cv", "cv2", "lv", "median_gap", "burst_share", "violation_share")
+    return r6(P.interval_metrics(points(spark, d), H, 1.0, 0.25, saved), "rate", "cv", "cv2", "lv", "median_gap", "burst_share", "violation_share")
 
 
 ACG_W, ACG_B = 24 * H, H
@@ -224,7 +227,7 @@ def burst_islands(spark: SparkSession, d: str) -> DataFrame:
     p = points(spark, d)
     stats = p.groupBy("unit").agg(F.avg("value").alias("mean"), F.stddev_pop("value").alias("sd"))
     z = F.when(F.col("sd") > 0, (F.col("value") - F.col("mean")) / F.col("sd"))
-    return r6(P.bursts(p.join(stats, "unit"), z > 0.5, 2), "mean_value")
+    return r6(P.bursts(p.join(stats, "unit"), z > 0.5, 2, saved), "mean_value")
 
 
 @query(f"""WITH {EV}, b AS (SELECT mark, avg(value) AS m, stddev_pop(value) AS s FROM e WHERE t < (SELECT min(t) FROM e) + {7 * D} GROUP BY 1)
@@ -241,9 +244,9 @@ def baseline_zscore(spark: SparkSession, d: str) -> DataFrame:
 SELECT unit, round((sd - md) / (1.4826::DOUBLE * (mad + 1e-12::DOUBLE)), 6) AS mad_z, (abs((sd - md) / (1.4826::DOUBLE * (mad + 1e-12::DOUBLE))) > 3 OR sd = 0) AS outlier FROM m, q, a""")
 def mad_outliers(spark: SparkSession, d: str) -> DataFrame:
     """Units whose deviation of values is an outlier by the median absolute deviation, or zero."""
-    sd = points(spark, d).groupBy("unit").agg(F.stddev_pop("value").alias("sd"))
-    middle = sd.agg(F.median("sd").alias("md"))
-    spread = sd.crossJoin(F.broadcast(middle)).agg(F.median(F.abs(F.col("sd") - F.col("md"))).alias("mad"), F.first("md").alias("md"))
+    sd = saved(points(spark, d).groupBy("unit").agg(F.stddev_pop("value").alias("sd")))
+    away = sd.crossJoin(F.broadcast(Q.medians(sd, [], F.col("sd"), "md", saved)))
+    spread = Q.medians(away, [], F.abs(F.col("sd") - F.col("md")), "mad", saved).crossJoin(Q.medians(sd, [], F.col("sd"), "md", saved))
     z = (F.col("sd") - F.col("md")) / (1.4826 * (F.col("mad") + 1e-12))
     return r6(sd.crossJoin(F.broadcast(spread)).select("unit", z.alias("mad_z"), ((F.abs(z) > 3) | (F.col("sd") == 0)).alias("outlier")), "mad_z")
 
@@ -262,8 +265,9 @@ SELECT i.unit, point_id, (CASE WHEN i < (n % 5) * (n // 5 + 1) THEN i // (n // 5
 def contiguous_folds(spark: SparkSession, d: str) -> DataFrame:
     """Five contiguous folds of each unit's points, the remainder in the first ones."""
     p = points(spark, d)
-    i = F.row_number().over(Window.partitionBy("unit").orderBy("t", "point_id")) - 1
-    sized = p.select("unit", "point_id", i.alias("i")).join(p.groupBy("unit").agg(F.count(F.lit(1)).alias("n")), "unit")
+    keys, order = ["unit"], ["t", "point_id"]
+    placed = scans.scanned(scans.dealt(p.select(*keys, *order), keys, order, saved), keys, order, {"i": ("rank", None)})
+    sized = placed.withColumn("i", F.col("i") - 1).join(p.groupBy("unit").agg(F.count(F.lit(1)).alias("n")), "unit")
     small, extra = F.expr("n div 5"), F.expr("n % 5")
     long = extra * (small + 1)
     fold = F.when(F.col("i") < long, F.floor(F.col("i") / (small + 1))).otherwise(extra + F.floor((F.col("i") - long) / F.greatest(small, F.lit(1))))

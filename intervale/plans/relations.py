@@ -5,10 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from intervale.operators import quantiles as Q
 from intervale.operators import relational as R
+from intervale.operators import scans
 from intervale.operators.resampling import lot
 from intervale.plans.events import EV, r6
 from intervale.plans.registry import query
+from intervale.sources.scratch import saved
 from intervale.sources.tables import points, table
 
 P5, N0 = "round({}, 6)", "count(*)::BIGINT"
@@ -128,8 +131,11 @@ def knee_argmin(spark: SparkSession, d: str) -> DataFrame:
 SELECT segment, greatest(ceil((r - 1) * 10 / nullif(n - 1, 0)::DOUBLE)::BIGINT - 1, 0)::BIGINT AS decile, count(*)::BIGINT AS n, min(c_acctbal) AS low, max(c_acctbal) AS high FROM r GROUP BY 1, 2""")
 def decile_strata(spark: SparkSession, d: str) -> DataFrame:
     """Deciles of balances inside each market segment, by rank, with edges closed on the right."""
-    by = Window.partitionBy("c_mktsegment").orderBy("c_acctbal", "c_custkey")
-    ranked = table(spark, d, "customer").select(F.col("c_mktsegment").alias("segment"), "c_acctbal", F.row_number().over(by).alias("r"), F.count(F.lit(1)).over(Window.partitionBy("c_mktsegment")).alias("n"))
+    c = table(spark, d, "customer").select(F.col("c_mktsegment").alias("segment"), "c_acctbal", "c_custkey")
+    keys, order = ["segment"], ["c_acctbal", "c_custkey"]
+    ranked = scans.scanned(scans.dealt(c, keys, order, saved), keys, order, {"r": ("rank", None)})
+    sizes = c.groupBy(F.col("segment").alias("of")).agg(F.count(F.lit(1)).alias("n"))
+    ranked = ranked.join(sizes, F.col("segment").eqNullSafe(F.col("of")))
     share = F.when(F.col("n") > 1, (F.col("r") - 1) * 10 / (F.col("n") - 1).cast("double"))
     return ranked.groupBy("segment", F.greatest(F.ceil(share) - 1, F.lit(0)).alias("decile")).agg(F.count(F.lit(1)).alias("n"), F.min("c_acctbal").alias("low"), F.max("c_acctbal").alias("high"))
 
@@ -290,7 +296,7 @@ def _p_values(spark: SparkSession, d: str) -> DataFrame:
 @query(f"""WITH {PV}, r AS (SELECT unit, p, p * count(*) OVER () / row_number() OVER (ORDER BY p, unit) AS raw FROM p) SELECT unit, round(p, 6) AS p, round(least(1.0::DOUBLE, min(raw) OVER (ORDER BY p DESC, unit DESC)), 6) AS q FROM r""")
 def bh_fdr(spark: SparkSession, d: str) -> DataFrame:
     """False-discovery rates of the units' p-values."""
-    return r6(R.benjamini_hochberg(_p_values(spark, d), "p", "unit"), "p", "q")
+    return r6(R.benjamini_hochberg(saved(_p_values(spark, d)), "p", "unit", saved), "p", "q")
 
 
 @query(f"WITH {PV} SELECT unit, round(least(1.0::DOUBLE, p * count(*) OVER ()), 6) AS p_adjusted, p * count(*) OVER () < 0.05 AS significant FROM p")
@@ -313,15 +319,14 @@ def turn_sequences(spark: SparkSession, d: str) -> DataFrame:
 def quantile_summary(spark: SparkSession, d: str) -> DataFrame:
     """Five percentiles of each mark's values."""
     shares = {"p5": 0.05, "p25": 0.25, "p50": 0.5, "p75": 0.75, "p95": 0.95}
-    return r6(points(spark, d).groupBy("mark").agg(*[F.percentile("value", q).alias(n) for n, q in shares.items()]), *shares)
+    return r6(Q.quantiles(points(spark, d), ["mark"], F.col("value"), shares, saved).drop("n"), *shares)
 
 
 @query("WITH m AS (SELECT c_mktsegment AS segment, c_custkey AS custkey, CASE WHEN c_acctbal >= 0 THEN c_acctbal END AS v FROM customer), q AS (SELECT segment, median(v) AS md FROM m GROUP BY 1) SELECT custkey, round(coalesce(v, md), 6) AS balance, v IS NULL AS imputed FROM m JOIN q ON q.segment = m.segment")
 def median_imputation(spark: SparkSession, d: str) -> DataFrame:
     """Balances, where negative ones count as missing and take their segment's median."""
     c = table(spark, d, "customer").select(F.col("c_mktsegment").alias("segment"), F.col("c_custkey").alias("custkey"), F.when(F.col("c_acctbal") >= 0, F.col("c_acctbal")).alias("v"))
-    medians = c.groupBy("segment").agg(F.median("v").alias("md"))
-    return c.join(medians, "segment").select("custkey", F.round(F.coalesce("v", "md"), 6).alias("balance"), F.col("v").isNull().alias("imputed"))
+    return c.join(Q.medians(c, ["segment"], F.col("v"), "md", saved), "segment").select("custkey", F.round(F.coalesce("v", "md"), 6).alias("balance"), F.col("v").isNull().alias("imputed"))
 
 
 @query("""WITH l AS (SELECT quality, doc_id, row_number() OVER (PARTITION BY quality ORDER BY md5(concat_ws(':', '1', doc_id::VARCHAR)), doc_id) AS k, count(*) OVER (PARTITION BY quality) AS n FROM labels WHERE quality IS NOT NULL) SELECT quality, doc_id FROM l WHERE k <= (SELECT min(n) FROM l)""")
@@ -336,8 +341,10 @@ def matched_sample(spark: SparkSession, d: str) -> DataFrame:
 @query("SELECT o_custkey AS custkey, o_orderkey AS orderkey, round(sum(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey ROWS UNBOUNDED PRECEDING) - o_totalprice, 4) AS offset_before FROM orders")
 def running_offsets(spark: SparkSession, d: str) -> DataFrame:
     """The sum of a customer's earlier orders before each one."""
-    by = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey").rowsBetween(Window.unboundedPreceding, 0)
-    return table(spark, d, "orders").select(F.col("o_custkey").alias("custkey"), F.col("o_orderkey").alias("orderkey"), F.round(F.sum("o_totalprice").over(by) - F.col("o_totalprice"), 4).alias("offset_before"))
+    keys, order = ["custkey"], ["o_orderdate", "orderkey"]
+    o = table(spark, d, "orders").select(F.col("o_custkey").alias("custkey"), F.col("o_orderkey").alias("orderkey"), "o_orderdate", "o_totalprice")
+    summed = scans.scanned(scans.dealt(o, keys, order, saved), keys, order, {"upto": ("sum", F.col("o_totalprice"))})
+    return summed.select("custkey", "orderkey", F.round(F.col("upto") - F.col("o_totalprice"), 4).alias("offset_before"))
 
 
 @query("SELECT vec_id AS unit, round(embedding[1]::DOUBLE, 6) AS w0, round(embedding[2]::DOUBLE, 6) AS w1, round(embedding[3]::DOUBLE, 6) AS w2, round(embedding[4]::DOUBLE, 6) AS w3, len(embedding)::INTEGER AS n FROM embeddings WHERE len(embedding) = (SELECT mode(len(embedding)) FROM embeddings)")

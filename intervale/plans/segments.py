@@ -10,9 +10,11 @@ from pyspark.sql import functions as F
 
 from intervale.functions import arrays as A
 from intervale.functions import circular as C
+from intervale.operators import quantiles as Q
 from intervale.operators.chunks import by_row
 from intervale.plans.events import EV, onsets, r6
 from intervale.plans.registry import query
+from intervale.sources.scratch import saved
 from intervale.sources.tables import DAY, points, segments
 
 SG = "s AS (SELECT vec_id AS unit, label AS grp, list_transform(embedding, lambda v: v::DOUBLE) AS x FROM embeddings)"
@@ -82,7 +84,7 @@ def _widths(spark: SparkSession, d: str) -> DataFrame:
 def narrow_broad_median(spark: SparkSession, d: str) -> DataFrame:
     """Segments below and from the median reach on."""
     w = _widths(spark, d)
-    return w.crossJoin(F.broadcast(w.agg(F.median("w").alias("md")))).select("unit", F.when(F.col("w") < F.col("md"), "narrow").when(F.col("w") >= F.col("md"), "broad").otherwise("invalid").alias("width_group"))
+    return w.crossJoin(F.broadcast(Q.medians(w, [], F.col("w"), "md", saved))).select("unit", F.when(F.col("w") < F.col("md"), "narrow").when(F.col("w") >= F.col("md"), "broad").otherwise("invalid").alias("width_group"))
 
 
 @query(f"""WITH {WD}, st AS (SELECT min(w) AS lo, max(w) AS hi, count(*) AS n, stddev_samp(w) * pow(count(*), -0.2::DOUBLE) AS h FROM w), b AS (SELECT least(floor((w - lo) / ((hi - lo) / 200)), 199)::BIGINT AS k, count(*) AS c FROM w, st GROUP BY 1),
@@ -235,4 +237,8 @@ def group_mean_sem(spark: SparkSession, d: str) -> DataFrame:
 def cluster_profiles(spark: SparkSession, d: str) -> DataFrame:
     """Size and median features of each group."""
     f = segments(spark, d).select("grp", A.reach(F.col("samples")).alias("reach"), A.argmin(F.col("samples")).cast("double").alias("trough"))
-    return r6(f.groupBy("grp").agg(F.count(F.lit(1)).alias("n"), F.median("reach").alias("reach"), F.median("trough").alias("trough")), "reach", "trough")
+    found = f.groupBy("grp").agg(F.count(F.lit(1)).alias("n"))
+    for c in ("reach", "trough"):
+        middle = Q.medians(f, ["grp"], F.col(c), c, saved).withColumnRenamed("grp", "of")
+        found = found.join(middle, F.col("grp").eqNullSafe(F.col("of"))).drop("of")
+    return r6(found, "reach", "trough")

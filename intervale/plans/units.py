@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from intervale.functions.circular import resultant
 from intervale.operators import intervals as I
 from intervale.operators import pointprocess as P
+from intervale.operators import quantiles as Q
 from intervale.operators import relational as R
 from intervale.operators import replicates as B
 from intervale.operators import resampling as S
@@ -16,6 +17,7 @@ from intervale.plans.events import CY, EV, ON, H, _in_cycles, onsets, r6
 from intervale.plans.nulls import LOT, N
 from intervale.plans.registry import query
 from intervale.plans.segments import PH, SG, _phases, _widths
+from intervale.sources.scratch import saved
 from intervale.sources.tables import DAY, points, segments, table
 
 TR = """tr AS (SELECT o_orderkey AS trial, o_custkey AS session, substr(o_orderpriority, 1, 1)::BIGINT AS load, o_orderstatus = 'F' AS correct, CASE WHEN o_totalprice > 250000 THEN 'in' WHEN o_totalprice > 0 THEN 'out' END AS probe,
@@ -108,7 +110,8 @@ def label_table(spark: SparkSession, d: str) -> DataFrame:
     low = F.avg((F.col("value") < 1).cast("double"))
     span = (F.max("t") - F.min("t")) / F.lit(float(H))
     u = points(spark, d).groupBy("unit").agg(F.count(F.lit(1)).alias("n"), F.stddev_pop("value").alias("sd"), F.when(span > 0, F.count(F.lit(1)) / span).alias("rate"), low.alias("low"))
-    u = u.crossJoin(F.broadcast(u.agg(F.median("sd").alias("md"))))
+    u = saved(u)
+    u = u.crossJoin(F.broadcast(Q.medians(u, [], F.col("sd"), "md", saved)))
     passes = F.coalesce((F.col("n") >= 60) & (F.col("low") < 0.08) & F.col("rate").isNotNull(), F.lit(False))
     narrow = F.col("sd") < F.col("md")
     kind = F.when(~passes, "failed").when(narrow & (F.col("rate") > 0.095), "fast").when(narrow, "slow").otherwise("other")
@@ -125,11 +128,11 @@ SELECT feature, na::BIGINT AS n_narrow, nb::BIGINT AS n_broad, round(ma, 6) AS m
 def feature_comparison(spark: SparkSession, d: str) -> DataFrame:
     """Rank tests of three features between segments below and above the median reach, with both medians."""
     s = segments(spark, d).select(F.array_max("samples").alias("top"), (F.array_max("samples") - F.array_min("samples")).alias("reach"), F.array_position("samples", F.array_min("samples")).cast("double").alias("trough"))
-    middle = F.broadcast(s.agg(F.median("reach").alias("md")))
+    middle = F.broadcast(Q.medians(s, [], F.col("reach"), "md", saved))
     each = s.crossJoin(middle).select((F.col("reach") < F.col("md")).alias("g"), F.stack(F.lit(3), F.lit("trough"), "trough", F.lit("top"), "top", F.lit("reach"), "reach").alias("feature", "v"))
     tests = R.mann_whitney(each, "v", F.col("g"), ["feature"])
-    medians = each.groupBy("feature").agg(F.median(F.when(F.col("g"), F.col("v"))).alias("median_narrow"), F.median(F.when(~F.col("g"), F.col("v"))).alias("median_broad"))
-    return r6(tests.join(medians, "feature").select("feature", F.col("na").alias("n_narrow"), F.col("nb").alias("n_broad"), "median_narrow", "median_broad", "auc", "z"), "median_narrow", "median_broad", "auc", "z")
+    narrow, broad = (Q.medians(each, ["feature"], F.when(g, F.col("v")), name, saved) for g, name in ((F.col("g"), "median_narrow"), (~F.col("g"), "median_broad")))
+    return r6(tests.join(narrow, "feature").join(broad, "feature").select("feature", F.col("na").alias("n_narrow"), F.col("nb").alias("n_broad"), "median_narrow", "median_broad", "auc", "z"), "median_narrow", "median_broad", "auc", "z")
 
 
 @query(f"""WITH {EV} SELECT unit % 10 AS session, count(DISTINCT unit)::BIGINT AS units, count(*)::BIGINT AS points, count(*) FILTER (mark = 'signup')::BIGINT AS onsets, round((max(t) - min(t)) / {DAY}::DOUBLE, 6) AS days, string_agg(DISTINCT mark, ',' ORDER BY mark) AS marks FROM e GROUP BY 1""")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from intervale.functions import circular, signals
 from intervale.operators import graph, intervals, models, pointprocess, relational, resampling
+from intervale.sources.scratch import saved
 from intervale.sources import sinks, tables
 
 
@@ -44,7 +45,7 @@ def test_as_of_and_interpolation(spark):
 
 
 def test_interval_metrics_of_few_points(spark):
-    found = {r.unit: r for r in pointprocess.interval_metrics(points(spark, [(1, 0), (2, 0), (2, 10), (3, 0), (3, 10), (3, 30), (4, 5), (4, 5), (4, 5)]), 1, 15.0, 5.0).collect()}
+    found = {r.unit: r for r in pointprocess.interval_metrics(points(spark, [(1, 0), (2, 0), (2, 10), (3, 0), (3, 10), (3, 30), (4, 5), (4, 5), (4, 5)]), 1, 15.0, 5.0, saved).collect()}
     assert found[1].cv is None and found[2].cv is None and found[4].cv is None and found[4].rate is None
     assert found[3].cv == pytest.approx(5 / 15) and found[3].cv2 == pytest.approx(2 / 3) and found[3].lv == pytest.approx(1 / 3) and found[3].burst_share == 0.5
 
@@ -57,7 +58,7 @@ def test_correlogram_drops_coincident_points(spark):
 
 def test_bursts_drop_an_open_run(spark):
     p = points(spark, [(1, t) for t in range(7)]).withColumn("value", F.element_at(F.array(*map(F.lit, [0.0, 1.0, 1.0, 0.0, 1.0, 1.0, 1.0])), (F.col("t") + 1).cast("int")))
-    assert [(r.start, r.n) for r in pointprocess.bursts(p, F.col("value") > 0.5, 2).collect()] == [(1, 2)]
+    assert [(r.start, r.n) for r in pointprocess.bursts(p, F.col("value") > 0.5, 2, saved).collect()] == [(1, 2)]
 
 
 def test_midranks_auc_and_chi_square(spark):
@@ -71,7 +72,7 @@ def test_midranks_auc_and_chi_square(spark):
 
 def test_benjamini_hochberg_keeps_nulls(spark):
     df = spark.createDataFrame([(1, 0.01), (2, 0.04), (3, None), (4, 0.03)], "id long, p double")
-    assert {r.id: r.q and round(r.q, 6) for r in relational.benjamini_hochberg(df, "p", "id").collect()} == {1: 0.03, 2: 0.04, 3: None, 4: 0.04}
+    assert {r.id: r.q and round(r.q, 6) for r in relational.benjamini_hochberg(df, "p", "id", saved).collect()} == {1: 0.03, 2: 0.04, 3: None, 4: 0.04}
 
 
 def test_shuffles_keep_strata(spark):
@@ -173,8 +174,6 @@ def test_random_intercepts(spark):
 def test_communities_of_two_cliques(spark):
     edges = [(a, b, 1.0) for base in (0, 10) for a in range(base, base + 5) for b in range(a + 1, base + 5)] + [(4, 10, 0.1)]
     df = spark.createDataFrame(edges, "src long, dst long, w double")
-    from intervale.sources.scratch import saved
-
     labels = {r.unit: r.label for r in graph.communities(df, saved).collect()}
     assert len({labels[i] for i in range(5)}) == 1 and len(set(labels.values())) == 2
     sides = {r.unit: r.side for r in graph.bisected(df, saved).collect()}
@@ -182,8 +181,6 @@ def test_communities_of_two_cliques(spark):
 
 
 def test_levels_join_communities_and_spectrum_equals_numpy(spark):
-    from intervale.sources.scratch import saved
-
     # a ring of eight cliques: greedy moves find the cliques, and their modularity is that of the formula
     n, edges = 8, []
     for c in range(n):
