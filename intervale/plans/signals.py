@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 from intervale.functions import signals as K
 from intervale.functions.circular import modulation_index
 from intervale.operators.chunks import by_row, matrices_by_length, over_chunks
-from intervale.operators.replicates import row_groups
+from intervale.operators.replicates import cycles as cycles_of
+from intervale.operators.replicates import lots, row_groups
 from intervale.operators.sampled import chunked
 from intervale.plans.registry import query
 from intervale.sources.tables import HOUR, points, segments
@@ -118,15 +119,16 @@ def _phase_and_amplitude(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.n
 
 
 def coupling_cells(x: np.ndarray, y: np.ndarray, units: np.ndarray) -> np.ndarray:
-    """Amplitude sums and counts by phase bin (N + 1, 36); in replicate r each trial's phase meets the amplitude r steps on.
+    """Amplitude sums and counts by phase bin (N + 1, 36); in a replicate each trial's phase meets the amplitude of the next one in a random cycle.
 
-    No trial meets its own: steps are taken modulo the trials less one. A single trial has no surrogate.
+    No trial meets its own, and cycles differ between replicates. A single trial has no surrogate.
     """
     phase, amplitude = _phase_and_amplitude(x, y)
     bin_ = np.minimum(((phase % (2 * np.pi)) / (2 * np.pi / 18)).astype(int), 17)
     out, m = np.full((N + 1, 36), np.nan if len(units) < 2 else 0.0), len(units)
-    for r in range(N + 1 if m > 1 else 1):
-        moved = np.roll(amplitude, -(1 + (r - 1) % (m - 1)), axis=0) if r else amplitude
+    partner = np.vstack([np.arange(m), cycles_of(lots(units.tolist(), 1, N))]) if m > 1 else np.zeros((1, 1), int)
+    for r, own in enumerate(partner):
+        moved = amplitude[own]
         out[r] = np.concatenate([np.bincount(bin_.ravel(), weights=moved.ravel(), minlength=18), np.bincount(bin_.ravel(), minlength=18)])
     return out
 

@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from intervale.operators import replicates as B
 from intervale.functions import signals as K
 from intervale.operators import chunks as C
 from intervale.plans import signals as P
@@ -45,7 +46,13 @@ def test_coupling_and_locking_against_brute_force(spark):
         phase, amplitude = P._phase_and_amplitude(x[:, :32], x[:, 32:])
         # one trial of all samples has the same bins as the trials together
         mi = lambda a: K.coupling(phase.reshape(1, -1), a.reshape(1, -1))[0]
-        null = [mi(np.roll(amplitude, -(1 + r % (len(own) - 1)), axis=0)) for r in range(P.N)] if len(own) <= P.TRIALS else None
+        null = None
+        if len(own) <= P.TRIALS:
+            lot, null = B.lots([r.unit for r in own], 1, P.N), []
+            for k in range(P.N):
+                order = sorted(range(len(own)), key=lambda i: (lot[i, k], i))
+                partner = {a: b for a, b in zip(order, [*order[1:], order[0]])}
+                null.append(mi(amplitude[[partner[i] for i in range(len(own))]]))
         assert pac[g].observed == pytest.approx(mi(amplitude))
         if null:
             assert pac[g].p == pytest.approx((sum(v >= mi(amplitude) for v in null) + 1) / (P.N + 1)) and pac[g].z == pytest.approx((mi(amplitude) - np.mean(null)) / np.std(null), rel=1e-6)
@@ -54,6 +61,14 @@ def test_coupling_and_locking_against_brute_force(spark):
         assert locked[g].observed == pytest.approx(abs(np.exp(1j * phase)[spikes].mean())) and 0 < locked[g].p <= 1 and locked[g].p_two <= locked[g].p
 
 
+def test_derangements_are_random_cycles():
+    partner = B.cycles(B.lots(list(range(50)), 1, 200))
+    assert len({tuple(p) for p in partner}) == 200 and all((p != np.arange(50)).all() and sorted(p) == list(range(50)) for p in partner)
+    # each partner is about as likely as any other
+    share = np.bincount(partner[:, 7], minlength=50) / 200
+    assert share[7] == 0 and share.max() < 0.1 and (share > 0).sum() > 40
+
+
 def test_surrogates_find_a_planted_coupling(spark):
     t = np.arange(512) / 64.0
     dice = np.random.default_rng(2)
