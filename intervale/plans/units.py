@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from intervale.functions.circular import resultant
 from intervale.operators import intervals as I
@@ -17,7 +20,8 @@ from intervale.plans.events import CY, EV, ON, H, _in_cycles, onsets, r6
 from intervale.plans.nulls import N, lot_of
 from intervale.plans.registry import query
 from intervale.plans.segments import PH, SG, _phases, _widths
-from intervale.sources.scratch import saved
+from intervale.sources.partitions import PartitionStore
+from intervale.sources.scratch import folder, saved
 from intervale.sources.tables import DAY, points, segments, table
 
 TR = """tr AS (SELECT o_orderkey AS trial, o_custkey AS session, substr(o_orderpriority, 1, 1)::BIGINT AS load, o_orderstatus = 'F' AS correct, CASE WHEN o_totalprice > 250000 THEN 'in' WHEN o_totalprice > 0 THEN 'out' END AS probe,
@@ -197,3 +201,18 @@ def variance_by_condition(spark: SparkSession, d: str) -> DataFrame:
     """Variance across a group's segments, summed over samples, and its share of all groups'."""
     long = segments(spark, d).select("grp", F.posexplode("samples").alias("i", "v"))
     return r6(D.variance_by(long, "grp", "i", "v"), "variance", "share")
+
+
+@query(f"""WITH {EV} SELECT unit % 10 AS subject, t // {30 * DAY} AS session, mark, count(*)::BIGINT AS n, round(sum(value), 4) AS value, CASE WHEN (t // {30 * DAY}) % 2 = 0 THEN 1 ELSE 2 END::BIGINT AS run FROM e GROUP BY 1, 2, 3""")
+def partition_resume(spark: SparkSession, d: str) -> DataFrame:
+    """Sums by subject, month and mark, stored by subject and month: a first run makes the even months, a second one what is missing."""
+    p = points(spark, d).select((F.col("unit") % 10).alias("subject"), F.floor(F.col("t") / (30 * DAY)).alias("session"), "mark", "value")
+    schema = StructType().add("subject", "long").add("session", "long").add("mark", "string").add("n", "long").add("value", "double").add("run", "long")
+    store = PartitionStore(spark, folder(spark), "monthly", {"days": 30}, schema, ["subject", "session"])
+    keys = saved(p.select("subject", "session").distinct())
+
+    def make(run: int) -> Callable[[DataFrame], DataFrame]:
+        return lambda missing: p.join(F.broadcast(missing), ["subject", "session"]).groupBy("subject", "session", "mark").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 4).alias("value"), F.lit(run).alias("run"))
+
+    store.completed(keys.where("session % 2 = 0"), make(1))
+    return store.completed(keys, make(2), lots=2)
