@@ -89,7 +89,7 @@ def modularity(edges: DataFrame, labels: DataFrame, resolution: float = 1.0) ->
     return total.crossJoin(expected).select((F.col("inside") / F.col("m") - resolution * F.col("kk") / (4 * F.col("m") * F.col("m"))).alias("modularity"))
 
 
-def _moves(both: DataFrame, degree: DataFrame, m2: float, gamma: float, save, rounds: int) -> DataFrame:
+def _moves(both: DataFrame, degree: DataFrame, m2: float, gamma: float, save, rounds: int, seed: int) -> DataFrame:
     """(unit, label): greedy modularity moves from single vertices until fewer than one in a hundred moves.
 
     Half of the vertices (by hash) may move in a round, so that neighbours do not swap.
@@ -104,7 +104,7 @@ def _moves(both: DataFrame, degree: DataFrame, m2: float, gamma: float, save, ro
         with_own = links.join(labels.select("unit", F.col("label").alias("own"), "k"), "unit").join(size, "label")
         gain = F.round(F.col("links") - gamma * F.col("k") * here / m2, 9)
         best = with_own.withColumn("gain", gain).groupBy("unit").agg(F.max(F.struct(F.col("gain"), -F.col("label"))).alias("best"), F.max(F.when(F.col("label") == F.col("own"), F.col("gain"))).alias("stay"))
-        may = F.pmod(F.xxhash64("unit", "round"), F.lit(2)) == 0
+        may = F.pmod(F.xxhash64("unit", "round", *([F.lit(seed)] if seed else [])), F.lit(2)) == 0
         to = F.when(may & (F.col("best.gain") > F.greatest(F.coalesce("stay", F.lit(0.0)), F.lit(0.0))), -F.col("best.col2")).otherwise(F.col("label"))
         after = save(labels.join(best, "unit", "left").select("unit", "k", "label", (F.col("round") + 1).alias("round"), to.alias("to")))
         quiet = quiet + 1 if after.where("`to` <> label").count() * 100 <= total else 0
@@ -114,11 +114,11 @@ def _moves(both: DataFrame, degree: DataFrame, m2: float, gamma: float, save, ro
     return labels.select("unit", "label")
 
 
-def communities(edges: DataFrame, save, resolutions: list[float] | None = None, levels: int = 4, rounds: int = 20) -> DataFrame:
+def communities(edges: DataFrame, save, resolutions: list[float] | None = None, levels: int = 4, rounds: int = 20, seed: int = 0) -> DataFrame:
     """(resolution, unit, label) by levels of greedy modularity moves; each level's communities are the vertices of the next.
 
     A level ends when the moves have settled, and the levels when no community joins another.
-    ``save`` writes a table and reads it back, which keeps the lineage short.
+    ``save`` writes a table and reads it back, which keeps the lineage short. ``seed`` chooses which vertices may move in a round.
     """
     out = None
     for gamma in resolutions or [1.0]:
@@ -128,7 +128,7 @@ def communities(edges: DataFrame, save, resolutions: list[float] | None = None,
         for _ in range(levels):
             both = save(both_ways(level.where("src <> dst")).unionByName(level.where("src = dst").withColumn("w", 2 * F.col("w"))))
             degree = save(both.groupBy(F.col("src").alias("unit")).agg(F.sum("w").alias("k")))
-            found = save(_moves(both, degree, m2, float(gamma), save, rounds))
+            found = save(_moves(both, degree, m2, float(gamma), save, rounds, seed))
             names = save(names.join(found.select(F.col("unit").alias("label"), F.col("label").alias("to")), "label").select("unit", F.col("to").alias("label"))) if names is not None else found
             if found.select("label").distinct().count() == found.count():
                 break

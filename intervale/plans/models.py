@@ -16,6 +16,8 @@ from intervale.operators import graph as G
 from intervale.operators import neighbours as N
 from intervale.operators import models as M
 from intervale.operators import relational as R
+from intervale.operators import trees as B
+from intervale.operators import tuning as T
 from intervale.operators.chunks import matrices_by_length
 from intervale.plans.events import _acg, r6
 from intervale.plans.registry import query
@@ -291,3 +293,29 @@ def fisher_labels(spark: SparkSession, d: str) -> DataFrame:
             yield pdf.assign(p=[round(M.fisher_exact(*map(int, r)), 6) for r in pdf[["n00", "n01", "n10", "n11"]].to_numpy()])
 
     return cells.mapInPandas(test, "n00 long, n01 long, n10 long, n11 long, p double")
+
+
+@query(f"""WITH {SG}, c AS (SELECT grp AS l, count(*) AS n, avg(list_sum(list_transform(x, lambda v: v * v))) AS q FROM s WHERE grp IS NOT NULL GROUP BY 1), e AS (SELECT grp AS l, unnest(x) AS v, unnest(range(len(x))) AS i FROM s WHERE grp IS NOT NULL),
+m AS (SELECT l, list(m ORDER BY i) AS m FROM (SELECT l, i, avg(v) AS m FROM e GROUP BY 1, 2) GROUP BY 1),
+f AS (SELECT s.unit, s.grp, c.l, c.n, greatest(list_sum(list_transform(s.x, lambda v: v * v)) - 2 * list_inner_product(s.x, m.m) + c.q, 0) AS d FROM s CROSS JOIN c JOIN m ON m.l = c.l WHERE s.grp IS NOT NULL),
+r AS (SELECT unit, grp, max(CASE WHEN l = grp AND n > 1 THEN d * n / (n - 1) END) AS own, min(CASE WHEN l <> grp THEN d END) AS other FROM f GROUP BY 1, 2)
+SELECT grp, count(*)::BIGINT AS n, round(avg(CASE WHEN own IS NULL OR other IS NULL OR greatest(own, other) = 0 THEN 0 ELSE (other - own) / greatest(own, other) END), 6) AS silhouette FROM r GROUP BY 1""")
+def group_silhouettes(spark: SparkSession, d: str) -> DataFrame:
+    """Mean silhouette of the segments of each group, by squared distance, from sums by group."""
+    found = T.silhouettes(segments(spark, d).withColumnRenamed("grp", "label"), saved)
+    return r6(found.groupBy(F.col("label").alias("grp")).agg(F.count(F.lit(1)).alias("n"), F.avg("silhouette").alias("silhouette")), "silhouette")
+
+
+@query()
+def tuning_grid(spark: SparkSession, d: str) -> DataFrame:
+    """Clusterings of all segments by number of neighbours and resolution: clusters, modularity, silhouette, stability, profiles and shares."""
+    s = segments(spark, d)
+    features = s.select("unit", "grp", (F.array_max("samples") - F.array_min("samples")).alias("reach"), F.array_position("samples", F.array_min("samples")).cast("double").alias("trough"), F.array_max("samples").alias("top"))
+    return T.grid(s, features, ["reach", "trough", "top"], "grp", [8, 15], [1.0], [1, 2], saved)
+
+
+@query()
+def sample_importance(spark: SparkSession, d: str) -> DataFrame:
+    """How much each sample tells of a segment's group (of three), by boosted trees: mean absolute attribution, and five-fold accuracy."""
+    rows = segments(spark, d).select("unit", "samples", (F.col("grp") % 3).alias("label"))
+    return r6(B.importance(rows, saved, rounds=3, n_bins=8), "mean_abs", "accuracy")
