@@ -145,3 +145,26 @@ def lag_curve(sums: DataFrame, bins: int = 18, exclude: tuple[int, int] | None =
     if exclude:
         allowed = allowed & ~F.abs("lag").between(*sorted(exclude))
     return each.withColumn("_means", means).select("phase_key", "amplitude_key", "lag", "n", F.when(allowed, modulation_index(F.col("_means"), bins)).alias("mi"))
+
+
+LOCKING = "unit long, channel string, n long, mvl double, z double, p double"
+
+
+def lag_column(lag: int) -> str:
+    return f"lag_{'m' if lag < 0 else ''}{abs(lag)}"
+
+
+def wide_lags(curve: DataFrame, lags: list[int]) -> DataFrame:
+    """(phase_key, amplitude_key, a double for each of ``lags``): one row a pair, null where a lag has no value."""
+    columns = [F.max(F.when(F.col("lag") == lag, F.col("mi"))).alias(lag_column(lag)) for lag in lags]
+    return curve.groupBy("phase_key", "amplitude_key").agg(*columns)
+
+
+def no_locking(df: DataFrame) -> DataFrame:
+    """A result of locking without rows, with all its typed columns."""
+    return df.sparkSession.createDataFrame([], LOCKING)
+
+
+def no_coupling(df: DataFrame, lags: list[int], kind: str = "string") -> DataFrame:
+    """A result of ``wide_lags`` without rows, with all its typed columns."""
+    return df.sparkSession.createDataFrame([], ", ".join([f"phase_key {kind}, amplitude_key {kind}", *(f"{lag_column(lag)} double" for lag in lags)]))

@@ -98,3 +98,23 @@ def benjamini_hochberg(df: DataFrame, p: str, key: str, save: Callable[[DataFram
     raw = ranked.crossJoin(F.broadcast(n)).withColumn("_raw", F.col(p) * F.col("_m") / F.col("_rank"))
     q = S.scanned(raw.select(p, key, "_part", "_raw"), [], order, {"q": ("suffix_min", F.col("_raw"))})
     return df.join(q.select(key, F.least(F.lit(1.0), F.col("q")).alias("q")), key, "left")
+
+
+def in_order_of(df: DataFrame, key: str, keys: list, kind: str) -> DataFrame:
+    """Rows of ``df`` for each entry of the list ``keys``, with its ``place`` from 0: repeated entries repeat, missing ones have nulls.
+
+    ``kind`` is the type of the entries. Results that came in any order are put back with ``orderBy("place")``.
+    """
+    listed = df.sparkSession.createDataFrame([(i, k) for i, k in enumerate(keys)], f"place long, {key} {kind}")
+    return F.broadcast(listed).join(df, key, "left")
+
+
+def covered(counts: DataFrame, key: str, values: list, column: str, least: int) -> DataFrame:
+    """The ``key`` of each group that has at least ``least`` (column n) of every one of ``values`` in ``column``."""
+    enough = F.count_if(F.col(column).isin(values) & (F.col("n") >= least)) == len(set(values))
+    return counts.groupBy(key).agg(enough.alias("_all")).where("_all").select(key)
+
+
+def stratum(*columns: str, sep: str = "|") -> Column:
+    """The composite key of some columns; a null is an empty part."""
+    return F.concat_ws(sep, *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns])

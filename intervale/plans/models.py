@@ -12,8 +12,10 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from intervale.operators import discriminants as D
 from intervale.operators import graph as G
 from intervale.operators import neighbours as N
+from intervale.operators import layout as L
 from intervale.operators import models as M
 from intervale.operators import relational as R
 from intervale.operators import trees as B
@@ -319,3 +321,26 @@ def sample_importance(spark: SparkSession, d: str) -> DataFrame:
     """How much each sample tells of a segment's group (of three), by boosted trees: mean absolute attribution, and five-fold accuracy."""
     rows = segments(spark, d).select("unit", "samples", (F.col("grp") % 3).alias("label"))
     return r6(B.importance(rows, saved, rounds=3, n_bins=8), "mean_abs", "accuracy")
+
+
+def _three_groups(spark: SparkSession, d: str) -> DataFrame:
+    return D.stratified(segments(spark, d).select("unit", "samples", (F.col("grp") % 3).alias("label")), 5, saved)
+
+
+@query()
+def decode_discriminant(spark: SparkSession, d: str) -> DataFrame:
+    """Rows and hits of linear discriminants of three groups of segments, by fold."""
+    return D.decode_discriminant(_three_groups(spark, d), 5)
+
+
+@query()
+def decode_kernel(spark: SparkSession, d: str) -> DataFrame:
+    """Rows and hits of machines with a radial kernel on three groups of segments, by fold."""
+    return D.decode_kernel(_three_groups(spark, d), 5, size=64)
+
+
+@query()
+def graph_layout(spark: SparkSession, d: str) -> DataFrame:
+    """Places of all segments in a plane, by the weighted graph of their nearest ones."""
+    s = segments(spark, d)
+    return L.laid_out(_weighted(spark, d), L.started(s, saved), saved, epochs=20)

@@ -16,6 +16,7 @@ from intervale.operators import graph as G
 from intervale.operators import models as M
 from intervale.operators import replicates as B
 from intervale.operators.chunks import matrices_by_length
+from intervale.operators.neighbours import usable
 from intervale.plans.events import EV, r6
 from intervale.plans.models import FOLDS, _folds
 from intervale.plans.nulls import N, shuffled_sql
@@ -26,6 +27,8 @@ from intervale.sources.tables import DAY, HOUR, any_flag, points, segments, tabl
 HALF = 32
 PENALTIES = [float(p) for p in 10.0 ** np.arange(-2, 4)]
 RANKS = list(range(1, 11))
+#: Pairs of labels that are matched on the driver, at most.
+LABEL_PAIRS = 1 << 20
 #: Resamples of the channels.
 RESAMPLES = 100
 
@@ -307,7 +310,8 @@ def phase_concentration(spark: SparkSession, d: str) -> DataFrame:
 SELECT grp, count(*)::BIGINT AS pairs, round(avg(v), 6) AS mean, round(median(v), 6) AS median, round(min(v), 6) AS low, round(max(v), 6) AS high FROM p GROUP BY 1""")
 def group_distances(spark: SparkSession, d: str) -> DataFrame:
     """Distances between the segments of each group: mean, median and range, from counts by distance in ten-thousandths."""
-    s = segments(spark, d).select("unit", F.col("grp").cast("long").alias("cell"), "samples")
+    every = segments(spark, d)  # of segments with nulls or another length there is no distance
+    s = usable(every.select("unit", "samples")).join(every.select("unit", F.col("grp").cast("long").alias("cell")), "unit").where("cell IS NOT NULL")
     counted = s.join(s.groupBy("cell").agg(F.count(F.lit(1)).alias("n")), "cell")
     cells = G.pair_distances(counted, 10_000)
     by = Window.partitionBy("grp")
@@ -323,7 +327,10 @@ def group_distances(spark: SparkSession, d: str) -> DataFrame:
 def assignment_accuracy(spark: SparkSession, d: str) -> DataFrame:
     """Share of segments whose group agrees with a split by the place of their largest sample, under the best matching of the labels."""
     s = segments(spark, d).select("grp", F.pmod(F.array_position("samples", F.array_max("samples")), F.lit(10)).alias("other"))
-    cells = s.groupBy("grp", "other").agg(F.count(F.lit(1)).alias("n")).collect()  # labels squared
+    counts = s.where("grp IS NOT NULL AND other IS NOT NULL").groupBy("grp", "other").agg(F.count(F.lit(1)).alias("n"))
+    cells = counts.limit(LABEL_PAIRS + 1).collect()
+    if len(cells) > LABEL_PAIRS:
+        raise ValueError(f"more than {LABEL_PAIRS} pairs of labels to match")
     rows, columns = sorted({r["grp"] for r in cells}), sorted({r["other"] for r in cells})
     table = np.zeros((len(rows), len(columns)))
     for r in cells:
