@@ -343,4 +343,4 @@ def decode_kernel(spark: SparkSession, d: str) -> DataFrame:
 def graph_layout(spark: SparkSession, d: str) -> DataFrame:
     """Places of all segments in a plane, by the weighted graph of their nearest ones."""
     s = segments(spark, d)
-    return L.laid_out(_weighted(spark, d), L.started(s, saved), saved, epochs=20)
+    return L.laid_out(_weighted(spark, d), L.started(s, saved), saved, epochs=10)
