@@ -1,12 +1,13 @@
 """Linear models from second moments.
 
-One pass sums each task's products of samples; Spark adds the sums. What reaches the driver is one small matrix per group and fold,
-whose size is the number of samples squared and does not depend on the rows. Cross-validation subtracts a fold's sums from the total.
+One pass sums each task's products of samples; Spark adds the sums. What reaches the driver is one small matrix per fold, whose size is
+the number of samples squared and does not depend on the rows. Models of groups are solved in the tasks, a group at a time.
+Cross-validation subtracts a fold's sums from the total.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from math import lgamma
 
 import numpy as np
@@ -52,6 +53,43 @@ def matrices(found: DataFrame) -> dict[int, np.ndarray]:
     return {k: np.array([v[i] for i in range(len(v))]).reshape(usual + 1, usual + 1) for (k, width), v in sorted(out.items()) if width == usual}
 
 
+def whole(found: DataFrame) -> np.ndarray | None:
+    """The moment matrix of all keys' rows of the length that most rows have, None without rows. The keys are summed before it is fetched."""
+    usual = found.where("cell = 0").groupBy("width").agg(F.sum("total").alias("n")).orderBy(F.desc("n"), F.desc("width")).first()
+    if usual is None:
+        return None
+    size = usual["width"] + 1
+    out = np.zeros(size * size)
+    for r in found.where(F.col("width") == usual["width"]).groupBy("cell").agg(F.sum("total").alias("total")).toLocalIterator():
+        out[r["cell"]] = r["total"]
+    return out.reshape(size, size)
+
+
+KINDS = {"long": pa.int64(), "double": pa.float64(), "string": pa.string(), "boolean": pa.bool_(), "array<double>": pa.list_(pa.float64())}
+
+
+def solved(found: DataFrame, fit: Callable[[int, int, dict[int, np.ndarray]], list[tuple]], schema: str, folds: int = 1) -> DataFrame:
+    """The rows that ``fit(group, width, matrices by fold)`` gives for each group and length of row, solved in the tasks.
+
+    Keys are group * ``folds`` + fold. A task holds one group's matrices at a time, ``folds`` of them at most; none reaches the driver.
+    """
+    names, kinds = [c.split()[0] for c in schema.split(", ")], [KINDS[c.split()[1]] for c in schema.split(", ")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for grp, width, cells in zip(*(batch.column(i) for i in range(3)), strict=True):
+                size = width.as_py() + 1
+                keys, at, total = (cells.values.field(i).to_numpy() for i in range(3))
+                by_fold = {int(k) % folds: np.zeros(size * size) for k in np.unique(keys)}
+                for k in np.unique(keys):
+                    by_fold[int(k) % folds][at[keys == k]] = total[keys == k]
+                rows = fit(grp.as_py(), size - 1, {k: m.reshape(size, size) for k, m in sorted(by_fold.items())})
+                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=names)
+
+    one = found.groupBy(F.floor(F.col("key") / folds).alias("grp"), "width").agg(F.collect_list(F.struct("key", "cell", "total")).alias("cells"))
+    return one.mapInArrow(run, schema)
+
+
 def covariance(m: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
     """(mean, population covariance, n) of a moment matrix."""
     n = m[0, 0]
@@ -258,11 +296,19 @@ def fitted_shape(t: np.ndarray, y: np.ndarray, rounds: int = 80) -> tuple[np.nda
     return p, float(1 - cost / spread) if spread > 0 else float("nan")
 
 
-def split_spaces(w: np.ndarray, tolerance: float = 1e-3) -> tuple[np.ndarray, np.ndarray]:
-    """Orthonormal bases (as columns) of what a map x W lets through and of what it does not; at least one direction is let through."""
+def split_spaces(w: np.ndarray, tolerance: float = 1e-3, scatter: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Orthonormal bases (as columns) of what a map x W lets through and of what it does not; at least one direction is let through.
+
+    A map says nothing of the axes inside the second space, which rounding would choose. With ``scatter``, a covariance of x, they are its
+    principal axes there, greatest variance first. Each direction's largest loading is positive.
+    """
     left, value, _ = np.linalg.svd(w, full_matrices=True)
     rank = max(1, int((value > tolerance * value[0]).sum()))
-    return left[:, :rank], left[:, rank:]
+    potent, null = left[:, :rank], left[:, rank:]
+    if scatter is not None and null.shape[1]:
+        null = null @ np.linalg.eigh(null.T @ scatter @ null)[1][:, ::-1]
+    signed = lambda basis: basis * np.where(basis[np.abs(basis).argmax(axis=0), np.arange(basis.shape[1])] < 0, -1.0, 1.0)
+    return signed(potent), signed(null)
 
 
 def fisher_exact(a: int, b: int, c: int, d: int) -> float:

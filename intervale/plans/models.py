@@ -21,7 +21,7 @@ from intervale.operators import relational as R
 from intervale.operators import trees as B
 from intervale.operators import tuning as T
 from intervale.operators.chunks import matrices_by_length
-from intervale.plans.events import _acg, r6
+from intervale.plans.events import EV, _acg, r6
 from intervale.plans.registry import query
 from intervale.plans.segments import SG, _phases, _widths
 from intervale.sources.scratch import saved
@@ -53,9 +53,13 @@ def pca_scores(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def pca_dimensions(spark: SparkSession, d: str) -> DataFrame:
-    """Participation ratio and the dimensions that hold 90 % of the variance, by group, centred or not."""
-    rows = [(g, centred, M.participation_ratio(v), M.dimension(v, 0.9)) for g, m in M.matrices(M.moments(segments(spark, d), "grp")).items() for centred in (True, False) for v in [M.principal(m, 1, centred)[2].clip(0)]]
-    return spark.createDataFrame(rows, "grp long, centred boolean, participation double, dimensions long")
+    """Participation ratio and the dimensions that hold 90 % of the variance, by group and length of its segments, centred or not."""
+
+    def fit(grp: int, width: int, own: dict[int, np.ndarray]) -> list[tuple]:
+        values = [(centred, M.principal(own[0], 1, centred)[2].clip(0)) for centred in (True, False)]
+        return [(grp, width, int(own[0][0, 0]), centred, M.participation_ratio(v), M.dimension(v, 0.9)) if v.sum() > 0 else (grp, width, int(own[0][0, 0]), centred, None, None) for centred, v in values]
+
+    return M.solved(M.moments(segments(spark, d), "grp"), fit, "grp long, width long, n long, centred boolean, participation double, dimensions long")
 
 
 @query()
@@ -118,14 +122,22 @@ def gmm_antimode(spark: SparkSession, d: str) -> DataFrame:
     return w.select("unit", F.when(F.col("w") < split, "narrow").when(F.col("w") >= split, "broad").otherwise("invalid").alias("side"))
 
 
-@query()
+RATIOS = [0.0, *(2.0 ** np.arange(-10, 4)).tolist()]
+
+
+@query(f"""WITH {EV}, p AS (SELECT unit, (mark = 'click')::INT::DOUBLE AS x, ln(value) AS y FROM e WHERE value > 0), u AS (SELECT unit, count(*)::DOUBLE AS n, sum(x) AS x, sum(y) AS y, sum(x * x) AS xx, sum(x * y) AS xy, sum(y * y) AS yy FROM p GROUP BY 1),
+r AS (SELECT unnest({RATIOS}::DOUBLE[]) AS ratio), w AS (SELECT *, ratio / (1 + ratio * n) AS w FROM u CROSS JOIN r),
+c AS (SELECT ratio, sum(n) - 2 AS free, sum(n - w * n * n) AS nn, sum(x - w * n * x) AS nx, sum(y - w * n * y) AS ny, sum(xx - w * x * x) AS xx, sum(xy - w * x * y) AS xy, sum(yy - w * y * y) AS yy, sum(ln(1 + ratio * n)) AS ld FROM w GROUP BY 1),
+b AS (SELECT *, nn * xx - nx * nx AS det, (xx * ny - nx * xy) / (nn * xx - nx * nx) AS b0, (nn * xy - nx * ny) / (nn * xx - nx * nx) AS b1 FROM c), k AS (SELECT *, (yy - b0 * ny - b1 * xy) / free AS scale FROM b),
+l AS (SELECT ratio, b1, sqrt(scale * nn / det) AS se, -0.5::DOUBLE * (free * ln(scale) + ld + ln(det)) AS likelihood FROM k)
+SELECT ratio, round(b1, 6) AS beta, round(se, 6) AS se, round(likelihood, 6) AS likelihood, row_number() OVER (ORDER BY likelihood DESC, ratio) = 1 AS chosen FROM l""")
 def lme_beta(spark: SparkSession, d: str) -> DataFrame:
     """Effect of clicks against other marks on log value, with a random intercept per unit, by restricted likelihood."""
     p = points(spark, d).where("value > 0").select("unit", (F.col("mark") == "click").cast("double").alias("x"), F.log("value").alias("y"))
     sums = p.groupBy("unit").agg(F.count(F.lit(1)).cast("double").alias("n"), *[F.sum(c).alias(a) for a, c in (("x", F.col("x")), ("y", F.col("y")), ("xx", F.col("x") * F.col("x")), ("xy", F.col("x") * F.col("y")), ("yy", F.col("y") * F.col("y")))])
-    found = M.random_intercept(sums, [0.0, *(2.0 ** np.arange(-10, 4)).tolist()])
+    found = M.random_intercept(sums, RATIOS)
     best = max(found, key=lambda r: r["likelihood"])
-    return spark.createDataFrame([(r["ratio"], r["beta"], r["se"], r["likelihood"], r is best) for r in found], "ratio double, beta double, se double, likelihood double, chosen boolean")
+    return r6(spark.createDataFrame([(r["ratio"], r["beta"], r["se"], r["likelihood"], r is best) for r in found], "ratio double, beta double, se double, likelihood double, chosen boolean"), "beta", "se", "likelihood")
 
 
 @query()
@@ -271,15 +283,23 @@ def spectral_stability(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def null_space_split(spark: SparkSession, d: str) -> DataFrame:
-    """Variance of the first half of the segments in the directions that a rank-3 map to the second half uses, and in the others, by group."""
-    by_group = M.matrices(M.moments(segments(spark, d), "grp"))
-    potent, null = M.split_spaces(M.reduced_rank(sum(by_group.values()), 32, 10.0, 3))
-    rows = []
-    for g, m in by_group.items():
-        cov = M.covariance(m)[1][:32, :32]
+    """Variance of the first half of the segments in the directions that a rank-3 map to the second half uses, and in the others, by group.
+
+    The map is of all segments of the commonest length; those of another one are counted in rows of their own, without variances.
+    """
+    found = saved(M.moments(segments(spark, d), "grp"))
+    m = M.whole(found)
+    potent, null = M.split_spaces(M.reduced_rank(m, 32, 10.0, 3), scatter=M.covariance(m)[1][:32, :32]) if m is not None else (None, None)
+
+    def fit(grp: int, width: int, own: dict[int, np.ndarray]) -> list[tuple]:
+        n, r = int(own[0][0, 0]), potent.shape[1]
+        if width != len(m) - 1:
+            return [(grp, n, r, None, None, None)]
+        cov = M.covariance(own[0])[1][:32, :32]
         energy = [float(np.trace(b.T @ cov @ b)) for b in (potent, null)]
-        rows.append((g, potent.shape[1], *energy, energy[1] / energy[0] / (null.shape[1] / potent.shape[1]) if energy[0] > 0 else None))
-    return spark.createDataFrame(rows, "grp long, rank long, potent double, outside double, ratio double")
+        return [(grp, n, r, *energy, energy[1] / energy[0] / (null.shape[1] / r) if energy[0] > 0 else None)]
+
+    return M.solved(found, fit, "grp long, n long, rank long, potent double, outside double, ratio double")
 
 
 @query("""WITH t AS (SELECT count(*) FILTER (quality = 0 AND toxic = 0) AS a, count(*) FILTER (quality = 0 AND toxic = 1) AS b, count(*) FILTER (quality = 1 AND toxic = 0) AS c, count(*) FILTER (quality = 1 AND toxic = 1) AS d FROM labels WHERE quality IN (0, 1) AND toxic IN (0, 1)),

@@ -15,7 +15,9 @@ from intervale.operators.chunks import by_row, matrices_by_length, over_chunks
 from intervale.operators.replicates import cycles as cycles_of
 from intervale.operators.replicates import lots, row_groups
 from intervale.operators.sampled import chunked
+from intervale.plans.events import EV, r6
 from intervale.plans.registry import query
+from intervale.plans.segments import SG
 from intervale.sources.tables import HOUR, points, segments
 
 RATE = 64.0
@@ -54,16 +56,37 @@ def _group_power(spark: SparkSession, d: str, kernel: Callable, schema: str, win
     means = cells.groupBy("grp", "frequency", "window").agg(F.count("p").alias("n"), F.avg("p").alias("power"), F.sum(F.col("p") * F.col("p")).alias("pp"))
     first = means.where(F.col("window") < max(1, windows // 4)).groupBy("frequency").agg((F.sum(F.col("power") * F.col("n")) / F.sum("n")).alias("m"), (F.sum("pp") / F.sum("n")).alias("mm"))
     sd = F.sqrt(F.greatest(F.col("mm") - F.col("m") * F.col("m"), F.lit(0.0)))
-    return means.join(F.broadcast(first), "frequency").select("grp", "frequency", "window", "n", F.when(F.col("power") > 0, 10 * F.log10("power")).alias("db"), F.when(sd > 0, (F.col("power") - F.col("m")) / sd).alias("z"))
+    found = means.join(F.broadcast(first), "frequency").select("grp", "frequency", "window", "n", F.when(F.col("power") > 0, 10 * F.log10("power")).alias("db"), F.when(sd > 0, (F.col("power") - F.col("m")) / sd).alias("z"))
+    return r6(found, "db", "z")
 
 
-@query()
+def group_power_sql(power: str, windows: int) -> str:
+    """Decibels and z-scores by group from the CTEs in ``power``, the last of which is c: grp, frequency, win, p."""
+    return f"""WITH {SG}, {power}, m AS (SELECT grp, frequency, win, count(p) AS n, avg(p) AS power, sum(p * p) AS pp FROM c GROUP BY 1, 2, 3),
+f AS (SELECT frequency, sum(power * n) / sum(n) AS mu, sum(pp) / sum(n) AS mm FROM m WHERE win < {max(1, windows // 4)} GROUP BY 1), q AS (SELECT frequency, mu, sqrt(greatest(mm - mu * mu, 0)) AS sd FROM f)
+SELECT grp, frequency::BIGINT AS frequency, win::BIGINT AS "window", n::BIGINT AS n, round(CASE WHEN power > 0 THEN 10 * log10(power) END, 6) AS db, round(CASE WHEN sd > 0 THEN (power - mu) / sd END, 6) AS z FROM m JOIN q USING (frequency)"""
+
+
+# a window's Fourier sum is an inner product with 64 weights: the taper's wave inside the window, less its mean there, and 0 outside
+STFT_SQL = """t AS (SELECT win, frequency, i, (0.5::DOUBLE - 0.5::DOUBLE * cos(2 * pi() * i / 32)) AS w, 2 * pi() * frequency * i / 32 AS turn FROM range(5) a(win) CROSS JOIN range(17) b(frequency) CROSS JOIN range(32) c(i)),
+u AS (SELECT win, frequency, win * 8 + i AS j, w * cos(turn) - avg(w * cos(turn)) OVER o AS re, w * sin(turn) - avg(w * sin(turn)) OVER o AS im FROM t WINDOW o AS (PARTITION BY win, frequency)),
+v AS (SELECT g.win, g.frequency, list(coalesce(re, 0) ORDER BY g.j) AS re, list(coalesce(im, 0) ORDER BY g.j) AS im FROM (SELECT * FROM range(5) a(win) CROSS JOIN range(17) b(frequency) CROSS JOIN range(64) c(j)) g LEFT JOIN u ON u.win = g.win AND u.frequency = g.frequency AND u.j = g.j GROUP BY 1, 2),
+c AS (SELECT grp, frequency, win, (pow(list_inner_product(x, re), 2) + pow(list_inner_product(x, im), 2)) / 12 AS p FROM s CROSS JOIN v)"""
+
+
+@query(group_power_sql(STFT_SQL, 5))
 def stft_groups(spark: SparkSession, d: str) -> DataFrame:
     """Hann spectrograms (32 samples, steps of 8) by group."""
     return _group_power(spark, d, lambda x: {"power": K.spectrogram(x, 32, 8).reshape(len(x), -1)}, "unit long, power array<double>", 5, 17)
 
 
-@query()
+# a real wavelet around each of 64 samples; the squares are averaged over eight samples
+CWT_SQL = f"""h AS (SELECT unnest({[float(f) for f in FREQUENCIES]}::DOUBLE[]) AS f, unnest(range({len(FREQUENCIES)})) AS frequency),
+v AS (SELECT frequency, pos, list(cos(2 * pi() * f * (pos - i) / {RATE}::DOUBLE) * exp(-0.5::DOUBLE * pow((pos - i) / {RATE}::DOUBLE * 2 * pi() * f / 5, 2)) * sqrt(f / {RATE}::DOUBLE) ORDER BY i) AS k FROM h CROSS JOIN range(64) a(pos) CROSS JOIN range(64) b(i) GROUP BY 1, 2),
+c AS (SELECT grp, frequency, pos // 8 AS win, avg(pow(list_inner_product(x, k), 2)) AS p FROM s CROSS JOIN v GROUP BY grp, unit, frequency, pos // 8)"""
+
+
+@query(group_power_sql(CWT_SQL, 8))
 def cwt_groups(spark: SparkSession, d: str) -> DataFrame:
     """Wavelet power on six log-spaced frequencies, in eight windows, by group."""
 
@@ -210,7 +233,12 @@ def chunked_envelope(spark: SparkSession, d: str) -> DataFrame:
     return found.select("mark", "chunk", F.round(F.aggregate("samples", F.lit(0.0), lambda a, v: a + v) / F.size("samples"), 6).alias("envelope"))
 
 
-@query()
+@query(f"""WITH {EV}, a AS (SELECT mark, t // {HOUR} AS i, sum(value) AS v FROM e WHERE mark IS NOT NULL GROUP BY 1, 2), k AS (SELECT DISTINCT mark, i // {SIZE} AS c FROM a),
+b AS (SELECT k.mark, k.c, CASE WHEN p.c IS NULL THEN 0 ELSE 24 END AS before, CASE WHEN q.c IS NULL THEN 0 ELSE 24 END AS after FROM k LEFT JOIN k p ON p.mark = k.mark AND p.c = k.c - 1 LEFT JOIN k q ON q.mark = k.mark AND q.c = k.c + 1),
+d AS (SELECT mark, 2 * c + h AS day, least(greatest((2 * c + h) * 24 - 12, {SIZE} * c - before), {SIZE} * c + after) AS low FROM b CROSS JOIN range(2) r(h)),
+x AS (SELECT d.mark, d.day, n.n, 0.5::DOUBLE - 0.5::DOUBLE * cos(2 * pi() * n.n / 48) AS w, coalesce(a.v, 0) AS v FROM d CROSS JOIN range(48) n(n) LEFT JOIN a ON a.mark = d.mark AND a.i = d.low + n.n),
+z AS (SELECT mark, day, n, w * (v - avg(v) OVER (PARTITION BY mark, day)) AS v FROM x)
+SELECT mark, day::BIGINT AS day, f::BIGINT AS frequency, round((pow(sum(v * cos(2 * pi() * f * n / 48)), 2) + pow(sum(v * sin(2 * pi() * f * n / 48)), 2)) / 18, 4) AS power FROM z CROSS JOIN range(1, 25) r(f) GROUP BY 1, 2, 3""")
 def chunked_spectrogram(spark: SparkSession, d: str) -> DataFrame:
     """Power of each mark's hourly sums by day and frequency (Hann windows of two days around each day), over chunks with borders."""
 
@@ -228,4 +256,4 @@ def chunked_spectrogram(spark: SparkSession, d: str) -> DataFrame:
 
     found = over_chunks(hourly(spark, d), ["mark"], SIZE, 24, kernel)
     each = found.select("mark", "i0", F.posexplode("samples").alias("k", "power")).where("NOT isnan(power)")
-    return each.select("mark", F.floor((F.col("i0") + F.col("k")) / 24).alias("day"), (F.col("k") % 24 + 1).cast("long").alias("frequency"), F.round("power", 6).alias("power"))
+    return each.select("mark", F.floor((F.col("i0") + F.col("k")) / 24).alias("day"), (F.col("k") % 24 + 1).cast("long").alias("frequency"), F.round("power", 4).alias("power"))

@@ -19,9 +19,10 @@ from intervale.operators.chunks import matrices_by_length
 from intervale.operators.neighbours import usable
 from intervale.plans.events import EV, r6
 from intervale.plans.models import FOLDS, _folds
-from intervale.plans.nulls import N, shuffled_sql
+from intervale.plans.nulls import N, lot_of, shuffled_sql
 from intervale.plans.registry import query
-from intervale.plans.segments import SG, _phases, _widths
+from intervale.plans.segments import PH, SG, _phases, _widths
+from intervale.sources.scratch import saved
 from intervale.sources.tables import DAY, HOUR, any_flag, points, segments, table
 
 HALF = 32
@@ -71,25 +72,28 @@ def rrr_bootstrap(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def fa_dim_by_group(spark: SparkSession, d: str) -> DataFrame:
-    """Factors, shared dimensions and cumulative shares of each group's source and target half; groups with too few segments give nulls."""
-    s = segments(spark, d).withColumn("key", F.col("grp") * FOLDS + F.pmod("unit", F.lit(FOLDS)))
-    by_key, rows = M.matrices(M.moments(s, "key")), []
-    for g in sorted({k // FOLDS for k in by_key}):
-        folds = {k: m for k, m in by_key.items() if k // FOLDS == g}
+    """Factors, shared dimensions and cumulative shares of each group's source and target half; groups with too few segments give nulls.
+
+    So do segments that are not of two halves, which are counted in rows of their own.
+    """
+
+    def fit(grp: int, width: int, folds: dict[int, np.ndarray]) -> list[tuple]:
+        n = int(sum(m[0, 0] for m in folds.values()))
+        if n < 4 * (HALF // 4) or len(folds) < 2 or width != 2 * HALF:
+            return [(grp, side, n, None, None, None) for side in ("source", "target")]
+        rows = []
         for side, at in (("source", 0), ("target", HALF)):
             # block means of four samples, as the samples of a half are too many for a group's segments
             mix = np.zeros((1 + HALF // 4, 1 + 2 * HALF))
             mix[0, 0] = 1
             for b in range(HALF // 4):
                 mix[1 + b, 1 + at + 4 * b : 1 + at + 4 * b + 4] = 0.25
-            own = {k: mix @ m @ mix.T for k, m in folds.items()}
-            n = sum(m[0, 0] for m in own.values())
-            if n < 4 * (HALF // 4) or len(own) < 2:
-                rows.append((g, side, int(n), None, None, None))
-                continue
-            best, dims, values = M.factor_dimension(own, 4)
-            rows.append((g, side, int(n), best, dims, [float(v) for v in M.padded_curve(values[: max(best, 1)], 6)]))
-    return spark.createDataFrame(rows, "grp long, side string, n long, factors long, dimensions long, curve array<double>")
+            best, dims, values = M.factor_dimension({k: mix @ m @ mix.T for k, m in folds.items()}, 4)
+            rows.append((grp, side, n, best, dims, M.padded_curve(values[: max(best, 1)], 6).tolist()))
+        return rows
+
+    s = segments(spark, d).withColumn("key", F.col("grp") * FOLDS + F.pmod("unit", F.lit(FOLDS)))
+    return M.solved(M.moments(s, "key"), fit, "grp long, side string, n long, factors long, dimensions long, curve array<double>", FOLDS)
 
 
 @query()
@@ -113,58 +117,72 @@ def trial_dimensions(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def null_space_permutation(spark: SparkSession, d: str) -> DataFrame:
-    """Energy in the directions that the map uses and in the others, against a thousand permutations of the directions, by group."""
-    by_group = M.matrices(M.moments(segments(spark, d), "grp"))
-    potent, null = M.split_spaces(M.reduced_rank(sum(by_group.values()), HALF, 10.0, 3))
-    every, r, rows = np.hstack([potent, null]), potent.shape[1], []
-    picks = [np.random.default_rng([3, i]).permutation(HALF)[:r] for i in range(N)]
-    for g, m in by_group.items():
-        energy = np.diag(every.T @ M.covariance(m)[1][:HALF, :HALF] @ every)
-        drawn = np.array([energy[p].sum() for p in picks])
-        rows.append((g, r, float(energy[:r].sum()), float(energy[r:].sum()), float(drawn.mean()), float(((drawn >= energy[:r].sum()).sum() + 1) / (N + 1))))
-    return spark.createDataFrame(rows, "grp long, rank long, potent double, outside double, permuted_mean double, p double")
+    """Energy in the directions that the map uses and in the others, against a thousand permutations of the directions, by group.
+
+    The map is of all segments of the commonest length; those of another one are counted in rows of their own, without energies.
+    """
+    found = saved(M.moments(segments(spark, d), "grp"))
+    m = M.whole(found)
+    potent, null = M.split_spaces(M.reduced_rank(m, HALF, 10.0, 3), scatter=M.covariance(m)[1][:HALF, :HALF]) if m is not None else (np.zeros((HALF, 0)), np.eye(HALF))
+    every, r = np.hstack([potent, null]), potent.shape[1]
+    picks = np.array([np.random.default_rng([3, i]).permutation(HALF)[:r] for i in range(N)])
+
+    def fit(grp: int, width: int, own: dict[int, np.ndarray]) -> list[tuple]:
+        n = int(own[0][0, 0])
+        if width != len(m) - 1:
+            return [(grp, n, r, None, None, None, None)]
+        energy = np.diag(every.T @ M.covariance(own[0])[1][:HALF, :HALF] @ every)
+        drawn = energy[picks].sum(axis=1)
+        return [(grp, n, r, float(energy[:r].sum()), float(energy[r:].sum()), float(drawn.mean()), float(((drawn >= energy[:r].sum()).sum() + 1) / (N + 1)))]
+
+    return M.solved(found, fit, "grp long, n long, rank long, potent double, outside double, permuted_mean double, p double")
 
 
 @query()
 def null_space_centroids(spark: SparkSession, d: str) -> DataFrame:
-    """Each group's mean segment, half by half, along the directions that the map uses and the first ones of the others."""
-    by_group = M.matrices(M.moments(segments(spark, d), "grp"))
-    potent, null = M.split_spaces(M.reduced_rank(sum(by_group.values()), HALF, 10.0, 3))
-    rows = []
-    for g, m in by_group.items():
-        mean = M.covariance(m)[0]
-        for epoch, part in (("first", mean[:HALF]), ("second", mean[HALF:])):
-            for space, basis in (("potent", potent), ("null", null[:, :3])):
-                rows += [(g, epoch, space, k, float(v)) for k, v in enumerate(basis.T @ part)]
-    return spark.createDataFrame(rows, "grp long, epoch string, space string, direction long, value double")
+    """Each group's mean segment, half by half, along the directions that the map uses and the others' three of greatest variance."""
+    found = saved(M.moments(segments(spark, d), "grp"))
+    m = M.whole(found)
+    potent, null = M.split_spaces(M.reduced_rank(m, HALF, 10.0, 3), scatter=M.covariance(m)[1][:HALF, :HALF]) if m is not None else (None, None)
+
+    def fit(grp: int, width: int, own: dict[int, np.ndarray]) -> list[tuple]:
+        mean = own[0][0, 1:] / own[0][0, 0]
+        halves, bases = (("first", mean[:HALF]), ("second", mean[HALF:])), (("potent", potent), ("null", null[:, :3]))
+        return [(grp, epoch, space, k, float(v)) for epoch, part in halves for space, basis in bases for k, v in enumerate(basis.T @ part)] if width == len(m) - 1 else []
+
+    return M.solved(found, fit, "grp long, epoch string, space string, direction long, value double")
 
 
 @query()
 def null_space_by_flag(spark: SparkSession, d: str) -> DataFrame:
     """Tuning ratio of a map between two populations of samples split by a flag (their variance above the median), overall and by sample.
 
-    The rank is the first whose singular values hold more than 90 % of the variance.
+    The rank is the first whose singular values hold more than 90 % of the variance. Groups count by their means, whose scatter is one
+    more moment matrix.
     """
-    by_group = M.matrices(M.moments(segments(spark, d), "grp"))
-    whole = sum(by_group.values())
+    schema = "sample long, rank long, potent double, outside double, ratio double"
+    found = saved(M.moments(segments(spark, d), "grp"))
+    whole = M.whole(found)
+    if whole is None:
+        return spark.createDataFrame([], schema)
     spread = np.diag(M.covariance(whole)[1])
     flag = spread > np.median(spread)
     source, target = np.flatnonzero(flag), np.flatnonzero(~flag)
     take = np.concatenate([[0], 1 + source, 1 + target])
-    m = whole[np.ix_(take, take)]
-    w = M.ridge(m, len(source), 10.0)
+    w = M.ridge(whole[np.ix_(take, take)], len(source), 10.0)
     left, value, _ = np.linalg.svd(w, full_matrices=True)
     rank = min(int((np.cumsum(value**2) / (value**2).sum() <= 0.9).sum()) + 1, len(source) - 1)
-    means = np.array([M.covariance(g)[0][source] for g in by_group.values()])
-    tuned = means - means.mean(axis=0)
-    energy = lambda basis: float(((tuned @ basis) ** 2).sum())
+    means = M.solved(found, lambda grp, width, own: [(0, (own[0][0, 1:] / own[0][0, 0]).tolist())] if width == len(whole) - 1 else [], "zero long, samples array<double>")
+    _, scatter, groups = M.covariance(M.whole(M.moments(means, "zero")))
+    scatter = groups * scatter[np.ix_(source, source)]
+    energy = lambda basis: float(np.trace(basis.T @ scatter @ basis))
     potent, null = left[:, :rank], left[:, rank:]
     gamma = null.shape[1] / potent.shape[1]
     rows = [(None, rank, energy(potent), energy(null), energy(null) / energy(potent) / gamma if energy(potent) > 0 else None)]
     for k, s in enumerate(source):
-        own = [float(((tuned[:, k : k + 1] @ b[k : k + 1]) ** 2).sum()) for b in (potent, null)]
+        own = [float(scatter[k, k] * (b[k] ** 2).sum()) for b in (potent, null)]
         rows.append((int(s), rank, *own, own[1] / own[0] / gamma if own[0] > 0 else None))
-    return spark.createDataFrame(rows, "sample long, rank long, potent double, outside double, ratio double")
+    return spark.createDataFrame(rows, schema)
 
 
 @query()
@@ -323,7 +341,10 @@ def group_distances(spark: SparkSession, d: str) -> DataFrame:
     return stats.select("grp", "pairs", *[F.round(F.col(c) / 10_000, 6).alias(c) for c in ("mean", "median", "low", "high")])
 
 
-@query()
+@query(f"""WITH RECURSIVE {SG}, c AS (SELECT grp, list_position(x, list_max(x)) % 10 AS other, count(*) AS n FROM s WHERE grp IS NOT NULL AND x IS NOT NULL GROUP BY 1, 2), r AS (SELECT grp, row_number() OVER (ORDER BY grp) AS row FROM (SELECT DISTINCT grp FROM c)),
+d AS (SELECT row, b.other, coalesce(c.n, 0) AS n FROM r CROSS JOIN range(10) b(other) LEFT JOIN c ON c.grp = r.grp AND c.other = b.other),
+best AS (SELECT 0::BIGINT AS row, 0::BIGINT AS used, 0::BIGINT AS total UNION ALL SELECT b.row + 1, b.used | (1::BIGINT << d.other), max(b.total + d.n)::BIGINT FROM best b JOIN d ON d.row = b.row + 1 AND (b.used & (1::BIGINT << d.other)) = 0 GROUP BY 1, 2)
+SELECT (SELECT sum(n) FROM c)::BIGINT AS n, round((SELECT max(total) FROM best) / (SELECT sum(n) FROM c)::DOUBLE, 6) AS accuracy""")
 def assignment_accuracy(spark: SparkSession, d: str) -> DataFrame:
     """Share of segments whose group agrees with a split by the place of their largest sample, under the best matching of the labels."""
     s = segments(spark, d).select("grp", F.pmod(F.array_position("samples", F.array_max("samples")), F.lit(10)).alias("other"))
@@ -335,7 +356,7 @@ def assignment_accuracy(spark: SparkSession, d: str) -> DataFrame:
     table = np.zeros((len(rows), len(columns)))
     for r in cells:
         table[rows.index(r["grp"]), columns.index(r["other"])] = r["n"]
-    return spark.createDataFrame([(int(table.sum()), float(M.best_assignment(table) / table.sum()))], "n long, accuracy double")
+    return r6(spark.createDataFrame([(int(table.sum()), float(M.best_assignment(table) / table.sum()))], "n long, accuracy double"), "accuracy")
 
 
 @query(f"""WITH {EV}, g AS (SELECT unit, t, t - lag(t) OVER (PARTITION BY unit ORDER BY t, point_id) AS gap FROM e), a AS (SELECT unit, count(*)::DOUBLE AS n, count(*) FILTER (gap > 0 AND gap < {HOUR // 4})::DOUBLE AS viol, (max(t) - min(t))::DOUBLE / {HOUR}::DOUBLE AS span FROM g GROUP BY 1)
@@ -384,7 +405,10 @@ def threshold_titration(spark: SparkSession, d: str) -> DataFrame:
     return r6(found.where("n_click >= 5 AND n_view >= 5"), "effect")
 
 
-@query()
+@query(f"""WITH {PH}, q AS (SELECT unit, mark, ph, point_id FROM p WHERE mark IN ('click', 'view')), k AS (SELECT unit, min(c) AS n FROM (SELECT unit, mark, count(*) AS c FROM q GROUP BY 1, 2) GROUP BY 1 HAVING count(*) = 2),
+o AS (SELECT q.unit, q.mark, q.ph, k.n, r.rep, row_number() OVER (PARTITION BY q.unit, q.mark, r.rep ORDER BY {lot_of('q.point_id')}, q.point_id) AS place FROM q JOIN k ON k.unit = q.unit CROSS JOIN range(1, 201) r(rep)),
+v AS (SELECT unit, mark, rep, any_value(n) AS n, sqrt(pow(sum(cos(ph)), 2) + pow(sum(sin(ph)), 2)) / any_value(n) AS mvl FROM o WHERE place <= n GROUP BY 1, 2, 3)
+SELECT unit, mark, max(n)::BIGINT AS n, round(avg(mvl), 6) AS mvl FROM v GROUP BY 1, 2""")
 def equalised_mvl_mean(spark: SparkSession, d: str) -> DataFrame:
     """Mean phase vectors of clicks and views drawn down to the smaller count, over 200 draws; units without both drop out."""
     p = _phases(spark, d).where("mark IN ('click', 'view')").select("unit", "mark", "phase", "point_id")
