@@ -436,3 +436,15 @@ def test_empty_tables(spark):
     none = frame(spark, EDGES).limit(0)
     for f in (lambda d: substrings.remove_repeats(d), neardup.near_duplicates, linedup.chunk_report, secrets.secret_report, language.languages):
         assert f(none).count() == 0
+    items = spark.createDataFrame([("a", "one two three")], "item_id string, text string")
+    assert decontaminate.contamination(none, items).count() == 0 and decontaminate.contamination(none, items.limit(0)).count() == 0
+    assert fertility.fertility_rules(none, *queries.vocabularies()).count() == 0
+    assert queries.packed(none, queries.ADDED).count() == 0
+
+
+def test_decontamination_of_edges_without_items_and_with_items_without_words(spark):
+    rows = frame(spark, EDGES)
+    for items in ([], [("a", None), ("b", " - "), (None, "same words again and again")]):
+        found = decontaminate.contamination(rows, spark.createDataFrame(items, "item_id string, text string")).collect()
+        assert len(found) == len(EDGES) and not any(r.contaminated or r.n_hit or r.n_items for r in found)
+        assert {r.items_sha256 for r in found} == {hashlib.sha256(b"").hexdigest()}
