@@ -96,3 +96,35 @@ def test_long_urls(spark):
     long = "http://a.b/" + "seg/" * 40_000 + "9"
     found = urls.filtered_urls(pages_of(spark, [(1, long), (2, "http://" + "a." * 30_000 + "net/")]), labels_of(spark, [(9, 0, 0)]), URL_RULES).collect()
     assert {r["page_id"]: (len(r["path"]), r["rule"]) for r in found} == {1: (len(long) - 10, None), 2: (1, "net/")}
+
+
+def test_rules_come_from_all_frequent_tokens_of_a_url(spark):
+    """Urls with up to 15 frequent tokens, whose common ones decide; two keys always come together, and one of them alone on pages without a label."""
+    rng = random.Random(9)
+    pages, labels = [], []
+    for i in range(400):
+        keys = [f"k{k}=1" for k in range(9) if rng.random() < 0.45]
+        keys += ["t1", "t2"] if rng.random() < 0.4 else []
+        host, section = rng.choice(["farm", "shop"]), rng.choice(["win", "read"])
+        pages.append((i, f"http://{host}.org/{section}/{i}?" + "&".join(keys)))
+        bad = rng.random() < (0.9 if host == "farm" and section == "win" else 0.75 if "t1" in keys else 0.1)
+        labels.append((i, 0 if bad else 1, 0))
+    pages += [(1000 + i, f"http://shop.org/read/none?{key}") for i, key in enumerate(["t1", "t2", "t2&t1&k3", ""])]
+    frames = pages_of(spark, pages), labels_of(spark, labels)
+    db = duckdb.connect()
+    db.register("pages", frames[0].select("page_id", "url").toArrow())
+    db.register("labels", frames[1].toArrow())
+    every = urls.filter_sql(URL_RULES).replace(f"[1:{urls.TOKENS}]", "[1:]")
+    assert every != urls.filter_sql(URL_RULES)
+    want = db.sql(every)
+    found = urls.filtered_urls(*frames, URL_RULES).select(*want.columns).collect()
+    key = lambda r: tuple((v is None, v) for v in r)
+    assert sorted(map(tuple, found), key=key) == sorted(want.fetchall(), key=key)
+    assert {r["mined"] for r in found if r["page_id"] in (1000, 1001)} == {"q:t1", "q:t2"}
+
+
+def test_copies_of_a_long_url_have_few_combinations(spark):
+    long = "http://farm.org/" + "/".join(f"a{chr(97 + k // 26)}{chr(97 + k % 26)}" for k in range(60)) + "/"
+    pages = [(i, f"{long}{i}" if i % 2 else f"http://lib.org/{i}") for i in range(100)]
+    rules = urls.mined_rules(urls.labelled_urls(pages_of(spark, pages), labels_of(spark, [(i, 1 - i % 2, 0) for i in range(100)]))).collect()
+    assert sorted((r["verdict"], len(r["body"]), len(r["choices"][0])) for r in rules) == [("allow", 1, 1), ("block", 1, 61)]
