@@ -8,6 +8,7 @@ of fixed size and is broadcast; scoring runs where the documents lie, without a
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -21,7 +22,7 @@ from intervale.llm import words as W
 #: Labelled documents that the model is fitted on, at most; those with the smallest hashes are taken.
 SAMPLE = 6000
 #: Distinct features that a text is fitted on, at most: of a longer one, so many by a hash are drawn from the whole text. So the driver gets
-#: SAMPLE * FITTED features of six bytes at most. Any text is scored with all its features.
+#: SAMPLE * FITTED features at most, packed (1 to 2 bytes each, as texts go). Any text is scored with all its features.
 FITTED = 4096
 BUCKETS, SIZE = 1 << 17, 8
 #: Lengths of character n-grams.
@@ -93,13 +94,19 @@ class Model:
         return (self.vectors @ (self.layer[:, 1] - self.layer[:, 0])).astype(np.float32)
 
 
-@dataclass
-class Bags:
-    """The bags of many texts in three arrays: text ``i`` has entries ``ends[i]`` to ``ends[i + 1]``. Counts are cut at 65,535."""
+def packed(bucket: np.ndarray, count: np.ndarray) -> bytes:
+    """A bag in few bytes: steps between its rising buckets, then counts (cut at 65,535), equal places of all numbers together, deflated."""
+    if not len(bucket):
+        return b""
+    numbers = np.concatenate([np.diff(bucket, prepend=0), np.minimum(count, 65_535)]).astype("<u4")
+    return zlib.compress(np.ascontiguousarray(numbers.view(np.uint8).reshape(-1, 4).T).tobytes(), 1)
+
 
-    buckets: np.ndarray
-    counts: np.ndarray
-    ends: np.ndarray
+def unpacked(bag: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """The (buckets, counts) of ``packed``."""
+    places = np.frombuffer(zlib.decompress(bag) if bag else b"", np.uint8).reshape(4, -1)
+    steps, count = np.ascontiguousarray(places.T).view("<u4").reshape(2, -1)
+    return np.cumsum(steps, dtype=np.int32), count.astype(np.float32)
 
 
 def drawn(bucket: np.ndarray, count: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
@@ -112,34 +119,29 @@ def drawn(bucket: np.ndarray, count: np.ndarray, most: int) -> tuple[np.ndarray,
 
 
 def bagged(texts: DataFrame, most: int = FITTED) -> DataFrame:
-    """(doc_id, lot, quality, buckets, counts) of rows (doc_id, lot, quality, text): bags are made where the texts lie."""
+    """(doc_id, lot, quality, bag) of rows (doc_id, lot, quality, text): bags are made and packed where the texts lie."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for some in W.slices(batch, most=1 << 20):
-                found = [drawn(*bag, most) for bag in bags(some.column("text"))]
-                ends = pa.array(np.cumsum([0, *(len(b) for b, _ in found)]).astype(np.int32))
-                flat = lambda parts, kind: np.concatenate([np.zeros(0, kind), *parts]).astype(kind)
-                buckets = pa.ListArray.from_arrays(ends, pa.array(flat([b for b, _ in found], np.int32)))
-                counts = pa.ListArray.from_arrays(ends, pa.array(flat([np.minimum(c, 65_535) for _, c in found], np.int32)))
-                yield pa.RecordBatch.from_arrays([some.column("doc_id").cast(pa.int64()), some.column("lot"), some.column("quality"), buckets, counts], names=["doc_id", "lot", "quality", "buckets", "counts"])
+                found = pa.array([packed(*drawn(*bag, most)) for bag in bags(some.column("text"))], pa.binary())
+                yield pa.RecordBatch.from_arrays([some.column("doc_id").cast(pa.int64()), some.column("lot"), some.column("quality"), found], names=["doc_id", "lot", "quality", "bag"])
 
-    return texts.select("doc_id", "lot", "quality", "text").mapInArrow(run, "doc_id long, lot long, quality int, buckets array<int>, counts array<int>")
+    return texts.select("doc_id", "lot", "quality", "text").mapInArrow(run, "doc_id long, lot long, quality int, bag binary")
 
 
-def fit(documents: Bags, labels: np.ndarray, epochs: int = EPOCHS, rate: float = RATE, seed: int = 7) -> Model:
-    """Stochastic gradient descent on the softmax loss; both classes weigh the same."""
+def fit(documents: list[bytes], labels: np.ndarray, epochs: int = EPOCHS, rate: float = RATE, seed: int = 7) -> Model:
+    """Stochastic gradient descent on the softmax loss over packed bags, unpacked one at a time; both classes weigh the same."""
     dice = np.random.default_rng(seed)
     vectors = dice.uniform(-1 / SIZE, 1 / SIZE, (BUCKETS, SIZE)).astype(np.float32)
     layer, bias = np.zeros((SIZE, 2), np.float32), np.zeros(2, np.float32)
     share = np.bincount(labels, minlength=2) / max(len(labels), 1)
     weight = np.where(share > 0, 0.5 / np.maximum(share, 1e-9), 0)
-    usable = np.flatnonzero(np.diff(documents.ends) > 0)
+    usable = np.flatnonzero([len(bag) > 0 for bag in documents])
     steps, done = max(1, epochs * len(usable)), 0
     for _ in range(epochs):
         for i in dice.permutation(usable):
-            bucket, count = (x[documents.ends[i] : documents.ends[i + 1]] for x in (documents.buckets, documents.counts))
-            part = count.astype(np.float32)
+            bucket, part = unpacked(documents[i])
             part /= part.sum()
             mean = part @ vectors[bucket]
             score = mean @ layer + bias
@@ -160,15 +162,10 @@ def trained(docs: DataFrame, labels: DataFrame, usable: Column, sample: int = SA
     label = labels.where(F.col("quality").isin(0, 1) & usable).groupBy("doc_id").agg(F.max("quality").cast("int").alias("quality"))
     some = label.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     texts = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id").withColumn("lot", F.xxhash64("text"))
-    table = bagged(texts).orderBy("doc_id", "lot").limit(sample).select("quality", "buckets", "counts").toArrow()
+    table = bagged(texts).orderBy("doc_id", "lot").limit(sample).select("quality", "bag").toArrow()
     if not table.num_rows:
         return Model(np.zeros((BUCKETS, SIZE), np.float32), np.zeros((SIZE, 2), np.float32), np.zeros(2, np.float32), 0.5)
-    quality = np.asarray(table.column("quality").combine_chunks())
-    sizes = np.concatenate([[0], *(np.asarray(c.value_lengths(), dtype=np.int64) for c in table.column("buckets").chunks)])
-    flat = lambda name, kind: np.concatenate([np.asarray(c.flatten()).astype(kind) for c in table.column(name).chunks])
-    documents = Bags(flat("buckets", np.int32), flat("counts", np.uint16), np.cumsum(sizes))
-    del table
-    return fit(documents, quality)
+    return fit(table.column("bag").to_pylist(), np.asarray(table.column("quality").combine_chunks()))
 
 
 def scored(docs: DataFrame, model: Model, column: str = "score") -> DataFrame:

@@ -40,6 +40,24 @@ def test_bags_of_long_texts_are_drawn_from_the_whole(spark):
     assert quality.drawn(*whole, len(whole[0]))[0] is whole[0]
 
 
+def test_bags_reach_the_driver_in_few_bytes(spark, monkeypatch):
+    """The pipeline's driver ran out of its memory with bags of eight bytes a feature; the model is that of the whole bags."""
+    texts = [sentence([f"{'good' if i % 2 else 'poor'}{k}" for k in range(900)], 1500, i) for i in range(40)] + ["", None, "one", "x " * 70_000]
+    docs = docs_of(spark, [(i, t, "en") for i, t in enumerate(texts)])
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(len(texts))], "doc_id long, quality int, toxic int")
+    sent, collect = [], type(docs).toArrow
+    monkeypatch.setattr(type(docs), "toArrow", lambda self: sent.append(collect(self)) or sent[-1])
+    model = quality.trained(docs, labels, labels["doc_id"].isNotNull())
+    whole = [quality.drawn(*bag, quality.FITTED) for bag in quality.bags(pa.array(texts))]
+    assert sum(table.nbytes for table in sent) < 2 * sum(len(bucket) for bucket, _ in whole)
+    vectors = np.random.default_rng(7).uniform(-1 / quality.SIZE, 1 / quality.SIZE, (quality.BUCKETS, quality.SIZE)).astype(np.float32)
+    moved = np.flatnonzero((model.vectors != vectors).any(axis=1))
+    assert 0.9 < len(moved) / len(np.unique(np.concatenate([bucket for bucket, _ in whole]))) <= 1
+    for bucket, count in whole:
+        again = quality.unpacked(quality.packed(bucket, count))
+        assert again[0].tolist() == bucket.tolist() and again[1].tolist() == np.minimum(count, 65_535).tolist()
+
+
 def test_a_language_of_long_texts_is_learned(spark):
     english, german = "the of and to in is that was for it with as".split(), "der die und in den von zu das mit sich des auf".split()
     rows = [(i, sentence(german, 18_000, i), "de") for i in range(12)] + [(100 + i, sentence(english, 40, i), "en") for i in range(60)]
