@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from intervale.llm import words as W
-from intervale.llm.store import written
+from intervale.llm.store import small_batches, written
 
 #: Bytes of test items in one block, whose phrases the driver prepares and broadcasts: about 12 times as much.
 BLOCK_BYTES = 4 << 20
@@ -31,8 +31,12 @@ BLOCK_BYTES = 4 << 20
 #: Words of a segment at most (a single longer document is one of its own), and empty positions between its documents.
 SEGMENT_WORDS, GAP = 200_000, 64
 
-#: Candidates that are intersected at once.
-CANDIDATES = 1 << 20
+#: Candidates that are intersected at once: about 100 bytes each.
+CANDIDATES = 1 << 17
+
+#: Documents that are read at once, bytes that Python gets at once, and segments (of 1 to 3 MB) of a row group. So what a task holds
+#: depends neither on the size of its part nor on how the input's files are cut.
+READ_ROWS, SENT_BYTES, GROUP_ROWS = 256, 8 << 20, 8
 
 SEGMENTS = "rows array<long>, doc_ids array<long>, n_words array<long>, terms array<long>, counts array<int>, gaps array<int>"
 MATCHES = "row long, first array<int>, last array<int>, items array<string>"
@@ -152,18 +156,18 @@ def posting_counts(segments: DataFrame, terms: np.ndarray) -> np.ndarray:
 def matches(postings: Postings, codes: np.ndarray, lengths: np.ndarray, by_rarity: np.ndarray, anchors: tuple, slop: int, share: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(phrase, start) of the matches in one segment, from the rarest term's list on, each list moved back by its term's place."""
     anchor_codes, anchor_ends, anchor_phrases = anchors
-    n_lists = postings.ends[anchor_codes + 1] - postings.ends[anchor_codes]
-    n_phrases = np.diff(anchor_ends)
+    opens = postings.ends[anchor_codes]
+    n_lists, n_phrases = postings.ends[anchor_codes + 1] - opens, np.diff(anchor_ends)
     some = np.flatnonzero(n_lists > 0)
-    work = np.cumsum((n_lists * n_phrases)[some])
-    begin = 0
-    while begin < len(some):
-        upto = max(begin + 1, int(np.searchsorted(work, (work[begin - 1] if begin else 0) + CANDIDATES, side="right")))
-        mine = some[begin:upto]
-        begin = upto
-        # every phrase of an anchor with every posting of its list
-        phrase = np.concatenate([np.repeat(anchor_phrases[anchor_ends[a] : anchor_ends[a + 1]], n_lists[a]) for a in mine])
-        place = np.concatenate([np.tile(postings.keys[postings.ends[c] : postings.ends[c + 1]] - c * postings.span, n_phrases[a]) for a, c in zip(mine, anchor_codes[mine], strict=True)])
+    work = np.append(0, np.cumsum((n_lists * n_phrases)[some]))
+    for begin in range(0, int(work[-1]), CANDIDATES):
+        # every phrase of an anchor with every posting of its list, numbered through all anchors
+        number = np.arange(begin, min(begin + CANDIDATES, int(work[-1])))
+        of = np.searchsorted(work, number, side="right") - 1
+        a = some[of]
+        of_anchor, posting = np.divmod(number - work[of], n_lists[a])
+        phrase = anchor_phrases[anchor_ends[a] + of_anchor]
+        place = postings.keys[opens[a] + posting] - anchor_codes[a] * postings.span
         start = place - by_rarity[phrase, 0]
         inside = start >= 0
         phrase, start = phrase[inside], start[inside]
@@ -248,11 +252,13 @@ def phrase_matches(docs: DataFrame, items: DataFrame, size: int = 10, slop: int
     an empty result, an empty table of items one without spans. Extra columns are not read. Blocks of items are searched one after
     another in one index; a row's matches of all blocks are put together by the row's number.
     """
-    segments = written(index(docs), "segments", compression="zstd")
     found = None
-    for block in item_blocks(items, block_count(items)):
-        hits = written(search(segments, phrases_of(block, size), slop, share), "matches")
-        found = hits if found is None else found.unionByName(hits)
+    with small_batches(docs.sparkSession, READ_ROWS, SENT_BYTES):
+        segments = written(index(docs), "segments", compression="zstd", **{"parquet.block.row.count.limit": str(GROUP_ROWS)})
+    with small_batches(docs.sparkSession, 1, SENT_BYTES):  # a segment is a row
+        for block in item_blocks(items, block_count(items)):
+            hits = written(search(segments, phrases_of(block, size), slop, share), "matches")
+            found = hits if found is None else found.unionByName(hits)
     flat = [F.flatten(F.collect_list(c)).alias(c) for c in ("first", "last")]
     hits = found.groupBy("row").agg(*flat, F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
     rows = segments.select(F.inline(F.arrays_zip("rows", "doc_ids", "n_words"))).toDF("row", "doc_id", "n_words")
